@@ -15,16 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytekit import U64, Words, binary_parts, from_planes, planes, slices
+from .bytekit import U64, Words, binary_parts, from_planes, mix, planes, slices
 from .cluster import materialise, read, ship
 
 #: Bytes of text that are hashed together, and that a bucket of hashes stands for.
-BATCH, BUCKET = 4 << 20, 10 << 20
+BATCH, BUCKET = 2 << 20, 5 << 20
 #: In place of a null doc_id: the smallest.
 NO_ID = -(2**63)
-_ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("n", pa.int32()), ("doc_id", pa.int64()), ("body", pa.binary())])
-SENT = "bucket int, kind tinyint, n int, doc_id long, body binary"
-FOUND = "doc_id long, body binary"
+_ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("n", pa.int32()), ("body", pa.binary())])
+SENT = "bucket int, kind tinyint, n int, body binary"
+FOUND = "block int, n int, body binary"
+PLACES = "doc_id long, places binary"
 
 
 def _runs(batches, columns):
@@ -36,28 +37,27 @@ def _runs(batches, columns):
             yield ids[i:j], Words(buf[off[i] : off[j]], off[i : j + 1] - off[i]), b, i, j
 
 
-def _by_doc(ids: np.ndarray, doc: np.ndarray, pos: np.ndarray):
-    """(doc_id, positions) of each document of a run that has some; doc is sorted."""
-    if not len(doc):
-        return
-    cut = np.flatnonzero(np.diff(doc)) + 1
-    for d, p in zip(doc[np.r_[0, cut]], np.split(pos.astype("<u4"), cut)):
-        yield int(ids[d]), p.tobytes()
+def _by_block(blocks: int, ids: np.ndarray, pos: np.ndarray):
+    """(block, number, columns) of places in documents, dealt to blocks by document."""
+    block = (mix(ids.astype(np.int64).view(np.uint64)) % U64(blocks)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
+        yield int(block[part[0]]), len(part), planes(ids[part].astype("<i8")) + planes(pos[part].astype("<u4"))
 
 
 def _send(buckets: int, h: np.ndarray, flag: np.ndarray, ids: np.ndarray, pos: np.ndarray, wide: np.ndarray | None, local) -> pa.RecordBatch:
-    """Entries by bucket, and rows for single documents that need no answer (kind 1)."""
-    rows = [[], [], [], [], []]
+    """Entries by bucket, and places that need no answer (kind 1), which go where answers about their documents go."""
+    rows = [[], [], [], []]
     b = (h % U64(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
     cut = np.flatnonzero(np.diff(b[order])) + 1
     for part in np.split(order, cut) if len(order) else []:
         q = h[part] // U64(buckets)
         body = planes(q.astype("<u4") if wide is None else q) + flag[part].astype(np.uint8).tobytes() + planes(ids[part].astype("<i8")) + planes(pos[part].astype("<u4"))
-        for r, x in zip(rows, (int(b[part[0]]), 0, len(part), 0, body + (planes(wide[part].astype("<u4")) if wide is not None else b""))):
+        for r, x in zip(rows, (int(b[part[0]]), 0, len(part), body + (planes(wide[part].astype("<u4")) if wide is not None else b""))):
             r.append(x)
-    for d, body in local:
-        for r, x in zip(rows, (d % buckets, 1, 0, d, body)):
+    for block, n, body in local:
+        for r, x in zip(rows, (block, 1, n, body)):
             r.append(x)
     return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(rows, _ROW)], schema=_ROW)
 
@@ -74,17 +74,30 @@ def _receive(table: pa.Table, wide: bool):
             step = k * np.dtype(dtype).itemsize
             p.append(from_planes(raw[at : at + step], k, dtype))
             at += step
-    ones = table.filter(pa.array(kind == 1)).select(["doc_id", "body"])
+    ones = table.filter(pa.array(kind == 1)).select(["bucket", "n", "body"]).rename_columns(["block", "n", "body"])
     return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts], ones
 
 
-def _answer(ids: np.ndarray, pos: np.ndarray, ones: pa.Table) -> pa.Table:
+def _answer(blocks: int, ids: np.ndarray, pos: np.ndarray, ones: pa.Table) -> pa.Table:
+    rows = list(_by_block(blocks, ids, pos))
+    own = [pa.array([r[k] for r in rows], ones.schema.field(k).type) for k in range(3)]
+    return pa.concat_tables([pa.Table.from_arrays(own, schema=ones.schema), ones])
+
+
+def _places(table):
+    """Places of a block by document."""
+    n = table.column("n").to_numpy()
+    ids, pos = [np.zeros(0, "<i8")], [np.zeros(0, "<u4")]
+    for k, cell in zip(n.tolist(), table.column("body")):
+        raw = cell.as_buffer()
+        ids.append(from_planes(raw[: 8 * k], k, "<i8"))
+        pos.append(from_planes(raw[8 * k : 12 * k], k, "<u4"))
+    ids, pos = np.concatenate(ids), np.concatenate(pos)
     order = np.lexsort((pos, ids))
-    ids, pos = ids[order], pos[order].astype("<u4")
+    ids, pos = ids[order], pos[order]
     cut = np.flatnonzero(np.diff(ids)) + 1
-    out = [p.tobytes() for p in np.split(pos, cut)] if len(ids) else []
-    found = pa.table({"doc_id": pa.array(ids[np.r_[0, cut]] if len(ids) else [], pa.int64()), "body": pa.array(out, pa.binary())})
-    return pa.concat_tables([found, ones])
+    lists = [p.tobytes() for p in np.split(pos, cut)] if len(ids) else []
+    return pa.table({"doc_id": pa.array(ids[np.r_[0, cut]] if len(ids) else [], pa.int64()), "places": pa.array(lists, pa.binary())})
 
 
 def _probe(window: int, block: int, buckets: int):
@@ -102,7 +115,7 @@ def _probe(window: int, block: int, buckets: int):
             anchored = np.bitwise_or.reduceat(anchor[order], np.flatnonzero(new)) if len(s) else anchor
             again = np.zeros(len(s), bool)
             again[order] = np.repeat(many, np.diff(np.r_[np.flatnonzero(new), len(s)]))
-            local = _by_doc(ids, w.doc[at[again]], w.pos[at[again]])
+            local = _by_block(buckets, ids[w.doc[at[again]]], w.pos[at[again]])
             # in document order, for which the columns compress best
             back = np.argsort(first, kind="stable")
             first, anchored, many = first[back], anchored[back], many[back]
@@ -111,7 +124,11 @@ def _probe(window: int, block: int, buckets: int):
     return run
 
 
-def _hits(table: pa.Table) -> pa.Table:
+def _hits(buckets: int):
+    return lambda table: _hits_of(buckets, table)
+
+
+def _hits_of(buckets: int, table: pa.Table) -> pa.Table:
     (h, flag, ids, pos, _), ones = _receive(table, False)
     order = np.argsort(h, kind="stable")
     s = h[order]
@@ -120,19 +137,19 @@ def _hits(table: pa.Table) -> pa.Table:
     anchored = np.bitwise_or.reduceat(flag[order], at) & 1 > 0 if len(s) else np.zeros(0, bool)
     hit = order[np.repeat((n > 1) & anchored, n)]
     hit = hit[flag[hit] & 2 == 0]  # the others' batch knows already
-    return _answer(ids[hit], pos[hit], ones)
+    return _answer(buckets, ids[hit], pos[hit], ones)
 
 
-def _positions(cells) -> np.ndarray:
-    return np.frombuffer(b"".join(cells), "<u4").astype(np.int64) if cells else np.zeros(0, np.int64)
+def _positions(cell: bytes | None) -> np.ndarray:
+    return np.frombuffer(cell or b"", "<u4").astype(np.int64)
 
 
 def _marks(w: Words, lists, size: int) -> np.ndarray:
     """True at the words that lie in runs of `size` words from the given positions of each document."""
     step = np.zeros(len(w.at) + size + 1, np.int64)
-    for d, cells in enumerate(lists):
-        if cells:
-            at = np.unique(_positions(cells)) + w.doc_at[d]
+    for d, cell in enumerate(lists):
+        if cell:
+            at = np.unique(_positions(cell)) + w.doc_at[d]
             at = at[at + size <= w.doc_at[d + 1]]
             step[at] += 1
             step[at + size] -= 1
@@ -141,11 +158,11 @@ def _marks(w: Words, lists, size: int) -> np.ndarray:
 
 def _extend(window: int, block: int, buckets: int):
     def run(batches):
-        for ids, w, b, i, j in _runs(batches, ["doc_id", "text", "hits"]):
+        for ids, w, b, i, j in _runs(batches, ["doc_id", "text", "places"]):
             lists = b.column(2).slice(i, j - i).to_pylist()
             seed = np.zeros(len(w.at) + window, np.int64)
-            for d, cells in enumerate(lists):
-                p = np.unique(_positions(cells)) + w.doc_at[d]
+            for d, cell in enumerate(lists):
+                p = _positions(cell) + w.doc_at[d]
                 seed[p[p < w.doc_at[d + 1]]] = 1
             base = w.hashes()
             at, h = w.grams(base, window)
@@ -163,26 +180,30 @@ def _extend(window: int, block: int, buckets: int):
             same = (ids[w.doc[at[lead]]] == ids[w.doc[at[order]]]) & (w.pos[at[lead]] == w.pos[at[order]])
             late = np.sort(order[~same])
             first = np.sort(first)
-            yield _send(buckets, h[first], np.zeros(len(first), np.uint8), ids[w.doc[at[first]]], w.pos[at[first]], h2[first], _by_doc(ids, w.doc[at[late]], w.pos[at[late]]))
+            yield _send(buckets, h[first], np.zeros(len(first), np.uint8), ids[w.doc[at[first]]], w.pos[at[first]], h2[first], _by_block(buckets, ids[w.doc[at[late]]], w.pos[at[late]]))
 
     return run
 
 
-def _later(table: pa.Table) -> pa.Table:
+def _later(buckets: int):
+    return lambda table: _later_of(buckets, table)
+
+
+def _later_of(buckets: int, table: pa.Table) -> pa.Table:
     (h, _, ids, pos, h2), ones = _receive(table, True)
     order = np.lexsort((pos, ids, h2, h))
     s, s2 = h[order], h2[order]
     new = np.r_[True, (s[1:] != s[:-1]) | (s2[1:] != s2[:-1])] if len(s) else np.zeros(0, bool)
     lead = np.repeat(order[new], np.diff(np.r_[np.flatnonzero(new), len(s)])) if len(s) else order
     late = order[(ids[lead] != ids[order]) | (pos[lead] != pos[order])]
-    return _answer(ids[late], pos[late], ones)
+    return _answer(buckets, ids[late], pos[late], ones)
 
 
 def _keep(window: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(batches):
-        for ids, w, b, i, j in _runs(batches, ["doc_id", "text", "late"]):
+        for ids, w, b, i, j in _runs(batches, ["doc_id", "text", "places"]):
             gone = _marks(w, b.column(2).slice(i, j - i).to_pylist(), window)
             keep = ~gone
             size = (w.to - w.at + 1) * keep
@@ -218,13 +239,12 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET))
     sent = d.mapInArrow(_probe(window, block, buckets), SENT)
-    hits = materialise(sent.groupBy("bucket").applyInArrow(_hits, FOUND), "substring-hits")
-    hits = hits.groupBy("doc_id").agg(F.collect_list("body").alias("hits"))
-    near = d.join(hits, "doc_id").select("doc_id", "text", "hits")
-    sent = near.mapInArrow(_extend(window, block, buckets), SENT)
-    late = materialise(sent.groupBy("bucket").applyInArrow(_later, FOUND), "substring-late")
-    late = late.groupBy("doc_id").agg(F.collect_list("body").alias("late"))
-    whole = d.join(late, "doc_id", "left").select("doc_id", "text", "late")
+    found = sent.groupBy("bucket").applyInArrow(_hits(buckets), FOUND)
+    hits = materialise(found.groupBy("block").applyInArrow(_places, PLACES), "substring-hits")
+    sent = d.join(hits, "doc_id").select("doc_id", "text", "places").mapInArrow(_extend(window, block, buckets), SENT)
+    found = sent.groupBy("bucket").applyInArrow(_later(buckets), FOUND)
+    late = materialise(found.groupBy("block").applyInArrow(_places, PLACES), "substring-late")
+    whole = d.join(late, "doc_id", "left").select("doc_id", "text", "places")
     out = whole.mapInArrow(_keep(window), "doc_id long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept")
 
