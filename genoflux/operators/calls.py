@@ -99,7 +99,7 @@ def smooth(calls: list[tuple[int, int, float]], forgiveness: float = 5.0) -> lis
     """Calls (start, end, value) of one chromosome, those of one sign merged until nothing changes.
 
     Overlapping ones: the later adds what it reaches beyond, and the value is the mean of both, weighted with the new
-    length and the later's own. Close ones, at most forgiveness percent of the later's length apart: the mean weighted by
+    length and the later's own. Close ones, at most forgiveness percent of their joint extent apart: the mean weighted by
     lengths, the gap with the mean of both.
     """
     def overlapping(rows):
@@ -118,7 +118,7 @@ def smooth(calls: list[tuple[int, int, float]], forgiveness: float = 5.0) -> lis
         out = []
         for s, e, v in rows:
             own = e - s + 1
-            if out and v * out[-1][2] > 0 and s - out[-1][1] <= forgiveness * (e - s) / 100:
+            if out and v * out[-1][2] > 0 and s - out[-1][1] <= forgiveness * (e - out[-1][0]) / 100:
                 ps, pe, pv, size = out[-1]
                 gap = s - pe
                 out[-1] = [ps, e, (pv * size + v * own + gap * (pv / 2 + v / 2)) / (size + gap + own), size + gap + own]
