@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from genoflux.shipping import ship
+
 
 def clamp(x: Column) -> Column:
     return F.greatest(F.least(x, F.lit(0.5)), F.lit(-0.5))
@@ -91,6 +93,7 @@ def call_runs(occurrences: DataFrame, cutoff: int = 100) -> DataFrame:
         out.insert(0, "contig", p["contig"].iloc[0])
         return out
 
+    ship(occurrences.sparkSession)
     schema = "contig string, start long, end long, flow_diff double, path_len long, nd_unmasked long, nd_total long"
     return occurrences.groupBy("contig").applyInPandas(run, schema)
 
@@ -143,6 +146,7 @@ def smooth_calls(calls: DataFrame, forgiveness: float = 5.0, least: int = 1000)
         out.insert(0, "chr", pdf["chr"].iloc[0])
         return out
 
+    ship(calls.sparkSession)
     done = calls.select("chr", "start", "end", F.col("call").cast("double").alias("call")).groupBy("chr").applyInPandas(run, "chr string, start long, end long, call double")
     return done.where(F.col("end") - F.col("start") >= least)
 

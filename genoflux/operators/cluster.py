@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from genoflux.shipping import ship
+
 NO_LINK = 10_000_000
 
 
@@ -52,6 +54,7 @@ def leader_clusters(pairs: DataFrame, mean: float, sd: float, tol: float = 6, fa
         lead = leaders(list(zip(p["_main"], p["_sec"], p["dist"])), int(p["type"].iloc[0]), reach, tol * sd)
         return p.assign(cluster=lead).drop(columns=["_main", "_sec", "_cut"])
 
+    ship(pairs.sparkSession)
     fields = ", ".join(f"{n} {t}" for n, t in d.drop("_main", "_sec", "_cut").dtypes)
     return d.groupBy("chr", "type", "part").applyInPandas(run, f"{fields}, cluster long")
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genoflux.shipping import ship
+
 #: Cost of no flow at all.
 NEVER = 999_999_999
 #: Capacity of the last segment, and how far beyond its start its slope is taken.
@@ -180,6 +182,7 @@ def solve(arcs: DataFrame, supply: DataFrame | None = None) -> DataFrame:
         flows, price = min_cost_flow(len(names), rows, {index[v]: int(x) for v, x in zip(s["tail"], s["low"])})
         return a.assign(flow=flows, tail_price=[price[r[0]] for r in rows], head_price=[price[r[1]] for r in rows])
 
+    ship(arcs.sparkSession)
     return both.groupBy("net").applyInPandas(run, "net string, arc_id long, tail long, head long, low long, cap long, cost long, flow long, tail_price long, head_price long")
 
 

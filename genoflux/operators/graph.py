@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from genoflux.shipping import ship
+
 from .intervals import locate, merge
 
 
@@ -168,4 +170,5 @@ def refine_repeats(positions: DataFrame) -> DataFrame:
         out.insert(0, "contig", pdf["contig"].iloc[0])
         return out
 
+    ship(positions.sparkSession)
     return positions.groupBy("contig").applyInPandas(run, "contig string, edge_id long, start long, end long, strand string")

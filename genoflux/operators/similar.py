@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from genoflux.shipping import ship
+
 WINDOW, MATCHES = 100, 99
 
 
@@ -58,6 +60,7 @@ def repeat_pairs(axt: DataFrame, lengths: DataFrame) -> DataFrame:
                     rows.append((r.num, k, r.contig2, a, z, r.strand))
             yield pd.DataFrame(rows, columns=["num", "k", "contig", "start", "end", "strand"])
 
+    ship(axt.sparkSession)
     d = axt.join(lengths.select(F.col("contig").alias("contig2"), "length"), "contig2")
     d = d.select("num", "contig1", "start1", "contig2", "start2", "strand", "s1", "s2", "length").mapInPandas(run, "num long, k long, contig string, start long, end long, strand string")
     each = d.select("num", "k").distinct()

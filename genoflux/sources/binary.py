@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from genoflux.shipping import ship
+
 #: struct formats of the records, little-endian with C padding on 64-bit machines.
 RECORDS = {
     "double": ("<d", ["value"]),
@@ -33,6 +35,7 @@ def read_records(spark: SparkSession, path: str, kind: str, missing: float | Non
     def clean(x):
         return x.rstrip(b"\0").split(b"\0")[0].decode() if isinstance(x, bytes) else x
 
+    ship(spark)
     rows = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda r: (r[1] + 1, *(clean(x) for x in struct.unpack(form, bytes(r[0])))))
     d = spark.createDataFrame(rows, schema)
     return d if missing is None else d.withColumn("value", F.when(F.col("value") != missing, F.col("value")))
