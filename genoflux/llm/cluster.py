@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_shipped: set[str] = set()
-
+from genoflux.shipping import ship  # noqa: F401
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that workers can import it from anywhere."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="genoflux-"), "genoflux_llm.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted([root / "__init__.py", *(root / "llm").glob("*.py")]):
-            z.write(f, f"{root.name}/{f.relative_to(root)}")
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -52,9 +38,19 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     finally:
         if before is not None:
             spark.conf.set(_CLEANUP, before)
+    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def _sweep() -> None:
+    """Scratch tables go with the application; results that are still to be read must not lose them earlier."""
+    for spark, path in _made:
+        with contextlib.suppress(Exception):
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
