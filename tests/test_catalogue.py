@@ -31,3 +31,10 @@ def test_no_cartesian_or_nested_loop_range_joins(spark):
     for name in ("interval_overlap_join", "interval_overlap_anti", "screen_link_endpoints", "doc_ratio", "point_location_asof"):
         plan = catalogue.queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = catalogue.queries()["key_lookup"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(l_orderkey,77)" in plan and "l_shipdate" not in plan
+    plan = catalogue.queries()["copy_histogram"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "o_totalprice" not in plan and "partial_sum" in plan
