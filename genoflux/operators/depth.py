@@ -18,10 +18,14 @@ def spikes(cov: DataFrame, low: float, high: float, width: int = 1 << 20) -> Dat
     d = d.withColumn("_slice", F.floor(F.col("pos") / width))
     by = W.partitionBy("chr", "_slice", "state").orderBy("pos")
     part = d.withColumn("_run", F.col("pos") - F.row_number().over(by)).groupBy("chr", "_slice", "state", "_run").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
+    # only runs at a border of their slice may go on beyond it: at most two of a state for each slice
+    border = (F.col("start") % width == 0) | ((F.col("end") + 1) % width == 0)
     w = W.partitionBy("chr", "state").orderBy("start")
     new = F.coalesce(F.col("start") != F.lag("end").over(w) + 1, F.lit(True)).cast("int")
-    part = part.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return part.groupBy("chr", "state", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("chr", "start", "end", "state")
+    edge = part.where(border).withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    edge = edge.groupBy("chr", "state", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    cols = ["chr", "start", "end", "state"]
+    return part.where(~border).select(*cols).unionByName(edge.select(*cols))
 
 
 def pad_spikes(runs: DataFrame, by: int = 2, length: int | None = None) -> DataFrame:

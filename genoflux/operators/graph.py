@@ -11,17 +11,14 @@ from pyspark.sql.window import Window as W
 
 from genoflux.shipping import ship
 
-from .intervals import locate, merge
+from .intervals import gaps, locate, merge
 
 
 def fill_gaps(edges: DataFrame, lengths: DataFrame) -> DataFrame:
     """(chr, start, end, kind): merged edge intervals and what lies between, before and after them, up to lengths (chr, length)."""
     m = merge(edges, 0)
-    w = W.partitionBy("chr").orderBy("start")
-    head = m.select("chr", (F.coalesce(F.lag("end").over(w), F.lit(0)) + 1).alias("start"), (F.col("start") - 1).alias("end"))
-    tail = m.groupBy("chr").agg((F.max("end") + 1).alias("start")).join(lengths, "chr").select("chr", "start", F.col("length").alias("end"))
-    gaps = head.unionByName(tail).where("start <= end").withColumn("kind", F.lit("gap"))
-    return m.withColumn("kind", F.lit("edge")).unionByName(gaps)
+    gap = gaps(m, 1, lengths.select("chr", F.col("length").alias("last"))).withColumn("kind", F.lit("gap"))
+    return m.withColumn("kind", F.lit("edge")).unionByName(gap)
 
 
 def dense_ids(df: DataFrame, order: list[str], out: str) -> DataFrame:
@@ -33,11 +30,18 @@ def dense_ids(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return df.withColumn("_nth", nth).join(start, first).withColumn(out, F.col("_nth") + F.col("_start")).drop("_nth", "_start")
 
 
-def free_links(occurrences: DataFrame) -> DataFrame:
-    """Each occurrence (contig, pos, edge_id) with the next on its contig, (next_pos, next_edge)."""
-    w = W.partitionBy("contig").orderBy("pos", "edge_id")
-    d = occurrences.select("contig", "pos", "edge_id", F.lead("pos").over(w).alias("next_pos"), F.lead("edge_id").over(w).alias("next_edge"))
-    return d.where("next_pos is not null")
+def free_links(occurrences: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """Each occurrence (contig, pos, edge_id) with the next on its contig, (next_pos, next_edge).
+
+    Neighbours are found inside slices of a contig; the last of a slice takes the first of the next slice that has any.
+    """
+    d = occurrences.select("contig", "pos", "edge_id").withColumn("_slice", F.floor(F.col("pos") / width))
+    w = W.partitionBy("contig", "_slice").orderBy("pos", "edge_id")
+    d = d.withColumn("_next", F.lead(F.struct("pos", "edge_id")).over(w))
+    first = d.groupBy("contig", "_slice").agg(F.min(F.struct("pos", "edge_id")).alias("_first"))
+    after = first.select("contig", "_slice", F.lead("_first").over(W.partitionBy("contig").orderBy("_slice")).alias("_after"))
+    d = d.join(after, ["contig", "_slice"]).withColumn("_next", F.coalesce("_next", "_after")).where("_next is not null")
+    return d.select("contig", "pos", "edge_id", F.col("_next.pos").alias("next_pos"), F.col("_next.edge_id").alias("next_edge"))
 
 
 def multiplicity(occurrences: DataFrame, ploidy: int = 2) -> DataFrame:

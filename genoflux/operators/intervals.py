@@ -37,31 +37,53 @@ def left_of(e1, s2) -> Column:
     return e1 < s2
 
 
-def _islands(df: DataFrame, by: list[str], gap: int) -> DataFrame:
-    w = W.partitionBy(*by).orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = F.coalesce(F.col("start") > before + gap, F.lit(True)).cast("int")
-    return df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy(*by, "_island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end")
-    )
+def with_previous(df: DataFrame, by: str, at: str, value: str, out: str, width: int = 1 << 20) -> DataFrame:
+    """df with `out`: the value of the row before it by `at` among rows of equal `by`; null for the first.
+
+    Neighbours are found inside slices; the first row of a slice takes the last of the slice before that has any.
+    """
+    d = df.withColumn("_slice", F.floor(F.col(at) / width))
+    last = d.groupBy(by, "_slice").agg(F.max(F.struct(at, value)).alias("_last"))
+    before = last.select(by, "_slice", F.lag("_last").over(W.partitionBy(by).orderBy("_slice")).alias("_before"))
+    d = d.withColumn(out, F.lag(value).over(W.partitionBy(by, "_slice").orderBy(at, value)))
+    return d.join(before, [by, "_slice"]).withColumn(out, F.coalesce(out, F.col(f"_before.{value}"))).drop("_slice", "_before")
 
 
 def merge(df: DataFrame, gap: int = 0, width: int = 1 << 20) -> DataFrame:
     """(chr, start, end): intervals joined where one starts at most `gap` after the end of those before.
 
-    First within slices of a chromosome, which spreads it over tasks; then the few islands of each chromosome.
+    Islands are found in slices of a chromosome, which know how far intervals of earlier slices reach. Only the
+    island that goes on into a slice and the last one of a slice are put together over the slices, at most two for
+    each, so that no task sees a chromosome.
     """
     d = df.select("chr", "start", "end").withColumn("_slice", F.floor(F.col("start") / width))
-    return _islands(_islands(d, ["chr", "_slice"], gap).select("chr", "start", "end"), ["chr"], gap).select("chr", "start", "end")
+    reach = d.groupBy("chr", "_slice").agg(F.max("end").alias("_end"))
+    over = W.partitionBy("chr").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    reach = reach.select("chr", "_slice", F.max("_end").over(over).alias("_reach"))
+    w = W.partitionBy("chr", "_slice").orderBy("start", "end")
+    before = F.greatest(F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.col("_reach"))
+    d = d.join(reach, ["chr", "_slice"]).withColumn("_new", F.coalesce(F.col("start") > before + gap, F.lit(True)).cast("int"))
+    d = d.withColumn("_no", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    part = d.groupBy("chr", "_slice", "_no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    part = part.withColumn("_border", (F.col("_no") == 0) | (F.col("_no") == F.max("_no").over(W.partitionBy("chr", "_slice"))))
+    along = W.partitionBy("chr").orderBy("_slice", "_no").rowsBetween(W.unboundedPreceding, 0)
+    edge = part.where("_border").withColumn("_island", F.sum((F.col("_no") > 0).cast("int")).over(along))
+    edge = edge.groupBy("chr", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return part.where("not _border").select("chr", "start", "end").unionByName(edge.select("chr", "start", "end"))
+
+
+def gaps(merged: DataFrame, first: int, last: DataFrame | int) -> DataFrame:
+    """(chr, start, end): what lies between merged intervals, and from `first` and up to `last` (a position, or (chr, last))."""
+    d = with_previous(merged, "chr", "start", "end", "_prev")
+    inner = d.select("chr", (F.coalesce("_prev", F.lit(first - 1)) + 1).alias("start"), (F.col("start") - 1).alias("end"))
+    tail = merged.groupBy("chr").agg((F.max("end") + 1).alias("start"))
+    tail = tail.withColumn("last", F.lit(last).cast("bigint")) if isinstance(last, int) else tail.join(last, "chr")
+    return inner.unionByName(tail.select("chr", "start", F.col("last").alias("end"))).where("start <= end")
 
 
 def complement(df: DataFrame, length: int) -> DataFrame:
     """(chr, start, end): maximal closed runs of 0..length-1 outside the intervals, on chromosomes that have some."""
-    m = merge(df, 1)
-    w = W.partitionBy("chr").orderBy("start")
-    head = m.select("chr", (F.coalesce(F.lag("end").over(w), F.lit(-1)) + 1).alias("start"), (F.col("start") - 1).alias("end"))
-    tail = m.groupBy("chr").agg((F.max("end") + 1).alias("start")).select("chr", "start", F.lit(length - 1).cast("bigint").alias("end"))
-    return head.unionByName(tail).where("start <= end")
+    return gaps(merge(df, 1), 0, length - 1)
 
 
 def _bins(start: Column, end: Column, width: int) -> Column:

@@ -73,12 +73,26 @@ def insert_sizes(maps: DataFrame, read_len: int, low: int, high: int) -> DataFra
     return p.agg(F.round(F.avg("dist"), 6).alias("mean"), F.round(F.stddev_samp("dist"), 6).alias("sd"), F.count(F.lit(1)).alias("n"))
 
 
+def dense_rank(values: DataFrame, column: str, out: str, slices: int = 10_000) -> DataFrame:
+    """Distinct long values of a column with their rank from 1, without ordering them all in one task.
+
+    Values are dealt to slices of their range, counted, and ranked inside a slice; only the slices are ordered as a whole.
+    """
+    v = values.select(column).distinct()
+    low, high = v.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return v.withColumn(out, F.lit(1).cast("bigint"))
+    v = v.withColumn("_slice", F.floor((F.col(column) - low) / max(1, -(-(high - low + 1) // slices))))
+    n = v.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = n.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    nth = F.row_number().over(W.partitionBy("_slice").orderBy(column))
+    return v.withColumn("_nth", nth).join(before, "_slice").select(column, (F.col("_nth") + F.col("_before")).alias(out))
+
+
 def interleave(a: DataFrame, b: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """Blocks of equal `name` of two sources in turn: (block, source, seq, name with _1 or _2, rest). Names ascend in each source."""
+    """Blocks of equal `name` (a number that ascends in each source) of two sources in turn: (block, source, seq, name with _1 or _2, rest)."""
     def side(d: DataFrame, k: int) -> DataFrame:
-        blocks = d.select(name).distinct()
-        number = blocks.withColumn("block", F.row_number().over(W.orderBy(name)).cast("bigint"))  # names, not rows
         seq = F.row_number().over(W.partitionBy(name).orderBy(*order)).cast("bigint")
-        return d.withColumn("seq", seq).join(number, name).withColumn("source", F.lit(k)).withColumn(name, F.concat(F.col(name).cast("string"), F.lit(f"_{k}")))
+        return d.withColumn("seq", seq).join(dense_rank(d, name, "block"), name).withColumn("source", F.lit(k)).withColumn(name, F.concat(F.col(name).cast("string"), F.lit(f"_{k}")))
 
     return side(a, 1).unionByName(side(b, 2))

@@ -23,6 +23,28 @@ def test_merge(spark):
     assert rows(iv.merge(d.where("false"))) == []
 
 
+def test_merge_over_slices_against_brute_force(spark):
+    rng = random.Random(11)
+    for gap in (0, 3):
+        given = [(rng.choice("ab"), s := rng.randint(0, 400), s + rng.choice([1, 2, 5, 60])) for _ in range(50)]
+        want = []
+        for c, s, e in sorted(given):
+            if want and want[-1][0] == c and s <= want[-1][2] + gap:
+                want[-1][2] = max(want[-1][2], e)
+            else:
+                want.append([c, s, e])
+        for width in (5, 16, 1 << 20):
+            assert rows(iv.merge(frame(spark, given), gap, width)) == [tuple(x) for x in want]
+
+
+def test_neighbours_over_slices(spark):
+    d = frame(spark, [("c", p, 10 * p) for p in (1, 2, 9, 30, 31)], "contig string, pos long, edge_id long")
+    for width in (4, 10, 1 << 20):
+        assert rows(gr.free_links(d, width).select("pos", "next_pos", "next_edge")) == [(1, 2, 20), (2, 9, 90), (9, 30, 300), (30, 31, 310)]
+        got = rows(iv.with_previous(d, "contig", "pos", "edge_id", "prev", width).select("pos", "prev"))
+        assert got == [(1, None), (2, 10), (9, 20), (30, 90), (31, 300)]
+
+
 def test_complement(spark):
     d = frame(spark, [("c", 0, 1), ("c", 5, 5)])
     assert rows(iv.complement(d, 10)) == [("c", 2, 4), ("c", 6, 9)]

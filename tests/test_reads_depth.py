@@ -71,3 +71,9 @@ def test_stages(spark):
     raw = spark.createDataFrame([("c", 10, 2000, 2.5), ("c", 1, 9, 1.0)], "chr string, start long, end long, flow_diff double")
     depth = out["coverage"].withColumn("lam", F.lit(1.0))
     assert [tuple(r)[:4] for r in pipeline.stage2(raw, breaks, depth).collect()] == [("c", 10, 2000, "gain")]
+
+
+def test_dense_rank(spark):
+    d = spark.createDataFrame([(x,) for x in (5, 5, 100, -3, 7, 10**9)], "k long")
+    for slices in (1, 3, 10_000):
+        assert {r.k: r.n for r in rd.dense_rank(d, "k", "n", slices).collect()} == {-3: 1, 5: 2, 7: 3, 100: 4, 10**9: 5}
