@@ -61,10 +61,19 @@ def chromosome_of(path: Column) -> Column:
     return F.regexp_extract(path, r".*(chr[^.]*)\.", 1)
 
 
+def pieces(s: Column, size: int) -> Column:
+    """Consecutive pieces of `size` letters, the last maybe shorter; one pass over the string, where a substring for
+    each piece would count letters from the start every time."""
+    return F.filter(F.split(s, rf"(?s)(?<=\G.{{{size}}})"), lambda x: x != "")
+
+
 def kmers(seqs: DataFrame, k: int) -> DataFrame:
     """(id, start, kmer): every substring of length k of each sequence (id, seq), from 1."""
-    d = seqs.where(F.length("seq") >= k).select("id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("start"))
-    return d.select("id", "start", F.substring("seq", F.col("start"), F.lit(k)).alias("kmer"))
+    size = max(256, k)
+    d = seqs.where(F.length("seq") >= k).select("id", pieces(F.col("seq"), size).alias("p"))
+    d = d.select("id", F.posexplode(F.transform("p", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("p", i + 1), 1, k - 1), F.lit(""))))).alias("n", "s"))
+    d = d.where(F.length("s") >= k).select("id", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.length("s") - k + 1, F.lit(size)))).alias("j"))
+    return d.select("id", (F.col("n") * size + F.col("j")).alias("start"), F.substring("s", F.col("j"), F.lit(k)).alias("kmer"))
 
 
 def mask_same_columns(strings: DataFrame, by: str, order: str, s: str) -> DataFrame:

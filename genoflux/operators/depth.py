@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from genoflux.functions.sequence import pieces
+
 from .intervals import BIN
 
 
@@ -55,9 +57,7 @@ def gc_bin(gc: Column, at: Column, bins: int = 50) -> Column:
 
 def gc_windows(seqs: DataFrame, size: int = 500, bins: int = 50) -> DataFrame:
     """(id, win, len, gc, at, bin) of consecutive windows of each sequence (id, seq); the last may be shorter."""
-    n = F.ceil(F.length("seq") / size).cast("int")
-    d = seqs.where(F.length("seq") > 0).select("id", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("win"))
-    d = d.select("id", "win", F.substring("seq", F.col("win") * size + 1, F.lit(size)).alias("s"))
+    d = seqs.select("id", F.posexplode(pieces(F.col("seq"), size)).alias("win", "s"))
     d = d.select("id", "win", F.length("s").alias("len"), count_letters(F.col("s"), "gcGC").alias("gc"), count_letters(F.col("s"), "atAT").alias("at"))
     return d.withColumn("bin", gc_bin(F.col("gc"), F.col("at"), bins))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from genoflux.functions.sequence import kmers, pieces
+
 
 def _fields(df: DataFrame) -> DataFrame:
     return df.withColumn("f", F.split(F.trim("value"), r"\s+"))
@@ -66,15 +68,16 @@ def fasta_length(spark: SparkSession, path: str) -> DataFrame:
 
 def chunk_sequence(seqs: DataFrame, size: int = 1 << 20, overlap: int = 0) -> DataFrame:
     """(name, chunk, start, seq): pieces of a sequence, from 1, each with `overlap` letters of the next."""
-    n = F.greatest(F.ceil(F.length("seq") / size).cast("int"), F.lit(1))
-    d = seqs.select("name", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-    return d.select("name", "chunk", (F.col("chunk") * size + 1).alias("start"), F.substring("seq", F.col("chunk") * size + 1, F.lit(size + overlap)).alias("seq"))
+    d = seqs.select("name", pieces(F.col("seq"), size).alias("p"))
+    more = lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("p", i + 1), 1, overlap), F.lit("")))
+    d = d.select("name", F.posexplode(F.transform("p", more)).alias("chunk", "seq"))
+    return d.select("name", "chunk", (F.col("chunk") * size + 1).alias("start"), "seq")
 
 
 def tile_fasta(seqs: DataFrame, start: int, end: int, size: int) -> DataFrame:
     """(value): FASTA records SIM_LOC<i> of every substring of `size` letters that starts in start..end, from 0."""
-    d = seqs.select("seq", F.explode(F.sequence(F.lit(start), F.least(F.lit(end), F.length("seq") - size))).alias("i")).where("i >= 0")
-    return d.select("i", F.concat(F.lit(">SIM_LOC"), "i", F.lit("\n"), F.substring("seq", F.col("i") + 1, F.lit(size))).alias("value"))
+    d = kmers(seqs.select(F.lit(0).alias("id"), "seq"), size).withColumn("i", F.col("start") - 1).where(F.col("i").between(start, end))
+    return d.select("i", F.concat(F.lit(">SIM_LOC"), "i", F.lit("\n"), "kmer").alias("value"))
 
 
 def read_axt(spark: SparkSession, path: str | list[str], least: int = 100) -> DataFrame:
@@ -113,6 +116,12 @@ def graph_lines(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def problem_lines(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(value): NODE lines of nodes (id) and ARC lines of arcs (from, to, hits, len, lam), as the flow stage takes them."""
+    arc = arcs.select(F.concat_ws(" ", F.lit("ARC"), *(F.col(c).cast("string") for c in ("from", "to", "hits", "len", "lam"))).alias("value"))
+    return nodes.select(F.concat_ws(" ", F.lit("NODE"), F.col("id").cast("string"), F.lit("0")).alias("value")).unionByName(arc)
+
+
 def read_dimacs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(arcs, supply) of a minimum-cost flow problem: `a tail head low cap cost` and `n node excess` lines."""
     d = _fields(spark.read.text(path)).withColumn("at", F.monotonically_increasing_id())

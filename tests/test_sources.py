@@ -53,6 +53,11 @@ def test_graph_and_flow_files(spark, tmp_path):
     assert text.read_flows(spark, put(tmp_path / "s", "s 15\nf 1 2 5\n")).first() == (1, 2, 5)
 
 
+def test_problem_lines(spark):
+    arcs = spark.createDataFrame([(1, -2, 2.5, 100, 0.5)], "from long, to long, hits double, len long, lam double")
+    assert sorted(r.value for r in text.problem_lines(spark.range(1, 2), arcs).collect()) == ["ARC 1 -2 2.5 100 0.5", "NODE 1 0"]
+
+
 def test_binary(spark, tmp_path):
     p = put(tmp_path / "a", struct.pack("<3d", 1.5, -1.0, 2.0), "wb")
     assert [tuple(r) for r in binary.read_records(spark, p, "double", -1.0).orderBy("pos").collect()] == [(1, 1.5), (2, None), (3, 2.0)]
