@@ -11,6 +11,8 @@ from pyspark.sql.window import Window as W
 
 from genoflux.shipping import ship
 
+from .intervals import locate, merge
+
 NO_LINK = 10_000_000
 
 
@@ -40,22 +42,23 @@ def leader_clusters(pairs: DataFrame, mean: float, sd: float, tol: float = 6, fa
     """pairs (chr, type, left_pos, right_pos, dist, template) with cluster: the number of its leader in its group.
 
     A group is a chromosome and type, cut wherever consecutive rows are further apart than a leader reaches, so
-    that tasks are as small as the data allow.
+    that tasks are as small as the data allow; part is where its first row lies.
     """
     reach = mean + factor * sd
     main = F.when(F.col("type").isin(0, 2), F.col("left_pos")).otherwise(F.col("right_pos"))
     d = pairs.withColumn("_main", main).withColumn("_sec", F.when(F.col("type").isin(0, 2), F.col("right_pos")).otherwise(F.col("left_pos")))
-    w = W.partitionBy("chr", "type").orderBy("_main", "_sec", "dist", "template")
-    cut = F.coalesce(F.col("_main") - F.lag("_main").over(w) > reach, F.lit(True)).cast("int")
-    d = d.withColumn("_cut", cut).withColumn("part", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    d = d.withColumn("_chr", F.col("chr")).withColumn("chr", F.concat_ws("\t", "chr", "type")).withColumn("pos", F.col("_main").cast("bigint"))
+    parts = merge(d.select("chr", F.col("pos").alias("start"), (F.col("pos") + int(reach)).alias("end")))
+    d = locate(d, parts.select("chr", "start", F.col("start").alias("id"))).withColumn("chr", F.col("_chr")).withColumn("part", F.col("seg_id"))
+    d = d.drop("_chr", "pos", "seg_start", "seg_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(["_main", "_sec", "dist", "template"], kind="stable")
         lead = leaders(list(zip(p["_main"], p["_sec"], p["dist"])), int(p["type"].iloc[0]), reach, tol * sd)
-        return p.assign(cluster=lead).drop(columns=["_main", "_sec", "_cut"])
+        return p.assign(cluster=lead).drop(columns=["_main", "_sec"])
 
     ship(pairs.sparkSession)
-    fields = ", ".join(f"{n} {t}" for n, t in d.drop("_main", "_sec", "_cut").dtypes)
+    fields = ", ".join(f"{n} {t}" for n, t in d.drop("_main", "_sec").dtypes)
     return d.groupBy("chr", "type", "part").applyInPandas(run, f"{fields}, cluster long")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from genoflux.scratch import materialise
 from genoflux.shipping import ship
 
 from .intervals import gaps, locate, merge
@@ -16,7 +17,7 @@ from .intervals import gaps, locate, merge
 
 def fill_gaps(edges: DataFrame, lengths: DataFrame) -> DataFrame:
     """(chr, start, end, kind): merged edge intervals and what lies between, before and after them, up to lengths (chr, length)."""
-    m = merge(edges, 0)
+    m = materialise(merge(edges, 0), "merged")  # used four times
     gap = gaps(m, 1, lengths.select("chr", F.col("length").alias("last"))).withColumn("kind", F.lit("gap"))
     return m.withColumn("kind", F.lit("edge")).unionByName(gap)
 

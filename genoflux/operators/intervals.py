@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from genoflux.scratch import materialise
+
 #: Width of a bin, of positions.
 BIN = 1 << 14
 
@@ -83,7 +85,7 @@ def gaps(merged: DataFrame, first: int, last: DataFrame | int) -> DataFrame:
 
 def complement(df: DataFrame, length: int) -> DataFrame:
     """(chr, start, end): maximal closed runs of 0..length-1 outside the intervals, on chromosomes that have some."""
-    return gaps(merge(df, 1), 0, length - 1)
+    return gaps(materialise(merge(df, 1), "merged"), 0, length - 1)
 
 
 def _bins(start: Column, end: Column, width: int) -> Column:
@@ -197,15 +199,17 @@ def contained_links(regions: DataFrame, links: DataFrame, slack: int = 3000, key
 def locate(points: DataFrame, segments: DataFrame, width: int = BIN) -> DataFrame:
     """points (chr, pos, ...) with seg_start and seg_id of the last segment (chr, start, id) that starts at or before pos; null if none.
 
-    Segments are dealt to bins; each bin also knows the last segment before it, so that a point looks into one bin only.
+    Points and segments are put in order inside bins, and each point takes the last segment before it. A bin
+    with points also holds the last segment of the bins before, so that no bin needs another. Of segments with one start the largest id counts.
     """
-    b = F.floor(F.col("start") / width)
-    last = segments.groupBy("chr", b.alias("bin")).agg(F.max(F.struct("start", "id")).alias("last"))
-    ends = points.select("chr", F.floor(F.col("pos") / width).alias("bin")).distinct().withColumn("last", F.lit(None).cast(last.schema["last"].dataType))
-    every = last.unionByName(ends).groupBy("chr", "bin").agg(F.max("last").alias("last"))
-    w = W.partitionBy("chr").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    carried = every.select("chr", "bin", F.last("last", ignorenulls=True).over(w).alias("_seg")).where("_seg is not null")
-    near = segments.select("chr", b.alias("bin"), F.struct("start", "id").alias("_seg")).unionByName(carried)
-    p = points.withColumn("bin", F.floor(F.col("pos") / width)).withColumn("_row", F.struct(*points.columns))
-    got = p.join(near, ["chr", "bin"], "left").groupBy("chr", "bin", "_row").agg(F.max(F.when(F.col("_seg.start") <= F.col("_row.pos"), F.col("_seg"))).alias("_seg"))
-    return got.select("_row.*", F.col("_seg.start").alias("seg_start"), F.col("_seg.id").alias("seg_id"))
+    seg = F.struct(F.col("start").cast("bigint").alias("start"), F.col("id").alias("id"))
+    s = segments.select("chr", F.floor(F.col("start") / width).alias("_bin"), seg.alias("_seg"))
+    p = points.select("chr", F.floor(F.col("pos") / width).alias("_bin"), F.struct(*points.columns).alias("_row"))
+    last = s.groupBy("chr", "_bin").agg(F.max("_seg").alias("_last"))
+    every = last.unionByName(p.select("chr", "_bin").distinct(), allowMissingColumns=True).groupBy("chr", "_bin").agg(F.max("_last").alias("_last"))
+    w = W.partitionBy("chr").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    carried = every.select("chr", "_bin", F.last("_last", ignorenulls=True).over(w).alias("_seg")).where("_seg is not null")
+    both = s.unionByName(carried).unionByName(p, allowMissingColumns=True)
+    w = W.partitionBy("chr", "_bin").orderBy(F.coalesce("_seg.start", "_row.pos"), F.col("_row").isNotNull(), "_seg.id").rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("_seg", F.last("_seg", ignorenulls=True).over(w)).where("_row is not null")
+    return both.select("_row.*", F.col("_seg.start").alias("seg_start"), F.col("_seg.id").alias("seg_id"))

@@ -15,6 +15,7 @@ from genoflux.operators import graph as gr
 from genoflux.operators import intervals as iv
 from genoflux.operators import reads as rd
 from genoflux.operators import report as rp
+from genoflux.scratch import materialise
 
 from . import views as v
 
@@ -346,7 +347,7 @@ def cut_at_links(s, sf):
 def _occurrences(s, sf):
     m = iv.merge(v.breaks(s, sf).select("chr", "start", "end"))
     every = gr.dense_ids(gr.fill_gaps(m, m.groupBy("chr").agg((F.max("end") + 100_000).alias("length"))).select("chr", "start", "end"), ["chr", "start"], "edge_id")
-    return every.withColumn("strand", F.when(F.col("edge_id") % 3 == 0, "-").otherwise("+"))
+    return materialise(every.withColumn("strand", F.when(F.col("edge_id") % 3 == 0, "-").otherwise("+")), "occurrences")
 
 
 @query()

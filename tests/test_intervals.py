@@ -82,6 +82,7 @@ def test_screen_and_locate(spark):
     assert {r.id for r in iv.screen_links(links, breaks, 100).collect()} == {3}
     seg = frame(spark, [("c", 5, 1), ("c", 50_000, 2)], "chr string, start long, id long")
     pts = frame(spark, [("c", 4), ("c", 5), ("c", 49_999), ("c", 50_000), ("c", 10**6)], "chr string, pos long")
+    assert iv.locate(pts.unionByName(pts), seg).count() == 2 * pts.count()
     assert rows(iv.locate(pts, seg).select("pos", "seg_id")) == sorted([(4, None), (5, 1), (49_999, 1), (50_000, 2), (10**6, 2)])
 
 
