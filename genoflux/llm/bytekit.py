@@ -7,6 +7,8 @@ use wide enough fingerprints.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +63,13 @@ def binary_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - (off[0] if len(off) else 0)
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back, as workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(Exception):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Consecutive runs of documents of about `most` bytes each; a longer document is a run of its own."""
     i, n = 0, len(off) - 1

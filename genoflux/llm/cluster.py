@@ -2,53 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from genoflux.shipping import ship  # noqa: F401
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_made: list[tuple[SparkSession, str]] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="genoflux-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: cuts the lineage, survives lost executors,
-    and lets Spark drop the shuffle files of the job that made it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = None
-    with contextlib.suppress(Exception):
-        before = spark.conf.get(_CLEANUP)
-        spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is not None:
-            spark.conf.set(_CLEANUP, before)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _sweep() -> None:
-    """Scratch tables go with the application; results that are still to be read must not lose them earlier."""
-    for spark, path in _made:
-        with contextlib.suppress(Exception):
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+from genoflux import shipping
+from genoflux.scratch import materialise, scratch_dir  # noqa: F401
+
+
+
+_BATCH, _DEFAULT, _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, and have them get whole texts in smaller batches than Spark's default, unless the session says otherwise."""
+    shipping.ship(spark)
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, _ROWS)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import materialise, read
-from .page_lines import host_lines, normal_lines
+from .page_lines import host_lines, normal_lines, once
 
 #: Share of a host's pages above which a line is boilerplate, and pages that it must be on at least.
 RATIO, LEAST_PAGES = 0.05, 10
@@ -41,15 +41,15 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_P
         often = F.broadcast(often)
     d = docs.drop("n_lines", "n_dropped").join(often, docs["source"] == often["_host"], "left").drop("_host")
     has = F.size("_often") > 0
-    d = d.withColumn("_hash", F.when(has, F.transform(normal_lines(F.col("text")), lambda x: F.when(x != "", F.xxhash64(x)))))
-    d = d.withColumn("_gone", F.when(has, F.array_intersect("_hash", "_often")))
+    d = once(d, F.when(has, F.transform(normal_lines(F.col("text")), lambda x: F.when(x != "", F.xxhash64(x)))).alias("_hash"))
+    d = once(d, F.when(has, F.array_intersect("_hash", "_often")).alias("_gone"))
     some = F.coalesce(F.size("_gone") > 0, F.lit(False))
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.coalesce(F.array_contains("_gone", F.col("_hash")[i]), F.lit(False)))
     gone = F.filter("_hash", lambda x: F.array_contains("_gone", x))
-    d = d.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"))
-    d = d.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-    d = d.withColumn("n_dropped", F.when(some, F.size(gone)).otherwise(F.lit(0)).cast("long"))
-    d = d.withColumn("text", F.when(some, F.array_join(kept, "\n")).otherwise(F.col("text")))
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    new = F.when(some, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    out = (new.alias("_new"), n_lines.cast("long").alias("n_lines"), F.when(some, F.size(gone)).otherwise(F.lit(0)).cast("long").alias("n_dropped"))
+    d = once(d, *out).withColumn("text", F.col("_new"))
     return d.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
 
 

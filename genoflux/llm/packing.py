@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytekit import release
 from .cluster import read, ship
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -101,6 +102,7 @@ def _encode(tokenizer: str, end: int):
         for b in batches:
             ids = [np.append(x, np.uint32(end)).astype("<u4").tobytes() for x in enc.encode(b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["group", "doc_id", "ids"])
+        release()
 
     return run
 

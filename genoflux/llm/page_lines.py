@@ -21,6 +21,12 @@ def normal_lines(text: Column) -> Column:
     return F.split(F.regexp_replace(flat, r"(?m)^ | $", ""), "\n")
 
 
+def once(df: DataFrame, *cols: Column) -> DataFrame:
+    """df with named columns that are computed once a row: a generator of one row, through which the optimiser neither
+    pushes filters nor merges projections that would repeat the work."""
+    return df.select("*", F.inline(F.array(F.struct(*cols))))
+
+
 def host_lines(pages: DataFrame) -> DataFrame:
     """(host, line, pages): in how many different pages (host, page, hashes) of its host a line's hash occurs.
 

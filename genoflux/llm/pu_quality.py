@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytekit import U64, Words, binary_parts, mix, slices
+from .bytekit import U64, Words, binary_parts, mix, release, slices
 from .cluster import read, ship
 
 #: Rows of either kind that a fit uses at most, on average: rows are taken by a hash of their id.
 MOST_ROWS = 12_000
 #: Bytes of text whose features are made at once.
-BATCH = 4 << 20
+BATCH = 1 << 20
 FOLDS, CUT = 5, 0.3
 
 _KINDS = np.zeros((8, 256), np.uint8)
@@ -81,6 +81,7 @@ def _feature_rows(batches):
         x = np.concatenate([features(buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off, BATCH)] or [np.zeros((0, FEATURES))])
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel()))
         yield pa.RecordBatch.from_arrays([b.column(0), lists], ["kind", "x"])
+    release()
 
 
 class Model:
@@ -169,12 +170,13 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model |
     return fit(x[kind == 1], x[kind == 0], prior)
 
 
-def _scores(model: Model | None, at: int):
+def _scores(model: Model | None, keep: list[str]):
     def run(batches):
         for b in batches:
-            buf, off = binary_parts(b.column(at))
+            buf, off = binary_parts(b.column(b.schema.get_field_index("text")))
             s = np.concatenate([model.score(features(buf[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in slices(off, BATCH)] or [np.zeros(0)]) if model else np.full(b.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k != at), pa.array(s)], [*(n for k, n in enumerate(b.schema.names) if k != at), "_score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in keep), pa.array(s)], [*keep, "_score"])
+        release()
 
     return run
 
@@ -185,9 +187,9 @@ def score_documents(docs: DataFrame, model: Model | None, keep: list[str]) -> Da
     Without a model (no good label to learn from) every score is 0.5. Repeated rows get equal scores.
     """
     ship(docs.sparkSession)
-    d = docs.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
+    d = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = T.StructType([d.schema[c] for c in keep] + [T.StructField("_score", T.DoubleType())])
-    return d.mapInArrow(_scores(model, len(keep)), schema)
+    return d.mapInArrow(_scores(model, keep), schema)
 
 
 def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

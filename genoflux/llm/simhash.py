@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytekit import U64, binary_parts
+from .bytekit import U64, binary_parts, release
 from .cluster import materialise, read, ship
 from .components import components
 
@@ -50,6 +50,7 @@ def _fingerprints(words: int):
             raw, off = buf.tobytes(), off.tolist()
             f = np.fromiter((fingerprint(raw[i:j], words, xxhash.xxh64_intdigest) for i, j in zip(off[:-1], off[1:])), np.uint64, len(off) - 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64))], ["doc_id", "fp"])
+        release()
 
     return run
 

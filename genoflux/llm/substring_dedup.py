@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytekit import U64, Words, binary_parts, from_planes, mix, planes, slices
+from .bytekit import U64, Words, binary_parts, from_planes, mix, planes, release, slices
 from .cluster import materialise, read, ship
 
 #: Bytes of text that are hashed together, and that a bucket of hashes stands for.
-BATCH, BUCKET = 2 << 20, 5 << 20
+BATCH, BUCKET = 1 << 20, 5 << 20
 #: In place of a null doc_id: the smallest.
 NO_ID = -(2**63)
 _ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("n", pa.int32()), ("body", pa.binary())])
@@ -35,6 +35,7 @@ def _runs(batches, columns):
         ids = b.column(columns.index("doc_id")).to_numpy(zero_copy_only=False)
         for i, j in slices(off, BATCH):
             yield ids[i:j], Words(buf[off[i] : off[j]], off[i : j + 1] - off[i]), b, i, j
+    release()
 
 
 def _by_block(blocks: int, ids: np.ndarray, pos: np.ndarray):
