@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .bytekit import U64, mix
 from .cluster import materialise, parts, read, ship
 
 TABLES, PROBES, BLOCK = 10, 24, 4096
@@ -112,9 +113,19 @@ def _best(q: np.ndarray, m: np.ndarray, score: np.ndarray, top: int):
 
 
 _PAIRS = "q long, m long, score double"
+_BLOCKS = "part int, n int, body binary"
 
 
-def _meet(top: int):
+def _packed(deal: int, q: np.ndarray, m: np.ndarray, score: np.ndarray) -> pa.Table:
+    """Pairs as columns of bytes, dealt by query to `deal` parts: a row for each part, not for each pair."""
+    part = (mix(q.astype(np.int64).view(np.uint64)) % U64(deal)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    cuts = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
+    body = [q[c].astype("<i8").tobytes() + m[c].astype("<i8").tobytes() + score[c].astype("<f8").tobytes() for c in cuts]
+    return pa.table({"part": pa.array([int(part[c[0]]) for c in cuts], pa.int32()), "n": pa.array([len(c) for c in cuts], pa.int32()), "body": pa.array(body, pa.binary())})
+
+
+def _meet(top: int, deal: int):
     def run(table):
         kind = table.column("kind").to_numpy()
         vid = table.column("vid").to_numpy()
@@ -131,15 +142,20 @@ def _meet(top: int):
                 qs.append(vid[q[i + a]])
                 ms.append(vid[m[z]])
                 ss.append(exact(xq[i + a], xm[z]))
-        q, m, s = _best(np.concatenate(qs), np.concatenate(ms), np.concatenate(ss), top) if qs else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"q": pa.array(q, pa.int64()), "m": pa.array(m, pa.int64()), "score": pa.array(s, pa.float64())})
+        none = np.zeros(0, np.int64)
+        return _packed(deal, *(_best(np.concatenate(qs), np.concatenate(ms), np.concatenate(ss), top) if qs else (none, none, np.zeros(0))))
 
     return run
 
 
 def _merge(top: int):
     def run(table):
-        q, m, s = _best(table.column("q").to_numpy(), table.column("m").to_numpy(), table.column("score").to_numpy(), top)
+        cols = [[np.zeros(0, t)] for t in ("<i8", "<i8", "<f8")]
+        for n, cell in zip(table.column("n").to_pylist(), table.column("body")):
+            raw = cell.as_buffer()
+            for k, c in enumerate(cols):
+                c.append(np.frombuffer(raw, c[0].dtype, n, 8 * n * k))
+        q, m, s = _best(*(np.concatenate(c) for c in cols), top)
         return pa.table({"q": pa.array(q, pa.int64()), "m": pa.array(m, pa.int64()), "score": pa.array(s, pa.float64())})
 
     return run
@@ -182,8 +198,8 @@ def search(vectors: DataFrame, query: str, top: int = 20, tables: int = TABLES,
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.col("qb")).otherwise(F.col("mb")) - 1))
     blocked = blocked.withColumn("own", own).withColumn("other", other)
     blocked = blocked.select(*key, F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("other")).alias("mb"), F.when(F.col("kind") == 0, F.col("other")).otherwise(F.col("own")).alias("qb"), "kind", "vid", "v")
-    pairs = blocked.groupBy(*key, "mb", "qb").applyInArrow(_meet(top + 1), _PAIRS)
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(16 * parts(spark))))
+    asked_for = nodes.where("q").count()
+    pairs = blocked.groupBy(*key, "mb", "qb").applyInArrow(_meet(top + 1, max(parts(spark), asked_for // 64)), _BLOCKS)
     best = pairs.groupBy("part").applyInArrow(_merge(top + 1), _PAIRS)
     # from vectors to rows: the first top + 1 ids of each asked vector, of which a query leaves itself out
     found = best.join(nodes.select(F.col("vid").alias("m"), "ids"), "m").select("q", "score", F.explode("ids").alias("vec_id"))
