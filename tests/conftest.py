@@ -26,5 +26,3 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     return s
 
-
-DATA = Path("/root/testdata/sf0.001")
