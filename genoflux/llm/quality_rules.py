@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import materialise, read
-from .page_lines import SPACES, host_lines, normal_lines
+from .page_lines import SPACES, host_lines, normal_lines, once
 
 #: Different documents of a host that a line may be in; share of its words that a document must keep.
 LIMIT, LEAST_LEFT = 500, 0.3
@@ -50,16 +50,17 @@ def covered(w: str) -> Column:
 def base_rules(docs: DataFrame) -> DataFrame:
     """(doc_id, source, page, hashes, sizes, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of every row."""
     text = F.coalesce(docs["text"], F.lit(""))
-    d = docs.select(docs["doc_id"], docs["source"], text.alias("text"), words(text).alias("w"))
+    d = docs.select(docs["doc_id"], docs["source"], text.alias("text"))
     filled = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    d = d.withColumn("lines", filled)
+    plain = F.filter(normal_lines(F.col("text")), lambda x: x != "")
+    d = once(d, words(F.col("text")).alias("w"), filled.alias("lines"), plain.alias("plain"))
     bare = F.array_join("w", "")
     return d.select(
         "doc_id",
         "source",
         F.xxhash64("text").alias("page"),
-        F.transform(F.filter(normal_lines(F.col("text")), lambda x: x != ""), lambda x: F.xxhash64(x)).alias("hashes"),
-        F.transform(F.filter(normal_lines(F.col("text")), lambda x: x != ""), lambda x: F.size(F.split(x, " "))).alias("sizes"),
+        F.transform("plain", lambda x: F.xxhash64(x)).alias("hashes"),
+        F.transform("plain", lambda x: F.size(F.split(x, " "))).alias("sizes"),
         F.size("w").cast("long").alias("n_words"),
         F.length(bare).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
