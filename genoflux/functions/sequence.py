@@ -72,7 +72,8 @@ def kmers(seqs: DataFrame, k: int) -> DataFrame:
     size = max(256, k)
     d = seqs.where(F.length("seq") >= k).select("id", pieces(F.col("seq"), size).alias("p"))
     d = d.select("id", F.posexplode(F.transform("p", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("p", i + 1), 1, k - 1), F.lit(""))))).alias("n", "s"))
-    d = d.where(F.length("s") >= k).select("id", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.length("s") - k + 1, F.lit(size)))).alias("j"))
+    # the k-mers are k times the text, and a sequence may be one row: deal the pieces out before they grow
+    d = d.where(F.length("s") >= k).repartition("id", "n").select("id", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.length("s") - k + 1, F.lit(size)))).alias("j"))
     return d.select("id", (F.col("n") * size + F.col("j")).alias("start"), F.substring("s", F.col("j"), F.lit(k)).alias("kmer"))
 
 
