@@ -3,10 +3,15 @@
 A table rotates vectors by three rounds of random signs and a fast Hadamard transform and assigns each to the
 nearest signed axis. A query looks at the members of its nearest axes in every table. Members and queries of an
 axis meet in blocks of bounded size, by a matrix product, and the best of each query are merged.
+
+Members are hashed apart by length of vector and by norm, in powers of two, so that a few long ones don't push the others
+onto one axis. Classes too small to hash meet every query, and so does the whole table with queries that found too few.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +22,8 @@ from .bytekit import U64, mix
 from .cluster import materialise, parts, read, ship
 
 TABLES, PROBES, BLOCK = 10, 24, 4096
+#: Members up to which a norm class is searched exactly.
+SMALL = 4096
 
 
 def hadamard(a: np.ndarray) -> np.ndarray:
@@ -65,32 +72,41 @@ def _matrix(col) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _hash(longest: float, tables: int, probes: int):
-    """Members' axes (kind 0) and queries' probes (kind 1) of each vector."""
-    names = ["dim", "tab", "axis", "kind", "vid", "v"]
+def _hash(longest: dict[tuple[int, int], float], small: set[int], tables: int, probes: int):
+    """Members' axes (kind 0) and queries' probes (kind 1) of each vector, in each class (length, norm class) of `longest`;
+    members of other classes meet all queries of their length, those in `small`, in table -1."""
+    names = [*_KEY, "kind", "vid", "v"]
+
+    def rows_of(b, dim: int, cls: int, tab: int, ax: np.ndarray, kind: int, r: np.ndarray):
+        k, n = ax.shape[1], ax.size
+        same = [pa.array(np.full(n, x, np.int32)) for x in (dim, cls, tab)]
+        vid = b.column(0).to_numpy()
+        return pa.RecordBatch.from_arrays([*same, pa.array(ax.ravel().astype(np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(np.repeat(vid[r], k)), b.column(3).take(pa.array(np.repeat(r, k)))], names)
 
     def run(batches):
         for b in batches:
-            vid, query = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-            for rows, x in _matrix(b.column(2)):
-                for query_side in (False, True):
-                    r = rows[query[rows]] if query_side else rows
-                    v = x[query[rows]] if query_side else x
-                    if not len(r):
+            query, of = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+            for rows, x in _matrix(b.column(3)):
+                dim = x.shape[1]
+                for c in np.unique(of[rows]).tolist():
+                    at = of[rows] == c
+                    if (dim, c) not in longest:
+                        yield rows_of(b, dim, 0, -1, np.zeros((int(at.sum()), 1), np.int32), 0, rows[at])
                         continue
-                    up = lifted(v, longest, query_side)
+                    up = lifted(x[at], longest[dim, c], False)
                     for t in range(tables):
-                        ax = axes(up, t, probes if query_side else 1)
-                        k = ax.shape[1]
-                        n = ax.size
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(n, x.shape[1], np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(ax.ravel().astype(np.int32)),
-                                pa.array(np.full(n, int(query_side), np.int32)), pa.array(np.repeat(vid[r], k)),
-                                b.column(2).take(pa.array(np.repeat(r, k))),
-                            ],
-                            names,
-                        )
+                        yield rows_of(b, dim, c, t, axes(up, t, 1), 0, rows[at])
+                ask = rows[query[rows]]
+                if not len(ask):
+                    continue
+                if dim in small:
+                    yield rows_of(b, dim, 0, -1, np.zeros((len(ask), 1), np.int32), 1, ask)
+                classes = [c for d, c in longest if d == dim]
+                up = lifted(x[query[rows]], 1.0, True) if classes else None
+                for t in range(tables if classes else 0):
+                    ax = axes(up, t, probes)
+                    for c in classes:
+                        yield rows_of(b, dim, c, t, ax, 1, ask)
 
     return run
 
@@ -112,6 +128,7 @@ def _best(q: np.ndarray, m: np.ndarray, score: np.ndarray, top: int):
     return q[keep], m[keep], score[keep]
 
 
+_KEY = ["dim", "cls", "tab", "axis"]
 _PAIRS = "q long, m long, score double"
 _BLOCKS = "part int, n int, body binary"
 
@@ -166,6 +183,19 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(ok)
 
 
+def _nearest(rows: DataFrame, top: int, deal: int) -> DataFrame:
+    """(q, m, score): the best `top` members (kind 0) of each query (kind 1) among those that it shares a key with."""
+    # blocks by counts: at most a row for each signed axis of each table and class
+    sizes = rows.groupBy(*_KEY).agg(*(F.greatest(F.lit(1), F.ceil(F.sum((F.col("kind") == k).cast("long")) / BLOCK)).cast("int").alias(n) for k, n in ((0, "mb"), (1, "qb"))))
+    blocked = rows.join(F.broadcast(sizes), _KEY)
+    own = F.pmod(F.xxhash64("vid"), F.when(F.col("kind") == 0, F.col("mb")).otherwise(F.col("qb"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.col("qb")).otherwise(F.col("mb")) - 1))
+    blocked = blocked.withColumn("own", own).withColumn("other", other)
+    blocked = blocked.select(*_KEY, F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("other")).alias("mb"), F.when(F.col("kind") == 0, F.col("other")).otherwise(F.col("own")).alias("qb"), "kind", "vid", "v")
+    pairs = blocked.groupBy(*_KEY, "mb", "qb").applyInArrow(_meet(top, deal), _BLOCKS)
+    return pairs.groupBy("part").applyInArrow(_merge(top), _PAIRS)
+
+
 def search(vectors: DataFrame, query: str, top: int = 20, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found to each row of vectors (vec_id, embedding) for which `query` holds.
 
@@ -185,22 +215,37 @@ def search(vectors: DataFrame, query: str, top: int = 20, tables: int = TABLES,
     few = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     asked = v.groupBy("embedding").agg(F.max("q").alias("q"))
     nodes = few.join(asked, "embedding").select(F.col("ids")[0].alias("vid"), "q", F.col("embedding").alias("v"), "ids")
+    size = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / F.col("size"), F.lit(2.0)))
+    nodes = nodes.withColumn("size", size).withColumn("norm", F.col("size") * F.sqrt(square)).drop("size")
+    # 1 is in the middle of its class: unit vectors stay together whatever their rounding
+    nodes = nodes.withColumn("cls", F.floor(F.log2("norm") + 0.5).cast("int"))
     nodes = materialise(nodes, "ann-vectors")
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    longest = float(nodes.agg(F.sqrt(F.max(square))).first()[0] or 1.0)
-    hashed = nodes.select("vid", "q", "v").mapInArrow(_hash(longest, tables, probes), f"dim int, tab int, axis int, kind int, vid long, v {dict(nodes.dtypes)['v']}")
+    per_class = nodes.groupBy(F.size("v").alias("dim"), "cls").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest")).collect()
+    longest = {(r.dim, r.cls): r.longest for r in per_class if r.n > SMALL}
+    small = {r.dim for r in per_class if r.n <= SMALL}
+    vector = dict(nodes.dtypes)["v"]
+    hashed = nodes.select("vid", "q", "cls", "v").mapInArrow(_hash(longest, small, tables, probes), f"dim int, cls int, tab int, axis int, kind int, vid long, v {vector}")
     hashed = materialise(hashed, "ann-hashed")
-    # blocks by counts: at most a row for each signed axis of each table
-    key = ["dim", "tab", "axis"]
-    sizes = hashed.groupBy(*key).agg(*(F.greatest(F.lit(1), F.ceil(F.sum((F.col("kind") == k).cast("long")) / BLOCK)).cast("int").alias(n) for k, n in ((0, "mb"), (1, "qb"))))
-    blocked = hashed.join(F.broadcast(sizes), key)
-    own = F.pmod(F.xxhash64("vid"), F.when(F.col("kind") == 0, F.col("mb")).otherwise(F.col("qb"))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.col("qb")).otherwise(F.col("mb")) - 1))
-    blocked = blocked.withColumn("own", own).withColumn("other", other)
-    blocked = blocked.select(*key, F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("other")).alias("mb"), F.when(F.col("kind") == 0, F.col("other")).otherwise(F.col("own")).alias("qb"), "kind", "vid", "v")
-    asked_for = nodes.where("q").count()
-    pairs = blocked.groupBy(*key, "mb", "qb").applyInArrow(_meet(top + 1, max(parts(spark), asked_for // 64)), _BLOCKS)
-    best = pairs.groupBy("part").applyInArrow(_merge(top + 1), _PAIRS)
+    deal = max(parts(spark), nodes.where("q").count() // 64)
+    best = _nearest(hashed, top + 1, deal)
+    if longest:
+        best = materialise(best, "ann-best")
+        # a query that found fewer vectors than there are, and than it needs, meets all of its length
+        total = defaultdict(int)
+        for r in per_class:
+            total[r.dim] += r.n
+        need = spark.createDataFrame([(d, min(n, top + 1)) for d, n in total.items()], "dim int, need long")
+        asked_nodes = nodes.where("q").select(F.size("v").alias("dim"), "vid", "v").join(F.broadcast(need), "dim")
+        had = best.groupBy("q").agg(F.count(F.lit(1)).alias("had"))
+        short = asked_nodes.join(had, F.col("vid") == F.col("q"), "left").where(F.coalesce("had", F.lit(0)) < F.col("need")).select("dim", "vid", "v")
+        short = materialise(short, "ann-short")
+        if not short.isEmpty():
+            members = nodes.select(F.size("v").alias("dim"), "vid", "v").join(F.broadcast(short.select("dim").distinct()), "dim")
+            every = members.withColumn("kind", F.lit(0)).unionByName(short.withColumn("kind", F.lit(1)))
+            every = every.select("dim", *(F.lit(x).alias(c) for c, x in (("cls", 0), ("tab", -1), ("axis", 0))), "kind", "vid", "v")
+            again = _nearest(every, top + 1, deal)
+            best = best.join(short.select(F.col("vid").alias("q")), "q", "left_anti").unionByName(again)
     # from vectors to rows: the first top + 1 ids of each asked vector, of which a query leaves itself out
     found = best.join(nodes.select(F.col("vid").alias("m"), "ids"), "m").select("q", "score", F.explode("ids").alias("vec_id"))
     found = found.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= top + 1)

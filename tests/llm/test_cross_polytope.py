@@ -55,3 +55,30 @@ def test_odd_vectors(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in m.search(table(spark, rows), "vec_id % 5 = 0", 3, tables=4, probes=8).collect())
     assert got == [(0, 1, 5), (0, 2, 7), (5, 1, 0), (5, 2, 7)]
     assert m.search(table(spark, []), "vec_id % 5 = 0").count() == 0
+
+
+def recall(spark, rows, top):
+    want, got = exact(rows, top), {}
+    for r in m.search(table(spark, rows), "vec_id % 5 = 0", top).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(got.get(q, ())) == len(w) for q, w in want.items())  # no query gets fewer than there are
+    return sum(len(got[q] & {j for _, j in w}) for q, w in want.items()) / sum(map(len, want.values()))
+
+
+def test_recall_with_one_long_vector(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 10
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert recall(spark, rows, 10) == 1  # too few to hash
+    monkeypatch.setattr(m, "SMALL", 100)  # the long one is searched exactly, the others by hash
+    assert recall(spark, rows, 10) >= 0.9
+
+
+def test_queries_with_few_candidates_see_all(spark, monkeypatch):
+    monkeypatch.setattr(m, "SMALL", 0)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(5).normal(size=(60, 64)))]
+    got = {}
+    for r in m.search(table(spark, rows), "vec_id % 5 = 0", 40, tables=1, probes=1).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: [v for _, v in sorted(g)] for q, g in got.items()} == {q: [j for _, j in w] for q, w in exact(rows, 40).items()}
