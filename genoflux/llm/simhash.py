@@ -171,6 +171,19 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFra
     return out.select("doc_id", "fp", F.when(F.col("component_id") != 2**63 - 1, F.col("component_id")).alias("component_id"))
 
 
+def page_groups(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
+    """(page, component) of every different text of docs: its xxhash64 (null as empty) and one page of those that links reach.
+
+    Texts are linked as near_duplicates links documents, but doc_id plays no part, so that rows without one, or that share one, connect nothing.
+    """
+    pages = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text")
+    d = materialise(fingerprints(pages, words).distinct(), "simhash-pages")
+    fps = materialise(d.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    groups = components(materialise(near_links(fps, radius), "simhash-links"), 60)
+    node = fps.join(groups, fps["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    return d.join(node, "fp").select(F.col("doc_id").alias("page"), "component")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(read(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

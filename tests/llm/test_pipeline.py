@@ -73,3 +73,20 @@ def test_stages(spark):
         assert zlib.crc32(struct.pack(f"<{len(part)}I", *part)) == x.ids_crc32 and x.doc_tokens == len(ids[x.doc_id])
     assert {i: sum(x.length for x in v) for i, v in pieces.items()} == {i: len(v) for i, v in ids.items()}
     assert max(seen.values()) <= 4096
+
+
+def test_rows_without_own_ids_are_documents(spark):
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(f"w{k}" for k in rng.integers(0, 5000, 120))
+    x, y, passage = text(), text(), " ".join(f"p{k}" for k in range(30))
+    own = [text() for _ in range(6)]
+    # 5 and 9 have a copy each among the rows without id; the others of those and of id 7 are clean
+    given = [(5, x), (9, y), (None, x), (None, y), *((None, t) for t in own[:3]), (7, own[3]), (7, own[4]), (7, own[4]), (None, own[5] + " " + passage), (None, text() + " " + passage)]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = p.materialise(p.near_copies(spark, d, ""), "test")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = sorted({*given} - {(None, x), (None, y)}, key=key)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == want
+    out = sorted(((r.doc_id, r.text) for r in p.passages(spark, kept, "").collect()), key=key)
+    cut = [i for i, t in out if (i, t) not in want]
+    assert len(out) == len(want) and cut == [None] and sum(passage in t for _, t in out) == 1
