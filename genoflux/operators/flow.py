@@ -68,11 +68,22 @@ def cost_segments(arcs: DataFrame, baseflow: int = 2, lines: int = 10, allow_non
     return out.unionByName(free)
 
 
+def self_loops(arcs: DataFrame, arrival: float) -> DataFrame:
+    """(arc_id, flow) of the arcs (hits, len) from a node to itself: twice the count that their hits tell, one at least.
+
+    arrival: bases for each read, so that len / arrival hits are one copy; none expected: one copy.
+    """
+    some = (F.col("len") != 0) & (F.lit(arrival) != 0)
+    copies = F.when(some, half_up(F.col("hits") / (F.col("len") / F.lit(float(arrival))))).otherwise(F.lit(0))
+    return arcs.where(F.col("from") == F.col("to")).select("arc_id", (2 * F.greatest(copies, F.lit(1))).cast("bigint").alias("flow"))
+
+
 def doubled(arcs: DataFrame, nodes: int) -> DataFrame:
     """(arc_id, image, tail, head): skew-symmetric network over nodes 1..n, in which each arc has two images.
 
     Node v is the arc 2v -> 2v-1, -v the arc -2v -> -2v+1, all shifted by 2n+1. An arc (u, v) enters the
-    near side of v from the far side of u; its other image is the arc (-v, -u).
+    near side of v from the far side of u; its other image is the arc (-v, -u). Arcs from a
+    node to itself are doubled like others; to solve them in closed form take them out before (self_loops).
     """
     off = 2 * nodes + 1
     far = lambda u: F.when(u > 0, 2 * u - 1).otherwise(2 * u + 1)

@@ -89,3 +89,9 @@ def test_stretches():
     b[60] = b[61] = "N"
     assert si.stretches(a, "".join(b)) == []
     assert si.stretches("ACGT", "ACGT") == []
+
+
+def test_self_loops(spark):
+    a = spark.createDataFrame([(1, 5, 5, 30, 100), (2, 5, 6, 30, 100), (3, 6, 6, 0, 100), (4, -7, -7, 9, 0), (5, 8, 8, 25, 100)], "arc_id long, from long, to long, hits long, len long")
+    assert sorted(tuple(r) for r in fl.self_loops(a, 10.0).collect()) == [(1, 6), (3, 2), (4, 2), (5, 6)]
+    assert {r.flow for r in fl.self_loops(a, 0.0).collect()} == {2}
