@@ -78,3 +78,10 @@ def test_native_plans(spark):
     for d in (qr.judge(odd.docs(spark)), ld.drop_boilerplate(odd.docs(spark))):
         plan = d._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_quality_rules_at_their_own_limit(spark):
+    line = " ".join(f"b{k}" for k in range(60))
+    rows = [(i, f"{line}\nown{i}", "en", "large" if i < 501 else "small", 1) for i in range(1001)]  # 501 and 500 texts
+    got = {(r.doc_id < 501, r.n_words, r.n_left_words, r.base_failed, r.kept) for r in qr.judge(odd.docs(spark, rows)).collect()}
+    assert got == {(True, 61, 1, False, False), (False, 61, 61, False, True)}
