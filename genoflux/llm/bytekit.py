@@ -1,8 +1,8 @@
 """Vectorised kernels over the UTF-8 bytes of a batch of texts: words, word hashes, n-gram hashes.
 
-Everything is numpy on whole batches. Hashes are polynomials modulo 2**64 over random byte values,
-finished by a mixing step; callers that need certainty compare the words themselves afterwards or
-use wide enough fingerprints.
+Everything is numpy on whole batches. A word's hash is a sum of random values of its bytes at their places, an n-gram's
+a tree of mixing steps, so that neither has an algebraic form that some texts could cancel out; they find candidates, and
+callers that need certainty compare digests of the words themselves afterwards.
 """
 
 from __future__ import annotations
@@ -19,20 +19,12 @@ U64 = np.uint64
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_R, _Q = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)
-_RI, _QI = U64(pow(int(_R), -1, 2**64)), U64(pow(int(_Q), -1, 2**64))
-_powers: dict[int, np.ndarray] = {}
-
-
-def _pow(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept, as batches have similar sizes."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, U64)
-        have[0] = 1
-        _powers[int(base)] = have = np.multiply.accumulate(have)
-    return have[:n]
+_PLACES = 64
+#: A random value of each byte at each of the first places of a word.
+_AT = _RNG.integers(0, 2**64, _PLACES * 256, dtype=np.uint64)
+_TREE = U64(0x9E3779B97F4A7C15)
+#: Bytes of words that are hashed at once.
+_CHUNK = 1 << 22
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,14 +34,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def _spans(v: np.ndarray, at: np.ndarray, to: np.ndarray, base: np.uint64, inverse: np.uint64) -> np.ndarray:
-    """Polynomial hash of v[at:to] for each pair, free of the position."""
-    c = np.empty(len(v) + 1, U64)
-    c[0] = 0
-    np.cumsum(v * _pow(base, len(v)), out=c[1:])
-    return (c[to] - c[at]) * _pow(inverse, len(v) + 1)[at]
-
-
 def binary_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary array (nulls: empty), without copies where possible."""
     if isinstance(col, pa.ChunkedArray):
@@ -99,12 +83,47 @@ class Words:
         self.pos = np.arange(len(self.at)) - np.repeat(self.doc_at[:-1], self.count)
 
     def hashes(self) -> np.ndarray:
-        return mix(_spans(_BYTE[self.buf], self.at, self.to, _R, _RI) + (self.to - self.at).astype(U64))
+        size = self.to - self.at
+        out = np.empty(len(size), U64)
+        for i, j in slices(np.concatenate([[0], np.cumsum(size)]), _CHUNK):
+            n = size[i:j]
+            first = np.cumsum(n) - n
+            place = np.arange(int(n.sum())) - np.repeat(first, n)
+            code = (place << 8) | self.buf[place + np.repeat(self.at[i:j], n)]
+            value = _AT[np.minimum(code, len(_AT) - 1)]
+            far = place >= _PLACES
+            if far.any():
+                value[far] = mix(code[far].astype(U64) * _TREE)
+            out[i:j] = np.add.reduceat(value, first)
+        return mix(out + size.astype(U64))
 
     def grams(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each run of n words that lies in one document."""
         fits = np.flatnonzero(self.pos + n <= np.repeat(self.count, self.count))
-        return fits, mix(_spans(hashes, fits, fits + n, _Q, _QI))
+        run, out, done, width = hashes, None, 0, 1  # run: of `width` words, out: of `done`
+        while True:
+            if n & width:
+                out = run if out is None else _join(out[: max(0, len(run) - done)], run[done:])
+                done += width
+            if 2 * width > n:
+                return fits, out[fits]
+            run = _join(run[: max(0, len(run) - width)], run[width:])
+            width *= 2
+
+    def line(self) -> tuple[bytes, np.ndarray]:
+        """All words with one space after each, and where each begins there, with the end."""
+        size = self.to - self.at + 1
+        ends = np.concatenate([[0], np.cumsum(size)])
+        out = np.full(int(ends[-1]), 32, np.uint8)
+        for i, j in slices(ends, _CHUNK):
+            n = size[i:j] - 1
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[place + np.repeat(ends[i:j], n)] = self.buf[place + np.repeat(self.at[i:j], n)]
+        return out.tobytes(), ends
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a + _TREE) + b[: len(a)])
 
 
 def planes(a: np.ndarray) -> bytes:

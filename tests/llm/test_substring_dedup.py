@@ -2,18 +2,24 @@ import random
 import re
 
 import odd
+import xxhash
 
 from genoflux.llm import bytekit
 from genoflux.llm import substring_dedup as m
 
 
+def signed(h):
+    return h - 2**64 if h >> 63 else h
+
+
 def brute(rows, window):
     seen, out = {}, []
-    for d, t in sorted(((-(2**63) if d is None else d, t or "") for d, t, *_ in rows), key=lambda x: x[0]):
+    h = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    for d, _, t in sorted((-(2**63) if d is None else d, h(t or ""), t or "") for d, t, *_ in rows):
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         mark = [False] * len(w)
         for p in range(len(w) - window + 1):
-            if seen.setdefault(tuple(w[p : p + window]), (d, p)) != (d, p):
+            if seen.setdefault(tuple(w[p : p + window]), (d, t, p)) != (d, t, p):
                 mark[p : p + window] = [True] * window
         out.append((d, len(w), sum(mark), " ".join(x for x, y in zip(w, mark) if not y)))
     return sorted(out)
@@ -24,12 +30,42 @@ def got(df):
 
 
 def test_odd_documents(spark):
-    rows = [r for r in odd.rows() if r[0] is not None]
-    assert got(m.drop_repeats(odd.docs(spark, rows))) == brute(rows, 20)
-    assert m.drop_repeats(odd.docs(spark)).count() == len(odd.rows())
+    assert got(m.drop_repeats(odd.docs(spark))) == brute(odd.rows(), 20)
     assert m.drop_repeats(odd.none(spark)).count() == 0
 
 
+def test_rows_without_or_with_shared_ids(spark):
+    own = [" ".join(f"{k}w{i}" for i in range(40)) for k in "abcdefg"]
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(None, f"{passage} x {passage} {own[0]}"), (None, own[1]), (5, f"{own[2]} {own[2]}"), (5, own[3]), (5, own[3]), (None, f"{own[4]} {passage}"), (None, own[4]), (7, f"{own[5]} {passage}"), (7, f"{passage} {own[6]}")]
+    want = brute(rows, 20)
+    assert got(m.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == want
+    kept = {t for *_, t in want}
+    assert own[1] in kept and own[3] in kept and own[2] in kept
+
+
+def test_words_that_cancel_out_in_polynomials(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(19))
+    turn = " ".join("xy"[bin(i).count("1") % 2] for i in range(20))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, turn), (4, turn.translate(str.maketrans("xy", "yx"))), (5, f"{a} {tail}")]
+    assert got(m.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 20)
+    assert [r[2] for r in brute(rows, 20)] == [0, 0, 0, 0, 20]
+
+
+def test_batches_and_buckets(spark, monkeypatch):
+    for k, v in (("LEAST", 50), ("ENTRIES", 1), ("MANY", 10), ("BUCKET", 500), ("LARGE", 1000)):
+        monkeypatch.setattr(m, k, v)
+    assert got(m.drop_repeats(odd.docs(spark))) == brute(odd.rows(), 20)
+
+
+def test_carried_columns(spark):
+    r = m.drop_repeats(odd.docs(spark), carry=["doc_id", "places", "text", "_text"])
+    assert r.columns == ["doc_id", "places", "text", "_text", "n_words", "n_removed", "kept"]
+    assert sorted((x.doc_id or 0, x.text or "", x.places) for x in r.collect()) == sorted((d or 0, t or "", "places"[:1]) for d, t, *_ in odd.rows())
+
+
 def test_random_repeats(spark, monkeypatch):
     monkeypatch.setattr(m, "BUCKET", 1000)
     rng = random.Random(9)
