@@ -9,6 +9,7 @@ certain leading bits, a fingerprint is sent once to each bucket that some of its
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from .bytekit import U64, binary_parts, release
 from .cluster import materialise, read, ship
 from .components import components
 
-#: Values that a bucket makes, and that it holds at once.
-PER_BUCKET, AT_ONCE = 1 << 21, 1 << 22
+#: Fingerprints that a bucket gets, and values that it holds at once.
+PER_BUCKET, AT_ONCE = 1 << 15, 1 << 22
 SEED = 42
 
 
@@ -79,38 +80,38 @@ def _forest(links: np.ndarray, n: int) -> np.ndarray:
     return np.array(kept, np.int64).reshape(-1, 2)
 
 
-def _meet(key_bits: int, half: int):
-    low = 64 - key_bits
+def _values(f: np.ndarray, bits: int, prefix: int, half: int):
+    """Of each fingerprint, the values at most `half` bits off that begin with the `bits` bits of prefix, and its number.
 
-    def run(key, table):
-        bucket = int(key[0].as_py())
-        f = table.column("fp").to_numpy().view(np.uint64)
-        rep = table.column("rep").to_numpy()
-        order = np.argsort(f)
-        f, rep = f[order], rep[order]
-        own = (f >> U64(low)) ^ U64(bucket)
+    More than AT_ONCE of them come in several runs, split by further leading bits: each value is made once, and equal ones in one run.
+    """
+    stack = [(bits, prefix, np.arange(len(f)))]
+    while stack:
+        bits, prefix, who = stack.pop()
+        low = 64 - bits
+        own = ((f[who] >> U64(low)) ^ U64(prefix)) if low < 64 else np.zeros(len(who), U64)
         far = np.bitwise_count(own).astype(np.int64)
-        masks = _flips(low, half)
-        upto = [np.concatenate(masks[: half - k + 1]) for k in range(half + 1)]
-        moved = f ^ (own << U64(low))
-        total = sum(int((far == k).sum()) * len(m) for k, m in enumerate(upto))
-        slots = max(1, -(-total // AT_ONCE))
+        near = far <= half
+        who, own, far = who[near], own[near], far[near]
+        counts = np.cumsum([comb(low, k) for k in range(half + 1)])
+        if len(who) > 1 and low and int(counts[half - far].sum()) > AT_ONCE:
+            stack += [(bits + 1, prefix << 1 | x, who) for x in (0, 1)]
+            continue
+        masks, moved = _flips(low, half), f[who] ^ (own << U64(low) if low < 64 else own)
+        values, makers = [], []
+        for k in range(half + 1):
+            m = np.concatenate(masks[: half - k + 1])
+            v = moved[far == k, None] ^ m[None, :]
+            values.append(v.ravel())
+            makers.append(np.broadcast_to(who[far == k, None], v.shape).ravel())
+        yield np.concatenate(values), np.concatenate(makers)
+
+
+def _meet(key_bits: int, half: int):
+    def run(key, table):
+        f = np.sort(table.column("fp").to_numpy().view(np.uint64))
         links = []
-        for slot in range(slots):
-            values, makers = [], []
-            for k, m in enumerate(upto):
-                who = np.flatnonzero(far == k)
-                step = max(1, AT_ONCE // len(m))
-                for i in range(0, len(who), step):
-                    v = moved[who[i : i + step], None] ^ m[None, :]
-                    w = np.broadcast_to(who[i : i + step, None], v.shape)
-                    if slots > 1:
-                        # the values are dealt by their own bits, so that equal ones stay together
-                        mine = ((v * U64(0x9E3779B97F4A7C15)) >> U64(40)) % U64(slots) == U64(slot)
-                        v, w = v[mine], w[mine]
-                    values.append(v.ravel())
-                    makers.append(w.ravel())
-            v, w = np.concatenate(values or [f[:0]]), np.concatenate(makers or [far[:0]])
+        for v, w in _values(f, key_bits, int(key[0].as_py()), half):
             s = np.sort(v)
             twice = np.unique(s[1:][s[1:] == s[:-1]])
             if len(twice):
@@ -125,9 +126,10 @@ def _meet(key_bits: int, half: int):
                 pair = np.unique(lead[~new] * len(f) + w[~new])
                 a, b = pair // len(f), pair % len(f)
                 near = np.bitwise_count(f[a] ^ f[b]) <= 2 * half
-                links.append(np.stack([a[near], b[near]], axis=1))
+                links.append(_forest(np.stack([a[near], b[near]], axis=1), len(f)))
         kept = _forest(np.concatenate(links), len(f)) if links else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(rep[kept[:, 0]], pa.int64()), "b": pa.array(rep[kept[:, 1]], pa.int64())})
+        f = f.view(np.int64)
+        return pa.table({"a": pa.array(f[kept[:, 0]], pa.int64()), "b": pa.array(f[kept[:, 1]], pa.int64())})
 
     return run
 
@@ -140,13 +142,14 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
 
 def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (a, b) that join fingerprints (distinct fp, rep) at most `radius` (even) bits apart, as few as each bucket needs."""
+    """Links (a, b) that join fingerprints (distinct fp) at most `radius` (even) bits apart, as few as each bucket needs."""
     half = radius // 2
-    n = fps.count()
-    key_bits = min(30, max(8, (n * sum(len(m) for m in _flips(64, half)) // PER_BUCKET).bit_length()))
+    n, key_bits = fps.count(), 6
+    while key_bits < 30 and n * sum(comb(key_bits, k) for k in range(half + 1)) > PER_BUCKET << key_bits:
+        key_bits += 1
     masks = np.concatenate(_flips(key_bits, half)).astype(np.int64).tolist()
     key = F.shiftrightunsigned("fp", 64 - key_bits)
-    sent = fps.select("fp", "rep", F.explode(F.transform(F.lit(masks), lambda m: key.bitwiseXOR(m))).alias("bucket"))
+    sent = fps.select("fp", F.explode(F.transform(F.lit(masks), lambda m: key.bitwiseXOR(m))).alias("bucket"))
     return sent.groupBy("bucket").applyInArrow(_meet(key_bits, half), "a long, b long")
 
 
@@ -155,33 +158,18 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFra
     component_id is the smallest doc_id that links reach.
 
     Null and empty texts have fingerprint zero and are linked like others; texts with fewer words than a shingle are
-    one shingle. Rows without a doc_id count as one document with the
-    largest id: they are linked to each other, and their component is null unless they reach a doc_id.
-    Repeated rows are repeated. Equal fingerprints are one node, so copies make no pairs.
+    one shingle. The nodes are fingerprints, so copies make no pairs, and rows without a doc_id, or that share one, connect nothing but what
+    their texts do; a component in which no row has a doc_id has none. Repeated rows are repeated. A task holds one text of any length, with
+    some 40 bytes of memory for each of its bytes.
     """
     d = materialise(fingerprints(docs, words), "simhash-rows")
-    named = F.coalesce(F.min("doc_id"), F.lit(2**63 - 1))  # rows without a doc_id share one node: they are linked
-    fps = materialise(d.groupBy("fp").agg(named.alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
-    links = materialise(near_links(fps, radius), "simhash-links")
-    groups = components(links, 60)
-    node = fps.join(groups, fps["rep"] == groups["node"], "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id")
-    )
-    out = d.join(node, d["fp"] == node["_fp"])
-    return out.select("doc_id", "fp", F.when(F.col("component_id") != 2**63 - 1, F.col("component_id")).alias("component_id"))
-
-
-def page_groups(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """(page, component) of every different text of docs: its xxhash64 (null as empty) and one page of those that links reach.
-
-    Texts are linked as near_duplicates links documents, but doc_id plays no part, so that rows without one, or that share one, connect nothing.
-    """
-    pages = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text")
-    d = materialise(fingerprints(pages, words).distinct(), "simhash-pages")
-    fps = materialise(d.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    fps = materialise(d.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     groups = components(materialise(near_links(fps, radius), "simhash-links"), 60)
-    node = fps.join(groups, fps["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return d.join(node, "fp").select(F.col("doc_id").alias("page"), "component")
+    node = fps.join(groups, fps["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    node = materialise(node, "simhash-groups")
+    name = node.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = node.join(name, "component").select(F.col("fp").alias("_fp"), "component_id")
+    return d.join(named, d["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
