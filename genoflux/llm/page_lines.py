@@ -27,11 +27,16 @@ def once(df: DataFrame, *cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*cols))))
 
 
+def page_key(copies_once: bool = False) -> Column:
+    """What tells pages apart: doc_id and text, or the text alone where copies are to count as one page."""
+    return F.xxhash64("text") if copies_once else F.xxhash64("doc_id", "text")
+
+
 def host_lines(pages: DataFrame) -> DataFrame:
-    """(host, line, pages): in how many different pages (host, page, hashes) of its host a line's hash occurs.
+    """(host, line, pages): on how many pages (host, page, hashes) of its host a line's hash occurs.
 
-    A page's lines count once, and pages whose `page` hash is equal are one page: copies don't make a
-    line common. Both counts are sums that start on the map side, so a line of any frequency is one row per task.
+    A page's lines count once, and rows whose `page` is equal are one page. Both counts are sums that start on the
+    map side, so a line of any frequency is one row per task.
     """
     one = pages.select("host", "page", F.explode(F.array_distinct("hashes")).alias("line"))
     return one.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))

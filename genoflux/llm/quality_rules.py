@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import materialise, read
-from .page_lines import SPACES, host_lines, normal_lines, once
+from .page_lines import SPACES, host_lines, normal_lines, once, page_key
 
-#: Different documents of a host that a line may be in; share of its words that a document must keep.
-LIMIT, LEAST_LEFT = 500, 0.3
-#: Words up to which hash and position share a 63-bit number with next to no chance of a false repeat.
-PACKED_WORDS = 100_000
+#: Documents of a host that a line may be in: this share of all, but FLOOR in any case and LIMIT at most.
+SHARE, FLOOR, LIMIT = 0.02, 5, 500
+#: Share of its words that a document must keep.
+LEAST_LEFT = 0.3
+#: Words up to which windows are sorted by numbers of hash and position; beyond it by their words.
+PACKED_WORDS = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -29,19 +31,22 @@ def covered(w: str) -> Column:
 
     Windows are sorted by hash with their position, equal neighbours are repeats, and their positions, sorted, cover
     three words each or as many as lie before the next. Sorting keeps this n log n in rows of any length. Up to
-    PACKED_WORDS hash and position are one number, else a pair of the words themselves and the position.
+    PACKED_WORDS words hash and position are one number, else a pair of the words themselves and the position. Where neighbours have
+    one hash but other words, the text is sorted by the words too, so that the count is exact in any case.
     """
     spans = "aggregate(sequence(0, size({p}) - 2), cast(3 as bigint), (a, j) -> a + least(3, {p}[j + 1] - {p}[j]))"
     cover = f"transform(array({{p}}), p -> case when size(p) = 0 then 0L when size(p) = 1 then 3L else {spans.format(p='p')} end)[0]"
     n = f"(size({w}) - 2)"
     key = f"(shiftrightunsigned(xxhash64({w}[i], {w}[i + 1], {w}[i + 2]), 1) div {n}) * {n} + i"
-    packed = f"""transform(array(array_sort_plain(transform(sequence(0, size({w}) - 3), i -> {key}))), s ->
-        sort_array(transform(filter(sequence(0, size(s) - 1), j -> (j > 0 and s[j] div {n} = s[greatest(j, 1) - 1] div {n})
-            or (j < size(s) - 1 and s[j] div {n} = s[least(j + 1, size(s) - 1)] div {n})), j -> s[j] % {n})))[0]""".replace("array_sort_plain", "sort_array")
+    other = " or ".join(f"{w}[cast(s[j] % {n} as int) + {k}] <> {w}[cast(s[j - 1] % {n} as int) + {k}]" for k in range(3))
+    places = f"""sort_array(transform(filter(sequence(0, size(s) - 1), j -> (j > 0 and s[j] div {n} = s[greatest(j, 1) - 1] div {n})
+            or (j < size(s) - 1 and s[j] div {n} = s[least(j + 1, size(s) - 1)] div {n})), j -> s[j] % {n}))"""
+    clash = f"size(s) > 1 and exists(sequence(1, size(s) - 1), j -> s[j] div {n} = s[j - 1] div {n} and ({other}))"
     pairs = f"""transform(array(sort_array(transform(sequence(0, size({w}) - 3), i -> named_struct('a', {w}[i], 'b', {w}[i + 1], 'c', {w}[i + 2], 'i', cast(i as bigint))))), s ->
         sort_array(transform(filter(sequence(0, size(s) - 1), j ->
             (j > 0 and s[j].a = s[greatest(j, 1) - 1].a and s[j].b = s[greatest(j, 1) - 1].b and s[j].c = s[greatest(j, 1) - 1].c)
             or (j < size(s) - 1 and s[j].a = s[least(j + 1, size(s) - 1)].a and s[j].b = s[least(j + 1, size(s) - 1)].b and s[j].c = s[least(j + 1, size(s) - 1)].c)), j -> s[j].i)))[0]"""
+    packed = f"transform(array(sort_array(transform(sequence(0, size({w}) - 3), i -> {key}))), s -> case when {clash} then {pairs.replace('s ->', 'z ->').replace('s[', 'z[').replace('size(s)', 'size(z)')} else {places} end)[0]"
     return F.expr(
         f"case when size({w}) < 4 then 0L when size({w}) <= {PACKED_WORDS} then {cover.format(p=packed)} else {cover.format(p=pairs)} end"
     )
@@ -58,7 +63,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return d.select(
         "doc_id",
         "source",
-        F.xxhash64("text").alias("page"),
+        page_key().alias("page"),
         F.transform("plain", lambda x: F.xxhash64(x)).alias("hashes"),
         F.transform("plain", lambda x: F.size(F.split(x, " "))).alias("sizes"),
         F.size("w").cast("long").alias("n_words"),
@@ -69,20 +74,23 @@ def base_rules(docs: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, limit: int = LIMIT, least_left: float = LEAST_LEFT) -> DataFrame:
+def judge(docs: DataFrame, limit: int = LIMIT, least_left: float = LEAST_LEFT, share: float = SHARE, floor: int = FLOOR) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_left_words, base_failed, kept) of every row of docs.
 
-    n_left_words: words outside lines that occur, up to case and blanks, in more than `limit` different texts of the
-    host (column source). A document is kept if it doesn't fail the rules on its words and at least `least_left` of
-    them are left. Null and empty texts have no words and fail. Rows without a host lose no line. Repeated rows
-    are repeated and count as one text. Other columns are ignored.
+    n_left_words: words outside lines that occur, up to case and blanks, in too many documents of the host (column source): in more than
+    `share` of them, where that is from `floor` to `limit`, else in more than the nearer of the two. A document is kept if it doesn't fail the rules on
+    its words and at least `least_left` of them are left. Null and empty texts have no words and fail. Rows without a host lose no line. A document
+    is a doc_id with its text: repeated rows are repeated and count once, copies count each. Other columns are ignored.
     """
     base = materialise(base_rules(docs), "quality-base")
-    often = host_lines(base.where("source is not null").select(F.col("source").alias("host"), "page", "hashes")).where(F.col("pages") > limit)
-    # equal texts have equal lines, so what a text loses is found once for each host and text
-    texts = base.where("source is not null").select("source", "page", F.posexplode("hashes").alias("i", "line"), "sizes")
-    texts = texts.select("source", "page", "line", "i", F.col("sizes")[F.col("i")].alias("size"))
-    hit = texts.join(often.select(F.col("host").alias("source"), "line"), ["source", "line"], "left_semi").distinct()
+    pages = base.where("source is not null").select(F.col("source").alias("host"), "page", "hashes")
+    total = pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    over = F.col("pages") > F.greatest(F.lit(float(floor)), F.least(F.lit(float(limit)), F.lit(share) * F.col("total")))
+    often = host_lines(pages).where(F.col("pages") > floor).join(total, "host").where(over)
+    # rows that are equal lose the same lines, so that is found once for each host and document
+    each = base.where("source is not null").select("source", "page", F.posexplode("hashes").alias("i", "line"), "sizes")
+    each = each.select("source", "page", "line", "i", F.col("sizes")[F.col("i")].alias("size"))
+    hit = each.join(often.select(F.col("host").alias("source"), "line"), ["source", "line"], "left_semi").distinct()
     lost = hit.groupBy("source", "page").agg(F.sum("size").alias("lost"))
     d = base.drop("hashes", "sizes").join(lost, ["source", "page"], "left")
     d = d.withColumn("n_left_words", F.col("n_words") - F.coalesce("lost", F.lit(0)))
@@ -92,7 +100,7 @@ def judge(docs: DataFrame, limit: int = LIMIT, least_left: float = LEAST_LEFT) -
 
 
 def op9_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(read(spark, sf_dir, "documents")).drop("n_left_words")
+    return judge(read(spark, sf_dir, "documents"))
 
 
 _OP9 = r"""
@@ -108,7 +116,11 @@ with d as (
   select doc_id, source, text, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) as norm
   from (select doc_id, source, text, unnest(string_split(text, chr(10))) as line from d)
 ), filled as (select * from l where norm <> ''),
-often as (select source, norm from filled where source is not null group by source, norm having count(distinct text) > 500),
+total as (select source, count(*) as total from (select distinct source, doc_id, text from d) group by source),
+often as (
+  select source, norm from (select distinct source, doc_id, text, norm from filled where source is not null) join total using (source)
+  group by source, norm, total having count(*) > greatest(5::double, least(500::double, 0.02::double * total))
+),
 dup as (select doc_id, count(*) - count(distinct line) as n_dup_lines from filled group by doc_id),
 lost as (select doc_id, sum(len(string_split(norm, ' '))) as lost from filled semi join often using (source, norm) group by doc_id),
 base as (
@@ -117,7 +129,7 @@ base as (
          coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(lost, 0) as lost
   from d left join dup using (doc_id) left join cov using (doc_id) left join lost using (doc_id)
 ), f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words - lost)::bigint as n_left_words, base_failed,
        not base_failed and n_words - lost >= 0.3 * n_words as kept
 from f
 """
