@@ -80,15 +80,15 @@ def _forest(links: np.ndarray, n: int) -> np.ndarray:
     return np.array(kept, np.int64).reshape(-1, 2)
 
 
-def _values(f: np.ndarray, bits: int, prefix: int, half: int):
-    """Of each fingerprint, the values at most `half` bits off that begin with the `bits` bits of prefix, and its number.
+def _values(f: np.ndarray, bits: int, prefix: int, half: int, width: int = 64):
+    """Of each fingerprint of `width` bits, the values at most `half` bits off that begin with the `bits` bits of prefix, and its number.
 
     More than AT_ONCE of them come in several runs, split by further leading bits: each value is made once, and equal ones in one run.
     """
     stack = [(bits, prefix, np.arange(len(f)))]
     while stack:
         bits, prefix, who = stack.pop()
-        low = 64 - bits
+        low = width - bits
         own = ((f[who] >> U64(low)) ^ U64(prefix)) if low < 64 else np.zeros(len(who), U64)
         far = np.bitwise_count(own).astype(np.int64)
         near = far <= half
@@ -107,25 +107,31 @@ def _values(f: np.ndarray, bits: int, prefix: int, half: int):
         yield np.concatenate(values), np.concatenate(makers)
 
 
+def _colliding(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values with more than one maker and their makers, sorted, and where each value begins."""
+    s = np.sort(v)
+    twice = np.unique(s[1:][s[1:] == s[:-1]])
+    if not len(twice):
+        return v[:0], w[:0], np.zeros(0, np.int64)
+    at = np.searchsorted(twice, v)
+    at[at == len(twice)] = 0
+    hit = twice[at] == v
+    v, w = v[hit], w[hit]
+    order = np.lexsort((w, v))
+    v, w = v[order], w[order]
+    return v, w, np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+
+
 def _meet(key_bits: int, half: int):
     def run(key, table):
         f = np.sort(table.column("fp").to_numpy().view(np.uint64))
         links = []
-        for v, w in _values(f, key_bits, int(key[0].as_py()), half):
-            s = np.sort(v)
-            twice = np.unique(s[1:][s[1:] == s[:-1]])
-            if len(twice):
-                at = np.searchsorted(twice, v)
-                at[at == len(twice)] = 0
-                hit = twice[at] == v
-                v, w = v[hit], w[hit]
-                order = np.lexsort((w, v))
-                v, w = v[order], w[order]
-                new = np.r_[True, v[1:] != v[:-1]]
-                lead = np.repeat(w[new], np.diff(np.r_[np.flatnonzero(new), len(v)]))
-                pair = np.unique(lead[~new] * len(f) + w[~new])
+        for v, w, at in (_colliding(*x) for x in _values(f, key_bits, int(key[0].as_py()), half)):
+            if len(v):
+                lead = np.repeat(w[at], np.diff(np.r_[at, len(v)]))
+                pair = np.unique(lead * len(f) + w)
                 a, b = pair // len(f), pair % len(f)
-                near = np.bitwise_count(f[a] ^ f[b]) <= 2 * half
+                near = (a != b) & (np.bitwise_count(f[a] ^ f[b]) <= 2 * half)
                 links.append(_forest(np.stack([a[near], b[near]], axis=1), len(f)))
         kept = _forest(np.concatenate(links), len(f)) if links else np.zeros((0, 2), np.int64)
         f = f.view(np.int64)
