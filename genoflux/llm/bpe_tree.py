@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .cluster import read, ship
 
 #: Characters that a leaf encodes at once; a first window on either side of a boundary.
-LEAF, WINDOW = 16_384, 64
+LEAF, WINDOW = 512, 24
 #: A match of the pattern is settled by what it has read. It reads on at most past its end by two characters
 #: (an apostrophe and two letters), so matches that end this far before the end of a text stay when text is appended.
 LOOKAHEAD = 3
@@ -19,10 +19,10 @@ LOOKAHEAD = 3
 class Part:
     """Tokens of a piece of text, and where in it the pattern's matches start (in characters)."""
 
-    __slots__ = ("text", "starts", "ids", "firsts")
+    __slots__ = ("text", "starts", "ids")
 
-    def __init__(self, text: str, starts: np.ndarray, ids: np.ndarray, firsts: np.ndarray):
-        self.text, self.starts, self.ids, self.firsts = text, starts, ids, firsts  # firsts: each match's first token
+    def __init__(self, text: str, starts: np.ndarray, ids: np.ndarray):
+        self.text, self.starts, self.ids = text, starts, ids
 
 
 class TreeEncoder:
@@ -40,20 +40,23 @@ class TreeEncoder:
 
         self.encoding, self.leaf, self.window = encoding, leaf, window
         self.pattern = regex.compile(encoding._pat_str)
+        self.joins = 0
 
-    def _encode(self, text: str) -> Part:
-        starts = np.fromiter((m.start() for m in self.pattern.finditer(text)), np.int64)
-        ids, firsts = [], []
-        bounds = [*starts.tolist(), len(text)]
-        single = self.encoding._core_bpe.encode_single_piece
-        for a, z in zip(bounds[:-1], bounds[1:]):
-            firsts.append(len(ids))
-            ids += single(text[a:z].encode("utf-8", "surrogatepass"))
-        return Part(text, starts, np.array(ids, np.int64), np.array(firsts, np.int64))
+    def _starts(self, text: str) -> np.ndarray:
+        return np.fromiter((m.start() for m in self.pattern.finditer(text)), np.int64)
+
+    def _leaf(self, text: str) -> Part:
+        return Part(text, self._starts(text), self.encoding.encode_to_numpy(text, disallowed_special=()))
+
+    def _each(self, text: str, starts: np.ndarray, end: int) -> list[list[int]]:
+        """Tokens of each of the matches of text that start at `starts`, the last of which ends at `end`."""
+        bounds, single = [*starts.tolist(), end], self.encoding._core_bpe.encode_single_piece
+        return [single(text[a:z].encode("utf-8", "surrogatepass")) for a, z in zip(bounds[:-1], bounds[1:])]
 
     def join(self, left: Part, right: Part) -> Part:
         if not left.text or not right.text:
             return right if not left.text else left
+        self.joins += 1
         n, k = len(left.text), self.window
         while True:
             # the last match of the left part that starts where nothing appended can have changed the matches before it
@@ -64,11 +67,12 @@ class TreeEncoder:
                 continue
             begin = int(left.starts[at])
             take = min(len(right.text), k)
-            middle = self._encode(left.text[begin:] + right.text[:take])
-            ends = middle.starts + begin - n  # in the right part's characters
+            middle = left.text[begin:] + right.text[:take]
+            starts = self._starts(middle)
+            ends = starts + begin - n  # in the right part's characters
             # a start found anew counts only as far as more text could not move it
             sure = ends[(ends >= 0) & ((ends <= take - 2 * LOOKAHEAD) | (take == len(right.text)))]
-            same = sure[np.isin(sure, right.starts)]
+            same = sure[np.isin(sure, right.starts[: take + 1])]
             if take < len(right.text) and len(same) and right.text[int(same[0]) : take].isspace():
                 same = same[:0]
             if len(same) or take == len(right.text):
@@ -77,27 +81,24 @@ class TreeEncoder:
         meet = int(same[0]) if len(same) else len(right.text)
         m = int(np.searchsorted(ends, meet))
         r = int(np.searchsorted(right.starts, meet))
-        m_tok = int(middle.firsts[m]) if m < len(middle.firsts) else len(middle.ids)
-        r_tok = int(right.firsts[r]) if r < len(right.firsts) else len(right.ids)
-        l_tok = int(left.firsts[at])
-        ids = np.concatenate([left.ids[:l_tok], middle.ids[:m_tok], right.ids[r_tok:]])
-        starts = np.concatenate([left.starts[:at], middle.starts[:m] + begin, right.starts[r:] + n])
-        firsts = np.concatenate([left.firsts[:at], middle.firsts[:m] + l_tok, right.firsts[r:] + (l_tok + m_tok - r_tok)])
-        return Part(left.text + right.text, starts, ids, firsts)
+        # only tokens next to the boundary are looked at: those that go on the left and on the right, and those that come in between
+        gone_left = sum(map(len, self._each(left.text, left.starts[at:], n)))
+        gone_right = sum(map(len, self._each(right.text, right.starts[:r], meet)))
+        new = [x for ids in self._each(middle, starts[:m], n - begin + meet) for x in ids]
+        ids = np.concatenate([left.ids[: len(left.ids) - gone_left], np.array(new, left.ids.dtype), right.ids[gone_right:]])
+        return Part(left.text + right.text, np.concatenate([left.starts[:at], starts[:m] + begin, right.starts[r:] + n]), ids)
 
     def _tree(self, text: str) -> Part:
         if len(text) <= self.leaf:
-            return self._encode(text)
+            return self._leaf(text)
         half = len(text) // 2
         return self.join(self._tree(text[:half]), self._tree(text[half:]))
 
     def encode(self, text: str) -> np.ndarray:
-        if len(text) <= self.leaf:
-            return self.encoding.encode_to_numpy(text, disallowed_special=())  # a tree of one leaf needs no matches
         return self._tree(text).ids
 
 
-def decode(encoding, ids: np.ndarray, leaf: int = 8192) -> bytes:
+def decode(encoding, ids: np.ndarray, leaf: int = 256) -> bytes:
     """Bytes of the tokens, concatenated up the tree."""
     if len(ids) <= leaf:
         return encoding.decode_bytes(ids.tolist())

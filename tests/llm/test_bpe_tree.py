@@ -1,7 +1,9 @@
 import random
+from pathlib import Path
 
 import odd
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 
 from genoflux.llm import bpe_tree as m
@@ -27,3 +29,17 @@ def test_documents(spark):
         got = m.encode_documents(odd.docs(spark), PATH, leaf).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0, list(r.ids), bytes(r.decoded)) for r in got) == want
     assert m.encode_documents(odd.none(spark), PATH).count() == 0
+
+
+def test_most_documents_are_joined():
+    path = Path("/root/testdata/sf0.001/documents.parquet")
+    if not path.exists():
+        pytest.skip("no tables here")
+    texts = [t or "" for t in pq.read_table(path, columns=["text"]).column(0).to_pylist()]
+    e = byte_bpe(PATH)
+    tree, joined = m.TreeEncoder(e), 0
+    for t in texts:
+        before = tree.joins
+        assert tree.encode(t).tolist() == e.encode_ordinary(t)
+        joined += tree.joins > before
+    assert joined >= 0.6 * len(texts) and joined == sum(len(t) > m.LEAF for t in texts)
