@@ -12,20 +12,36 @@ from .bytekit import U64, Words, binary_parts, mix, release, slices
 from .cluster import read, ship
 
 #: Rows of either kind that a fit uses at most, on average: rows are taken by a hash of their id.
-MOST_ROWS = 12_000
+MOST_ROWS = 10_000
 #: Bytes of text whose features are made at once.
 BATCH = 1 << 20
 FOLDS, CUT = 5, 0.3
 
-_KINDS = np.zeros((8, 256), np.uint8)
-for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#*$%&<>@^~=+_\\/{}[]", b"|", b"!?", b".,;:'\"()-", bytes(range(0x80, 0x100)))):
+_KINDS = np.zeros((7, 256), np.uint8)
+for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#*$%&<>|@^~=+_\\/{}[]", b"!?", b".,;:'\"()-", bytes(range(0x80, 0x100)))):
     _KINDS[_i, list(_chars)] = 1
-UPPER, LOWER, DIGIT, SYMBOL, BAR, SHOUT, POINT, WIDE = range(8)
-FEATURES = 26
+UPPER, LOWER, DIGIT, SYMBOL, SHOUT, POINT, WIDE = range(7)
+#: Hashed n-grams, of so many bytes each; numbers about the text as a whole.
+GRAMS, GRAM, STATISTICS = 512, 3, 24
+FEATURES = GRAMS + STATISTICS
+
+
+def ngrams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Square roots of the counts of each text's byte n-grams by hash, to length 1. Texts shorter than that have none."""
+    n = len(off) - 1
+    counts = np.zeros(n * GRAMS)
+    doc = np.repeat(np.arange(n), np.diff(off))
+    for i in range(0, len(buf), BATCH):
+        at = np.arange(i, min(i + BATCH, len(buf) - GRAM + 1))
+        at = at[off[1:][doc[at]] - at >= GRAM]
+        code = sum(buf[at + k].astype(np.uint64) << U64(8 * k) for k in range(GRAM)) * U64(0x9E3779B97F4A7C15)
+        counts += np.bincount(doc[at] * GRAMS + ((code >> U64(40)) % U64(GRAMS)).astype(np.int64), minlength=len(counts))
+    x = np.sqrt(counts).reshape(n, GRAMS)
+    return x / np.maximum(1e-9, np.sqrt((x * x).sum(axis=1, keepdims=True)))
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of numbers for each text: shares of kinds of characters and words, repetition, lengths. Any text has finite ones."""
+    """A row of numbers for each text: hashed n-grams, shares of kinds of characters and words, repetition, lengths. Any text has finite ones."""
     w = Words(buf, off)
     n_docs = len(off) - 1
     nw = w.count.astype(float)
@@ -51,7 +67,6 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         by_doc((inside[LOWER] == 0) & (inside[UPPER] > 1)) / per,
         by_doc((inside[SYMBOL] > 0) & (letters > 0)) / per,
         by_doc(inside[SYMBOL] >= 3) / per,
-        by_doc(inside[BAR] > 0) / per,
         by_doc((inside[SHOUT] > 1) | (last == 33)) / per,
         by_doc(inside[DIGIT] > 0) / per,
         by_doc(letters == 0) / per,
@@ -72,7 +87,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         cols.append((1 - kinds / np.maximum(own, 1)) / np.log2(np.maximum(own, 1) + 2))
     feeds = np.concatenate([[0], np.cumsum(buf == 10)])
     cols += [(feeds[off[1:]] - feeds[off[:-1]]) / chars * 20, np.log1p(nw) / 10]
-    return np.stack([np.asarray(c, float) for c in cols], axis=1)
+    return np.concatenate([ngrams(buf, off), np.stack([np.asarray(c, float) for c in cols], axis=1)], axis=1).astype(np.float32)
 
 
 def _feature_rows(batches):
@@ -85,51 +100,80 @@ def _feature_rows(batches):
 
 
 class Model:
-    """One hidden layer on standardised features; the score is a probability."""
+    """A weight for each standardised feature; the score is a probability."""
 
-    def __init__(self, mean, scale, weights):
-        self.mean, self.scale, self.weights = mean, scale, weights
+    def __init__(self, mean, scale, weights, bias):
+        self.mean, self.scale, self.weights, self.bias = mean, scale, weights, bias
+
+    def value(self, x: np.ndarray) -> np.ndarray:
+        return _standard(x, self.mean, self.scale) @ self.weights + self.bias
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        a, b, c, d = self.weights
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return 1 / (1 + np.exp(-np.clip(np.maximum(z @ a + b, 0) @ c + d, -30, 30)))
+        return _chance(self.value(x).astype(float))
+
+
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / scale, -8, 8).astype(np.float32)
+
+
+def _chance(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 500, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Model:
+def _descend(positive: np.ndarray, unlabelled: np.ndarray, slope, steps: int, rate: float, decay: float) -> Model:
+    """Weights after `steps` of Adam. slope: of the risk by the values of all rows, from their scores."""
+    both = np.concatenate([positive, unlabelled])
+    mean, scale = both.mean(axis=0, dtype=np.float64).astype(np.float32), (both.std(axis=0, dtype=np.float64) + 1e-3).astype(np.float32)
+    x = _standard(both, mean, scale)
+    weights = np.zeros(x.shape[1] + 1)
+    m, v = np.zeros_like(weights), np.zeros_like(weights)
+    for step in range(1, steps + 1):
+        g = slope(_chance((x @ weights[:-1].astype(np.float32)).astype(float) + weights[-1]))
+        grad = np.append(g.astype(np.float32) @ x + decay * weights[:-1], g.sum())
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        weights = weights - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return Model(mean, scale, weights[:-1].astype(np.float32), weights[-1])
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 500, rate: float = 0.02, decay: float = 0.01) -> Model:
     """Minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with the logistic loss (Kiryo et al., 2017).
 
     Where the part under the maximum turns negative, the step goes the other way on it, as in the paper.
     """
-    rng = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
-    x = np.concatenate([p, u])
-    n_p, n_u = len(p), len(u)
-    weights = [rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)]
-    m, v = [np.zeros_like(a) for a in weights], [np.zeros_like(a) for a in weights]
-    for step in range(1, steps + 1):
-        a, b, c, d = weights
-        pre = x @ a + b
-        act = np.maximum(pre, 0)
-        s = 1 / (1 + np.exp(-np.clip(act @ c + d, -30, 30)))
+    n_p, n_u = len(positive), len(unlabelled)
+
+    def slope(s: np.ndarray) -> np.ndarray:
         loss_n = -np.log(1 - s + 1e-12)  # of calling it negative
         rest = loss_n[n_p:].mean() - prior * loss_n[:n_p].mean()
-        g = np.zeros(len(x))
+        g = np.zeros(len(s))
         if rest >= 0:
             g[:n_p] = prior * (s[:n_p] - 1) / n_p - prior * s[:n_p] / n_p
             g[n_p:] = s[n_p:] / n_u
         else:
             g[:n_p] = prior * s[:n_p] / n_p
             g[n_p:] = -s[n_p:] / n_u
-        back = g[:, None] * c[None, :] * (pre > 0)
-        grads = [x.T @ back + decay * a, back.sum(axis=0), act.T @ g + decay * c, np.array([g.sum()])]
-        for k, gr in enumerate(grads):
-            m[k] = 0.9 * m[k] + 0.1 * gr
-            v[k] = 0.999 * v[k] + 0.001 * gr * gr
-            weights[k] = weights[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, weights)
+        return g
+
+    return _descend(positive, unlabelled, slope, steps, rate, decay)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from these two alone (best bin estimation, Garg et al., 2021).
+
+    Half of either trains a classifier that tells them apart. On the other half, above a score that only positives reach, the share of
+    unlabelled rows over that of positives is the prior; the score is chosen where that ratio, with room for chance, is least.
+    """
+    (p, q), (u, v) = ((x[::2], x[1::2]) for x in (positive, unlabelled))
+    if not len(q) or not len(v):
+        return 0.5
+    n_p, n_u = len(p), len(u)
+    apart = _descend(p, u, lambda s: np.concatenate([(s[:n_p] - 1) / n_p, s[n_p:] / n_u]) / 2, 300, 0.02, 0.01)
+    zq, zv = np.sort(apart.value(q)), np.sort(apart.value(v))
+    at = np.unique(np.concatenate([zq, zv]))
+    above_q, above_v = 1 - np.searchsorted(zq, at) / len(zq), 1 - np.searchsorted(zv, at) / len(zv)
+    chance = np.sqrt(np.log(40) / 2 / len(zq)) + np.sqrt(np.log(40) / 2 / len(zv))
+    best = np.argmin(np.where(above_q > 0, (above_v + chance) / np.maximum(above_q, 1e-9), np.inf))
+    return float(np.clip(above_v[best] / above_q[best], 0.05, 0.98))
 
 
 def fold() -> F.Column:
@@ -140,34 +184,35 @@ def fold() -> F.Column:
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model | None:
     """A model from the texts of rows labelled good (positives) and of any rows (unlabelled), none of fold 0.
 
-    The class prior is the share of good ones among the labelled rows of those folds. Of either kind about `most` rows
-    are used, by a hash of doc_id. Labels that are null, or of documents that aren't there, don't count; no good
+    The class prior is estimated from these two kinds alone; bad labels are never used. Of either kind about `most` rows are used, by a hash of
+    doc_id, rows without one are in fold 0. Labels that are null, or of documents that aren't there, don't count; no good
     label or no text: no model.
     """
     spark = docs.sparkSession
     ship(spark)
-    known = labels.where("quality is not null").where(fold() != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n, good = known.agg(F.count(F.lit(1)), F.sum("quality")).first()
-    if not good:
+    good = labels.where("quality = 1").where(fold() != 0).select("doc_id").distinct()
+    n = good.count()
+    if not n:
         return None
-    prior = float(np.clip(good / n, 0.05, 0.95))
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).where(fold() != 0)
 
     def taken(of: int, salt: str) -> F.Column:
         return F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, most / max(of, 1))) + 1
 
-    p = d.where(taken(good, "p")).join(known.where("quality = 1").where(taken(good, "p")).select("doc_id"), "doc_id", "left_semi").select(F.lit(1).alias("kind"), "text")
+    p = d.where(taken(n, "p")).join(good.where(taken(n, "p")), "doc_id", "left_semi").select(F.lit(1).alias("kind"), "text")
     u = d.where(taken(d.count(), "u")).select(F.lit(0).alias("kind"), "text")
-    rows = p.unionByName(u).mapInArrow(_feature_rows, "kind int, x array<double>").toArrow().combine_chunks()
+    rows = p.unionByName(u).mapInArrow(_feature_rows, "kind int, x array<float>").toArrow().combine_chunks()
     if not rows.num_rows:
         return None
     kind = rows.column("kind").to_numpy()
-    x = rows.column("x").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, FEATURES) if rows.num_rows else np.zeros((0, FEATURES))
+    x = rows.column("x").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
     if not (kind == 1).any() or not (kind == 0).any():
         return None
-    order = np.lexsort((*x.T, kind))  # the same sums whatever order rows come in
+    # the same sums, and halves, whatever order rows come in
+    order = np.lexsort((x[:, 1], x[:, 0], x[:, GRAMS:].sum(axis=1, dtype=np.float64), kind))
     x, kind = x[order], kind[order]
-    return fit(x[kind == 1], x[kind == 0], prior)
+    positive, unlabelled = x[kind == 1], x[kind == 0]
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def _scores(model: Model | None, keep: list[str]):

@@ -60,3 +60,27 @@ def test_query(spark):
         pytest.skip("no tables here")
     r = m.op8_pu_quality(spark, str(DATA)).collect()
     assert len(r) == 200 and all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0) and x.predicted == int(x.score >= 0.3) for x in r)
+
+
+def test_prior_from_positives_and_unlabelled_rows_alone():
+    rng = np.random.default_rng(6)
+    for share in (0.5, 0.8):
+        raw = [made(rng, rng.random() > share).encode() for _ in range(1500)]
+        good = [made(rng, False).encode() for _ in range(700)]
+        x, p = (m.features(np.frombuffer(b"".join(r), np.uint8), np.cumsum([0] + [len(t) for t in r])) for r in (raw, good))
+        assert abs(m.estimate_prior(p, x) - share) < 0.1
+
+
+def test_bad_labels_are_not_used(spark):
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, made(rng, i % 6 == 0), "en", "s", 1, *odd.EXTRA) for i in range(300)], odd.SCHEMA)
+    good = [(i, 1, 0, "clash") for i in range(0, 300, 2) if i % 6]
+    a, b = (m.learn(docs, spark.createDataFrame(x, LABELS)) for x in (good, good + [(i, 0, 0, "clash") for i in range(0, 300, 6)]))
+    assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
+
+
+def test_ngrams():
+    raw = [b"", b"ab", b"abcd", b"abcabc"]
+    x = m.ngrams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+    assert not x[:2].any() and (x[2] > 0).sum() == 2 and (x[3] > 0).sum() == 3 and np.allclose((x[2:] ** 2).sum(axis=1), 1)
+    assert ((x[2] > 0) & (x[3] > 0)).sum() >= 1
