@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by cross-polytope hashing with several probes, ranked exactly.
 
 A table rotates vectors by three rounds of random signs and a fast Hadamard transform and assigns each to the
-nearest signed axis. A query looks at the members of its nearest axes in every table. Members and queries of an
-axis meet in blocks of bounded size, by a matrix product, and the best of each query are merged.
+nearest signed axis. A query looks at the members of its nearest axes in every table. Neighbouring axes are put together
+to blocks of bounded size: a vector is sent once to each block that it has to do with, where its axes are found anew, the members
+of each axis meet the queries that probe it by a matrix product, and the best of each query are kept.
 
 Members are hashed apart by length of vector and by norm, in powers of two, so that a few long ones don't push the others
 onto one axis. Classes too small to hash meet every query, and so does the whole table with queries that found too few.
@@ -21,7 +22,10 @@ from pyspark.sql.window import Window as W
 from .bytekit import U64, mix
 from .cluster import materialise, parts, read, ship
 
-TABLES, PROBES, BLOCK = 10, 24, 4096
+#: Tables, and the share of its signed axes that a query probes in each.
+TABLES, PROBED = 2, 0.375
+#: Members of a block, and queries that meet them in one task.
+BLOCK, ASKED = 8192, 1 << 16
 #: Members up to which a norm class is searched exactly.
 SMALL = 4096
 
@@ -72,41 +76,98 @@ def _matrix(col) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _hash(longest: dict[tuple[int, int], float], small: set[int], tables: int, probes: int):
-    """Members' axes (kind 0) and queries' probes (kind 1) of each vector, in each class (length, norm class) of `longest`;
-    members of other classes meet all queries of their length, those in `small`, in table -1."""
-    names = [*_KEY, "kind", "vid", "v"]
+class Blocks:
+    """Which block of members an axis belongs to. counts: members by (length, class, table) and axis; table -1 isn't hashed."""
+
+    def __init__(self, counts: dict[tuple[int, int, int], np.ndarray], longest: dict[tuple[int, int], float], most: int, probes: int | None):
+        self.longest, self.probes, self.first, self.parts, self.of = longest, probes, {}, {}, []
+        for key in sorted(counts):
+            n = counts[key]
+            first, parts = np.zeros(len(n), np.int64), np.maximum(1, -(-n // most))
+            block, held = len(self.of), 0
+            for axis in range(len(n)):
+                if held and held + n[axis] > most:
+                    block, held = len(self.of), 0
+                first[axis] = block
+                while len(self.of) < block + parts[axis]:
+                    self.of.append(key)
+                held = held + n[axis] if parts[axis] == 1 else most
+            self.first[key], self.parts[key] = first, parts
+        self.keys = sorted(self.first)
+
+    def probed(self, dim: int) -> int:
+        width = 2 << int(dim).bit_length()
+        return min(width, max(1, self.probes or round(PROBED * width)))
+
+    def axes_of(self, key: tuple[int, int, int], x: np.ndarray, query: bool) -> np.ndarray:
+        """The axes of each row: a member's own, or those that a query probes."""
+        dim, cls, table = key
+        if table < 0:
+            return np.zeros((len(x), 1), np.int64)
+        return axes(lifted(x, 1.0 if query else self.longest[dim, cls], query), table, self.probed(dim) if query else 1)
+
+    def members(self, key: tuple[int, int, int], x: np.ndarray, node: np.ndarray) -> np.ndarray:
+        axis = self.axes_of(key, x, False)[:, 0]
+        own = mix(node.astype(np.int64).view(np.uint64)) % self.parts[key][axis].astype(np.uint64)
+        return self.first[key][axis] + own.astype(np.int64)
+
+    def queries(self, key: tuple[int, int, int], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, block) of all blocks that a query's probes are in."""
+        axis, n = self.axes_of(key, x, True), len(self.of)
+        row = np.repeat(np.arange(len(x)), axis.shape[1])
+        parts = self.parts[key][axis.ravel()]
+        first = np.repeat(self.first[key][axis.ravel()], parts) + np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        both = np.unique(np.repeat(row, parts) * n + first)
+        return both // n, both % n
+
+
+def _count(longest: dict[tuple[int, int], float], tables: int):
+    """Members by length, class, table and axis."""
+    names = ["dim", "cls", "tab", "axis", "n"]
 
-    def rows_of(b, dim: int, cls: int, tab: int, ax: np.ndarray, kind: int, r: np.ndarray):
-        k, n = ax.shape[1], ax.size
-        same = [pa.array(np.full(n, x, np.int32)) for x in (dim, cls, tab)]
-        vid = b.column(0).to_numpy()
-        return pa.RecordBatch.from_arrays([*same, pa.array(ax.ravel().astype(np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(np.repeat(vid[r], k)), b.column(3).take(pa.array(np.repeat(r, k)))], names)
+    def run(batches):
+        for b in batches:
+            of = b.column(1).to_numpy()
+            for rows, x in _matrix(b.column(2)):
+                dim = x.shape[1]
+                for c in np.unique(of[rows]).tolist():
+                    if (dim, c) in longest:
+                        up = lifted(x[of[rows] == c], longest[dim, c], False)
+                        for t in range(tables):
+                            axis, n = np.unique(axes(up, t, 1)[:, 0], return_counts=True)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), v, np.int32)) for v in (dim, c, t)] + [pa.array(axis.astype(np.int32)), pa.array(n.astype(np.int64))], names)
+
+    return run
+
+
+_DEALT = "block int, qpart int, kind tinyint, node long, v "
+
+
+def _deal(blocks: Blocks, qparts: int):
+    """Each member once to its block of every table, each query once to every block that it probes. Queries are dealt to qparts parts."""
+
+    def rows_of(b, block, qpart, kind, r):
+        columns = [pa.array(block.astype(np.int32)), pa.array(qpart.astype(np.int32)), pa.array(np.full(len(r), kind, np.int8))]
+        return pa.RecordBatch.from_arrays([*columns, b.column(0).take(pa.array(r)), b.column(3).take(pa.array(r))], ["block", "qpart", "kind", "node", "v"])
 
     def run(batches):
         for b in batches:
-            query, of = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+            node, query, of = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
             for rows, x in _matrix(b.column(3)):
                 dim = x.shape[1]
-                for c in np.unique(of[rows]).tolist():
-                    at = of[rows] == c
-                    if (dim, c) not in longest:
-                        yield rows_of(b, dim, 0, -1, np.zeros((int(at.sum()), 1), np.int32), 0, rows[at])
+                part = (mix(node[rows].view(np.uint64) + U64(1)) % U64(qparts)).astype(np.int64)
+                ask = np.flatnonzero(query[rows])
+                for key in blocks.keys:
+                    if key[0] != dim:
                         continue
-                    up = lifted(x[at], longest[dim, c], False)
-                    for t in range(tables):
-                        yield rows_of(b, dim, c, t, axes(up, t, 1), 0, rows[at])
-                ask = rows[query[rows]]
-                if not len(ask):
-                    continue
-                if dim in small:
-                    yield rows_of(b, dim, 0, -1, np.zeros((len(ask), 1), np.int32), 1, ask)
-                classes = [c for d, c in longest if d == dim]
-                up = lifted(x[query[rows]], 1.0, True) if classes else None
-                for t in range(tables if classes else 0):
-                    ax = axes(up, t, probes)
-                    for c in classes:
-                        yield rows_of(b, dim, c, t, ax, 1, ask)
+                    own = np.array([(dim, c) not in blocks.longest if key[2] < 0 else c == key[1] for c in of[rows].tolist()], bool)
+                    at = np.flatnonzero(own)
+                    if len(at):
+                        block = blocks.members(key, x[at], node[rows[at]])
+                        yield rows_of(b, np.repeat(block, qparts), np.tile(np.arange(qparts), len(at)), 0, rows[np.repeat(at, qparts)])
+                    if len(ask):
+                        r, block = blocks.queries(key, x[ask])
+                        yield rows_of(b, block, part[ask[r]], 1, rows[ask[r]])
 
     return run
 
@@ -128,7 +189,6 @@ def _best(q: np.ndarray, m: np.ndarray, score: np.ndarray, top: int):
     return q[keep], m[keep], score[keep]
 
 
-_KEY = ["dim", "cls", "tab", "axis"]
 _PAIRS = "q long, m long, score double"
 _BLOCKS = "part int, n int, body binary"
 
@@ -142,23 +202,34 @@ def _packed(deal: int, q: np.ndarray, m: np.ndarray, score: np.ndarray) -> pa.Ta
     return pa.table({"part": pa.array([int(part[c[0]]) for c in cuts], pa.int32()), "n": pa.array([len(c) for c in cuts], pa.int32()), "body": pa.array(body, pa.binary())})
 
 
-def _meet(top: int, deal: int):
-    def run(table):
-        kind = table.column("kind").to_numpy()
-        vid = table.column("vid").to_numpy()
-        groups = _matrix(table.column("v").combine_chunks()) if table.num_rows else []
+def _meet(blocks: Blocks, top: int, deal: int):
+    def run(key, table):
+        of = blocks.of[int(key[0].as_py())]
+        kind, node = table.column("kind").to_numpy(), table.column("node").to_numpy()
         qs, ms, ss = [], [], []
-        for rows, x in groups:
+        for rows, x in _matrix(table.column("v").combine_chunks()):
             m, q = rows[kind[rows] == 0], rows[kind[rows] == 1]
             xm, xq = x[kind[rows] == 0], x[kind[rows] == 1]
-            for i in range(0, len(q) if len(m) else 0, 512):
-                s = xq[i : i + 512] @ xm.T
+            if not len(m) or not len(q):
+                continue
+            axis = blocks.axes_of(of, xm, False)[:, 0]
+            order = np.argsort(axis, kind="stable")
+            m, xm, axis = m[order], xm[order], axis[order]
+            at = np.flatnonzero(np.r_[True, axis[1:] != axis[:-1]])
+            to = np.r_[at[1:], len(axis)]
+            for i in range(0, len(q), 512):
+                some = xq[i : i + 512]
+                probes = blocks.axes_of(of, some, True)
+                s = np.full((len(some), len(m)), -np.inf)
+                for a, z in zip(at.tolist(), to.tolist()):
+                    r = np.flatnonzero((probes == axis[a]).any(axis=1))
+                    s[r, a:z] = some[r] @ xm[a:z].T
                 k = min(top, s.shape[1])
                 least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                a, z = np.nonzero(s >= least[:, None] - 1e-9)  # near ties too: the exact order decides
-                qs.append(vid[q[i + a]])
-                ms.append(vid[m[z]])
-                ss.append(exact(xq[i + a], xm[z]))
+                a, z = np.nonzero((s >= least[:, None] - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))[:, None]) & np.isfinite(s))  # near ties too: the exact order decides
+                qs.append(node[q[i + a]])
+                ms.append(node[m[z]])
+                ss.append(exact(some[a], xm[z]))
         none = np.zeros(0, np.int64)
         return _packed(deal, *(_best(np.concatenate(qs), np.concatenate(ms), np.concatenate(ss), top) if qs else (none, none, np.zeros(0))))
 
@@ -183,77 +254,82 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(ok)
 
 
-def _nearest(rows: DataFrame, top: int, deal: int) -> DataFrame:
-    """(q, m, score): the best `top` members (kind 0) of each query (kind 1) among those that it shares a key with."""
-    # blocks by counts: at most a row for each signed axis of each table and class
-    sizes = rows.groupBy(*_KEY).agg(*(F.greatest(F.lit(1), F.ceil(F.sum((F.col("kind") == k).cast("long")) / BLOCK)).cast("int").alias(n) for k, n in ((0, "mb"), (1, "qb"))))
-    blocked = rows.join(F.broadcast(sizes), _KEY)
-    own = F.pmod(F.xxhash64("vid"), F.when(F.col("kind") == 0, F.col("mb")).otherwise(F.col("qb"))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.col("qb")).otherwise(F.col("mb")) - 1))
-    blocked = blocked.withColumn("own", own).withColumn("other", other)
-    blocked = blocked.select(*_KEY, F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("other")).alias("mb"), F.when(F.col("kind") == 0, F.col("other")).otherwise(F.col("own")).alias("qb"), "kind", "vid", "v")
-    pairs = blocked.groupBy(*_KEY, "mb", "qb").applyInArrow(_meet(top, deal), _BLOCKS)
+def _nearest(nodes: DataFrame, blocks: Blocks, top: int, deal: int, asked: int) -> DataFrame:
+    """(q, m, score): the best `top` members of each query among those that it looks at; nodes has node, q, cls, v."""
+    vector = dict(nodes.dtypes)["v"]
+    dealt = nodes.select("node", "q", "cls", "v").mapInArrow(_deal(blocks, -(-asked // ASKED) or 1), _DEALT + vector)
+    pairs = dealt.groupBy("block", "qpart").applyInArrow(_meet(blocks, top, deal), _BLOCKS)
     return pairs.groupBy("part").applyInArrow(_merge(top), _PAIRS)
 
 
-def search(vectors: DataFrame, query: str, top: int = 20, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def _vectors(v: DataFrame, top: int) -> DataFrame:
+    """node (in the order of the smallest vec_id), q, v, ids, norm, cls of each different vector: its smallest top + 1 ids, and whether one asks.
+
+    Vectors are told apart by 128 bits, so that they themselves are shuffled once; ids are counted in two steps, so that a vector of very many rows
+    is no task of its own."""
+    ids = v.select("vec_id", "q", "h1", "h2").distinct()
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(32))
+    few = ids.withColumn("n", F.row_number().over(W.partitionBy("h1", "h2", salt).orderBy("vec_id"))).where(F.col("n") <= top + 1)
+    few = few.withColumn("n", F.row_number().over(W.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("n") <= top + 1)
+    few = few.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    asked = ids.groupBy("h1", "h2").agg(F.max("q").alias("q"))
+    few = few.join(asked, ["h1", "h2"]).sort(F.col("ids")[0], "h1", "h2").withColumn("node", F.monotonically_increasing_id())
+    few = materialise(few, "ann-ids")
+    nodes = v.groupBy("h1", "h2").agg(F.first("embedding").alias("v")).join(few, ["h1", "h2"])
+    size = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / F.col("size"), F.lit(2.0)))
+    nodes = nodes.withColumn("size", size).withColumn("norm", F.col("size") * F.sqrt(square)).drop("size")
+    # 1 is in the middle of its class: unit vectors stay together whatever their rounding
+    return materialise(nodes.withColumn("cls", F.floor(F.log2("norm") + 0.5).cast("int")), "ann-vectors")
+
+
+def search(vectors: DataFrame, query: str, top: int = 20, tables: int = TABLES, probes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found to each row of vectors (vec_id, embedding) for which `query` holds.
 
     Nearest by inner product in double precision, over all rows but the query's own; ties go to the smaller vec_id.
-    Rows whose vector is null, zero or has null or non-finite components, or whose vec_id is null, take no part;
+    probes: axes that a query looks at in a table (a share PROBED of all, if not given). Every query gets `top` rows, or all candidates where
+    there are fewer. Rows whose vector is null, zero or has null or non-finite components, or whose vec_id is null, take no part;
     vectors of different lengths don't meet. Equal vectors are searched once: of each, the smallest top + 1 ids
-    can appear, and no more are kept. A repeated row is one row. Other columns are ignored.
+    can appear, and no more are kept. A repeated row is one row; rows that share a vec_id alone are searched one by one. Other columns are ignored.
     """
     spark = vectors.sparkSession
     ship(spark)
-    v = usable(vectors).withColumn("q", F.expr(query)).distinct()
-    # the smallest ids of each vector, in two steps, so that a vector of very many rows is no task of its own
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(32))
-    few = v.withColumn("_salt", salt)
-    few = few.withColumn("_n", F.row_number().over(W.partitionBy("embedding", "_salt").orderBy("vec_id"))).where(F.col("_n") <= top + 1)
-    few = few.withColumn("_n", F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))).where(F.col("_n") <= top + 1)
-    few = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    asked = v.groupBy("embedding").agg(F.max("q").alias("q"))
-    nodes = few.join(asked, "embedding").select(F.col("ids")[0].alias("vid"), "q", F.col("embedding").alias("v"), "ids")
-    size = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / F.col("size"), F.lit(2.0)))
-    nodes = nodes.withColumn("size", size).withColumn("norm", F.col("size") * F.sqrt(square)).drop("size")
-    # 1 is in the middle of its class: unit vectors stay together whatever their rounding
-    nodes = nodes.withColumn("cls", F.floor(F.log2("norm") + 0.5).cast("int"))
-    nodes = materialise(nodes, "ann-vectors")
-    per_class = nodes.groupBy(F.size("v").alias("dim"), "cls").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest")).collect()
+    v = usable(vectors).withColumn("q", F.expr(query)).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(7), "embedding"))
+    nodes = _vectors(v, top)
+    dim = F.size("v").alias("dim")
+    per_class = nodes.groupBy(dim, "cls").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("long")).alias("asked"), F.max("norm").alias("longest")).collect()
     longest = {(r.dim, r.cls): r.longest for r in per_class if r.n > SMALL}
-    small = {r.dim for r in per_class if r.n <= SMALL}
-    vector = dict(nodes.dtypes)["v"]
-    hashed = nodes.select("vid", "q", "cls", "v").mapInArrow(_hash(longest, small, tables, probes), f"dim int, cls int, tab int, axis int, kind int, vid long, v {vector}")
-    hashed = materialise(hashed, "ann-hashed")
-    deal = max(parts(spark), nodes.where("q").count() // 64)
-    best = _nearest(hashed, top + 1, deal)
+    asked = sum(r.asked for r in per_class)
+    counts, total = {}, defaultdict(int)
+    for r in per_class:
+        total[r.dim] += r.n
+        if (r.dim, r.cls) not in longest:
+            counts[r.dim, 0, -1] = counts.get((r.dim, 0, -1), np.zeros(1, np.int64)) + r.n
+    if longest:
+        hashed = nodes.select("node", "cls", "v").mapInArrow(_count(longest, tables), "dim int, cls int, tab int, axis int, n long")
+        for r in hashed.groupBy("dim", "cls", "tab", "axis").agg(F.sum("n").alias("n")).collect():  # a row for each axis of each class at most
+            counts.setdefault((r.dim, r.cls, r.tab), np.zeros(2 << int(r.dim).bit_length(), np.int64))[r.axis] = r.n
+    deal = max(parts(spark), asked // 64)
+    best = _nearest(nodes, Blocks(counts, longest, BLOCK, probes), top + 1, deal, asked)
     if longest:
         best = materialise(best, "ann-best")
         # a query that found fewer vectors than there are, and than it needs, meets all of its length
-        total = defaultdict(int)
-        for r in per_class:
-            total[r.dim] += r.n
         need = spark.createDataFrame([(d, min(n, top + 1)) for d, n in total.items()], "dim int, need long")
-        asked_nodes = nodes.where("q").select(F.size("v").alias("dim"), "vid", "v").join(F.broadcast(need), "dim")
         had = best.groupBy("q").agg(F.count(F.lit(1)).alias("had"))
-        short = asked_nodes.join(had, F.col("vid") == F.col("q"), "left").where(F.coalesce("had", F.lit(0)) < F.col("need")).select("dim", "vid", "v")
-        short = materialise(short, "ann-short")
-        if not short.isEmpty():
-            members = nodes.select(F.size("v").alias("dim"), "vid", "v").join(F.broadcast(short.select("dim").distinct()), "dim")
-            every = members.withColumn("kind", F.lit(0)).unionByName(short.withColumn("kind", F.lit(1)))
-            every = every.select("dim", *(F.lit(x).alias(c) for c, x in (("cls", 0), ("tab", -1), ("axis", 0))), "kind", "vid", "v")
-            again = _nearest(every, top + 1, deal)
-            best = best.join(short.select(F.col("vid").alias("q")), "q", "left_anti").unionByName(again)
+        short = nodes.where("q").select(dim, "node").join(F.broadcast(need), "dim").join(had, F.col("node") == F.col("q"), "left")
+        short = materialise(short.where(F.coalesce("had", F.lit(0)) < F.col("need")).select("node", F.lit(True).alias("short")), "ann-short")
+        n = short.count()
+        if n:
+            every = Blocks({(d, 0, -1): np.array([k]) for d, k in total.items()}, {}, BLOCK, None)
+            all_of = nodes.select("node", "cls", "v").join(short, "node", "left").withColumn("q", F.coalesce("short", F.lit(False)))
+            best = best.join(short.select(F.col("node").alias("q")), "q", "left_anti").unionByName(_nearest(all_of, every, top + 1, deal, n))
     # from vectors to rows: the first top + 1 ids of each asked vector, of which a query leaves itself out
-    found = best.join(nodes.select(F.col("vid").alias("m"), "ids"), "m").select("q", "score", F.explode("ids").alias("vec_id"))
+    found = best.join(nodes.select(F.col("node").alias("m"), "ids"), "m").select("q", "score", F.explode("ids").alias("vec_id"))
     found = found.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= top + 1)
-    found = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
-    asks = v.where("q").select(F.col("vec_id").alias("query_id"), "embedding").join(nodes.select(F.col("v").alias("embedding"), "vid"), "embedding")
-    asks = asks.select("query_id", "vid").join(found, F.col("vid") == F.col("q"))
+    found = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found")).withColumnRenamed("q", "node")
+    asks = v.where("q").select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct().join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
     left = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, top)
-    out = asks.select("query_id", F.posexplode(left).alias("n", "x"))
+    out = asks.join(found, "node").select("query_id", F.posexplode(left).alias("n", "x"))
     return out.select("query_id", (F.col("n") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 

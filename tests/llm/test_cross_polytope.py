@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from genoflux.llm import cross_polytope as m
 
@@ -75,6 +76,34 @@ def test_recall_with_one_long_vector(spark, monkeypatch):
     assert recall(spark, rows, 10) >= 0.9
 
 
+@pytest.mark.parametrize("n", [1, 2, 21, 30, 45])
+@pytest.mark.parametrize("small", [0, 4096])
+def test_few_rows(spark, monkeypatch, n, small):
+    monkeypatch.setattr(m, "SMALL", small)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(n).normal(size=(n, 64)))]
+    got = {}
+    for r in m.search(table(spark, rows), "vec_id % 20 = 0").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: len(g) for q, g in got.items()} == {q: min(20, n - 1) for q in range(0, n, 20) if n > 1}
+    if small:
+        assert {q: [v for _, v in sorted(g)] for q, g in got.items()} == {q: [j for _, j in w] for q, w in exact(rows, 20).items() if q % 20 == 0 and n > 1}
+
+
+def test_blocks():
+    counts = {(64, 0, 0): np.array([5, 0, 3, 25, 1, 9, 2, 2]), (64, 0, -1): np.array([31])}
+    b = m.Blocks(counts, {}, 10, None)
+    assert b.parts[64, 0, -1].tolist() == [4] and b.parts[64, 0, 0].tolist() == [1, 1, 1, 3, 1, 1, 1, 1]
+    assert b.first[64, 0, 0].tolist() == [4, 4, 4, 5, 8, 8, 9, 9] and len(b.of) == 10 and b.of[4:] == [(64, 0, 0)] * 6
+    r, block = b.queries((64, 0, -1), np.ones((2, 64)))
+    assert r.tolist() == [0] * 4 + [1] * 4 and block.tolist() == [0, 1, 2, 3] * 2
+
+
+def test_ids_that_vectors_share(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (1, [1.0, 0.1])]
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in m.search(table(spark, rows), "vec_id % 5 = 0", 2).collect())
+    assert got == [(0, 1, 1, 1.0), (0, 1, 2, 1.0), (0, 2, 1, 0.1), (0, 2, 2, 0.1)]
+
+
 def test_queries_with_few_candidates_see_all(spark, monkeypatch):
     monkeypatch.setattr(m, "SMALL", 0)
     rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(5).normal(size=(60, 64)))]
