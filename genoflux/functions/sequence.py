@@ -61,6 +61,15 @@ def chromosome_of(path: Column) -> Column:
     return F.regexp_extract(path, r".*(chr[^.]*)\.", 1)
 
 
+def flip(c: Column) -> Column:
+    return ~c
+
+
+def random_between(low: int, high: int, seed: int | None = None) -> Column:
+    """A random whole number from low to high, both included."""
+    return (F.floor(F.rand(seed) * (high - low + 1)) + low).cast("bigint")
+
+
 def pieces(s: Column, size: int) -> Column:
     """Consecutive pieces of `size` letters, the last maybe shorter; one pass over the string, where a substring for
     each piece would count letters from the start every time."""

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from genoflux.functions.sequence import pieces
 
-from .intervals import BIN
+from .intervals import BIN, merge, overlap_join
 
 
 def spikes(cov: DataFrame, low: float, high: float, width: int = 1 << 20) -> DataFrame:
@@ -36,13 +36,25 @@ def pad_spikes(runs: DataFrame, by: int = 2, length: int | None = None) -> DataF
     return runs.where("state = 'high'").select("chr", F.greatest(F.col("start") - by, F.lit(1)).alias("start"), (end if length is None else F.least(end, F.lit(length))).alias("end"))
 
 
+def sequence_pieces(seqs: DataFrame, size: int = 1 << 14) -> DataFrame:
+    """(id, start, seq): sequences (id, seq) in pieces of `size` letters, from 1. Pieces, as a reader gives them, stay as they are."""
+    if "start" in seqs.columns:
+        return seqs.select("id", "start", "seq")
+    d = seqs.select("id", F.posexplode(pieces(F.col("seq"), size)).alias("k", "seq"))
+    return d.select("id", (F.col("k") * F.lit(size).cast("bigint") + 1).alias("start"), "seq")
+
+
 def letter_runs(seqs: DataFrame, letters: str = "nN") -> DataFrame:
-    """(id, start, end): maximal runs of the letters in each sequence (id, seq), from 1."""
+    """(id, start, end): maximal runs of the letters in each sequence, from 1. seqs: (id, seq), or pieces (id, start, seq).
+
+    Runs are found in each piece and joined over the pieces' borders.
+    """
     cut = F.split("seq", f"(?<=[{letters}])(?=[^{letters}])|(?<=[^{letters}])(?=[{letters}])")
-    d = seqs.select("id", F.posexplode(cut).alias("k", "piece"))
-    w = W.partitionBy("id").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("end", F.sum(F.length("piece")).over(w))
-    return d.where(F.col("piece").rlike(f"^[{letters}]")).select("id", (F.col("end") - F.length("piece") + 1).alias("start"), "end")
+    d = sequence_pieces(seqs).where(F.col("seq").rlike(f"[{letters}]")).select("id", "start", F.posexplode(cut).alias("k", "piece"))
+    before = F.coalesce(F.sum(F.length("piece")).over(W.partitionBy("id", "start").orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    d = d.withColumn("at", F.col("start") + before).where(F.col("piece").rlike(f"^[{letters}]"))
+    runs = merge(d.select(F.col("id").alias("chr"), F.col("at").alias("start"), (F.col("at") + F.length("piece") - 1).alias("end")), 1)
+    return runs.select(F.col("chr").alias("id"), "start", "end")
 
 
 def count_letters(s: Column, letters: str) -> Column:
@@ -56,12 +68,44 @@ def gc_bin(gc: Column, at: Column, bins: int = 50) -> Column:
 
 
 def gc_windows(seqs: DataFrame, size: int = 500, bins: int = 50) -> DataFrame:
-    """(id, win, len, gc, at, bin) of consecutive windows of each sequence (id, seq); the last may be shorter."""
-    d = seqs.select("id", F.posexplode(pieces(F.col("seq"), size)).alias("win", "s"))
+    """(id, win, len, gc, at, bin) of consecutive windows of each sequence; the last may be shorter. seqs: (id, seq), or pieces (id, start, seq)."""
+    if "start" in seqs.columns:
+        end = F.col("start") + F.length("seq") - 1
+        d = seqs.withColumn("win", F.explode(F.sequence(F.floor((F.col("start") - 1) / size), F.floor((end - 1) / size))))
+        first = F.greatest(F.col("win") * size + 1, F.col("start"))
+        s = F.substring("seq", (first - F.col("start") + 1).cast("int"), (F.least((F.col("win") + 1) * size, end) - first + 1).cast("int"))
+        d = d.select("id", F.col("win").cast("int").alias("win"), s.alias("s"))
+    else:
+        d = seqs.select("id", F.posexplode(pieces(F.col("seq"), size)).alias("win", "s"))
     d = d.select("id", "win", F.length("s").alias("len"), count_letters(F.col("s"), "gcGC").alias("gc"), count_letters(F.col("s"), "atAT").alias("at"))
+    if "start" in seqs.columns:
+        d = d.groupBy("id", "win").agg(*(F.sum(c).cast("int").alias(c) for c in ("len", "gc", "at")))
     return d.withColumn("bin", gc_bin(F.col("gc"), F.col("at"), bins))
 
 
+def window_intervals(windows: DataFrame, size: int = 500) -> DataFrame:
+    """Windows (id, win, len, ...) with chr, start, end."""
+    start = F.col("win").cast("bigint") * size + 1
+    return windows.withColumn("chr", F.col("id")).withColumn("start", start).withColumn("end", start + F.col("len") - 1)
+
+
+def position_lambda(windows: DataFrame, masks: DataFrame, lam: DataFrame, size: int = 500) -> DataFrame:
+    """(chr, start, end, lam): expected depth along each sequence, as maximal stretches of a window in which it is the same.
+
+    windows: (id, win, len, bin); masks: (chr, start, end), unknown letters included; lam: (bin, lam) of every bin, a row for each. Masked positions,
+    and those of windows without a known letter, have no expected depth.
+    """
+    w = window_intervals(windows, size).select("chr", "start", "end", "bin").join(F.broadcast(lam), "bin", "left").select("chr", "start", "end", "lam")
+    hit = overlap_join(w.select("chr", "start", "end"), merge(masks, 1))
+    hit = hit.groupBy("chr", "start", "end").agg(F.array_sort(F.collect_list(F.struct(F.greatest("start", "r_start").alias("s"), F.least("end", "r_end").alias("e")))).alias("m"))
+    d = w.join(hit, ["chr", "start", "end"], "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<s:bigint,e:bigint>>")))
+    open_ = F.arrays_zip(F.concat(F.array("start"), F.transform("m", lambda x: x["e"] + 1)).alias("s"), F.concat(F.transform("m", lambda x: x["s"] - 1), F.array("end")).alias("e"))
+    own = F.transform(F.filter(open_, lambda x: x["s"] <= x["e"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.col("lam").alias("lam")))
+    none = F.transform("m", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(None).cast("double").alias("lam")))
+    d = d.select("chr", F.explode(F.concat(own, none)).alias("x"))
+    return d.select("chr", F.col("x.s").alias("start"), F.col("x.e").alias("end"), "x.lam")
+
+
 def bin_lambda(windows: DataFrame) -> DataFrame:
     """(bin, hits, length, lam): arrivals per position of windows (bin, hits, len) of each bin."""
     d = windows.where("bin is not null").groupBy("bin").agg(F.sum("hits").alias("hits"), F.sum("len").alias("length"))
@@ -84,6 +128,18 @@ def gc_content(seqs: DataFrame, start: int, end: int) -> DataFrame:
     return d.select("id", F.round(F.try_divide("g", "n"), 6).alias("gc"), F.round(F.col("n") / F.col("len"), 6).alias("known"))
 
 
+def gc_content_of(seqs: DataFrame, regions: DataFrame) -> DataFrame:
+    """(id, start, end, gc, known) of each of regions (id, start, end) of sequences (id, seq) or pieces (id, start, seq), as gc_content has it."""
+    p = sequence_pieces(seqs)
+    p = p.select(F.col("id").alias("chr"), "start", (F.col("start") + F.length("seq") - 1).alias("end"), "seq")
+    j = overlap_join(regions.select(F.col("id").alias("chr"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")).distinct(), p)
+    first = F.greatest("start", "r_start")
+    s = F.substring("r_seq", (first - F.col("r_start") + 1).cast("int"), (F.least("end", "r_end") - first + 1).cast("int"))
+    d = j.select(F.col("chr").alias("id"), "start", "end", s.alias("s"))
+    d = d.groupBy("id", "start", "end").agg(F.sum(count_letters(F.col("s"), "gcGC")).alias("g"), F.sum(count_letters(F.col("s"), "acgtACGT")).alias("n"), F.sum(F.length("s")).alias("len"))
+    return d.select("id", "start", "end", F.round(F.try_divide("g", "n"), 6).alias("gc"), F.round(F.col("n") / F.col("len"), 6).alias("known"))
+
+
 def positions_in(regions: DataFrame, cov: DataFrame, width: int = BIN) -> DataFrame:
     """Columns of regions (chr, start, end, ...) and pos, cov, lam of each position inside."""
     r = regions.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))

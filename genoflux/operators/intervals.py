@@ -39,6 +39,16 @@ def left_of(e1, s2) -> Column:
     return e1 < s2
 
 
+def reaches(chr1, e1, chr2, s2) -> Column:
+    """Of two intervals in order, whether the first goes on to the start of the second."""
+    return (chr1 == chr2) & (e1 >= s2)
+
+
+def before(chr1, s1, chr2, s2) -> Column:
+    """Strict order by chromosome and start."""
+    return (chr1 < chr2) | ((chr1 == chr2) & (s1 < s2))
+
+
 def with_previous(df: DataFrame, by: str, at: str, value: str, out: str, width: int = 1 << 20) -> DataFrame:
     """df with `out`: the value of the row before it by `at` among rows of equal `by`; null for the first.
 
@@ -101,28 +111,29 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFra
     return pair.where(F.col("_bin") == first).drop("_bin", "_rbin")
 
 
-def _anchored(left: DataFrame, right: DataFrame, width: int | None) -> tuple[DataFrame, DataFrame]:
-    """left keyed by the bin of its start alone, right in every bin from which a left interval can reach it."""
-    if width is None:
-        longest = left.agg(F.max(F.col("end") - F.col("start") + 1)).first()[0] or 1
-        width = max(BIN, int(longest))
-    a = left.withColumn("_bin", F.floor(F.col("start") / width))
+def _overlapping(left: DataFrame, right: DataFrame, how: str, width: int) -> DataFrame:
+    """Rows of left by whether they overlap an interval of right. Rows up to `width` long are keyed by the bin of their start alone, and right is
+    in every bin from which they can reach it; longer ones are looked up in all their bins, once for each different row."""
     b = right.select(F.col("chr").alias("_chr"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    b = b.withColumn("_rbin", F.explode(F.sequence(F.floor(F.col("_s") / width) - 1, F.floor(F.col("_e") / width))))
-    return a, b
+    size = F.col("end") - F.col("start") + 1
+    a = left.where(size <= width).withColumn("_bin", F.floor(F.col("start") / width))
+    near = b.withColumn("_rbin", F.explode(F.sequence(F.floor(F.col("_s") / width) - 1, F.floor(F.col("_e") / width))))
+    on = lambda x, y: (x["chr"] == y["_chr"]) & (x["_bin"] == y["_rbin"]) & overlaps(x["start"], x["end"], y["_s"], y["_e"])
+    short = a.join(near, on(a, near), how).drop("_bin")
+    far = b.withColumn("_rbin", _bins(F.col("_s"), F.col("_e"), width))
+    long = left.where(size > width)
+    each = long.select("chr", "start", "end").distinct().withColumn("_bin", _bins(F.col("start"), F.col("end"), width))
+    hit = each.join(far, on(each, far), "left_semi").select("chr", "start", "end").distinct()
+    return short.unionByName(long.join(hit, ["chr", "start", "end"], how).select(left.columns))
 
 
-def overlap_anti(left: DataFrame, right: DataFrame, width: int | None = None) -> DataFrame:
-    """Rows of left that overlap no interval of right. width: at least the longest of left; found if not given."""
-    a, b = _anchored(left, right, width)
-    on = (a["chr"] == b["_chr"]) & (a["_bin"] == b["_rbin"]) & overlaps(a["start"], a["end"], b["_s"], b["_e"])
-    return a.join(b, on, "left_anti").drop("_bin")
+def overlap_anti(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
+    """Rows of left that overlap no interval of right."""
+    return _overlapping(left, right, "left_anti", width)
 
 
-def overlap_semi(left: DataFrame, right: DataFrame, width: int | None = None) -> DataFrame:
-    a, b = _anchored(left, right, width)
-    on = (a["chr"] == b["_chr"]) & (a["_bin"] == b["_rbin"]) & overlaps(a["start"], a["end"], b["_s"], b["_e"])
-    return a.join(b, on, "left_semi").drop("_bin")
+def overlap_semi(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
+    return _overlapping(left, right, "left_semi", width)
 
 
 def without_points_in(df: DataFrame, points: dict[str, Column], right: DataFrame, width: int = BIN) -> DataFrame:

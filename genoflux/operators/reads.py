@@ -7,14 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def block_weights(maps: DataFrame) -> DataFrame:
-    """maps with weight = 1 / number of the read's mappings, over all references, before any reference is left out."""
-    return maps.withColumn("weight", 1.0 / F.count(F.lit(1)).over(W.partitionBy("read_id")))
+#: Reference of a mapping that has none.
+UNMAPPED = "-1"
 
 
-def coverage(maps: DataFrame) -> DataFrame:
-    """(ref_name, ref_pos, cov): sum of weights of the mappings at each position."""
-    return block_weights(maps).groupBy("ref_name", "ref_pos").agg(F.round(F.sum("weight"), 6).alias("cov"))
+def block_weights(maps: DataFrame, order: str | None = None) -> DataFrame:
+    """maps with weight = 1 / number of the read's mappings, over all references, before any reference is left out.
+
+    A read whose first mapping, by `order`, is on no reference is left out as a whole; without an order, one all of whose mappings are.
+    """
+    w = W.partitionBy("read_id")
+    first = F.max("ref_name").over(w) if order is None else F.first("ref_name").over(w.orderBy(order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    d = maps.withColumn("weight", 1.0 / F.count(F.lit(1)).over(w)).withColumn("_first", first)
+    return d.where(F.col("_first") != UNMAPPED).drop("_first")
+
+
+def coverage(maps: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """(ref_name, ref_pos, cov): sum of weights of the mappings at each position. A position beyond its reference of lengths (ref_name,
+    length) is an error."""
+    d = block_weights(maps).groupBy("ref_name", "ref_pos").agg(F.round(F.sum("weight"), 6).alias("cov"))
+    if lengths is None:
+        return d
+    wrong = F.raise_error(F.concat(F.lit("position "), "ref_pos", F.lit(" is beyond "), "ref_name"))
+    d = d.join(lengths.select("ref_name", "length"), "ref_name", "left")
+    return d.withColumn("ref_pos", F.when(F.col("ref_pos") > F.col("length"), wrong.cast("bigint")).otherwise(F.col("ref_pos"))).drop("length")
 
 
 def on_references(maps: DataFrame, refs: DataFrame) -> DataFrame:
@@ -36,15 +52,23 @@ def pair_distance(left_pos: Column, right_pos: Column, kind: Column, read_len: i
     return right_pos - left_pos + read_len * F.when(kind == 0, 1).when(kind == 1, 3).otherwise(2)
 
 
-def mate_pairs(maps: DataFrame, read_len: int) -> DataFrame:
-    """All pairs of a first and a second mate of one template on one reference, with type and distance.
+def mate_pairs(maps: DataFrame, read_len: int, most: int | None = None) -> DataFrame:
+    """All pairs of a first and a second mate of one template on one reference, with type and distance; only those whose positions are at most
+    `most` apart, if given, which then also bounds what is joined.
 
     Equal positions: the second mate is the left one.
     """
     m = maps.withColumn("template", template(F.col("read_id")))
     f = m.where("read_id % 2 = 0").select("template", "ref_name", F.col("ref_pos").alias("fp"), F.col("orientation").alias("fo"))
     b = m.where("read_id % 2 = 1").select("template", "ref_name", F.col("ref_pos").alias("bp"), F.col("orientation").alias("bo"))
-    p = f.join(b, ["template", "ref_name"])
+    if most is None:
+        p = f.join(b, ["template", "ref_name"])
+    else:
+        # a template may map to very many places: mates meet in stretches of the reference
+        here = F.floor(F.col("bp") / most)
+        f = f.withColumn("_bin", F.floor(F.col("fp") / most))
+        b = b.withColumn("_bin", F.explode(F.array(here - 1, here, here + 1)))
+        p = f.join(b, ["template", "ref_name", "_bin"]).where(F.abs(F.col("fp") - F.col("bp")) <= most).drop("_bin")
     left = F.col("fp") < F.col("bp")
     p = p.select(
         "template", "ref_name", F.least("fp", "bp").alias("left_pos"), F.greatest("fp", "bp").alias("right_pos"),
@@ -60,7 +84,7 @@ def is_concordant(lower: int, upper: int) -> Column:
 
 def discordant_pairs(maps: DataFrame, read_len: int, lower: int, upper: int, most: int) -> DataFrame:
     """Pairs at most `most` apart of templates that have no concordant pair."""
-    p = mate_pairs(maps, read_len)
+    p = mate_pairs(maps, read_len, max(1, upper, most))
     ok = F.max(is_concordant(lower, upper).cast("int")).over(W.partitionBy("template"))
     p = p.withColumn("_ok", ok).where("_ok = 0").drop("_ok")
     return p.where(F.col("dist") <= most).withColumnRenamed("template", "read_id")

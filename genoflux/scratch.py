@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -14,19 +15,28 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it only a master that is one process gets a folder of its own."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="genoflux-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that goes with the application, or with drop_since."""
+    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: cuts the lineage, survives lost executors,
     and lets Spark drop the shuffle files of the job that made it."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     before = None
     with contextlib.suppress(Exception):
         before = spark.conf.get(_CLEANUP)
@@ -36,14 +46,30 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     finally:
         if before is not None:
             spark.conf.set(_CLEANUP, before)
-    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def mark() -> int:
+    """How many tables there are, for drop_since."""
+    return len(_made)
+
+
+def drop_since(since: int, keep: int = 0) -> None:
+    """Delete the tables made since a mark, but for the last `keep`, once nothing is to be read from them again."""
+    gone = _made[since : len(_made) - keep]
+    for spark, path in gone:
+        _delete(spark, path)
+    del _made[since : len(_made) - keep]
+
+
 @atexit.register
 def _sweep() -> None:
     """Scratch tables go with the application; results that are still to be read must not lose them earlier."""
     for spark, path in _made:
-        with contextlib.suppress(Exception):
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, path)

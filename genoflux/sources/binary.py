@@ -3,42 +3,119 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from genoflux.shipping import ship
 
-#: struct formats of the records, little-endian with C padding on 64-bit machines.
+#: Fields of the records with their places, little-endian, and sizes of the records, with C padding on 64-bit machines.
 RECORDS = {
-    "double": ("<d", ["value"]),
-    "int": ("<i", ["value"]),
-    "mapping": ("<Qc10s5xQd", ["read_id", "orientation", "ref_name", "ref_pos", "normodds"]),
-    "graph": ("<32sQQc7xQ", ["contig", "start", "end", "strand", "edge_id"]),
+    "double": ([("value", "<f8", 0)], 8),
+    "int": ([("value", "<i4", 0)], 4),
+    "mapping": ([("read_id", "<i8", 0), ("orientation", "S1", 8), ("ref_name", "S10", 9), ("ref_pos", "<i8", 24), ("normodds", "<f8", 32)], 40),
+    "graph": ([("contig", "S32", 0), ("start", "<i8", 32), ("end", "<i8", 40), ("strand", "S1", 48), ("edge_id", "<i8", 56)], 64),
 }
-_TYPES = {"value": T.DoubleType(), "orientation": T.StringType(), "ref_name": T.StringType(), "contig": T.StringType(), "strand": T.StringType(), "normodds": T.DoubleType()}
+#: Records that a decoded row batch stands for.
+CHUNK = 8192
+
+
+def layout(kind: str) -> np.dtype:
+    fields, size = RECORDS[kind]
+    return np.dtype({"names": [f[0] for f in fields], "formats": [f[1] for f in fields], "offsets": [f[2] for f in fields], "itemsize": size})
+
+
+def schema(kind: str) -> str:
+    types = {"f": "double", "i": "long", "S": "string"}
+    return "pos long, " + ", ".join(f"`{n}` {types[np.dtype(t).kind]}" for n, t, _ in RECORDS[kind][0])
+
+
+def _column(a: np.ndarray) -> pa.Array:
+    if a.dtype.kind != "S":
+        return pa.array(a.astype("f8" if a.dtype.kind == "f" else "i8"))
+    names, which = np.unique(a, return_inverse=True)  # names are few, records many
+    return pa.array([x.split(b"\0")[0].decode() for x in names.tolist()], pa.string()).take(pa.array(which))
+
+
+def decode(kind: str, at: int, body: bytes) -> pa.RecordBatch:
+    """Records of a stretch of a file whose first has the number `at`, from 0."""
+    r = np.frombuffer(body, layout(kind))
+    names = [f[0] for f in RECORDS[kind][0]]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(at + 1, at + 1 + len(r))), *(_column(r[n]) for n in names)], ["pos", *names])
+
+
+def _stretches(records) -> Iterator[tuple[int, bytearray]]:
+    """Consecutive records put together, with the number of the first."""
+    first, held, n = 0, [], 0
+    for k, body in records:
+        if held and (n == CHUNK or k != first + n):
+            yield first, bytearray(b"".join(held))
+            held, n = [], 0
+        if not held:
+            first = k
+        held.append(bytes(body))
+        n += 1
+    if held:
+        yield first, bytearray(b"".join(held))
+
+
+def _cleaned(d: DataFrame, missing: float | None) -> DataFrame:
+    return d if missing is None else d.withColumn("value", F.when(F.col("value") != missing, F.col("value")))
 
 
 def read_records(spark: SparkSession, path: str, kind: str, missing: float | None = None) -> DataFrame:
     """(pos, ...) of every record of a file; pos counts from 1. A double equal to `missing` becomes null.
 
-    Files are split at whole records, so that one large array is many tasks.
+    Files are split at whole records, so that one large array is many tasks; records are decoded by the thousand.
     """
-    form, names = RECORDS[kind]
-    size = struct.calcsize(form)
-    types = {n: _TYPES.get(n, T.LongType()) for n in names}
-    if kind == "int":
-        types["value"] = T.LongType()
-    schema = T.StructType([T.StructField("pos", T.LongType())] + [T.StructField(n, types[n]) for n in names])
+    ship(spark)
+    conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(RECORDS[kind][1])}
+    kinds = ("org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable")
+    parts = spark.sparkContext.newAPIHadoopFile(path, *kinds, conf=conf).mapPartitions(_stretches)
 
-    def clean(x):
-        return x.rstrip(b"\0").split(b"\0")[0].decode() if isinstance(x, bytes) else x
+    def run(batches):
+        for b in batches:
+            for at, body in zip(b.column(0).to_pylist(), b.column(1)):
+                yield decode(kind, at, body.as_buffer())
+
+    return _cleaned(spark.createDataFrame(parts, "at long, body binary").mapInArrow(run, schema(kind)), missing)
+
+
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def count_records(spark: SparkSession, path: str, kind: str) -> int:
+    fs, p = _file(spark, path)
+    return fs.getFileStatus(p).getLen() // RECORDS[kind][1]
+
+
+def read_range(spark: SparkSession, path: str, kind: str, start: int, end: int, missing: float | None = None) -> DataFrame:
+    """(pos, ...) of the records start..end (from 1, closed) of one file, by a seek: nothing else is read. For stretches that fit the driver."""
+    size, n = RECORDS[kind][1], count_records(spark, path, kind)
+    start, end = max(1, start), min(end, n)
+    rows: list = []
+    if start <= end:
+        fs, p = _file(spark, path)
+        f = fs.open(p)
+        try:
+            f.seek((start - 1) * size)
+            rows = decode(kind, start - 1, bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(f, (end - start + 1) * size))).to_pylist()
+        finally:
+            f.close()
+    return _cleaned(spark.createDataFrame([tuple(r.values()) for r in rows], schema(kind)), missing)
 
-    ship(spark)
-    rows = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda r: (r[1] + 1, *(clean(x) for x in struct.unpack(form, bytes(r[0])))))
-    d = spark.createDataFrame(rows, schema)
-    return d if missing is None else d.withColumn("value", F.when(F.col("value") != missing, F.col("value")))
+
+def records_from(spark: SparkSession, path: str, kind: str, offset: int, missing: float | None = None) -> DataFrame:
+    """Records of one file after the first `offset`; of a negative one, the last so many, by a seek."""
+    if offset >= 0:
+        return read_records(spark, path, kind, missing).where(F.col("pos") > offset)
+    n = count_records(spark, path, kind)
+    return read_range(spark, path, kind, n + offset + 1, n, missing)
 
 
 def pack_array(values: list[float | None], missing: float = -1.0) -> bytes:
@@ -51,3 +128,37 @@ def dense_blocks(cov: DataFrame, value: str, block: int = 4096, empty: float = 0
     d = cov.groupBy("chr", F.floor((F.col("pos") - 1) / block).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(((F.col("pos") - 1) % block).cast("int"), F.col(value)))).alias("m"))
     filled = F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(empty)))
     return d.select("chr", "block", filled.alias("body"))
+
+
+def array_blocks(cov: DataFrame, value: str, block: int = 4096, empty: float = 0.0) -> DataFrame:
+    """(name, part, body binary): the whole array of each chr in order, blocks without a row included, for save_files."""
+    d = dense_blocks(cov, value, block, empty)
+    every = d.groupBy("chr").agg(F.max("block").alias("last")).select("chr", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("block"))
+    d = every.join(d, ["chr", "block"], "left").select("chr", "block", F.coalesce("body", F.array_repeat(F.lit(empty), block)).alias("body"))
+
+    def run(batches):
+        for b in batches:
+            off = b.column(2).offsets.to_numpy()
+            flat = b.column(2).values.to_numpy(zero_copy_only=False).astype("<f8")
+            body = [flat[i:j].tobytes() for i, j in zip(off[:-1], off[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(body, pa.binary())], ["name", "part", "body"])
+
+    ship(cov.sparkSession)
+    return d.mapInArrow(run, "name string, part long, body binary")
+
+
+def save_files(bodies: DataFrame, folder: str) -> None:
+    """One file for each name of bodies (name, part, body), its parts in order. A file is one stream, so the driver writes it, a partition of
+    rows at a time; it works with any file system that Spark can write."""
+    spark = bodies.sparkSession
+    name, out = None, None
+    for r in bodies.orderBy("name", "part").toLocalIterator():
+        if r["name"] != name:
+            if out is not None:
+                out.close()
+            name = r["name"]
+            fs, p = _file(spark, f"{folder}/{name}")
+            out = fs.create(p)
+        out.write(bytes(r["body"]))
+    if out is not None:
+        out.close()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -61,6 +61,31 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return whole.select("path", F.regexp_extract("value", r"^>?\s*(\S*)", 1).alias("name"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"[\r\n]", "").alias("seq"))
 
 
+def read_fasta_pieces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, name, start, seq): the lines of each file's sequence with where they begin in it, from 1; the first line is the header.
+
+    A file is read in splits: lines are counted inside their split, and splits inside their file, so that no task sees a chromosome.
+    """
+    lines = spark.read.text(paths).select(
+        F.input_file_name().alias("path"), F.input_file_block_start().alias("split"), F.monotonically_increasing_id().alias("at"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("seq")
+    )
+    head = F.col("seq").startswith(">")
+    names = lines.where(head).groupBy("path").agg(F.min_by("seq", F.struct("split", "at")).alias("seq")).select("path", F.regexp_extract("seq", r"^>\s*(\S*)", 1).alias("name"))
+    d = lines.where(~head & (F.col("seq") != ""))
+    sizes = d.groupBy("path", "split").agg(F.sum(F.length("seq")).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum(F.length("seq")).over(W.partitionBy("path", "split").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    d = d.withColumn("inside", inside).join(sizes.select("path", "split", before.alias("before")), ["path", "split"])
+    return d.join(names, "path", "left").select("path", F.coalesce("name", F.lit("")).alias("name"), (F.col("before") + F.col("inside") + 1).alias("start"), "seq")
+
+
+def fasta_lines(seqs: DataFrame, width: int = 60) -> DataFrame:
+    """(name, part, value): the lines of a FASTA file of each sequence (name, seq), in the order of part."""
+    d = seqs.select("name", F.posexplode(pieces(F.col("seq"), width)).alias("part", "value"))
+    head = seqs.select("name", F.lit(-1).alias("part"), F.concat(F.lit(">"), "name").alias("value"))
+    return head.unionByName(d)
+
+
 def fasta_length(spark: SparkSession, path: str) -> DataFrame:
     """Letters outside header lines; lines are counted where they lie, without joining the sequence."""
     return spark.read.text(path).where("value not like '%>%'").agg(F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("length"))
@@ -124,10 +149,13 @@ def problem_lines(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
 
 def read_dimacs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(arcs, supply) of a minimum-cost flow problem: `a tail head low cap cost` and `n node excess` lines."""
+    from genoflux.operators.graph import dense_ids
+
     d = _fields(spark.read.text(path)).withColumn("at", F.monotonically_increasing_id())
     num = lambda i: d.f[i].cast("bigint")
     arcs = d.where(d.f[0] == "a").select("at", num(1).alias("tail"), num(2).alias("head"), num(3).alias("low"), num(4).alias("cap"), num(5).alias("cost"))
-    arcs = arcs.withColumn("arc_id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("at")).cast("bigint")).drop("at")  # one problem's file
+    # numbered in the order of lines: inside each task's lines, and the tasks by their counts
+    arcs = dense_ids(arcs.withColumn("task", F.shiftright("at", 33)), ["task", "at"], "arc_id").withColumn("arc_id", (F.col("arc_id") + 1).cast("bigint")).drop("at", "task")
     return arcs, d.where(d.f[0] == "n").select(num(1).alias("node"), num(2).alias("excess"))
 
 
@@ -148,6 +176,35 @@ def write_calls(calls: DataFrame, path: str) -> None:
     calls.withColumn("_chr", F.col("chr")).write.partitionBy("_chr").csv(path, sep="\t")
 
 
+def graph_dump(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
+    """(value): lines of a graph for viewers. 'sif': `from edge to` of each of edges (edge_id, from_node, to_node, length, ...); 'attributes':
+    `from (edge) to = length`; 'table': tab-separated edges with their columns as they are, and 'nodes': of nodes."""
+    name = lambda c: F.col(c).cast("string")
+    if kind == "sif":
+        return edges.select(F.concat_ws(" ", name("from_node"), name("edge_id"), name("to_node")).alias("value"))
+    if kind == "attributes":
+        return edges.select(F.concat(name("from_node"), F.lit(" ("), name("edge_id"), F.lit(") "), name("to_node"), F.lit(" = "), name("length")).alias("value"))
+    if kind in ("table", "nodes"):
+        d = edges if kind == "table" else nodes
+        return d.select(F.concat_ws("\t", *(F.coalesce(name(c), F.lit("")) for c in d.columns)).alias("value"))
+    raise ValueError(f"unknown dump {kind}")
+
+
+def log_time(ts: Column) -> Column:
+    """A time as the log has it: 9:5:3, Mon Jan 7, 2008."""
+    return F.date_format(ts, "H:m:s, E MMM d, yyyy")
+
+
+def log_lines(commands: DataFrame) -> DataFrame:
+    """(value): lines of the execution log of commands (ts, command)."""
+    return commands.select(F.concat(log_time(F.col("ts")), F.lit("\t\t"), "command").alias("value"))
+
+
+def append_log(commands: DataFrame, path: str) -> None:
+    """Add commands (ts, command) to the log in a folder."""
+    log_lines(commands).write.mode("append").text(path)
+
+
 def write_by_reference(df: DataFrame, path: str, refs: DataFrame | None = None, by: tuple[str, ...] = ("ref_name",)) -> None:
     """Parquet, a folder for each reference (and type); rows on references outside refs (ref_name) are left out."""
     d = df if refs is None else df.join(refs, "ref_name", "left_semi")
