@@ -54,6 +54,11 @@ def donor_report(links: DataFrame, flows: DataFrame) -> DataFrame:
     return links.join(flows, "id").where("flow <> 0")
 
 
+def graph_size(edges: DataFrame) -> DataFrame:
+    """(size, rows): one more than the largest edge_id, and rows of edges."""
+    return edges.agg((F.coalesce(F.max("edge_id"), F.lit(-1)) + 1).alias("size"), F.count(F.lit(1)).alias("rows"))
+
+
 def bits(kind: Column) -> tuple[Column, Column]:
     """Ends (from, to) that a link's orientation 0..3 joins: 0 (0,1), 1 (1,0), 2 (0,0), 3 (1,1)."""
     return F.when(kind.isin(1, 3), 1).otherwise(0), F.when(kind.isin(0, 3), 1).otherwise(0)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from genoflux.scratch import materialise
 from genoflux.shipping import ship
 
+from .graph import dense_ids
+
 WINDOW, MATCHES = 100, 99
 
 
@@ -63,7 +65,6 @@ def repeat_pairs(axt: DataFrame, lengths: DataFrame) -> DataFrame:
     ship(axt.sparkSession)
     d = axt.join(lengths.select(F.col("contig").alias("contig2"), "length"), "contig2")
     d = d.select("num", "contig1", "start1", "contig2", "start2", "strand", "s1", "s2", "length").mapInPandas(run, "num long, k long, contig string, start long, end long, strand string")
-    each = d.select("num", "k").distinct()
-    sizes = each.groupBy("num").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("b", F.coalesce(F.sum("n").over(W.orderBy("num").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("num", "b")
-    return d.join(before, "num").select((F.col("b") + F.col("k")).alias("edge_id"), "contig", "start", "end", "strand")
+    d = materialise(d, "stretches")  # used twice
+    each = dense_ids(d.select("num", "k").distinct().withColumn("slice", F.floor(F.col("num") / 65_536)), ["slice", "num", "k"], "edge_id")
+    return d.join(each.drop("slice"), ["num", "k"]).select("edge_id", "contig", "start", "end", "strand")

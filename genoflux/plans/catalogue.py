@@ -34,10 +34,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import files  # noqa: F401  adds its own
+
     return _Q
 
 
 def oracle_sql() -> dict:
+    from . import files  # noqa: F401
+
     return _S
 
 

@@ -99,10 +99,15 @@ def chunk_sequence(seqs: DataFrame, size: int = 1 << 20, overlap: int = 0) -> Da
     return d.select("name", "chunk", (F.col("chunk") * size + 1).alias("start"), "seq")
 
 
+def tiles(reads: DataFrame, start: int, end: int) -> DataFrame:
+    """(id, i, value): FASTA records SIM_LOC<i> of those of reads (id, start from 1, kmer) that begin in start..end, from 0."""
+    d = reads.withColumn("i", F.col("start") - 1).where(F.col("i").between(start, end))
+    return d.select("id", "i", F.concat(F.lit(">SIM_LOC"), "i", F.lit("\n"), "kmer").alias("value"))
+
+
 def tile_fasta(seqs: DataFrame, start: int, end: int, size: int) -> DataFrame:
-    """(value): FASTA records SIM_LOC<i> of every substring of `size` letters that starts in start..end, from 0."""
-    d = kmers(seqs.select(F.lit(0).alias("id"), "seq"), size).withColumn("i", F.col("start") - 1).where(F.col("i").between(start, end))
-    return d.select("i", F.concat(F.lit(">SIM_LOC"), "i", F.lit("\n"), "kmer").alias("value"))
+    """(i, value): FASTA records SIM_LOC<i> of every substring of `size` letters that starts in start..end, from 0."""
+    return tiles(kmers(seqs.select(F.lit(0).alias("id"), "seq"), size), start, end).drop("id")
 
 
 def read_axt(spark: SparkSession, path: str | list[str], least: int = 100) -> DataFrame:
@@ -205,6 +210,22 @@ def append_log(commands: DataFrame, path: str) -> None:
     log_lines(commands).write.mode("append").text(path)
 
 
+def write_sorted(df: DataFrame, path: str, by: tuple[str, ...], order: tuple[str, ...]) -> None:
+    """Parquet, a folder for each value of `by`, its rows in order from file to file: ranges of the order, so that a large group is many tasks."""
+    df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).write.partitionBy(*by).parquet(path)
+
+
+def in_file_order(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """df, read from files of write_sorted, with nth: a row's place in its group as the files have it."""
+    d = df.withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
+    name = F.regexp_extract("_file", r"part-(\d+)", 1).cast("int")
+    d = d.withColumn("_file", name)
+    n = d.groupBy(*by, "_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    d = d.withColumn("_in", F.row_number().over(W.partitionBy(*by, "_file").orderBy("_at"))).join(n.select(*by, "_file", before.alias("_before")), [*by, "_file"])
+    return d.withColumn("nth", F.col("_in") + F.col("_before")).drop("_file", "_at", "_in", "_before")
+
+
 def write_by_reference(df: DataFrame, path: str, refs: DataFrame | None = None, by: tuple[str, ...] = ("ref_name",)) -> None:
     """Parquet, a folder for each reference (and type); rows on references outside refs (ref_name) are left out."""
     d = df if refs is None else df.join(refs, "ref_name", "left_semi")
