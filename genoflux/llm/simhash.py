@@ -61,8 +61,8 @@ def _flips(bits: int, most: int) -> list[np.ndarray]:
     return [np.array([sum(1 << i for i in c) for c in combinations(range(bits), k)] or [], np.uint64) for k in range(most + 1)]
 
 
-def _forest(links: np.ndarray, n: int) -> np.ndarray:
-    """Of links between 0..n-1 as few as keep the same together."""
+def _forest(links: np.ndarray, n: int, ordered: bool = False) -> np.ndarray:
+    """Of links between 0..n-1 as few as keep the same together: the first ones that do."""
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -72,12 +72,12 @@ def _forest(links: np.ndarray, n: int) -> np.ndarray:
         return x
 
     kept = []
-    for a, b in links.tolist():
+    for i, (a, b) in enumerate(links.tolist()):
         a, b = find(a), find(b)
         if a != b:
             root[max(a, b)] = min(a, b)
-            kept.append((a, b))
-    return np.array(kept, np.int64).reshape(-1, 2)
+            kept.append(i if ordered else (a, b))
+    return links[kept].reshape(-1, 2) if ordered else np.array(kept, np.int64).reshape(-1, 2)
 
 
 def _values(f: np.ndarray, bits: int, prefix: int, half: int, width: int = 64):
