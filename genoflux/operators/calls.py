@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from heapq import heappop, heappush
+from itertools import count, groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,47 +43,65 @@ def extract_runs(path: list[tuple[int, int]], length: dict[int, int], decide: di
 
     path: (start, edge) in order. Over and over, the longest run of edges that differ from the reference in one
     direction, by decide, is called with the least difference in it, which is then taken from its edges. An edge that the
-    run passes more than once is spent each time. Stops when no run reaches the cutoff.
+    run passes more than once is spent each time. Stops when no run reaches the cutoff. Runs lie in islands of one sign; a call changes only the
+    islands that its edges are in, and only those are cut into runs again.
     """
-    diff = dict(diff)
-    seen: set[int] = set()
+    diff, edge, seen, calls = dict(diff), [e for _, e in path], set(), []
+    places = defaultdict(list)
+    for p, e in enumerate(edge):
+        places[e].append(p)
     sign = lambda x: (x > 0) - (x < 0)
-    calls = []
-    while True:
-        best = None
-        i = 0
-        while i < len(path):
-            way = sign(diff[path[i][1]])
-            if not way:
-                i += 1
-                continue
-            least, used, j = None, {}, i
-            while j < len(path):
-                e = path[j][1]
-                times = used.get(e, 0) + 1
-                if sign(diff[e]) != way:
-                    break
-                step = min(abs(diff[e]) / times, abs(diff[e]) if least is None else least)
-                if times > 1 and int(step) < 1:
-                    break
-                least, used[e] = (step if times == 1 else int(step)), times
+    heap: list[tuple] = []
+    island = [-1] * len(path)  # number of the island that a position is in
+    bounds: dict[int, tuple[int, int]] = {}
+    made = count()
+
+    def add(a: int, z: int) -> None:
+        """Islands of the positions a..z-1, and their runs."""
+        i = a
+        while i < z:
+            way, j = sign(diff[edge[i]]), i
+            while j < z and sign(diff[edge[j]]) == way:
                 j += 1
-            size = sum(decide[e] for _, e in path[i:j])
-            if best is None or size > best[0]:
-                best = (size, i, j, way, least)
-            i = max(j, i + 1)
-        if best is None or best[0] < cutoff:
-            return calls
-        size, i, j, way, least = best
-        new = [e for k, (_, e) in enumerate(path[i:j]) if e not in seen and e not in {x for _, x in path[i : i + k]}]
-        seen |= set(new)
+            number = next(made) if way else -1
+            island[i:j] = [number] * (j - i)
+            if way:
+                bounds[number] = (i, j)
+                while i < j:
+                    least, used, size, k = None, {}, 0, i
+                    while k < j:
+                        e = edge[k]
+                        times = used.get(e, 0) + 1
+                        step = abs(diff[e]) if least is None else min(abs(diff[e]) / times, least)
+                        if times > 1:
+                            step = int(step)
+                            if step < 1:
+                                break
+                        least, used[e], size, k = step, times, size + decide[e], k + 1
+                    heappush(heap, (-size, i, number, k, way, least))
+                    i = k
+            i = j
+
+    add(0, len(path))
+    while heap:
+        size, i, number, j, way, least = heappop(heap)
+        if number not in bounds:
+            continue
+        if -size < cutoff:
+            break
+        run = dict.fromkeys(edge[i:j])
+        new = [e for e in run if e not in seen]
+        seen.update(run)
         start = path[i][0]
-        calls.append((start, start + sum(length[e] for _, e in path[i:j]) - 1, way * least, size, sum(decide[e] for e in new), sum(length[e] for e in new)))
-        for _, e in path[i:j]:
+        calls.append((start, start + sum(length[e] for e in edge[i:j]) - 1, way * least, -size, sum(decide[e] for e in new), sum(length[e] for e in new)))
+        for e in edge[i:j]:
             if sign(diff[e]) == way:
                 diff[e] -= way * least
                 if sign(diff[e]) == -way:
                     diff[e] = 0
+        for k in {island[p] for e in run for p in places[e]} - {-1}:
+            add(*bounds.pop(k))
+    return calls
 
 
 def call_runs(occurrences: DataFrame, cutoff: int = 100) -> DataFrame:
@@ -98,57 +120,89 @@ def call_runs(occurrences: DataFrame, cutoff: int = 100) -> DataFrame:
     return occurrences.groupBy("contig").applyInPandas(run, schema)
 
 
-def smooth(calls: list[tuple[int, int, float]], forgiveness: float = 5.0) -> list[tuple[int, int, float]]:
-    """Calls (start, end, value) of one chromosome, those of one sign merged until nothing changes.
+#: A stretch: start, end, value, and the length that the value counts for.
+Stretch = tuple[int, int, float, int]
 
-    Overlapping ones: the later adds what it reaches beyond, and the value is the mean of both, weighted with the new
-    length and the later's own. Close ones, at most forgiveness percent of their joint extent apart: the mean weighted by
-    lengths, the gap with the mean of both.
-    """
-    def overlapping(rows):
-        out = []
-        for s, e, v in rows:
-            if out and s <= out[-1][1] and v * out[-1][2] > 0:
-                ps, pe, pv, size = out[-1]
-                size += max(e - pe + 1, 0)
-                own = e - s + 1
-                out[-1] = [ps, max(pe, e), (pv * size + v * own) / size, size]
-            else:
-                out.append([s, e, v, e - s + 1])
-        return [(s, e, v) for s, e, v, _ in out]
-
-    def close(rows):
-        out = []
-        for s, e, v in rows:
-            own = e - s + 1
-            if out and v * out[-1][2] > 0 and s - out[-1][1] <= forgiveness * (e - out[-1][0]) / 100:
-                ps, pe, pv, size = out[-1]
-                gap = s - pe
-                out[-1] = [ps, e, (pv * size + v * own + gap * (pv / 2 + v / 2)) / (size + gap + own), size + gap + own]
-            else:
-                out.append([s, e, v, own])
-        return [(s, e, v) for s, e, v, _ in out]
-
-    rows = sorted(calls, key=lambda r: r[0])
+
+def overlapping(a: Stretch, b: Stretch) -> Stretch | None:
+    """Two stretches of one sign as one if the second starts inside the first: the length grows by what the second reaches beyond, and the
+    value is the mean weighted with that length and the second's own, over that length."""
+    if b[0] > a[1]:
+        return None
+    size = a[3] + max(b[1] - a[1] + 1, 0)
+    return a[0], max(a[1], b[1]), (a[2] * size + b[2] * b[3]) / size, size
+
+
+def close_by(forgiveness: float):
+    """Two stretches of one sign as one if the gap is at most `forgiveness` percent of what both reach over: the mean weighted by lengths, the
+    gap with the mean of both."""
+    def rule(a: Stretch, b: Stretch) -> Stretch | None:
+        gap = b[0] - a[1]
+        if 100 * gap > forgiveness * (b[1] - a[0]):
+            return None
+        size = a[3] + gap + b[3]
+        return a[0], b[1], (a[2] * a[3] + b[2] * b[3] + gap * (a[2] + b[2]) / 2) / size, size
+
+    return rule
+
+
+def fold(island: list[tuple[int, int, float]], rule) -> list[tuple[int, int, float]]:
+    """An island's calls (start, end, value), each joined to the one before as long as the rule gives a stretch of both."""
+    done: list[Stretch] = []
+    for s, e, v in island:
+        row = (s, e, v, e - s + 1)
+        one = rule(done[-1], row) if done else None
+        done[len(done) - (one is not None) :] = [one or row]
+    return [d[:3] for d in done]
+
+
+def smooth_island(island: list[tuple[int, int, float]], forgiveness: float) -> list[tuple[int, int, float]]:
+    """Neighbouring calls of one sign, by both rules in turn until nothing changes to twelve digits."""
+    close = close_by(forgiveness)
+    shown = lambda rows: [(s, e, f"{v:.12g}") for s, e, v in rows]
     while True:
-        new = close(overlapping(rows))
-        if [(s, e, f"{v:.12g}") for s, e, v in new] == [(s, e, f"{v:.12g}") for s, e, v in rows]:
+        new = fold(fold(island, overlapping), close)
+        if shown(new) == shown(island):
             return new
-        rows = new
+        island = new
 
 
-def smooth_calls(calls: DataFrame, forgiveness: float = 5.0, least: int = 1000) -> DataFrame:
-    """Smoothed calls (chr, start, end, call) at least `least` from start to end; one task for a chromosome's calls, which
-    are few, as how far a merged call reaches depends on all before it."""
+def smooth(calls: list[tuple[int, int, float]], forgiveness: float = 5.0) -> list[tuple[int, int, float]]:
+    """Calls (start, end, value) of one chromosome, neighbours of one sign merged until nothing changes."""
+    out = []
+    for way, island in groupby(sorted(calls, key=lambda r: r[0]), key=lambda r: (r[2] > 0) - (r[2] < 0)):
+        out += smooth_island(list(island), forgiveness) if way else list(island)
+    return out
+
+
+def smooth_calls(calls: DataFrame, forgiveness: float = 5.0, least: int = 1000, width: int = 1 << 24) -> DataFrame:
+    """Smoothed calls (chr, start, end, call) at least `least` from start to end.
+
+    Calls of different signs never merge, and none merges over another, so that neighbours of one sign (islands) are tasks of their own. Islands are
+    counted in slices of a chromosome first; calls of no sign stay as they are.
+    """
+    d = calls.select("chr", "start", "end", F.col("call").cast("double").alias("call")).withColumn("_way", F.signum("call").cast("int")).withColumn("_slice", F.floor(F.col("start") / width))
+    order = ("start", "end", "call")
+    w = W.partitionBy("chr", "_slice").orderBy(*order)
+    last = d.groupBy("chr", "_slice").agg(F.max(F.struct(*order, "_way")).alias("_last"))
+    before = last.select("chr", "_slice", F.lag("_last").over(W.partitionBy("chr").orderBy("_slice")).alias("_before"))
+    d = d.join(before, ["chr", "_slice"])
+    new = F.coalesce(F.col("_way") != F.coalesce(F.lag("_way").over(w), F.col("_before._way")), F.lit(True)).cast("int")
+    d = d.withColumn("_in", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    sums = d.groupBy("chr", "_slice").agg(F.max("_in").alias("_n"))
+    sums = sums.select("chr", "_slice", F.coalesce(F.sum("_n").over(W.partitionBy("chr").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    d = d.join(sums, ["chr", "_slice"]).withColumn("island", F.col("_in") + F.col("_off"))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(["start", "end", "call"], kind="stable")
-        out = pd.DataFrame(smooth(list(zip(p["start"], p["end"], p["call"])), forgiveness), columns=["start", "end", "call"])
+        out = pd.DataFrame(smooth_island(list(zip(p["start"], p["end"], p["call"])), forgiveness), columns=["start", "end", "call"])
         out.insert(0, "chr", pdf["chr"].iloc[0])
         return out
 
     ship(calls.sparkSession)
-    done = calls.select("chr", "start", "end", F.col("call").cast("double").alias("call")).groupBy("chr").applyInPandas(run, "chr string, start long, end long, call double")
-    return done.where(F.col("end") - F.col("start") >= least)
+    cols = ["chr", "start", "end", "call"]
+    done = d.where("_way <> 0").select(*cols, "island").groupBy("chr", "island").applyInPandas(run, "chr string, start long, end long, call double")
+    return done.unionByName(d.where("_way = 0").select(*cols)).where(F.col("end") - F.col("start") >= least)
 
 
 def truncated(calls: DataFrame) -> DataFrame:

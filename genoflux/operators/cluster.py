@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from genoflux.shipping import ship
 
+from .graph import numbered_in
 from .intervals import locate, merge
 
 NO_LINK = 10_000_000
@@ -86,7 +87,7 @@ def cluster_summary(rows: DataFrame, mean: float) -> DataFrame:
         "chr", F.when(t.isin(0, 2), F.col("x2")).otherwise(F.col("x1")).alias("from"), F.when(t.isin(1, 2), F.col("x4")).otherwise(F.col("x3")).alias("to"), "type", "count",
         (F.col("x2") - F.col("x1")).alias("l_from"), (F.col("x4") - F.col("x3")).alias("l_to"), F.round("avg", 6).alias("avg_md"), F.round(F.sqrt(F.col("ss") / F.col("size")), 6).alias("sd"),
     )
-    return s.withColumn("id", F.row_number().over(W.partitionBy("type").orderBy("chr", "from", "to", "l_from", "l_to", "avg_md")).cast("bigint"))
+    return numbered_in(s, "type", ["chr", "from", "to", "l_from", "l_to", "avg_md"], "id")
 
 
 def filter_links(links: DataFrame, least: int) -> DataFrame:

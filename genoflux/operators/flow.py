@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ from genoflux.shipping import ship
 NEVER = 999_999_999
 #: Capacity of the last segment, and how far beyond its start its slope is taken.
 LAST_CAP, LAST_SPAN = 99, 10
+#: Capacity of arcs that cost one for each unit, and of the arcs of nodes.
+FREE_CAP = 99_999
 
 
 def half_up(x: Column) -> Column:
@@ -30,20 +33,24 @@ def cost_at(x: Column, k: Column, lam: Column) -> Column:
     return F.when(x == 0, F.lit(float(NEVER))).otherwise(-k * F.ln(x) + lam * x)
 
 
-def cost_segments(arcs: DataFrame, baseflow: int = 2, lines: int = 10, allow_none: int = 20) -> DataFrame:
+def cost_segments(arcs: DataFrame, baseflow: int = 2, lines: int = 10, allow_none: int = 20, free_length: int = 0) -> DataFrame:
     """(arc_id, from, to, seq, dir, low, cap, slope): convex cost of each arc (hits, len, lam) as unit segments around its best flow.
 
     Forward: a first segment that the flow must fill up to the best count, unit segments, one of two, one of LAST_CAP. Back: units down
-    to one copy, one of at most ten, and, with allow_none, the step to (nearly) none. seq orders an arc's segments. Arcs
-    without expected depth cost one per unit.
+    to one copy, one of at most ten, and, with allow_none, the step to (nearly) none. seq orders an arc's segments. Arcs up to free_length
+    long, or without expected depth, cost one per unit up to FREE_CAP. The closing arc, of negative length and without hits, must carry baseflow at no cost.
     """
-    k = F.col("hits").cast("double")
-    d = arcs.withColumn("l", F.col("lam") * F.col("len") / baseflow).withColumn("k", k)
-    free = d.where("l <= 0").select("arc_id", "from", "to", F.lit(0).cast("bigint").alias("seq"), F.lit("fwd").alias("dir"), F.lit(0).cast("bigint").alias("low"), F.lit(LAST_CAP).cast("bigint").alias("cap"), F.lit(1).cast("bigint").alias("slope"))
+    d = arcs.withColumn("l", F.col("lam") * F.col("len") / baseflow).withColumn("k", F.col("hits").cast("double"))
+    closing = (F.col("len") < 0) & (F.col("k") == 0)
+    free = (F.col("len") <= free_length) | (F.col("l") <= 0)
+    whole = lambda x: F.lit(x).cast("bigint")
+    one = F.when(closing, F.struct(whole(baseflow).alias("low"), whole(baseflow).alias("cap"), whole(0).alias("slope"))).otherwise(F.struct(whole(0).alias("low"), whole(FREE_CAP).alias("cap"), whole(1).alias("slope")))
+    free_arcs = d.where(closing | free).select("arc_id", "from", "to", whole(0).alias("seq"), F.lit("fwd").alias("dir"), one.alias("x")).select("arc_id", "from", "to", "seq", "dir", "x.*")
+    d = d.where(~closing & ~free)
     best = F.col("k") / F.col("l") + 0.0001
     up, down = nearly_ceil(best), best.cast("bigint")
     f = lambda x: cost_at(x, F.col("k"), F.col("l"))
-    d = d.where("l > 0").withColumn("s", F.when(f(up) > f(down), down).otherwise(up))
+    d = d.withColumn("s", F.when(f(up) > f(down), down).otherwise(up))
     slope = lambda a, z: (1000 * (f(z) - f(a)) / (z - a)).cast("bigint")
     seg = lambda seq, dir_, low, cap, value: F.struct(
         seq.cast("bigint").alias("seq"), F.lit(dir_).alias("dir"), low.cast("bigint").alias("low"), cap.cast("bigint").alias("cap"), value.alias("slope")
@@ -65,7 +72,7 @@ def cost_segments(arcs: DataFrame, baseflow: int = 2, lines: int = 10, allow_non
     stop = F.when(low > 1, low - jump).otherwise(low)
     none = F.filter(F.array(seg(F.lit(3000), "rev", F.lit(0), stop, -slope(F.lit(1.0 / (allow_none + 1)), stop.cast("double")))), lambda x: (x["cap"] > 0) & F.lit(bool(allow_none)))
     out = d.select("arc_id", "from", "to", F.explode(F.concat(forward, last, back, jumped, none)).alias("x")).select("arc_id", "from", "to", "x.*")
-    return out.unionByName(free)
+    return out.unionByName(free_arcs)
 
 
 def self_loops(arcs: DataFrame, arrival: float) -> DataFrame:
@@ -96,10 +103,20 @@ def doubled(arcs: DataFrame, nodes: int) -> DataFrame:
 
 
 def node_arcs(spark, nodes: int) -> DataFrame:
+    """(node, tail, head, low, cap, cost): the arcs of the nodes of the doubled network."""
     off = 2 * nodes + 1
     v = F.col("id")
     both = F.array(F.struct((2 * v + off).alias("tail"), (2 * v - 1 + off).alias("head")), F.struct((-2 * v + off).alias("tail"), (-2 * v + 1 + off).alias("head")))
-    return spark.range(1, nodes + 1).select(v.alias("node"), F.explode(both).alias("x")).select("node", "x.*")
+    whole = lambda x, n: F.lit(x).cast("bigint").alias(n)
+    return spark.range(1, nodes + 1).select(v.alias("node"), F.explode(both).alias("x"), whole(0, "low"), whole(FREE_CAP, "cap"), whole(0, "cost")).select("node", "x.*", "low", "cap", "cost")
+
+
+def attach_flow(arcs: DataFrame, solved: DataFrame) -> DataFrame:
+    """arcs (i, from, fake, to, ...) of a graph with the flow of their first part in a solution (from, to, flow), whose signs tell how the arc
+    leaves its node, and `ok`: whether the solution has the arc, and between the same nodes."""
+    part = solved.select(F.abs("from").alias("_from"), F.abs("to").alias("fake"), "flow").where("_from <> fake")
+    d = arcs.join(part, "fake", "left").withColumn("ok", F.coalesce(F.col("_from") == F.col("from"), F.lit(False)))
+    return d.drop("_from")
 
 
 def net_flow(images: DataFrame) -> DataFrame:
@@ -107,42 +124,43 @@ def net_flow(images: DataFrame) -> DataFrame:
     return images.groupBy("arc_id").agg((F.sum(F.col("sign") * F.col("flow")) / 2).alias("flow"))
 
 
-def min_cost_flow(nodes: int, arcs: list[tuple[int, int, int, int, int]], supply: dict[int, int] | None = None) -> tuple[list[int], dict[int, int]]:
+def min_cost_flow(
+    nodes: int, arcs: list[tuple[int, int, int, int, int]], supply: dict[int, int] | None = None, start: tuple[list[int], dict[int, int]] | None = None
+) -> tuple[list[int], dict[int, int]]:
     """Flows of arcs (tail, head, low, cap, cost) at least cost with given supplies, and node prices that prove it.
 
-    Successive shortest paths with potentials (Ahuja, Magnanti and Orlin, Network Flows, chapter 9). Lower bounds and
-    arcs of negative cost are filled first, and what that unbalances is sent back along shortest paths. Raises
-    ValueError if the supplies can't be met.
+    Primal-dual (Ahuja, Magnanti and Orlin, Network Flows, chapter 9): arcs whose cost under the prices is negative are filled, those of
+    positive cost are emptied to their lower bound, and what that unbalances is sent back along shortest paths: after each search
+    as much as arcs of no cost under the new prices let through. start: flows and prices of a problem that differs in its costs, from
+    which less is to be done. Raises ValueError if the supplies can't be met.
     """
     n = nodes + 1
     to, cap, cost, out = [], [], [], [[] for _ in range(n)]
     excess = [0] * n
+    price = [(start[1].get(v, 0) if start else 0) for v in range(n)]
     for v, s in (supply or {}).items():
         excess[v] += s
-    flow0 = []
-    for t, h, low, c, w in arcs:
+    for i, (t, h, low, c, w) in enumerate(arcs):
         if low > c:
             raise ValueError("an arc's lower bound exceeds its capacity")
-        f = c if w < 0 else low
-        flow0.append(f)
+        reduced = w + price[t] - price[h]
+        f = c if reduced < 0 else min(c, max(low, start[0][i])) if reduced == 0 and start else low
         excess[t] -= f
         excess[h] += f
-        for a, b, room, price in ((t, h, c - f, w), (h, t, f - low, -w)):
+        for a, b, room, unit in ((t, h, c - f, w), (h, t, f - low, -w)):
             out[a].append(len(to))
             to.append(b)
             cap.append(room)
-            cost.append(price)
-    price = [0] * n
+            cost.append(unit)
     if sum(excess):
         raise ValueError("supplies don't add up")
     while any(e > 0 for e in excess):
-        dist, via = [math.inf] * n, [-1] * n
+        dist = [math.inf] * n
         heap = []
         for v in range(n):
             if excess[v] > 0:
                 dist[v] = 0
                 heap.append((0, v))
-        heapq.heapify(heap)
         while heap:
             d, v = heapq.heappop(heap)
             if d > dist[v]:
@@ -151,37 +169,76 @@ def min_cost_flow(nodes: int, arcs: list[tuple[int, int, int, int, int]], supply
                 if cap[a] > 0:
                     e = d + cost[a] + price[v] - price[to[a]]
                     if e < dist[to[a]]:
-                        dist[to[a]], via[to[a]] = e, a
+                        dist[to[a]] = e
                         heapq.heappush(heap, (e, to[a]))
-        ends = [v for v in range(n) if excess[v] < 0 and dist[v] < math.inf]
-        if not ends:
+        reached = [dist[v] for v in range(n) if excess[v] < 0 and dist[v] < math.inf]
+        if not reached:
             raise ValueError("no flow meets the supplies")
-        top = max(d for d in dist if d < math.inf)
+        top = max(reached)
         for v in range(n):
             price[v] += int(min(dist[v], top))
-        end = min(ends, key=lambda v: (dist[v], v))
-        path, v = [], end
-        while via[v] >= 0:
-            path.append(via[v])
-            v = to[via[v] ^ 1]
-        amount = min([excess[v], -excess[end], *(cap[a] for a in path)])
-        for a in path:
-            cap[a] -= amount
-            cap[a ^ 1] += amount
-        excess[v] -= amount
-        excess[end] += amount
+        _push(n, to, cap, cost, out, price, excess)
     flows = [arcs[i][2] + cap[2 * i + 1] for i in range(len(arcs))]
     return flows, dict(enumerate(price))
 
 
+def _push(n: int, to: list[int], cap: list[int], cost: list[int], out: list[list[int]], price: list[int], excess: list[int]) -> None:
+    """Send excess along residual arcs of no cost under the prices until none gets through: blocking flows by levels (Dinic)."""
+    while True:
+        level = [-1] * n
+        queue = deque(v for v in range(n) if excess[v] > 0)
+        for v in queue:
+            level[v] = 0
+        met = False
+        while queue:
+            v = queue.popleft()
+            for a in out[v]:
+                u = to[a]
+                if cap[a] > 0 and level[u] < 0 and cost[a] + price[v] == price[u]:
+                    level[u] = level[v] + 1
+                    met |= excess[u] < 0
+                    queue.append(u)
+        if not met:
+            return
+        at = [0] * n
+        for source in range(n):
+            while excess[source] > 0 and level[source] == 0:
+                path, v = [], source
+                while excess[v] >= 0:
+                    while at[v] < len(out[v]):
+                        a = out[v][at[v]]
+                        if cap[a] > 0 and level[to[a]] == level[v] + 1 and cost[a] + price[v] == price[to[a]]:
+                            break
+                        at[v] += 1
+                    if at[v] < len(out[v]):
+                        path.append(out[v][at[v]])
+                        v = to[path[-1]]
+                    elif path:
+                        v = to[path.pop() ^ 1]
+                        at[v] += 1
+                    else:
+                        break
+                if not path:
+                    break
+                amount = min([excess[source], -excess[v], *(cap[a] for a in path)])
+                for a in path:
+                    cap[a] -= amount
+                    cap[a ^ 1] += amount
+                excess[source] -= amount
+                excess[v] += amount
+
+
 def solve(arcs: DataFrame, supply: DataFrame | None = None) -> DataFrame:
     """arcs (net, arc_id, tail, head, low, cap, cost) with flow and the prices of both ends; each net is one task.
 
-    supply: (net, node, excess); without it each net is a circulation.
+    supply: (net, node, excess); without it each net is a circulation. If arcs have flow, tail_price and head_price, from an earlier solution
+    with other costs, the solver starts from there.
     """
-    both = arcs.select("net", "arc_id", "tail", "head", "low", "cap", "cost")
+    again = "flow" in arcs.columns
+    both = arcs.select("net", "arc_id", "tail", "head", "low", "cap", "cost", *(F.col(c).cast("bigint") if again else F.lit(0).cast("bigint").alias(c) for c in ("flow", "tail_price", "head_price")))
     if supply is not None:
-        cols = ["net", F.lit(-1).cast("bigint").alias("arc_id"), F.col("node").alias("tail"), F.lit(0).cast("bigint").alias("head"), F.col("excess").alias("low"), F.lit(0).cast("bigint").alias("cap"), F.lit(0).cast("bigint").alias("cost")]
+        none = [F.lit(0).cast("bigint").alias(c) for c in ("cap", "cost", "flow", "tail_price", "head_price")]
+        cols = ["net", F.lit(-1).cast("bigint").alias("arc_id"), F.col("node").alias("tail"), F.lit(0).cast("bigint").alias("head"), F.col("excess").alias("low"), *none]
         both = both.unionByName(supply.select(*cols))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -190,7 +247,9 @@ def solve(arcs: DataFrame, supply: DataFrame | None = None) -> DataFrame:
         names = sorted({*a["tail"], *a["head"], *s["tail"]})
         index = {v: i for i, v in enumerate(names)}
         rows = [(index[t], index[h], int(lo), int(c), int(w)) for t, h, lo, c, w in zip(a["tail"], a["head"], a["low"], a["cap"], a["cost"])]
-        flows, price = min_cost_flow(len(names), rows, {index[v]: int(x) for v, x in zip(s["tail"], s["low"])})
+        old = {index[v]: int(x) for end in ("tail", "head") for v, x in zip(a[end], a[f"{end}_price"])}
+        start = ([int(f) for f in a["flow"]], old) if again else None
+        flows, price = min_cost_flow(len(names), rows, {index[v]: int(x) for v, x in zip(s["tail"], s["low"])}, start)
         return a.assign(flow=flows, tail_price=[price[r[0]] for r in rows], head_price=[price[r[1]] for r in rows])
 
     ship(arcs.sparkSession)
@@ -218,3 +277,46 @@ def check_problem(arcs: DataFrame) -> DataFrame:
     """Arcs of a problem that can't be: bounds that cross, negative bounds, ends that are missing."""
     why = F.when(F.col("tail").isNull() | F.col("head").isNull(), "end missing").when(F.col("low") < 0, "negative bound").when(F.col("low") > F.col("cap"), "bounds cross").when(F.col("tail") == F.col("head"), "loop")
     return arcs.withColumn("why", why).where("why is not null")
+
+
+#: Lines of a problem file: what follows each letter.
+_FORMS = {"p": r"^p\s+min\s+\d+\s+\d+\s*$", "n": r"^n\s+\d+\s+-?\d+\s*$", "a": r"^a\s+\d+\s+\d+\s+-?\d+\s+-?\d+\s+-?\d+\s*$"}
+
+
+def check_lines(lines: DataFrame) -> DataFrame:
+    """(why, n): what is wrong with the lines (value) of one problem file, and how often.
+
+    Lines of no known letter or form; no problem line or several, or one after others; a count of arcs that isn't that of the problem line, too many
+    node lines or a node twice; numbers of nodes beyond the problem's; loops; negative bounds and bounds that cross; supplies that
+    don't balance, or that a node's arcs can't carry.
+    """
+    d = lines.select(F.trim("value").alias("value"), F.monotonically_increasing_id().alias("at")).where("value <> ''")
+    kind = F.substring("value", 1, 1)
+    form = F.lit(None).cast("boolean")
+    for k, p in _FORMS.items():
+        form = F.when(kind == k, F.col("value").rlike(p)).otherwise(form)
+    d = d.withColumn("kind", kind).withColumn("good", form).withColumn("f", F.split("value", r"\s+")).where("kind <> 'c'")
+    num = lambda i: F.get("f", F.lit(i)).cast("bigint")
+    good = d.where("good")
+    size = good.where("kind = 'p'").agg(F.max(num(2)).alias("nodes"), F.max(num(3)).alias("arcs"), F.count(F.lit(1)).alias("problems"), F.min("at").alias("at"))
+    first = d.agg(F.min("at").alias("first"))
+    arcs = good.where("kind = 'a'").select(num(1).alias("tail"), num(2).alias("head"), num(3).alias("low"), num(4).alias("cap"))
+    supply = good.where("kind = 'n'").select(num(1).alias("node"), num(2).alias("excess"))
+    said = lambda df, why: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(why).alias("why"), "n")
+    one = F.broadcast(size)  # one row
+    outside = lambda c: (F.col(c) < 1) | (F.col(c) > F.col("nodes"))
+    most = arcs.select("head", "tail", "cap").withColumn("x", F.explode(F.array(F.struct(F.col("tail").alias("node"), F.col("cap").alias("out"), F.lit(0).alias("in")), F.struct(F.col("head").alias("node"), F.lit(0).alias("out"), F.col("cap").alias("in")))))
+    most = most.groupBy("x.node").agg(F.sum("x.out").alias("out"), F.sum("x.in").alias("in"))
+    carried = supply.join(most, "node", "left").where((F.col("excess") > F.coalesce("out", F.lit(0))) | (-F.col("excess") > F.coalesce("in", F.lit(0))))
+    found = [
+        said(d.where("good is null"), "unknown line"), said(d.where("not good"), "wrong form"), said(size.where("problems = 0"), "no problem line"),
+        said(size.where("problems > 1"), "several problem lines"), said(size.join(F.broadcast(first)).where("at > first"), "problem line not first"),
+        said(arcs.agg(F.count(F.lit(1)).alias("have")).join(one).where("have <> arcs"), "wrong number of arcs"), said(supply.agg(F.count(F.lit(1)).alias("have")).join(one).where("have > nodes"), "too many node lines"),
+        said(supply.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "node twice"), said(supply.join(one).where(outside("node")), "unknown node"),
+        said(arcs.join(one).where(outside("tail") | outside("head")), "unknown end"), said(arcs.where("tail = head"), "loop"), said(arcs.where("low < 0"), "negative bound"),
+        said(arcs.where("low > cap"), "bounds cross"), said(supply.agg(F.sum("excess").alias("x")).where("x <> 0"), "supplies don't balance"), said(carried, "supply beyond capacity"),
+    ]
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.where("n > 0")

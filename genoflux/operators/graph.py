@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 
 import pandas as pd
@@ -31,6 +32,16 @@ def dense_ids(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return df.withColumn("_nth", nth).join(start, first).withColumn(out, F.col("_nth") + F.col("_start")).drop("_nth", "_start")
 
 
+def numbered_in(df: DataFrame, by: str, order: list[str], out: str) -> DataFrame:
+    """Numbers from 1 in each value of `by`, in the order of the columns: counts by the first of them, then numbers inside it."""
+    first, rest = order[0], order[1:]
+    sizes = df.groupBy(by, first).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy(first).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = sizes.withColumn("_start", before).drop("_n")
+    nth = F.row_number().over(W.partitionBy(by, first).orderBy(*rest))
+    return df.withColumn("_nth", nth).join(start, [by, first]).withColumn(out, (F.col("_nth") + F.col("_start")).cast("bigint")).drop("_nth", "_start")
+
+
 def free_links(occurrences: DataFrame, width: int = 1 << 20) -> DataFrame:
     """Each occurrence (contig, pos, edge_id) with the next on its contig, (next_pos, next_edge).
 
@@ -79,28 +90,98 @@ def cut_at(parts: DataFrame, points: DataFrame) -> DataFrame:
     return d.select("chr", F.explode(F.arrays_zip(at.alias("start"), to.alias("end"))).alias("x")).select("chr", "x.start", "x.end")
 
 
-def donor_arcs(occurrences: DataFrame, links: DataFrame) -> DataFrame:
-    """(from_node, from_bit, to_node, to_bit) of the links, as distinct arcs between nodes.
+def split_edges(occurrences: DataFrame, points: DataFrame) -> DataFrame:
+    """(edge_id, piece, chr, start, end, strand): occurrences (edge_id, chr, start, end, strand) of edges cut so that each point (chr, pos) inside
+    one starts a piece. A cut goes through all occurrences of its edge at the same place, counted from the end on the other strand; piece
+    counts from 0 along the edge.
+    """
+    from .intervals import BIN
+
+    r = occurrences.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN))))
+    p = points.select(F.col("chr").alias("_chr"), "pos", F.floor(F.col("pos") / BIN).alias("_pbin")).distinct()
+    hit = r.join(p, (r["chr"] == p["_chr"]) & (r["_bin"] == p["_pbin"]) & (F.col("pos") > F.col("start")) & (F.col("pos") <= F.col("end")))
+    off = F.when(F.col("strand") == "-", F.col("end") - F.col("pos") + 1).otherwise(F.col("pos") - F.col("start")).cast("bigint")
+    cuts = hit.select("edge_id", off.alias("off")).groupBy("edge_id").agg(F.array_sort(F.collect_set("off")).alias("cuts"))
+    d = occurrences.join(cuts, "edge_id", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<bigint>")))
+    size = (F.col("end") - F.col("start") + 1).cast("bigint")
+    ends = F.arrays_zip(F.concat(F.array(F.lit(0).cast("bigint")), "cuts").alias("a"), F.concat("cuts", F.array(size)).alias("z"))
+    d = d.select("edge_id", "chr", "start", "end", "strand", F.posexplode(ends).alias("piece", "x"))
+    back = F.col("strand") == "-"
+    first = F.when(back, F.col("end") - F.col("x.z") + 1).otherwise(F.col("start") + F.col("x.a"))
+    last = F.when(back, F.col("end") - F.col("x.a")).otherwise(F.col("start") + F.col("x.z") - 1)
+    return d.select("edge_id", "piece", "chr", first.alias("start"), last.alias("end"), "strand")
+
+
+def in_range(links: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Links (chr, from, to, ...) that lie on their contig: from position 1 to the length in lengths (chr, length)."""
+    return links.join(lengths.select("chr", "length"), "chr").where((F.col("from") > 0) & (F.col("to") <= F.col("length"))).drop("length")
+
+
+def donor_arcs(occurrences: DataFrame, links: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """(from_node, from_bit, to_node, to_bit) of the links, one arc between two nodes: that of the first link in (chr, from, to, type).
 
     occurrences: (chr, start, edge_id, strand), cut so that links start at a start. Nodes: 2 * edge and 2 * edge + 1, its
-    start and end. On a '-' occurrence a link leaves from the other node by the other bit.
+    start and end. On a '-' occurrence a link leaves from the other node by the other bit. Links that leave their contig, by lengths
+    (chr, length) or else by the last end in occurrences, make no arc.
     """
+    if lengths is None:
+        lengths = occurrences.groupBy("chr").agg(F.max("end" if "end" in occurrences.columns else "start").alias("length"))
     seg = occurrences.select("chr", "start", F.struct("edge_id", "strand").alias("id"))
-    a = locate(links.select("chr", F.col("from").alias("pos"), "to", "type"), seg)
-    a = a.select("chr", F.col("to").alias("pos"), "type", F.col("seg_id").alias("s"))
-    b = locate(a, seg).select("type", "s", F.col("seg_id").alias("t")).where("s is not null and t is not null")
+    link = in_range(links, lengths)
+    a = locate(link.select("chr", F.col("from").alias("pos"), "from", "to", "type"), seg)
+    a = a.select("chr", F.col("to").alias("pos"), "from", "to", "type", F.col("seg_id").alias("s"))
+    b = locate(a, seg).select("chr", "from", "to", "type", "s", F.col("seg_id").alias("t")).where("s is not null and t is not null")
     f, t = bits(F.col("type"))
     node = lambda x: 2 * F.col(f"{x}.edge_id") + F.when(F.col(f"{x}.strand") == "-", 1).otherwise(0)
     bit = lambda x, v: F.when(F.col(f"{x}.strand") == "-", 1 - v).otherwise(v)
-    return b.select(node("s").alias("from_node"), bit("s", f).alias("from_bit"), node("t").alias("to_node"), bit("t", t).alias("to_bit")).dropDuplicates(["from_node", "to_node"])
+    d = b.select(node("s").alias("from_node"), node("t").alias("to_node"), F.struct("chr", "from", "to", "type", bit("s", f).alias("from_bit"), bit("t", t).alias("to_bit")).alias("x"))
+    d = d.groupBy("from_node", "to_node").agg(F.min("x").alias("x"))
+    return d.select("from_node", "x.from_bit", "to_node", "x.to_bit")
+
+
+def arc_list(edges: DataFrame, nodes: int) -> DataFrame:
+    """(edge_id, part, from, to, hits, len, lam): each edge as an arc into a fake node of its own and one out of it.
+
+    edges: (edge_id, from_node, from_bit, to_node, to_bit, hits, expected, unmasked, paths, free, cb). Nodes count from 1 and the fake ones go
+    on from `nodes`. Only the first part (part 1) has hits, a length (unmasked over paths, rounded down) and an expected depth (expected over
+    unmasked); free edges and those of which nothing is expected or unmasked have none, and contig breaks nothing at all.
+    """
+    fake = F.col("edge_id") + nodes + 1
+    d = signed_ends(edges).withColumn("fake", fake.cast("bigint"))
+    none = F.col("free") | (F.col("expected") == 0)
+    size = F.when(F.col("cb") | none, F.lit(0)).otherwise(F.expr("unmasked div paths")).cast("bigint")
+    lam = F.when(F.col("cb") | none | (F.col("unmasked") == 0), F.lit(0.0)).otherwise(F.try_divide(F.col("expected"), F.col("unmasked").cast("double")))
+    hits = F.when(F.col("cb"), F.lit(0.0)).otherwise(F.col("hits").cast("double"))
+    part = lambda k, a, z, h, n, x: F.struct(F.lit(k).alias("part"), a.cast("bigint").alias("from"), z.cast("bigint").alias("to"), h.alias("hits"), n.alias("len"), F.round(x, 6).alias("lam"))
+    both = F.array(part(1, F.col("from"), F.col("fake"), hits, size, lam), part(2, F.col("fake"), F.col("to"), F.lit(0.0), F.lit(0).cast("bigint"), F.lit(0.0)))
+    return d.select("edge_id", F.explode(both).alias("x")).select("edge_id", "x.*")
+
+
+def closing_arc(occurrences: DataFrame) -> DataFrame:
+    """(from, to, hits, len, lam): from the end of the last occurrence (contig, pos, edge_id) to the start of the first, of length -1."""
+    at = F.struct("contig", "pos", "edge_id")
+    d = occurrences.agg(F.max(at).alias("z"), F.min(at).alias("a"))
+    return d.select((2 * F.col("z.edge_id") + 2).alias("from"), (2 * F.col("a.edge_id") + 1).alias("to"), F.lit(0.0).alias("hits"), F.lit(-1).cast("bigint").alias("len"), F.lit(0.0).alias("lam"))
+
+
+def called(edges: DataFrame) -> DataFrame:
+    """(length, hits, funny, breaks): unmasked length and hits of what is called, edges without a called length, contig breaks."""
+    cb = F.col("cb")
+    size = F.when(F.col("free") | (F.col("expected") == 0), F.lit(0)).otherwise(F.expr("unmasked div paths"))
+    return edges.agg(
+        F.coalesce(F.sum(F.when(~cb & ~F.col("free"), F.col("unmasked"))), F.lit(0)).cast("bigint").alias("length"), F.round(F.coalesce(F.sum(F.when(~cb, F.col("hits"))), F.lit(0.0)), 6).alias("hits"),
+        F.count(F.when(~cb & (size == 0), 1)).alias("funny"), F.count(F.when(cb, 1)).alias("breaks"),
+    )
+
+
+def signed_ends(arcs: DataFrame) -> DataFrame:
+    """arcs (from_node, from_bit, to_node, to_bit, ...) with from and to, as signed_arcs has them."""
+    return arcs.withColumn("from", F.when(F.col("from_bit") != 0, -1).otherwise(1) * (F.col("from_node") + 1)).withColumn("to", F.when(F.col("to_bit") == 0, -1).otherwise(1) * (F.col("to_node") + 1))
 
 
 def signed_arcs(arcs: DataFrame) -> DataFrame:
     """Arcs (from_node, from_bit, to_node, to_bit) with signed ends: from is negative by a set bit, to by an unset one; nodes count from 1."""
-    return arcs.select(
-        (F.when(F.col("from_bit") != 0, -1).otherwise(1) * (F.col("from_node") + 1)).alias("from"),
-        (F.when(F.col("to_bit") == 0, -1).otherwise(1) * (F.col("to_node") + 1)).alias("to"),
-    )
+    return signed_ends(arcs).select("from", "to")
 
 
 class _Signed:
@@ -129,27 +210,30 @@ def refine(rows: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, s
     """Positions (edge, start, end, strand) of one contig cut until no two overlap in part, equal ones in one edge.
 
     First all cuts: an end of one position inside another is a cut of that one, which its edge hands on to the
-    edge's other positions, mirrored on the other strand, until nothing new comes. Then pieces of one place, or at one place of an edge,
+    edge's other positions, mirrored on the other strand, until nothing new comes; each cut is looked at once. Then pieces of one place, or at one place of an edge,
     are one class by signed union. Works as a closure of cuts and so needs no order of splitting.
     """
     edges = defaultdict(list)
     for e, s, t, strand in rows:
         edges[e].append((s, t, strand))
-    cuts = set()
-    for _, s, t, _ in rows:
-        cuts |= {s, t + 1}
+    # positions by start, to find those that a new cut lies in: an end beyond the cut among those that start before it
+    order = sorted((s, t, strand, e) for e, s, t, strand in rows)
+    starts = [x[0] for x in order]
+    longest = max((t - s for _, s, t, _ in rows), default=0)
     offsets = {e: set() for e in edges}
-    while True:
-        before = len(cuts)
-        for e, members in edges.items():
-            for s, t, strand in members:
-                n = t - s + 1
-                offsets[e] |= {c - s if strand == "+" else n - (c - s) for c in cuts if s < c <= t}
-            for s, t, strand in members:
+    new = sorted({c for _, s, t, _ in rows for c in (s, t + 1)})
+    cuts = set(new)
+    while new:
+        found = set()
+        for c in new:
+            for s, t, strand, e in order[bisect_left(starts, c - longest) : bisect_left(starts, c)]:
                 n = t - s + 1
-                cuts |= {s + (o if strand == "+" else n - o) for o in offsets[e]}
-        if len(cuts) == before:
-            break
+                off = c - s if strand == "+" else n - (c - s)
+                if c <= t and off not in offsets[e]:
+                    offsets[e].add(off)
+                    found |= {a + (off if way == "+" else z - a + 1 - off) for a, z, way in edges[e]}
+        new = sorted(found - cuts)
+        cuts |= found
     same = _Signed()
     for e, members in edges.items():
         grid = sorted(offsets[e] | {0, members[0][1] - members[0][0] + 1})

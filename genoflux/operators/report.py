@@ -35,6 +35,30 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(value * weight) / F.sum(weight)
 
 
+def walk(paths: DataFrame, regions: DataFrame) -> DataFrame:
+    """(id, edge_id, pos, rel_start, rel_end, length, flow, ref, share): the segments of paths (contig, pos, edge_id, length, flow, ref) that lie
+    in each of regions (id, chr, start, end), with their ends as seen from the region's start, the length inside, and the edge's flow spread
+    over its segments in the region."""
+    from .intervals import overlap_amount, overlap_join
+
+    seg = paths.select(F.col("contig").alias("chr"), F.col("pos").alias("start"), (F.col("pos") + F.col("length") - 1).alias("end"), "edge_id", "flow", "ref")
+    j = overlap_join(regions.select("id", "chr", "start", "end"), seg)
+    d = j.select(
+        "id", F.col("r_edge_id").alias("edge_id"), F.col("r_start").alias("pos"), (F.col("r_start") - F.col("start")).alias("rel_start"), (F.col("r_end") - F.col("start")).alias("rel_end"),
+        overlap_amount(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")).alias("length"), F.col("r_flow").alias("flow"), F.col("r_ref").alias("ref"),
+    )
+    return apportion(d, ["id"])
+
+
+def walk_statistics(walked: DataFrame) -> DataFrame:
+    """(id, length, difference, reference, mean, mode, median) of walk: over the length inside, the mean difference from the reference and the
+    mean reference copies, and mean, mode and median of the copies as they are spread."""
+    d = walked.groupBy("id").agg(
+        F.sum("length").alias("length"), F.round(weighted_mean(F.col("flow") - F.col("ref"), F.col("length")), 6).alias("difference"), F.round(weighted_mean(F.col("ref"), F.col("length")), 6).alias("reference")
+    )
+    return d.join(weighted_stats(walked, "id", "share", "length"), "id")
+
+
 def region_copies(rows: DataFrame, start: int, end: int) -> DataFrame:
     """(copies, n): reference copies of rows (ref, length, rel_end) in a region, by their share of it, where rel_end isn't -1."""
     d = rows.where("rel_end <> -1")

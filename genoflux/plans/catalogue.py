@@ -34,13 +34,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import files  # noqa: F401  adds its own
+    from . import files, models  # noqa: F401  add their own
 
     return _Q
 
 
 def oracle_sql() -> dict:
-    from . import files  # noqa: F401
+    from . import files, models  # noqa: F401
 
     return _S
 
@@ -354,23 +354,6 @@ def _occurrences(s, sf):
     return materialise(every.withColumn("strand", F.when(F.col("edge_id") % 3 == 0, "-").otherwise("+")), "occurrences")
 
 
-@query()
-def donor_graph_arcs(s, sf):
-    return gr.signed_arcs(gr.donor_arcs(_occurrences(s, sf), v.links(s, sf)))
-
-
-@query()
-def repeat_refinement(s, sf):
-    k = F.col("s_suppkey")
-    pos = v.table(s, sf, "supplier").select(k, F.explode(F.array(F.lit(0), F.lit(1))).alias("second"))
-    size = F.floor(k / 2) % 7 * 10 + 20
-    start = F.when(F.col("second") == 0, k * 40).otherwise((k * 17) % 4000 + 5000)
-    return gr.refine_repeats(pos.select(
-        F.concat(F.lit("chr"), k % 5).alias("contig"), k.alias("edge_id"), start.cast("bigint").alias("start"), (start + size - 1).cast("bigint").alias("end"),
-        F.when((F.col("second") == 1) & (k % 2 == 1), "-").otherwise("+").alias("strand"),
-    ))
-
-
 # ---- clusters --------------------------------------------------------------------------------------------------------
 
 
@@ -379,11 +362,6 @@ def _mates(s, sf):
     return p.select(F.col("ref_name").alias("chr"), "type", "left_pos", "right_pos", "dist", F.col("read_id").alias("template"))
 
 
-@query()
-def leader_clusters(s, sf):
-    return cl.leader_clusters(_mates(s, sf), 200, 5, 2)
-
-
 def _given(s, sf):
     return _mates(s, sf).withColumn("part", F.floor(F.col("left_pos") / 100)).withColumn("cluster", F.floor(F.col("dist") / 50))
 
@@ -417,7 +395,7 @@ def cluster_member_drilldown(s, sf):
 
 # ---- flow ------------------------------------------------------------------------------------------------------------
 
-_SEGS = f"""{v.ARCS}, a0 as (select *, hits::double as k, lam * len / 2 as l from arcs), a1 as (select *, cast(trunc(k / l + 0.0001 + 0.9999) as bigint) as up, cast(trunc(k / l + 0.0001) as bigint) as down from a0 where l > 0),
+_SEGS = f"""{v.ARCS}, a0 as (select *, hits::double as k, lam * len / 2 as l from (from arcs union all select -1, 26, 1, 0, -1, 0)), a1 as (select *, cast(trunc(k / l + 0.0001 + 0.9999) as bigint) as up, cast(trunc(k / l + 0.0001) as bigint) as down from a0 where l > 0 and len > 40),
   a as (select arc_id, "from", "to", k, l, case when (case when up = 0 then 999999999 else -k * ln(greatest(up, 1)) + l * up end) > (case when down = 0 then 999999999 else -k * ln(greatest(down, 1)) + l * down end) then down else up end as s from a1),
   i as (select unnest(range(0, 10)) as i), m as (select *, case when s > 11 then s - 11 else least(s, 1) end as low from a), m2 as (select *, least(low - 1, 10) as jump from m),
   m3 as (select *, case when low > 1 then low - jump else low end as stop from m2),
@@ -429,18 +407,21 @@ _SEGS = f"""{v.ARCS}, a0 as (select *, hits::double as k, lam * len / 2 as l fro
     union all select arc_id, "from", "to", k, l, 3000, 'rev', 0, stop, 1.0::double / 21, stop, -1 from m3 where stop > 0),
   segs as (select arc_id, "from", "to", seq::bigint as seq, dir, low::bigint as low, cap::bigint as cap,
     sg * cast(trunc(1000 * ((case when x1 = 0 then 999999999 else -k * ln(case when x1 > 0 then x1 else 1 end) + l * x1 end) - (case when x0 = 0 then 999999999 else -k * ln(case when x0 > 0 then x0 else 1 end) + l * x0 end)) / (x1 - x0)) as bigint) as slope from raw
-    union all select arc_id, "from", "to", 0, 'fwd', 0, 99, 1 from a0 where l <= 0)"""
+    union all select arc_id, "from", "to", 0, 'fwd', case when len < 0 then 2 else 0 end, case when len < 0 then 2 else 99999 end, case when len < 0 then 0 else 1 end from a0 where l <= 0 or len <= 40)"""
 
 
 @query(f"with {_SEGS} select * from segs")
 def cost_segments(s, sf):
-    return fl.cost_segments(v.arcs(s, sf))
+    """Costs of all arcs: short ones are free, and the closing one must carry two."""
+    a = v.arcs(s, sf)
+    closing = s.createDataFrame([(-1, 26, 1, 0, -1, 0.0)], a.schema)
+    return fl.cost_segments(a.unionByName(closing), free_length=40)
 
 
-@query(f"""with {v.ARCS}, x as (select arc_id, 1 as image, case when "from" > 0 then 2 * "from" - 1 else 2 * "from" + 1 end + 51 as tail, 2 * "to" + 51 as head from arcs
-  union all select arc_id, 2, case when -"to" > 0 then -2 * "to" - 1 else -2 * "to" + 1 end + 51, -2 * "from" + 51 from arcs) select * from x""")
+@query(f"""with {v.ARCS}, x as (select arc_id, 1 as image, case when "from" > 0 then 2 * "from" - 1 else 2 * "from" + 1 end + 51 as tail, 2 * "to" + 51 as head from arcs where "from" <> "to"
+  union all select arc_id, 2, case when -"to" > 0 then -2 * "to" - 1 else -2 * "to" + 1 end + 51, -2 * "from" + 51 from arcs where "from" <> "to") select * from x""")
 def skew_symmetric_network(s, sf):
-    return fl.doubled(v.arcs(s, sf), 25)
+    return fl.doubled(v.arcs(s, sf).where("from <> to"), 25)  # self_loop_flow has the others
 
 
 @query("""with i as (select o_custkey as arc_id, case when o_orderkey % 2 = 0 then 1 else -1 end as sign, o_orderkey % 9 as flow from orders) select arc_id, sum(sign * flow) / 2 as flow from i group by arc_id""")
@@ -449,54 +430,6 @@ def net_arc_flow(s, sf):
     return fl.net_flow(o.select(F.col("o_custkey").alias("arc_id"), F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1).alias("sign"), (F.col("o_orderkey") % 9).alias("flow")))
 
 
-def _problem(s, sf):
-    """Each nation's suppliers as arcs of a circulation between ten nodes, closed by an arc that must carry two."""
-    k = F.col("s_suppkey")
-    a = v.table(s, sf, "supplier").select(
-        F.concat(F.lit("net"), F.col("s_nationkey") % 5).alias("net"), k.alias("arc_id"), (k % 10).alias("tail"), ((k * 3 + 1) % 10).alias("head"),
-        F.lit(0).cast("bigint").alias("low"), (k % 6 + 1).alias("cap"), (F.floor("s_acctbal") % 50 - 10).cast("bigint").alias("cost"),
-    ).where("tail <> head")
-    return a
-
-
-def _solved(s, sf):
-    return fl.solve(_problem(s, sf))
-
-
-@query()
-def min_cost_flow(s, sf):
-    return _solved(s, sf).groupBy("net").agg(F.sum(F.col("cost") * F.col("flow")).alias("objective"))
-
-
-_FLOW = """flows as (select o_orderkey as arc_id, o_custkey % 40 as tail, (o_custkey * 7 + o_orderkey) % 40 as head, 0::bigint as low, o_orderkey % 9 + 1 as cap, o_orderkey % 31 - 10 as cost,
-  o_orderkey % 5 as flow, (o_custkey % 40) * 3 as tail_price, ((o_custkey * 7 + o_orderkey) % 40) * 3 as head_price from orders)"""
-
-
-def _flows(s, sf):
-    c, o = F.col("o_custkey"), F.col("o_orderkey")
-    tail, head = c % 40, (c * 7 + o) % 40
-    return v.table(s, sf, "orders").select(
-        o.alias("arc_id"), tail.alias("tail"), head.alias("head"), F.lit(0).cast("bigint").alias("low"), (o % 9 + 1).alias("cap"), (o % 31 - 10).alias("cost"),
-        (o % 5).alias("flow"), (tail * 3).alias("tail_price"), (head * 3).alias("head_price"),
-    )
-
-
-@query(f"with {_FLOW} select node, sum(d)::bigint as net from (select head as node, flow as d from flows union all select tail, -flow from flows) group by node")
-def flow_feasibility(s, sf):
-    return fl.imbalance(_flows(s, sf))
-
-
-@query(f"""with {_FLOW}, r as (select *, cost + tail_price - head_price as reduced from flows)
-select * from r where flow < low or flow > cap or (reduced < 0 and flow < cap) or (reduced > 0 and flow > low)""")
-def flow_slackness(s, sf):
-    return fl.violations(_flows(s, sf))
-
-
-@query(f"with {_FLOW} select sum(cost * flow)::bigint as objective from flows")
-def flow_objective(s, sf):
-    return fl.objective(_flows(s, sf))
-
-
 # ---- calls -----------------------------------------------------------------------------------------------------------
 
 
@@ -525,11 +458,6 @@ def extract_cnv_runs(s, sf):
     return ca.call_runs(d.select("contig", "pos", "edge_id", "length", F.col("length").alias("decide"), "diff"), 100)
 
 
-@query()
-def smooth_calls(s, sf):
-    return ca.smooth_calls(ca.truncated(v.calls(s, sf)))
-
-
 @query(f"""with {v.CALLS} select chr, "start", "end", case when cast(trunc(flow_diff) as bigint) > 0 then 'gain' else 'loss' end as call from calls where "end" - "start" >= 1000""")
 def final_calls(s, sf):
     return ca.final_calls(ca.truncated(v.calls(s, sf)).where(F.col("end") - F.col("start") >= 1000))
