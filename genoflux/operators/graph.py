@@ -39,7 +39,7 @@ def numbered_in(df: DataFrame, by: str, order: list[str], out: str) -> DataFrame
     before = F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy(first).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     start = sizes.withColumn("_start", before).drop("_n")
     nth = F.row_number().over(W.partitionBy(by, first).orderBy(*rest))
-    return df.withColumn("_nth", nth).join(start, [by, first]).withColumn(out, (F.col("_nth") + F.col("_start")).cast("bigint")).drop("_nth", "_start")
+    return df.withColumn("_nth", nth).join(start, [by, first]).select(*df.columns, (F.col("_nth") + F.col("_start")).cast("bigint").alias(out))
 
 
 def free_links(occurrences: DataFrame, width: int = 1 << 20) -> DataFrame:
