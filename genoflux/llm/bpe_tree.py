@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,7 @@ class Part:
 
     __slots__ = ("text", "starts", "ids")
 
-    def __init__(self, text: str, starts: np.ndarray, ids: np.ndarray):
+    def __init__(self, text: str, starts: list[int], ids: np.ndarray):
         self.text, self.starts, self.ids = text, starts, ids
 
 
@@ -42,16 +44,18 @@ class TreeEncoder:
         self.pattern = regex.compile(encoding._pat_str)
         self.joins = 0
 
-    def _starts(self, text: str) -> np.ndarray:
-        return np.fromiter((m.start() for m in self.pattern.finditer(text)), np.int64)
+    def _starts(self, text: str) -> list[int]:
+        return [m.start() for m in self.pattern.finditer(text)]
 
     def _leaf(self, text: str) -> Part:
         return Part(text, self._starts(text), self.encoding.encode_to_numpy(text, disallowed_special=()))
 
-    def _each(self, text: str, starts: np.ndarray, end: int) -> list[list[int]]:
-        """Tokens of each of the matches of text that start at `starts`, the last of which ends at `end`."""
-        bounds, single = [*starts.tolist(), end], self.encoding._core_bpe.encode_single_piece
-        return [single(text[a:z].encode("utf-8", "surrogatepass")) for a, z in zip(bounds[:-1], bounds[1:])]
+    def _each(self, text: str, starts: list[int], end: int) -> list[int]:
+        """Tokens of the matches of text that start at `starts`, the last of which ends at `end`."""
+        single, ids = self.encoding._core_bpe.encode_single_piece, []
+        for a, z in zip(starts, [*starts[1:], end]):
+            ids += single(text[a:z].encode("utf-8", "surrogatepass"))
+        return ids
 
     def join(self, left: Part, right: Part) -> Part:
         if not left.text or not right.text:
@@ -60,33 +64,37 @@ class TreeEncoder:
         n, k = len(left.text), self.window
         while True:
             # the last match of the left part that starts where nothing appended can have changed the matches before it
-            settled = np.searchsorted(left.starts, n - LOOKAHEAD - k, "right") - 1
-            at = max(0, int(settled))
-            if at and left.text[int(left.starts[at]) : n].isspace():
+            at = max(0, bisect_right(left.starts, n - LOOKAHEAD - k) - 1)
+            begin = left.starts[at]
+            if at and left.text[begin:n].isspace():
                 k *= 2  # white space up to the boundary is one run with what follows: start before it
                 continue
-            begin = int(left.starts[at])
             take = min(len(right.text), k)
             middle = left.text[begin:] + right.text[:take]
             starts = self._starts(middle)
-            ends = starts + begin - n  # in the right part's characters
+            shift = begin - n  # from places in the middle to the right part's
             # a start found anew counts only as far as more text could not move it
-            sure = ends[(ends >= 0) & ((ends <= take - 2 * LOOKAHEAD) | (take == len(right.text)))]
-            same = sure[np.isin(sure, right.starts[: take + 1])]
-            if take < len(right.text) and len(same) and right.text[int(same[0]) : take].isspace():
-                same = same[:0]
-            if len(same) or take == len(right.text):
+            sure = take if take == len(right.text) else take - 2 * LOOKAHEAD
+            m, r, meet = bisect_left(starts, -shift), 0, None
+            while m < len(starts) and starts[m] + shift <= sure:
+                r = bisect_left(right.starts, starts[m] + shift, r)
+                if r < len(right.starts) and right.starts[r] == starts[m] + shift:
+                    meet = right.starts[r]
+                    break
+                m += 1
+            if meet is not None and take < len(right.text) and right.text[meet:take].isspace():
+                meet = None
+            if meet is not None or take == len(right.text):
                 break
             k *= 2
-        meet = int(same[0]) if len(same) else len(right.text)
-        m = int(np.searchsorted(ends, meet))
-        r = int(np.searchsorted(right.starts, meet))
+        if meet is None:
+            m, r, meet = len(starts), len(right.starts), len(right.text)
         # only tokens next to the boundary are looked at: those that go on the left and on the right, and those that come in between
-        gone_left = sum(map(len, self._each(left.text, left.starts[at:], n)))
-        gone_right = sum(map(len, self._each(right.text, right.starts[:r], meet)))
-        new = [x for ids in self._each(middle, starts[:m], n - begin + meet) for x in ids]
+        gone_left = len(self._each(left.text, left.starts[at:], n))
+        gone_right = len(self._each(right.text, right.starts[:r], meet))
+        new = self._each(middle, starts[:m], n - begin + meet)
         ids = np.concatenate([left.ids[: len(left.ids) - gone_left], np.array(new, left.ids.dtype), right.ids[gone_right:]])
-        return Part(left.text + right.text, np.concatenate([left.starts[:at], starts[:m] + begin, right.starts[r:] + n]), ids)
+        return Part(left.text + right.text, left.starts[:at] + [x + begin for x in starts[:m]] + [x + n for x in right.starts[r:]], ids)
 
     def _tree(self, text: str) -> Part:
         if len(text) <= self.leaf:
