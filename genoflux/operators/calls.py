@@ -194,14 +194,19 @@ def smooth_calls(calls: DataFrame, forgiveness: float = 5.0, least: int = 1000,
     d = d.join(sums, ["chr", "_slice"]).withColumn("island", F.col("_in") + F.col("_off"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["start", "end", "call"], kind="stable")
-        out = pd.DataFrame(smooth_island(list(zip(p["start"], p["end"], p["call"])), forgiveness), columns=["start", "end", "call"])
+        p = pdf.sort_values(["island", "start", "end", "call"], kind="stable")
+        out = []
+        for _, rows in groupby(zip(p["island"], p["start"], p["end"], p["call"]), key=lambda r: r[0]):
+            out += smooth_island([r[1:] for r in rows], forgiveness)
+        out = pd.DataFrame(out, columns=["start", "end", "call"])
         out.insert(0, "chr", pdf["chr"].iloc[0])
         return out
 
     ship(calls.sparkSession)
     cols = ["chr", "start", "end", "call"]
-    done = d.where("_way <> 0").select(*cols, "island").groupBy("chr", "island").applyInPandas(run, "chr string, start long, end long, call double")
+    # islands are small and many: a call of the function takes some thousand of them
+    block = F.floor(F.col("island") / 4096).alias("block")
+    done = d.where("_way <> 0").select(*cols, "island", block).groupBy("chr", "block").applyInPandas(run, "chr string, start long, end long, call double")
     return done.unionByName(d.where("_way = 0").select(*cols)).where(F.col("end") - F.col("start") >= least)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,13 +55,16 @@ def leader_clusters(pairs: DataFrame, mean: float, sd: float, tol: float = 6, fa
     d = d.drop("_chr", "pos", "seg_start", "seg_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["_main", "_sec", "dist", "template"], kind="stable")
-        lead = leaders(list(zip(p["_main"], p["_sec"], p["dist"])), int(p["type"].iloc[0]), reach, tol * sd)
-        return p.assign(cluster=lead).drop(columns=["_main", "_sec"])
+        p = pdf.sort_values(["part", "_main", "_sec", "dist", "template"], kind="stable")
+        lead: list[int] = []
+        for _, rows in groupby(zip(p["part"], p["_main"], p["_sec"], p["dist"]), key=lambda r: r[0]):
+            lead += leaders([r[1:] for r in rows], int(p["type"].iloc[0]), reach, tol * sd)
+        return p.assign(cluster=lead).drop(columns=["_main", "_sec", "_block"])
 
     ship(pairs.sparkSession)
     fields = ", ".join(f"{n} {t}" for n, t in d.drop("_main", "_sec").dtypes)
-    return d.groupBy("chr", "type", "part").applyInPandas(run, f"{fields}, cluster long")
+    # parts are small and many: a call of the function takes those that begin in a stretch of the chromosome
+    return d.withColumn("_block", F.floor(F.col("part") / (1 << 16))).groupBy("chr", "type", "_block").applyInPandas(run, f"{fields}, cluster long")
 
 
 def cluster_summary(rows: DataFrame, mean: float) -> DataFrame:

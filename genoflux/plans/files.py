@@ -261,6 +261,39 @@ def repeat_pairs(s, sf):
     return si.repeat_pairs(text.read_axt(s, _axt(s, sf)), lengths)
 
 
+@query(f"""with {v.LINKS} select chr, "from", "to", type::int as type, count, 1::bigint as l_from, 2::bigint as l_to, avg_md, id from links""")
+def links_of_four_files(s, sf):
+    """The EDGE rows of a file for each type, among other lines."""
+    d = v.links(s, sf).withColumn("l_from", F.lit(1)).withColumn("l_to", F.lit(2))
+    other = v.table(s, sf, "supplier").select(F.concat(F.lit("CLUSTER "), "s_suppkey").alias("value"))
+    paths = [_text(text.link_lines(d.where(f"type = {t}")).unionByName(other), f"t{t}") for t in range(4)]
+    return text.read_links(s, paths)
+
+
+_LINES = """line as (select c_custkey as k, 'k' || (c_custkey // 7) || ' ' || c_name || ' é' as value from customer),
+  offs as (select row_number() over (order by k) - 1 as line, coalesce(sum(octet_length(encode(value)) + 1) over (order by k rows between unbounded preceding and 1 preceding), 0)::bigint as "offset", 'k' || (k // 7) as key from line)"""
+
+
+def _line_index(s, sf) -> DataFrame:
+    folder = new_path(s, "lines")
+    k = F.col("c_custkey")
+    line = F.concat(F.lit("k"), F.expr("c_custkey div 7"), F.lit(" "), "c_name", F.lit(" é\n"))
+    binary.save_files(v.table(s, sf, "customer").select(F.lit("lines.txt").alias("name"), k.alias("part"), line.cast("binary").alias("body")), folder)
+    return text.line_index(s, folder)
+
+
+@query(f'with {_LINES} select line, "offset", key from offs')
+def line_offsets(s, sf):
+    """Where each line of a file begins."""
+    return _line_index(s, sf).drop("path")
+
+
+@query(f'with {_LINES} select min(line) as line, min("offset") as "offset", key from offs group by key')
+def key_offsets(s, sf):
+    """Where the lines of each key begin, in a file in the order of keys."""
+    return text.key_index(_line_index(s, sf)).drop("path")
+
+
 # ---- arrays and records ----------------------------------------------------------------------------------------------
 
 

@@ -15,8 +15,9 @@ from genoflux.operators import reads as rd
 from genoflux.operators import report as rp
 from genoflux.scratch import materialise
 
+from . import pipeline
 from . import views as v
-from .catalogue import _COV, _PAIRS, _SEQ, _WIN, _mates, _merged, _occurrences, _seqs, query
+from .catalogue import _COV, _PAIRS, _SEQ, _SPIKES, _WIN, _mates, _merged, _occurrences, _seqs, query
 
 # ---- reads and intervals ---------------------------------------------------------------------------------------------
 
@@ -442,3 +443,51 @@ def region_walk(s, sf):
 select id, length, difference, reference, mean, mode, median from a join m using (id)""")
 def region_statistics(s, sf):
     return rp.walk_statistics(_walked(s, sf))
+
+
+# ---- the chain -------------------------------------------------------------------------------------------------------
+
+
+def _stage1(s, sf) -> dict[str, DataFrame]:
+    return pipeline.stage1(v.mappings(s, sf), v.breaks(s, sf), 36, 20, 5, 3, 1, 3, 1000)
+
+
+@query(f"""with {_SPIKES}, {v.BREAKS}, u as (select chr, "start", "end" from br union all select chr, greatest("start" - 2, 1), "end" + 2 from runs where state = 'high'), {_merged('u', 0)} select * from merged""")
+def stage1_masks(s, sf):
+    """The first stage's masks: breaks and padded spikes, merged."""
+    return _stage1(s, sf)["masks"]
+
+
+# the same clusters as above, with the first stage's thresholds: concordant from 5 to 35, within a mean of 20 and deviation 5, tolerance 6 and factor 1
+_STAGE1 = _LEADERS.replace("between 100 and 400", "between 5 and 35").replace("+ 205", "+ 25").replace("<= 205", "<= 25").replace("< 10 else", "< 30 else").replace("< 10 end", "< 30 end")
+
+
+@query(f"""with recursive {_STAGE1}, {v.BREAKS},
+  a as (select *, not coalesce(left_pos = lag(left_pos) over w and dist = lag(dist) over w, false) as new, avg(dist) over (partition by chr, type, part, cluster) as mean
+    from led window w as (partition by chr, type, part, cluster order by left_pos, dist, right_pos, template)),
+  b as (select *, new and row_number() over (partition by chr, type, part, cluster, template, new order by left_pos, dist, right_pos) = 1 as kept from a),
+  g as (select chr, type, part, cluster, count(*) as size, min(left_pos) as x1, max(left_pos) as x2, min(right_pos) as x3, max(right_pos) as x4, avg(dist) as mean, sum(kept::int)::bigint as n,
+    sum(case when kept then (dist - mean) * (dist - mean) end) as ss from b group by all),
+  l0 as (select chr, case when type in (0, 2) then x2 else x1 end as "from", case when type in (1, 2) then x4 else x3 end as "to", type, n as count, x2 - x1 as l_from, x4 - x3 as l_to,
+    round(mean, 6) as avg_md, round(sqrt(ss / size), 6) as sd from g where size > 1 and mean >= 40 and n > 1),
+  l as (select *, row_number() over (partition by type order by chr, "from", "to", l_from, l_to, avg_md) as id from l0),
+  x as (select *, "from" + case when type = 3 then -35 else 35 end as lp, "to" - case when type = 2 then -35 else 35 end as rp from l where count >= 3 and avg_md < 10000000)
+select chr, "from", "to", type, count, l_from, l_to, avg_md, sd, id from x where not exists (select 1 from br where br.chr = x.chr and (x.lp between br."start" and br."end" or x.rp between br."start" and br."end"))""")
+def stage1_links(s, sf):
+    """The first stage's links: discordant pairs, clustered, filtered and screened."""
+    return _stage1(s, sf)["links"]
+
+
+@query(f"""with {v.CALLS}, {v.BREAKS}, {v.COVERAGE}, ok as (select * from calls c where not exists (select 1 from br where br.chr = c.chr and br."start" <= c."end" and c."start" <= br."end")),
+  t as (select chr, "start"::bigint as s, "end"::bigint as e, cast(trunc(flow_diff) as bigint)::double as v from ok),
+  u as (select *, case when sign(v) is distinct from lag(sign(v)) over (partition by chr order by s, e, v) then 1 else 0 end as new from t),
+  i as (select *, sum(new) over (partition by chr order by s, e, v rows unbounded preceding) as run from u),
+  z0 as (select chr, run, list({{'s': s, 'e': e, 'v': v}} order by s, e, v) as l from i where v <> 0 group by chr, run),
+  {", ".join(_pass(f"z{k}", f"z{k + 1}", _OVER if k % 2 == 0 else _CLOSE) for k in range(2 * _ROUNDS))},
+  out as (select chr, unnest(l) as x from z{2 * _ROUNDS} union all select chr, {{'s': s, 'e': e, 'v': v}} from i where v = 0),
+  f as (select chr, x.s as "start", x.e as "end", case when x.v > 0 then 'gain' else 'loss' end as call from out where x.e - x.s >= 200)
+select f.chr, f."start", f."end", call, round(sum(case when lam > 0 then cov end) / sum(case when lam > 0 then lam end), 6) as doc_ratio
+from f left join cov c on c.chr = f.chr and c.pos between f."start" and f."end" group by all""")
+def stage2_calls(s, sf):
+    """The second stage: calls off the breaks, smoothed, named, with the depth over the expected one."""
+    return pipeline.stage2(v.calls(s, sf), v.breaks(s, sf), v.coverage(s, sf), 5.0, 200)

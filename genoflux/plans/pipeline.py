@@ -12,6 +12,31 @@ from genoflux.operators import intervals as iv
 from genoflux.operators import reads as rd
 
 
+#: Options of a run with the types that they must have.
+OPTIONS = {"mean": (int, float), "sd": (int, float), "read_len": (int,), "least": (int,)}
+MODES = ("all", "stage1", "stage2")
+
+
+def check_inputs(spark, mode: str, options: dict, references: list[str], files: dict[str, str]) -> list[str]:
+    """What is missing or wrong in the inputs of a run: its mode, options, and for each reference the files of each kind (a path with {ref})."""
+    from genoflux.sources.binary import _file
+
+    wrong = [] if mode in MODES else [f"mode {mode} is none of {', '.join(MODES)}"]
+    for name, types in OPTIONS.items():
+        if name not in options:
+            wrong.append(f"option {name} is missing")
+        elif not isinstance(options[name], types) or options[name] < 0:
+            wrong.append(f"option {name} is not a number from 0")
+    if not references:
+        wrong.append("no references")
+    for kind, pattern in files.items():
+        for ref in references:
+            fs, path = _file(spark, pattern.format(ref=ref))
+            if not fs.exists(path):
+                wrong.append(f"{kind} of {ref} is missing")
+    return wrong
+
+
 def thresholds(mean: float, sd: float) -> dict[str, float]:
     """Concordant distances: three deviations about the mean, at least 1; tolerance beyond breaks."""
     return {"lower": max(1.0, mean - 3 * sd), "upper": mean + 3 * sd, "tolerance": mean + 3 * sd}

@@ -44,6 +44,41 @@ def read_intervals(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).where(part(1) != "").select(part(1).alias("chr"), part(2).cast("bigint").alias("start"), part(3).cast("bigint").alias("end"), part(4).alias("label"))
 
 
+def read_links(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(chr, from, to, type, count, l_from, l_to, avg_md, id) of the rows of cluster files that end in EDGE; other lines are left out."""
+    names = [("chr", "string"), ("from", "bigint"), ("to", "bigint"), ("type", "int"), ("count", "bigint"), ("l_from", "bigint"), ("l_to", "bigint"), ("avg_md", "double"), ("id", "bigint")]
+    d = _fields(spark.read.text(paths)).where((F.size("f") == len(names) + 1) & (F.get("f", F.lit(len(names))) == "EDGE"))
+    return d.select(*(d.f[i].cast(t).alias(n) for i, (n, t) in enumerate(names)))
+
+
+def link_lines(links: DataFrame) -> DataFrame:
+    """(value): lines of links as read_links takes them."""
+    return links.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("chr", "from", "to", "type", "count", "l_from", "l_to", "avg_md", "id")), F.lit("EDGE")).alias("value"))
+
+
+def line_index(spark: SparkSession, paths: str | list[str], token: int | None = None, sep: str = r"\s+") -> DataFrame:
+    """(path, line, offset, key): the lines of each file from 0 with the byte that each begins at; key: its first token, or the given one.
+
+    Lines are numbered inside their split, and splits inside their file, so that a file is as many tasks as it has splits; lines end in one line feed.
+    """
+    d = spark.read.text(paths).select(F.input_file_name().alias("path"), F.input_file_block_start().alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    d = d.withColumn("size", F.octet_length("value") + 1).withColumn("key", F.get(F.split(F.ltrim("value"), sep), F.lit(token or 0))).drop("value")
+    sums = d.groupBy("path", "split").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("path", "split", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("lines"))
+    inside = W.partitionBy("path", "split").orderBy("at")
+    d = d.withColumn("offset", F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("line", F.row_number().over(inside) - 1)
+    return d.join(sums, ["path", "split"]).select("path", (F.col("line") + F.col("lines")).alias("line"), (F.col("offset") + F.col("bytes")).alias("offset"), "key")
+
+
+def key_index(index: DataFrame) -> DataFrame:
+    """(path, key, line, offset): of each run of lines of one key the first, as a lookup by key starts there."""
+    from genoflux.operators.intervals import with_previous
+
+    d = with_previous(index.withColumn("_key", F.concat(F.lit("="), "key")), "path", "line", "_key", "previous")
+    return d.where("previous is null or previous <> _key").select("path", "key", "line", "offset")
+
+
 def read_rows(spark: SparkSession, path: str, names: list[str], comment: str = "#", sep: str | None = None) -> DataFrame:
     """String columns from rows split at white space, or at `sep`; comment lines are left out."""
     d = spark.read.text(path).where(~F.col("value").startswith(comment))
