@@ -247,8 +247,14 @@ def _keep(window: int):
             ends = np.concatenate([[0], np.cumsum(size)])[w.doc_at]
             kept = [kept[a : max(a, z - 1)].decode("utf-8", "replace") for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
             n_gone = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.doc_at])
-            columns = [b.column(3).slice(i, j - i), pa.array(w.count), pa.array(n_gone), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["_row", "n_words", "n_removed", "kept"])
+            # maximal repeats: runs of words that go, each in one document
+            first = gone & ~np.concatenate([[False], gone[:-1] & (w.doc[1:] == w.doc[:-1])]) if len(gone) else gone
+            at = np.flatnonzero(first)
+            size = np.add.reduceat(gone, at, dtype=np.int64) if len(at) else at
+            spans = pa.StructArray.from_arrays([pa.array(w.pos[at]), pa.array(size)], ["start", "length"])
+            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, w.doc_at).astype(np.int32)), spans)
+            columns = [b.column(3).slice(i, j - i), pa.array(w.count), pa.array(n_gone), spans, pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "n_words", "n_removed", "spans", "kept"])
 
     return run
 
@@ -275,11 +281,11 @@ def numbered(d: DataFrame) -> tuple[DataFrame, int]:
 
 
 def drop_repeats(docs: DataFrame, window: int = 20, carry: list[str] | None = None) -> DataFrame:
-    """Columns `carry` (doc_id alone if not given) with n_words, n_removed, kept, for every row of docs.
+    """Columns `carry` (doc_id alone if not given) with n_words, n_removed, spans, kept, for every row of docs.
 
     Words are maximal runs of characters other than 0x20 and 0x09-0x0D. A word goes if a window of `window` words
-    over it occurs earlier too: in a document of smaller doc_id, or earlier in its own. kept: the other words,
-    joined by one space. Null and empty texts have no words. A null doc_id is smaller than all others. Rows of
+    over it occurs earlier too: in a document of smaller doc_id, or earlier in its own. spans: the maximal runs of
+    words that go (start, from 0, and length); kept: the other words, joined by one space. Null and empty texts have no words. A null doc_id is smaller than all others. Rows of
     one doc_id (or without) and different texts are documents of their own, in the order of a hash of the text; rows that are equal in both are
     one document and don't remove each other at the same place. Columns that aren't carried are ignored. A task holds one text of any
     length, with some 30 bytes of memory for each of its bytes.
@@ -300,9 +306,10 @@ def drop_repeats(docs: DataFrame, window: int = 20, carry: list[str] | None = No
     found = sent.groupBy("bucket").applyInArrow(_later(buckets), FOUND)
     late = materialise(found.groupBy("block").applyInArrow(_places, PLACES), "substring-late")
     whole = d.join(late, "_id", "left").select("_id", "text", "places", "_row")
-    more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
+    more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.StringType())]
     out = whole.mapInArrow(_keep(window), T.StructType([whole.schema["_row"], *more]))
-    return out.select("_row.*", "n_words", "n_removed", "kept")
+    return out.select("_row.*", "n_words", "n_removed", "spans", "kept")
 
 
 def op3_anchor_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

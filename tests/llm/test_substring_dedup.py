@@ -60,9 +60,23 @@ def test_batches_and_buckets(spark, monkeypatch):
     assert got(m.drop_repeats(odd.docs(spark))) == brute(odd.rows(), 20)
 
 
+def test_spans(spark):
+    rows = odd.rows()
+    text = {(d, t or ""): re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t, *_ in rows}
+    n = 0
+    for r in m.drop_repeats(odd.docs(spark), carry=["doc_id", "text"]).collect():
+        w = text[r.doc_id, r.text or ""]
+        gone = {p for s in r.spans for p in range(s.start, s.start + s.length)}
+        assert len(gone) == r.n_removed and " ".join(x for p, x in enumerate(w) if p not in gone) == r.kept
+        ends = [s.start + s.length for s in r.spans]
+        assert all(s.length >= 20 for s in r.spans) and all(a < s.start for a, s in zip(ends, r.spans[1:]))
+        n += len(r.spans)
+    assert n > 3
+
+
 def test_carried_columns(spark):
     r = m.drop_repeats(odd.docs(spark), carry=["doc_id", "places", "text", "_text"])
-    assert r.columns == ["doc_id", "places", "text", "_text", "n_words", "n_removed", "kept"]
+    assert r.columns == ["doc_id", "places", "text", "_text", "n_words", "n_removed", "spans", "kept"]
     assert sorted((x.doc_id or 0, x.text or "", x.places) for x in r.collect()) == sorted((d or 0, t or "", "places"[:1]) for d, t, *_ in odd.rows())
 
 
