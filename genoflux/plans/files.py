@@ -91,7 +91,7 @@ def scan_mapping_alignments(s, sf):
 
 @query(f"with {_REC} select name, position, last from recs where ref_id = 2 and last > 50000 and position < 150000")
 def scan_alignment_region(s, sf):
-    d = bam.in_region(bam.read_bam(s, _bam_files(s, sf)), "chr2", 50_000, 150_000)
+    d = bam.in_region(bam.read_records(s, _bam_files(s, sf)), "chr2", 50_000, 150_000)
     return d.select("name", "position", al.reference_end(F.col("position"), F.col("cigar")).alias("last"))
 
 

@@ -1,5 +1,7 @@
+import random
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from genoflux.operators import similar as si
@@ -88,6 +90,47 @@ def test_bam_round_trip(spark, tmp_path):
     assert sum(len(list(bam.parse(bam.inflate(r.body))[1])) for r in again) == 3
 
 
+def test_bam_in_splits(spark, tmp_path):
+    rng = random.Random(4)
+    recs = []
+    for i in range(3000):
+        n = rng.choice([0, 20, 90, 4000 if i % 50 == 0 else 60])
+        tags = b"XAZ" + bytes(rng.randrange(33, 127) for _ in range(rng.randint(0, 300))) + b"\0"
+        recs.append((f"r{i // rng.choice([1, 2, 3])}", rng.randint(-1, 2), rng.randint(-1, 10**6), rng.choice([0, 4, 16]), 9, 4681, [("M", n)] if n else [], "".join(rng.choice("ACGTN") for _ in range(n)), "I" * n, -1, -1, 0, tags))
+    refs = [(f"chr{k}", 10**6) for k in range(3)]
+    for name, part in (("a.bam", recs[:2000]), ("b.bam", recs[2000:])):
+        put(tmp_path / name, bam.encode(refs, part, "@HD\tVN:1.0\n" + "@CO\t" + "x" * 70_000 + "\n"), "wb")
+    want, ids = [], -1
+    for f, part in enumerate((recs[:2000], recs[2000:])):
+        last = None
+        for k, r in enumerate(part):
+            ids += r[0] != last
+            last = r[0]
+            want.append((ids, f, k, r[0], r[1], r[2], r[7], r[12][3:-1].decode()))
+    for size in ("20k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            d = bam.read_bam(spark, str(tmp_path))
+            got = [(r.read_id, int(r.path.endswith("b.bam")), r.ordinal, r.name, r.ref_id, r.position, r.bases, r.tags["XA"]) for r in d.collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted(got) == want
+    region = bam.in_region(bam.read_records(spark, str(tmp_path)), "chr1", 1000, 50_000)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = region._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(ref_name,chr1)" in plan and "LessThan(position,50000)" in plan
+    assert region.count() == sum(r[1] == 1 and r[2] < 50_000 and r[2] + len(r[7]) > 1000 for r in recs)
+
+
+def test_bam_that_ends_inside_a_record(spark, tmp_path):
+    whole = bam.encode([("chr1", 1000)], [(f"r{i}", 0, i, 0, 9, 0, [], "", "", -1, -1, 0, b"") for i in range(9)])
+    data = bam.inflate(whole)[:-7]
+    put(tmp_path / "x.bam", bam.block(data) + bam.EOF, "wb")
+    with pytest.raises(Exception, match="ends inside a record"):
+        bam.read_bam(spark, str(tmp_path / "x.bam")).count()
+
+
 def test_partitioned_sinks(spark, tmp_path):
     d = spark.createDataFrame([("a", 1), ("b", 2), ("z", 3)], "ref_name string, x long")
     text.write_by_reference(d, str(tmp_path / "out"), spark.createDataFrame([("a",), ("b",)], "ref_name string"))
