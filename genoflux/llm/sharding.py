@@ -59,9 +59,8 @@ def shard_groups(rows: DataFrame, group: str, size: str, shards: int, seed: str
     spark = rows.sparkSession
     g = rows.groupBy(group).agg(F.sum(size).alias("_bytes"))
     g = g.withColumn("_s", F.greatest(F.lit(0), F.length(F.bin("_bytes")) - CLASS_BITS).cast("int"))
-    g = g.withColumn("_class", F.expr("shiftleft(shiftright(_bytes, _s), _s)")).drop("_s")
-    g = g.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), group), F.lit(64)).cast("int"))
-    g = materialise(g, "shard-groups")
+    g = materialise(g.withColumn("_class", F.expr("shiftleft(shiftright(_bytes, _s), _s)")).drop("_s"), "shard-groups")
+    g = g.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), group), F.lit(blocks_for(g.count()))).cast("int"))
     hist = g.groupBy("_class", "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("_bytes").alias("_b"))
     hist = materialise(hist, "shard-classes")
     classes = hist.groupBy("_class").agg(F.sum("_n").alias("n"), F.sum("_b").alias("b")).collect()
@@ -81,14 +80,18 @@ def shard_groups(rows: DataFrame, group: str, size: str, shards: int, seed: str
     return rows.join(placed, rows[group].eqNullSafe(placed["_group"]), "left").drop("_group")
 
 
+def blocks_for(rows: int, per_block: int = 250_000) -> int:
+    """Into how many blocks rows that are to be numbered are dealt, should all have one key."""
+    return max(64, 1 << max(0, rows // per_block).bit_length())
+
+
 def number_rows(df: DataFrame, key: str, order: list[str], out: str, per_block: int = 250_000) -> DataFrame:
     """Add `out`: the rows of each `key` numbered from 0 without gaps. df should be cheap to read twice.
 
     Each key's rows are dealt by hash to blocks whose number follows the row count, counted, and numbered inside
     their block, so that one key never makes one task.
     """
-    rows = df.count()
-    blocks = max(64, 1 << max(0, rows // per_block).bit_length())
+    blocks = blocks_for(df.count(), per_block)
     d = df.withColumn("_block", F.pmod(F.xxhash64(F.lit("block"), *order), F.lit(blocks)).cast("int"))
     n = d.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
