@@ -94,14 +94,26 @@ def pack_group(lengths: list[int], room: int) -> list[tuple[int, int, int, int,
     return out
 
 
-def _encode(tokenizer: str, end: int):
+def _encode(tokenizer: str, end: int, groups: int):
     def run(batches):
+        import xxhash
+        from pyspark import TaskContext
+
         from . import tokenizers
 
+        hash_of = lambda x: xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1
+        part, seen = TaskContext.get().partitionId(), {}
         enc = tokenizers.word_bpe(tokenizer)
         for b in batches:
-            ids = [np.append(x, np.uint32(end)).astype("<u4").tobytes() for x in enc.encode(b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["group", "doc_id", "ids"])
+            texts = b.column(2).to_pylist()
+            ids = [np.append(x, np.uint32(end)).astype("<u4").tobytes() for x in enc.encode(texts)]
+            # equal rows would all be dealt to one group: those that a task has seen are dealt anew
+            dealt = []
+            for h, row in zip(b.column(0).to_pylist(), zip(b.column(1).to_pylist(), map(hash_of, texts))):
+                k = seen.get(row, 0)
+                seen[row] = k + 1
+                dealt.append((h if not k else hash_of(f"{h} {part} {k}")) % groups)
+            yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int64()), b.column(1), pa.array(ids, pa.binary())], ["group", "doc_id", "ids"])
         release()
 
     return run
@@ -132,18 +144,19 @@ def pack_documents(docs: DataFrame, tokenizer: str, room: int = 4096, end: int =
 
     ids: the piece's token ids, little-endian unsigned 32-bit. Documents are dealt at random (a hash of id and
     text) to groups of about group_docs, each packed by itself; a group is one task's memory. A null or empty
-    text is its end token alone. Repeated rows are packed as often as they occur. No rows: no rows.
+    text is its end token alone. Repeated rows are packed as often as they occur, and dealt to groups of their own, however many they are. No
+    rows: no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     groups = max(1, round(docs.count() / group_docs))
     text = F.coalesce(docs["text"], F.lit(""))
     d = docs.select(
-        F.pmod(F.xxhash64(F.lit(seed), "doc_id", text), F.lit(groups)).alias("group"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", text), 1).alias("group"),
         docs["doc_id"].cast("long").alias("doc_id"),
         text.alias("text"),
     )
-    ids = d.mapInArrow(_encode(tokenizer, end), "group long, doc_id long, ids binary")
+    ids = d.mapInArrow(_encode(tokenizer, end, groups), "group long, doc_id long, ids binary")
     return ids.groupBy("group").applyInArrow(_pack(room), PIECES)
 
 

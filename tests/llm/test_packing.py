@@ -79,3 +79,12 @@ def test_tournament_is_first_fit():
         want = next(i for i, r in enumerate(room) if r >= n)
         room[want] -= n
         assert t.put(n) == want
+
+
+def test_very_many_equal_rows_are_many_groups(spark):
+    d = spark.createDataFrame([(None, "one and the same")] * 3000 + [(i, f"text {i}") for i in range(1000)], "doc_id long, text string").repartition(4)
+    got = m.pack_documents(d, PATH, group_docs=100).collect()
+    rows = {}
+    for r in got:
+        rows.setdefault(r.sequence_id >> 32, []).append(r)
+    assert sum(r.start == 0 for r in got) == 4000 and len(rows) > 30 and max(len(x) for x in rows.values()) < 250
