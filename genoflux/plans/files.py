@@ -470,3 +470,18 @@ def random_and_flip(s, sf):
 @query("""select p_partkey as k, '>' || p_partkey || '<' as made, p_partkey::int as number from part""")
 def text_and_number(s, sf):
     return v.table(s, sf, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit(">"), F.col("p_partkey").cast("string"), F.lit("<")).alias("made"), F.col("p_partkey").cast("string").cast("int").alias("number"))
+
+
+@query("""select 'option sd is missing' as wrong union all select 'option least is not a number from 0' union all select 'mode both is none of all, stage1, stage2'
+union all select 'sequence of ' || n_name || ' is missing' from nation where n_nationkey % 4 = 0 or n_nationkey % 3 = 0""")
+def run_input_check(s, sf):
+    """What is wrong with the inputs of a run: a mode, two options, and references without a sequence."""
+    from . import pipeline
+
+    names = v.table(s, sf, "nation").select("n_nationkey", "n_name")
+    folder = new_path(s, "inputs")
+    there = names.where("n_nationkey % 4 <> 0 and n_nationkey % 3 <> 0")
+    binary.save_files(there.select(F.concat("n_name", F.lit(".fa")).alias("name"), F.lit(0).alias("part"), F.lit(">x\n").cast("binary").alias("body")), folder)
+    refs = [r.n_name for r in names.collect()]  # the references of a run are its options
+    wrong = pipeline.check_inputs(s, "both", {"mean": 200, "read_len": 36, "least": -1}, refs, {"sequence": f"{folder}/{{ref}}.fa"})
+    return s.createDataFrame([(w,) for w in wrong], "wrong string")
