@@ -159,25 +159,31 @@ _LETTERS = """ntseq as (select 'chr' || doc_id as name, translate(regexp_replace
 
 
 def _fasta(s, sf) -> str:
-    """A file for each sequence."""
+    """A file for each source, with the letters of its documents in lines one after the other."""
     folder = new_path(s, "fasta")
-    lines = text.fasta_lines(_letters(s, sf)).select(F.concat("name", F.lit(".fa")).alias("name"), "part", F.concat("value", F.lit("\n")).cast("binary").alias("body"))
-    binary.save_files(lines, folder)
+    d = v.table(s, sf, "documents").select(F.concat(F.lit("chr"), "doc_id").alias("name"), "doc_id", F.concat("source", F.lit(".fa")).alias("file"))
+    lines = text.fasta_lines(_letters(s, sf)).where("part >= 0").join(d, "name")
+    body = lines.select(F.col("file").alias("name"), (F.col("doc_id") * (1 << 20) + F.col("part") + 1).alias("part"), "value")
+    head = d.select("file").distinct().select(F.col("file").alias("name"), F.lit(0).cast("bigint").alias("part"), F.concat(F.lit(">"), F.regexp_replace("file", "[.]fa", " a note")).alias("value"))
+    binary.save_files(head.unionByName(body).select("name", "part", F.concat("value", F.lit("\n")).cast("binary").alias("body")), folder)
     return folder
 
 
-@query(f"with {_LETTERS} select name, md5(seq) as digest, length(seq)::int as length from ntseq where length(seq) > 0")
+_CONTIGS = f"""{_LETTERS}, ctg as (select source as name, string_agg(seq, '' order by doc_id) as seq from ntseq join (select 'chr' || doc_id as name, doc_id, source from documents) using (name) group by source)"""
+
+
+@query(f"with {_CONTIGS} select name, md5(seq) as digest, length(seq)::int as length from ctg")
 def scan_sequences(s, sf):
     d = text.read_fasta(s, _fasta(s, sf))
     return d.select("name", F.md5(F.col("seq").cast("binary")).alias("digest"), F.length("seq").alias("length"))
 
 
-@query(f"with {_LETTERS} select sum(length(seq))::bigint as length from ntseq")
+@query(f"with {_CONTIGS} select sum(length(seq))::bigint as length from ctg")
 def sequence_length(s, sf):
     return text.fasta_length(s, _fasta(s, sf))
 
 
-@query(f"""with {_LETTERS}, c as (select name as id, unnest(range(1, length(seq) + 1)) as pos, unnest(string_split(seq, '')) as c from ntseq where length(seq) > 0),
+@query(f"""with {_CONTIGS}, c as (select name as id, unnest(range(1, length(seq) + 1)) as pos, unnest(string_split(seq, '')) as c from ctg),
   g as (select id, pos, pos - row_number() over (partition by id order by pos) as k from c where c in ('n', 'N'))
 select id, min(pos) as "start", max(pos) as "end" from g group by id, k""")
 def unknown_runs_of_files(s, sf):
@@ -186,7 +192,7 @@ def unknown_runs_of_files(s, sf):
     return de.letter_runs(p.select(F.col("name").alias("id"), "start", "seq"))
 
 
-_FWIN = f"""{_LETTERS}, w0 as (select name as id, seq, unnest(range(0, cast(ceil(length(seq) / 500) as bigint))) as win from ntseq where length(seq) > 0),
+_FWIN = f"""{_CONTIGS}, w0 as (select name as id, seq, unnest(range(0, cast(ceil(length(seq) / 500) as bigint))) as win from ctg),
   w1 as (select id, win::int as win, substring(seq, win * 500 + 1, 500) as s from w0),
   w2 as (select id, win, s, length(s)::int as len, length(regexp_replace(s, '[^gcGC]', '', 'g'))::int as gc, length(regexp_replace(s, '[^atAT]', '', 'g'))::int as at_ from w1),
   fwin as (select *, case when gc + at_ > 0 then least((gc * 100 // (gc + at_)) * 50 // 100, 49)::bigint end as bin from w2)"""

@@ -151,14 +151,22 @@ def save_files(bodies: DataFrame, folder: str) -> None:
     """One file for each name of bodies (name, part, body), its parts in order. A file is one stream, so the driver writes it, a partition of
     rows at a time; it works with any file system that Spark can write."""
     spark = bodies.sparkSession
-    name, out = None, None
+    name, out, held = None, None, bytearray()
+
+    def flush(close: bool) -> None:
+        if held:
+            out.write(bytes(held))
+            held.clear()
+        if close and out is not None:
+            out.close()
+
     for r in bodies.orderBy("name", "part").toLocalIterator():
         if r["name"] != name:
-            if out is not None:
-                out.close()
+            flush(True)
             name = r["name"]
             fs, p = _file(spark, f"{folder}/{name}")
             out = fs.create(p)
-        out.write(bytes(r["body"]))
-    if out is not None:
-        out.close()
+        held += r["body"]
+        if len(held) >= 1 << 20:
+            flush(False)
+    flush(True)
