@@ -318,4 +318,20 @@ def op3_anchor_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_anchor_substring_dedup": op3_anchor_substring_dedup}
-SQL: dict[str, str] = {}
+_OP3 = r"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), win as (
+  select doc_id, p, md5(array_to_string(list_slice(w, p, p + 19), ' ')) as k from (select doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) as p from d)
+), late as (
+  select doc_id, p from (select *, row_number() over (partition by k order by doc_id, p) as nth from win) where nth > 1
+), gone as (
+  select distinct doc_id, unnest(range(p, p + 20)) as i from late
+), word as (
+  select doc_id, i, x, g.i is not null as removed from (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as x from d) left join gone g using (doc_id, i)
+), kept as (
+  select doc_id, count(*) filter (where removed) as n_removed, string_agg(x, ' ' order by i) filter (where not removed) as kept from word group by doc_id
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join kept using (doc_id)
+"""
+SQL = {"op3_anchor_substring_dedup": _OP3}
