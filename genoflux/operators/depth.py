@@ -50,11 +50,14 @@ def letter_runs(seqs: DataFrame, letters: str = "nN") -> DataFrame:
     Runs are found in each piece and joined over the pieces' borders.
     """
     cut = F.split("seq", f"(?<=[{letters}])(?=[^{letters}])|(?<=[^{letters}])(?=[{letters}])")
-    d = sequence_pieces(seqs).where(F.col("seq").rlike(f"[{letters}]")).select("id", "start", F.posexplode(cut).alias("k", "piece"))
+    d = sequence_pieces(seqs).where(F.col("seq").rlike(f"[{letters}]")).withColumn("last", F.col("start") + F.length("seq") - 1)
+    d = d.select("id", "start", "last", F.posexplode(cut).alias("k", "piece"))
     before = F.coalesce(F.sum(F.length("piece")).over(W.partitionBy("id", "start").orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("at", F.col("start") + before).where(F.col("piece").rlike(f"^[{letters}]"))
-    runs = merge(d.select(F.col("id").alias("chr"), F.col("at").alias("start"), (F.col("at") + F.length("piece") - 1).alias("end")), 1)
-    return runs.select(F.col("chr").alias("id"), "start", "end")
+    d = d.withColumn("at", F.col("start") + before).where(F.col("piece").rlike(f"^[{letters}]")).withColumn("end", F.col("at") + F.length("piece") - 1)
+    # only runs at a border of their piece may go on beyond it: two at most for each
+    border = (F.col("at") == F.col("start")) | (F.col("end") == F.col("last"))
+    edge = merge(d.where(border).select(F.col("id").alias("chr"), F.col("at").alias("start"), "end"), 1).select(F.col("chr").alias("id"), "start", "end")
+    return d.where(~border).select("id", F.col("at").alias("start"), "end").unionByName(edge)
 
 
 def count_letters(s: Column, letters: str) -> Column:

@@ -47,7 +47,7 @@ def cost_segments(arcs: DataFrame, baseflow: int = 2, lines: int = 10, allow_non
     one = F.when(closing, F.struct(whole(baseflow).alias("low"), whole(baseflow).alias("cap"), whole(0).alias("slope"))).otherwise(F.struct(whole(0).alias("low"), whole(FREE_CAP).alias("cap"), whole(1).alias("slope")))
     free_arcs = d.where(closing | free).select("arc_id", "from", "to", whole(0).alias("seq"), F.lit("fwd").alias("dir"), one.alias("x")).select("arc_id", "from", "to", "seq", "dir", "x.*")
     d = d.where(~closing & ~free)
-    best = F.col("k") / F.col("l") + 0.0001
+    best = F.try_divide(F.col("k"), F.col("l")) + 0.0001
     up, down = nearly_ceil(best), best.cast("bigint")
     f = lambda x: cost_at(x, F.col("k"), F.col("l"))
     d = d.withColumn("s", F.when(f(up) > f(down), down).otherwise(up))

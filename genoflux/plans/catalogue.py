@@ -414,7 +414,7 @@ _SEGS = f"""{v.ARCS}, a0 as (select *, hits::double as k, lam * len / 2 as l fro
 def cost_segments(s, sf):
     """Costs of all arcs: short ones are free, and the closing one must carry two."""
     a = v.arcs(s, sf)
-    closing = s.createDataFrame([(-1, 26, 1, 0, -1, 0.0)], a.schema)
+    closing = s.range(1).select(*(F.lit(x).cast(t).alias(n) for x, (n, t) in zip((-1, 26, 1, 0, -1, 0.0), a.dtypes)))
     return fl.cost_segments(a.unionByName(closing), free_length=40)
 
 
