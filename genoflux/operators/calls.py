@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from genoflux.scratch import materialise
 from genoflux.shipping import ship
 
+from .components import in_blocks
+
 
 def clamp(x: Column) -> Column:
     return F.greatest(F.least(x, F.lit(0.5)), F.lit(-0.5))
@@ -104,20 +107,53 @@ def extract_runs(path: list[tuple[int, int]], length: dict[int, int], decide: di
     return calls
 
 
-def call_runs(occurrences: DataFrame, cutoff: int = 100) -> DataFrame:
-    """Calls of each contig of occurrences (contig, pos, edge_id, length, decide, diff): one task for a contig, as an edge's
-    spent copies bind all its occurrences."""
+def sign_islands(rows: DataFrame, by: str, at: str, order: tuple[str, ...], value: str, width: int = 1 << 24) -> DataFrame:
+    """rows with _way, the sign of value, and island: a number in `by` of each run of neighbours of one sign in the order of the columns, the
+    first of which is `at`. Runs are counted in slices first, which then tell each other how many there were and how the last ended."""
+    d = rows.withColumn("_way", F.signum(value).cast("int")).withColumn("_slice", F.floor(F.col(at) / width))
+    w = W.partitionBy(by, "_slice").orderBy(*order)
+    last = d.groupBy(by, "_slice").agg(F.max(F.struct(*order, "_way")).alias("_last"))
+    before = last.select(by, "_slice", F.lag("_last").over(W.partitionBy(by).orderBy("_slice")).alias("_before"))
+    d = d.join(before, [by, "_slice"])
+    new = F.coalesce(F.col("_way") != F.coalesce(F.lag("_way").over(w), F.col("_before._way")), F.lit(True)).cast("int")
+    d = d.withColumn("_in", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    sums = d.groupBy(by, "_slice").agg(F.max("_in").alias("_n"))
+    sums = sums.select(by, "_slice", F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return d.join(sums, [by, "_slice"]).withColumn("island", F.col("_in") + F.col("_off")).select(*rows.columns, "_way", "island")
+
+
+#: In a path, what stands between islands that aren't neighbours.
+_GAP = -1
+
+
+def call_runs(occurrences: DataFrame, cutoff: int = 100, at_once: int = 100_000) -> DataFrame:
+    """Calls of each contig of occurrences (contig, pos, edge_id, length, decide, diff).
+
+    Runs lie in islands of one sign, and calls bind islands only by the edges that they share; so the islands that edges tie together, directly or over
+    others, are worked on together, and the others apart. Up to `at_once` occurrences in all are not worth telling apart.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["pos", "edge_id"], kind="stable")
-        path = list(zip(p["pos"].astype(int), p["edge_id"].astype(int)))
-        got = extract_runs(path, *(dict(zip(p["edge_id"].astype(int), p[c])) for c in ("length", "decide", "diff")), cutoff)
-        out = pd.DataFrame(got, columns=["start", "end", "flow_diff", "path_len", "nd_unmasked", "nd_total"])
-        out.insert(0, "contig", p["contig"].iloc[0])
+        found = []
+        for _, part in pdf.sort_values(["component", "pos", "edge_id"], kind="stable").groupby("component", sort=False):
+            path: list[tuple[int, int]] = []
+            last = None
+            for pos, e, island in zip(part["pos"].astype(int), part["edge_id"].astype(int), part["island"]):
+                if last not in (None, island):
+                    path.append((pos, _GAP))
+                path.append((pos, e))
+                last = island
+            length, decide, diff = (dict(zip(part["edge_id"].astype(int), part[c])) | {_GAP: 0} for c in ("length", "decide", "diff"))
+            found += extract_runs(path, length, decide, diff, cutoff)
+        out = pd.DataFrame(found, columns=["start", "end", "flow_diff", "path_len", "nd_unmasked", "nd_total"])
+        out.insert(0, "contig", pdf["contig"].iloc[0])
         return out
 
     ship(occurrences.sparkSession)
+    d = occurrences.select("contig", "pos", "edge_id", "length", "decide", "diff")
+    d = materialise(sign_islands(d, "contig", "pos", ("pos", "edge_id"), "diff").where("_way <> 0").drop("_way"), "islands")
+    d = in_blocks(d, "contig", "island", "edge_id", at_once)
     schema = "contig string, start long, end long, flow_diff double, path_len long, nd_unmasked long, nd_total long"
-    return occurrences.groupBy("contig").applyInPandas(run, schema)
+    return d.groupBy("contig", "block").applyInPandas(run, schema)
 
 
 #: A stretch: start, end, value, and the length that the value counts for.
@@ -181,17 +217,8 @@ def smooth_calls(calls: DataFrame, forgiveness: float = 5.0, least: int = 1000,
     Calls of different signs never merge, and none merges over another, so that neighbours of one sign (islands) are tasks of their own. Islands are
     counted in slices of a chromosome first; calls of no sign stay as they are.
     """
-    d = calls.select("chr", "start", "end", F.col("call").cast("double").alias("call")).withColumn("_way", F.signum("call").cast("int")).withColumn("_slice", F.floor(F.col("start") / width))
-    order = ("start", "end", "call")
-    w = W.partitionBy("chr", "_slice").orderBy(*order)
-    last = d.groupBy("chr", "_slice").agg(F.max(F.struct(*order, "_way")).alias("_last"))
-    before = last.select("chr", "_slice", F.lag("_last").over(W.partitionBy("chr").orderBy("_slice")).alias("_before"))
-    d = d.join(before, ["chr", "_slice"])
-    new = F.coalesce(F.col("_way") != F.coalesce(F.lag("_way").over(w), F.col("_before._way")), F.lit(True)).cast("int")
-    d = d.withColumn("_in", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    sums = d.groupBy("chr", "_slice").agg(F.max("_in").alias("_n"))
-    sums = sums.select("chr", "_slice", F.coalesce(F.sum("_n").over(W.partitionBy("chr").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    d = d.join(sums, ["chr", "_slice"]).withColumn("island", F.col("_in") + F.col("_off"))
+    d = calls.select("chr", "start", "end", F.col("call").cast("double").alias("call"))
+    d = sign_islands(d, "chr", "start", ("start", "end", "call"), "call", width)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(["island", "start", "end", "call"], kind="stable")

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 from genoflux.scratch import materialise
 from genoflux.shipping import ship
 
+from .components import in_blocks
 from .intervals import gaps, locate, merge
 
 
@@ -206,8 +207,8 @@ class _Signed:
             self.up[max(ra, rb)] = (min(ra, rb), sa * sb * sign)
 
 
-def refine(rows: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Positions (edge, start, end, strand) of one contig cut until no two overlap in part, equal ones in one edge.
+def classes(rows: list[tuple[int, int, int, str]]) -> list[tuple[tuple[int, int], int, int, str]]:
+    """(first place, start, end, strand) of the pieces of positions (edge, start, end, strand) of one contig, cut until no two overlap in part, equal ones in one edge.
 
     First all cuts: an end of one position inside another is a cut of that one, which its edge hands on to the
     edge's other positions, mirrored on the other strand, until nothing new comes; each cut is looked at once. Then pieces of one place, or at one place of an edge,
@@ -248,21 +249,41 @@ def refine(rows: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, s
                     first = (piece, sign)
                 else:
                     same.join(first[0], piece, first[1] * sign)
-    names: dict = {}
     out = []
     for piece in sorted(same.up):
         root, sign = same.find(piece)
-        out.append((names.setdefault(root, len(names)), *piece, "+" if sign > 0 else "-"))
+        out.append((root, *piece, "+" if sign > 0 else "-"))
     return out
 
 
-def refine_repeats(positions: DataFrame) -> DataFrame:
-    """(contig, edge_id, start, end, strand): refine() of the positions of each contig; ids count from 0 in each contig."""
+def refine(rows: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """The pieces of classes, numbered in the order of their first places."""
+    names: dict = {}
+    return [(names.setdefault(root, len(names)), *rest) for root, *rest in classes(rows)]
+
+
+def refine_repeats(positions: DataFrame, at_once: int = 100_000) -> DataFrame:
+    """(contig, edge_id, start, end, strand): refine() of the positions of each contig; ids count from 0 in each contig.
+
+    Cuts go on only where positions overlap or belong to one edge; so stretches of overlapping positions that edges tie together, directly or
+    over others, are worked on together, and the others apart; up to `at_once` positions in all are not worth telling apart. Their classes are
+    numbered over the contig afterwards.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = refine([(int(e), int(s), int(t), d) for e, s, t, d in zip(pdf["edge_id"], pdf["start"], pdf["end"], pdf["strand"])])
-        out = pd.DataFrame(rows, columns=["edge_id", "start", "end", "strand"])
+        out = []
+        for _, part in pdf.groupby("component"):
+            out += [(*root, *rest) for root, *rest in classes([(int(e), int(s), int(t), d) for e, s, t, d in zip(part["edge_id"], part["start"], part["end"], part["strand"])])]
+        out = pd.DataFrame(out, columns=["root_start", "root_end", "start", "end", "strand"])
         out.insert(0, "contig", pdf["contig"].iloc[0])
         return out
 
     ship(positions.sparkSession)
-    return positions.groupBy("contig").applyInPandas(run, "contig string, edge_id long, start long, end long, strand string")
+    p = positions.select("contig", "edge_id", "start", "end", "strand")
+    stretches = materialise(merge(p.select(F.col("contig").alias("chr"), "start", "end")), "stretches")
+    at = p.withColumn("chr", F.col("contig")).withColumn("pos", F.col("start"))
+    d = materialise(locate(at, stretches.select("chr", "start", F.col("start").alias("id"))).select(*p.columns, F.col("seg_id").alias("stretch")), "positions")
+    d = in_blocks(d, "contig", "stretch", "edge_id", at_once)
+    found = materialise(d.groupBy("contig", "block").applyInPandas(run, "contig string, root_start long, root_end long, start long, end long, strand string"), "pieces")
+    roots = found.select("contig", "root_start", "root_end").distinct().withColumn("slice", F.floor(F.col("root_start") / (1 << 20)))
+    named = numbered_in(roots, "contig", ["slice", "root_start", "root_end"], "edge_id").withColumn("edge_id", F.col("edge_id") - 1).drop("slice")
+    return found.join(named, ["contig", "root_start", "root_end"]).select("contig", "edge_id", "start", "end", "strand")

@@ -133,3 +133,26 @@ def test_scratch_tables(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.scratch_dir(Far)
+
+
+def test_runs_and_repeats_by_components(spark):
+    rng = random.Random(8)
+    rows = [(f"c{k % 2}", 10 * k + 1, e := rng.randrange(150), 5 + e % 40, 5 + e % 40, float(e % 5 - 2)) for k in range(500)]
+    d = spark.createDataFrame(rows, "contig string, pos long, edge_id long, length long, decide long, diff double")
+    want = []
+    for c in ("c0", "c1"):
+        path = [r for r in rows if r[0] == c]
+        each = [dict((r[2], r[k]) for r in path) for k in (3, 4, 5)]
+        want += [(c, *call) for call in ca.extract_runs([(r[1], r[2]) for r in path], *each, 30)]
+    for at_once in (10**6, 20):
+        assert sorted(tuple(r) for r in ca.call_runs(d, 30, at_once).collect()) == sorted(want) and len(want) > 40
+    places = []
+    for e in range(60):
+        size, far = rng.randint(5, 30), rng.random() < 0.3
+        for way in ("+", rng.choice("+-")):
+            s = rng.randint(1, 9000) if far else 150 * e + rng.randint(1, 100)
+            places.append((f"c{e % 2}", e, s, s + size - 1, way))
+    p = spark.createDataFrame(places, "contig string, edge_id long, start long, end long, strand string")
+    want = [(c, *r) for c in ("c0", "c1") for r in gr.refine([x[1:] for x in places if x[0] == c])]
+    for at_once in (10**6, 5):
+        assert sorted(tuple(r) for r in gr.refine_repeats(p, at_once).collect()) == sorted(want)
