@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genoflux.operators.components import components
+
 from .bytekit import U64, binary_parts, release
 from .cluster import materialise, read, ship
-from .components import components
 
 #: Fingerprints that a bucket gets, and values that it holds at once.
 PER_BUCKET, AT_ONCE = 1 << 15, 1 << 22

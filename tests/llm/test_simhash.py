@@ -5,7 +5,7 @@ import odd
 import xxhash
 
 from genoflux.llm import simhash as m
-from genoflux.llm.components import components
+from genoflux.operators.components import components
 
 
 def fp(text, k=4):
