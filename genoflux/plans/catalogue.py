@@ -450,14 +450,6 @@ def longest_signed_run(s, sf):
     return ca.longest_run(signed_runs_first_pass(s, sf), "user_id")
 
 
-@query()
-def extract_cnv_runs(s, sf):
-    e = v.edges(s, sf)
-    one = e.groupBy("edge_id").agg((2 * F.count(F.lit(1))).alias("ref"))
-    d = e.join(one, "edge_id").withColumn("diff", (F.col("flow") + F.col("ref") - 3).cast("double") - F.col("ref"))
-    return ca.call_runs(d.select("contig", "pos", "edge_id", "length", F.col("length").alias("decide"), "diff"), 100)
-
-
 @query(f"""with {v.CALLS} select chr, "start", "end", case when cast(trunc(flow_diff) as bigint) > 0 then 'gain' else 'loss' end as call from calls where "end" - "start" >= 1000""")
 def final_calls(s, sf):
     return ca.final_calls(ca.truncated(v.calls(s, sf)).where(F.col("end") - F.col("start") >= 1000))

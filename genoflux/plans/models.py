@@ -398,6 +398,33 @@ def cnv_runs_of_single_edges(s, sf):
     return ca.call_runs(d, 100)
 
 
+# Each row of the recursion is a contig with what is left of its differences; a fold over the path finds the largest run.
+_FOLD = """list_reduce(list_prepend({'i': 0::bigint, 'e': (-1)::bigint, 'd': 0::double, 'l': 0::bigint, 's': 0::bigint, 'w': 0::double, 'm': 0::double, 'u': []::bigint[], 'z': 0::bigint, 'bz': 0::bigint, 'bi': 0::bigint, 'bj': 0::bigint, 'bw': 0::double, 'bm': 0::double},
+    list_transform(range(1, len(el) + 1), lambda k: {'i': k::bigint, 'e': el[k], 'd': dl[k], 'l': ll[k], 's': 0::bigint, 'w': 0::double, 'm': 0::double, 'u': []::bigint[], 'z': 0::bigint, 'bz': 0::bigint, 'bi': 0::bigint, 'bj': 0::bigint, 'bw': 0::double, 'bm': 0::double})),
+  lambda a, x: case when a.w <> 0 and sign(x.d) = a.w and (not list_contains(a.u, x.e) or floor(least(abs(x.d) / (len(list_filter(a.u, lambda y: y = x.e)) + 1), a.m)) >= 1)
+    then {'i': x.i, 'e': x.e, 'd': x.d, 'l': x.l, 's': a.s, 'w': a.w, 'm': case when list_contains(a.u, x.e) then floor(least(abs(x.d) / (len(list_filter(a.u, lambda y: y = x.e)) + 1), a.m)) else least(abs(x.d), a.m) end, 'u': list_append(a.u, x.e), 'z': a.z + x.l,
+      'bz': greatest(a.bz, a.z + x.l), 'bi': case when a.z + x.l > a.bz then a.s else a.bi end, 'bj': case when a.z + x.l > a.bz then x.i else a.bj end, 'bw': case when a.z + x.l > a.bz then a.w else a.bw end,
+      'bm': case when a.z + x.l > a.bz then case when list_contains(a.u, x.e) then floor(least(abs(x.d) / (len(list_filter(a.u, lambda y: y = x.e)) + 1), a.m)) else least(abs(x.d), a.m) end else a.bm end}
+    when x.d <> 0 then {'i': x.i, 'e': x.e, 'd': x.d, 'l': x.l, 's': x.i, 'w': sign(x.d)::double, 'm': abs(x.d), 'u': [x.e], 'z': x.l,
+      'bz': greatest(a.bz, x.l), 'bi': case when x.l > a.bz then x.i else a.bi end, 'bj': case when x.l > a.bz then x.i else a.bj end, 'bw': case when x.l > a.bz then sign(x.d)::double else a.bw end, 'bm': case when x.l > a.bz then abs(x.d) else a.bm end}
+    else {'i': x.i, 'e': x.e, 'd': x.d, 'l': x.l, 's': 0::bigint, 'w': 0::double, 'm': 0::double, 'u': []::bigint[], 'z': 0::bigint, 'bz': a.bz, 'bi': a.bi, 'bj': a.bj, 'bw': a.bw, 'bm': a.bm} end)"""
+
+
+@query(f"""with recursive {v.EDGES}, p as (select contig, list(pos order by pos, edge_id) as pl, list(edge_id order by pos, edge_id) as el, list(length order by pos, edge_id) as ll, list((flow - 3)::double order by pos, edge_id) as dl
+    from (select contig || '_' || (pos // 100000) as contig, pos, edge_id, length, flow from edges) group by contig),
+  r as (select contig, pl, el, ll, dl, []::bigint[] as seen, {_FOLD} as b from p
+    union all select contig, pl, el, ll, dl, seen, {_FOLD} as b from (select contig, pl, el, ll, list_transform(range(1, len(el) + 1), lambda k: dl[k] - b.bw * b.bm * len(list_filter(list_slice(el, b.bi, b.bj), lambda y: y = el[k]))) as dl,
+      list_distinct(list_concat(seen, list_slice(el, b.bi, b.bj))) as seen from r where b.bz >= 100)),
+  o as (select contig, pl[b.bi] as "start", pl[b.bi] + list_sum(list_slice(ll, b.bi, b.bj)) - 1 as "end", b.bw * b.bm as flow_diff, b.bz as path_len, list_filter(list_distinct(list_slice(el, b.bi, b.bj)), lambda y: not list_contains(seen, y)) as fresh, el, ll from r where b.bz >= 100)
+select contig, "start", "end"::bigint as "end", flow_diff, path_len, coalesce(list_sum(list_transform(fresh, lambda y: ll[list_position(el, y)])), 0)::bigint as nd_unmasked, coalesce(list_sum(list_transform(fresh, lambda y: ll[list_position(el, y)])), 0)::bigint as nd_total from o""")
+def extract_cnv_runs(s, sf):
+    """Signed runs along paths whose edges are used more than once."""
+    e = v.edges(s, sf).withColumn("contig", F.concat("contig", F.lit("_"), F.expr("pos div 100000")))
+    one = e.groupBy("edge_id").agg((2 * F.count(F.lit(1))).alias("ref"))
+    d = e.join(one, "edge_id").withColumn("diff", (F.col("flow") + F.col("ref") - 3).cast("double") - F.col("ref"))
+    return ca.call_runs(d.select("contig", "pos", "edge_id", "length", F.col("length").alias("decide"), "diff"), 100)
+
+
 def _pass(source: str, name: str, rule: str) -> str:
     """A fold over each island's list: `rule` gives the joined stretch of a and x, or null."""
     blank = "list_transform({0}, lambda y: {{'s': y.s, 'e': y.e, 'v': y.v, 'n': (y.e - y.s + 1)::double, 'd': []::struct(s bigint, e bigint, v double)[]}})"
