@@ -126,34 +126,36 @@ def sign_islands(rows: DataFrame, by: str, at: str, order: tuple[str, ...], valu
 _GAP = -1
 
 
-def call_runs(occurrences: DataFrame, cutoff: int = 100, at_once: int = 100_000) -> DataFrame:
+def call_runs(occurrences: DataFrame, cutoff: int = 100, at_once: int = 500_000) -> DataFrame:
     """Calls of each contig of occurrences (contig, pos, edge_id, length, decide, diff).
 
     Runs lie in islands of one sign, and calls bind islands only by the edges that they share; so the islands that edges tie together, directly or over
-    others, are worked on together, and the others apart. Up to `at_once` occurrences in all are not worth telling apart.
+    others, are worked on together, and the others apart. Up to `at_once` occurrences in all are not worth telling apart within a contig.
     """
+    columns = ["contig", "component", "pos", "edge_id", "island", "length", "decide", "diff"]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for _, part in pdf.sort_values(["component", "pos", "edge_id"], kind="stable").groupby("component", sort=False):
+        p = pdf.sort_values(columns[:4], kind="stable")
+        for (contig, _), rows in groupby(zip(*(p[c].tolist() for c in columns)), key=lambda r: r[:2]):
             path: list[tuple[int, int]] = []
+            length, decide, diff = {_GAP: 0}, {_GAP: 0}, {_GAP: 0}
             last = None
-            for pos, e, island in zip(part["pos"].astype(int), part["edge_id"].astype(int), part["island"]):
+            for _, _, pos, e, island, *values in rows:
+                length[e], decide[e], diff[e] = values
                 if last not in (None, island):
                     path.append((pos, _GAP))
                 path.append((pos, e))
                 last = island
-            length, decide, diff = (dict(zip(part["edge_id"].astype(int), part[c])) | {_GAP: 0} for c in ("length", "decide", "diff"))
-            found += extract_runs(path, length, decide, diff, cutoff)
-        out = pd.DataFrame(found, columns=["start", "end", "flow_diff", "path_len", "nd_unmasked", "nd_total"])
-        out.insert(0, "contig", pdf["contig"].iloc[0])
-        return out
+            found += [(contig, *call) for call in extract_runs(path, length, decide, diff, cutoff)]
+        return pd.DataFrame(found, columns=["contig", "start", "end", "flow_diff", "path_len", "nd_unmasked", "nd_total"])
 
     ship(occurrences.sparkSession)
     d = occurrences.select("contig", "pos", "edge_id", "length", "decide", "diff")
     d = materialise(sign_islands(d, "contig", "pos", ("pos", "edge_id"), "diff").where("_way <> 0").drop("_way"), "islands")
     d = in_blocks(d, "contig", "island", "edge_id", at_once)
     schema = "contig string, start long, end long, flow_diff double, path_len long, nd_unmasked long, nd_total long"
-    return d.groupBy("contig", "block").applyInPandas(run, schema)
+    return d.groupBy("block").applyInPandas(run, schema)
 
 
 #: A stretch: start, end, value, and the length that the value counts for.

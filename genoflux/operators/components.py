@@ -51,11 +51,16 @@ def linked_groups(members: DataFrame, by: str, group: str, key: str) -> DataFram
     return each.join(found, "node", "left").select(by, group, F.coalesce("component", "node").alias("component"))
 
 
+#: Blocks for `at_once` rows, so that the tasks of a stage end at about the same time; and blocks of a small table.
+SHARES = 8
+
+
 def in_blocks(members: DataFrame, by: str, group: str, key: str, at_once: int) -> DataFrame:
-    """members with component, of their group as linked_groups has it, and block: a number that components share, so that one task gets about
-    `at_once` rows. With no more than that in all, each value of `by` is one component."""
+    """members with component, of their group as linked_groups has it, and block: a number that components share, whatever their `by`, so that one
+    call gets some thousand rows and not those of one small component. With no more than `at_once` rows in all, each value of `by` is one component."""
     n = members.count()
     if n <= at_once:
-        return members.withColumn("component", F.lit(0).cast("bigint")).withColumn("block", F.lit(0).cast("bigint"))
-    tied = linked_groups(members, by, group, key)
-    return members.join(tied, [by, group]).withColumn("block", F.pmod(F.xxhash64("component"), F.lit(-(-n // at_once))))
+        tied = members.withColumn("component", F.xxhash64(by))
+    else:
+        tied = members.join(linked_groups(members, by, group, key), [by, group])
+    return tied.withColumn("block", F.pmod(F.xxhash64("component"), F.lit(max(1, n // at_once) * SHARES)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import defaultdict
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -262,20 +263,21 @@ def refine(rows: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, s
     return [(names.setdefault(root, len(names)), *rest) for root, *rest in classes(rows)]
 
 
-def refine_repeats(positions: DataFrame, at_once: int = 100_000) -> DataFrame:
+def refine_repeats(positions: DataFrame, at_once: int = 500_000) -> DataFrame:
     """(contig, edge_id, start, end, strand): refine() of the positions of each contig; ids count from 0 in each contig.
 
     Cuts go on only where positions overlap or belong to one edge; so stretches of overlapping positions that edges tie together, directly or
     over others, are worked on together, and the others apart; up to `at_once` positions in all are not worth telling apart. Their classes are
     numbered over the contig afterwards.
     """
+    columns = ["contig", "component", "edge_id", "start", "end", "strand"]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, part in pdf.groupby("component"):
-            out += [(*root, *rest) for root, *rest in classes([(int(e), int(s), int(t), d) for e, s, t, d in zip(part["edge_id"], part["start"], part["end"], part["strand"])])]
-        out = pd.DataFrame(out, columns=["root_start", "root_end", "start", "end", "strand"])
-        out.insert(0, "contig", pdf["contig"].iloc[0])
-        return out
+        p = pdf.sort_values(columns[:2], kind="stable")
+        for (contig, _), rows in groupby(zip(*(p[c].tolist() for c in columns)), key=lambda r: r[:2]):
+            out += [(contig, *root, *rest) for root, *rest in classes([r[2:] for r in rows])]
+        return pd.DataFrame(out, columns=["contig", "root_start", "root_end", "start", "end", "strand"])
 
     ship(positions.sparkSession)
     p = positions.select("contig", "edge_id", "start", "end", "strand")
@@ -283,7 +285,7 @@ def refine_repeats(positions: DataFrame, at_once: int = 100_000) -> DataFrame:
     at = p.withColumn("chr", F.col("contig")).withColumn("pos", F.col("start"))
     d = materialise(locate(at, stretches.select("chr", "start", F.col("start").alias("id"))).select(*p.columns, F.col("seg_id").alias("stretch")), "positions")
     d = in_blocks(d, "contig", "stretch", "edge_id", at_once)
-    found = materialise(d.groupBy("contig", "block").applyInPandas(run, "contig string, root_start long, root_end long, start long, end long, strand string"), "pieces")
+    found = materialise(d.groupBy("block").applyInPandas(run, "contig string, root_start long, root_end long, start long, end long, strand string"), "pieces")
     roots = found.select("contig", "root_start", "root_end").distinct().withColumn("slice", F.floor(F.col("root_start") / (1 << 20)))
     named = numbered_in(roots, "contig", ["slice", "root_start", "root_end"], "edge_id").withColumn("edge_id", F.col("edge_id") - 1).drop("slice")
     return found.join(named, ["contig", "root_start", "root_end"]).select("contig", "edge_id", "start", "end", "strand")
