@@ -16,8 +16,9 @@ from .page_lines import SPACES, host_lines, normal_lines, once, page_key
 SHARE, FLOOR, LIMIT = 0.02, 5, 500
 #: Share of its words that a document must keep.
 LEAST_LEFT = 0.3
-#: Words up to which windows are sorted by numbers of hash and position; beyond it by their words.
-PACKED_WORDS = 1 << 20
+#: Words up to which windows are sorted by numbers of hash and position, and the bits of a position; beyond it by their words.
+PLACE_BITS = 20
+PACKED_WORDS = 1 << PLACE_BITS
 
 
 def words(text: Column) -> Column:
@@ -36,17 +37,18 @@ def covered(w: str) -> Column:
     """
     spans = "aggregate(sequence(0, size({p}) - 2), cast(3 as bigint), (a, j) -> a + least(3, {p}[j + 1] - {p}[j]))"
     cover = f"transform(array({{p}}), p -> case when size(p) = 0 then 0L when size(p) = 1 then 3L else {spans.format(p='p')} end)[0]"
-    n = f"(size({w}) - 2)"
-    key = f"(shiftrightunsigned(xxhash64({w}[i], {w}[i + 1], {w}[i + 2]), 1) div {n}) * {n} + i"
-    other = " or ".join(f"{w}[cast(s[j] % {n} as int) + {k}] <> {w}[cast(s[j - 1] % {n} as int) + {k}]" for k in range(3))
-    places = f"""sort_array(transform(filter(sequence(0, size(s) - 1), j -> (j > 0 and s[j] div {n} = s[greatest(j, 1) - 1] div {n})
-            or (j < size(s) - 1 and s[j] div {n} = s[least(j + 1, size(s) - 1)] div {n})), j -> s[j] % {n}))"""
-    clash = f"size(s) > 1 and exists(sequence(1, size(s) - 1), j -> s[j] div {n} = s[j - 1] div {n} and ({other}))"
-    pairs = f"""transform(array(sort_array(transform(sequence(0, size({w}) - 3), i -> named_struct('a', {w}[i], 'b', {w}[i + 1], 'c', {w}[i + 2], 'i', cast(i as bigint))))), s ->
-        sort_array(transform(filter(sequence(0, size(s) - 1), j ->
-            (j > 0 and s[j].a = s[greatest(j, 1) - 1].a and s[j].b = s[greatest(j, 1) - 1].b and s[j].c = s[greatest(j, 1) - 1].c)
-            or (j < size(s) - 1 and s[j].a = s[least(j + 1, size(s) - 1)].a and s[j].b = s[least(j + 1, size(s) - 1)].b and s[j].c = s[least(j + 1, size(s) - 1)].c)), j -> s[j].i)))[0]"""
-    packed = f"transform(array(sort_array(transform(sequence(0, size({w}) - 3), i -> {key}))), s -> case when {clash} then {pairs.replace('s ->', 'z ->').replace('s[', 'z[').replace('size(s)', 'size(z)')} else {places} end)[0]"
+    key = f"(xxhash64({w}[i], {w}[i + 1], {w}[i + 2]) & {-1 << PLACE_BITS}L) | i"
+    place = f"({{}} & {(1 << PLACE_BITS) - 1}L)"
+    other = " or ".join(f"{w}[cast({place.format('s[j]')} as int) + {k}] <> {w}[cast({place.format('s[j - 1]')} as int) + {k}]" for k in range(3))
+    # one pass finds the few windows that equal the one before, and only these are looked at further
+    again = f"filter(sequence(1, size(s) - 1), j -> shiftright(s[j] ^ s[j - 1], {PLACE_BITS}) = 0)"
+    places = f"sort_array(array_distinct(concat(transform(m, j -> {place.format('s[j - 1]')}), transform(m, j -> {place.format('s[j]')}))))"
+    triples = f"sort_array(transform(sequence(0, size({w}) - 3), i -> named_struct('a', {w}[i], 'b', {w}[i + 1], 'c', {w}[i + 2], 'i', cast(i as bigint))))"
+    equal = "filter(sequence(1, size(z) - 1), j -> z[j].a = z[j - 1].a and z[j].b = z[j - 1].b and z[j].c = z[j - 1].c)"
+    pairs = f"""transform(array({triples}), z -> transform(array({equal}), y ->
+        sort_array(array_distinct(concat(transform(y, j -> z[j - 1].i), transform(y, j -> z[j].i)))))[0])[0]"""
+    hashes = f"sort_array(transform(sequence(0, size({w}) - 3), i -> {key}))"
+    packed = f"transform(array({hashes}), s -> transform(array({again}), m -> case when exists(m, j -> {other}) then {pairs} else {places} end)[0])[0]"
     return F.expr(
         f"case when size({w}) < 4 then 0L when size({w}) <= {PACKED_WORDS} then {cover.format(p=packed)} else {cover.format(p=pairs)} end"
     )
