@@ -66,10 +66,10 @@ def slices(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of a run of documents: byte spans, document of each, position in its document."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, space: np.ndarray = IS_SPACE):
         self.buf, self.off = buf, off
         n = len(off) - 1
-        word = ~IS_SPACE[buf]
+        word = ~space[buf]
         edge = np.zeros(len(buf) + 1, bool)
         edge[off] = True
         first, last = word.copy(), word.copy()
