@@ -16,9 +16,10 @@ def normal(line: Column) -> Column:
 
 
 def normal_lines(text: Column) -> Column:
-    """Normalised lines of a text. One pass over the whole text: blanks inside lines shrink, then lines are split and trimmed."""
+    """Normalised lines of a text. One pass over the whole text: blanks inside lines shrink, then lines are split and trimmed. Lines end at \\n
+    alone: U+0085, U+2028 and U+2029 are characters of a line like others, which the pattern has to be told."""
     flat = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " ")
-    return F.split(F.regexp_replace(flat, r"(?m)^ | $", ""), "\n")
+    return F.split(F.regexp_replace(flat, r"(?md)^ | $", ""), "\n")
 
 
 def once(df: DataFrame, *cols: Column) -> DataFrame:

@@ -15,7 +15,7 @@ from .page_lines import SPACES, host_lines, normal_lines, once, page_key
 #: Documents of a host that a line may be in: this share of all, but FLOOR in any case and LIMIT at most.
 SHARE, FLOOR, LIMIT = 0.02, 5, 500
 #: Share of its words that a document must keep.
-LEAST_LEFT = 0.3
+LEAST_LEFT = 0.75
 #: Words up to which windows are sorted by numbers of hash and position, and the bits of a position; beyond it by their words.
 PLACE_BITS = 20
 PACKED_WORDS = 1 << PLACE_BITS
@@ -132,7 +132,7 @@ base as (
   from d left join dup using (doc_id) left join cov using (doc_id) left join lost using (doc_id)
 ), f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words - lost)::bigint as n_left_words, base_failed,
-       not base_failed and n_words - lost >= 0.3 * n_words as kept
+       not base_failed and n_words - lost >= 0.75 * n_words as kept
 from f
 """
 QUERIES = {"op9_line_frequency_rules": op9_line_frequency_rules}

@@ -124,3 +124,14 @@ def test_quality_rules_at_their_own_limit(spark):
         h = name.get(r.doc_id)
         lost = 61 if h == "copies" else 60 if h and hosts[h][2] else 0
         assert (r.n_words, r.n_left_words, r.base_failed, r.kept) == (61, 61 - lost, False, not lost)
+
+
+@pytest.mark.parametrize("end", ["\u2028", "\u2029", "\x85", "\r"])
+def test_other_line_separators_are_characters(spark, end):
+    rows = [(i, f"head{end} line is here\n" + f"own words {i} " * 20, "en", "host", 1) for i in range(10)]
+    rows += [(10 + i, f"head{end}line is here\n" + f"own words {i} " * 20, "en", "host", 1) for i in range(10)]
+    rows += [(20 + i, f"else {i}", "en", "host", 1) for i in range(240)]
+    left = {r.doc_id: r.n_words - r.n_left_words for r in qr.judge(odd.docs(spark, rows), limit=12, share=1.0).collect()}
+    gone = {r.doc_id: r.n_dropped for r in ld.drop_boilerplate(odd.docs(spark, rows), 0.05, 12).collect()}
+    same = end == "\r"  # a blank like others
+    assert all(left[i] == (0 if not same else 4) and gone[i] == int(same) for i in range(20))
