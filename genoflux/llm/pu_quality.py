@@ -181,26 +181,33 @@ def fold() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS, F.lit(0))
 
 
+def _least(hashes: DataFrame, most: int) -> int | None:
+    """The hash (column h) up to which there are `most` different ones, or the greatest; None if there are none. Sorted are only some
+    2 * most of them, the least by an estimate of how many there are."""
+    n = hashes.agg(F.approx_count_distinct("h")).first()[0]
+    top = -(1 << 63) + int(2.0**64 * min(1.0, 2 * most / n)) - 1 if n else 0
+    found = hashes.where(F.col("h") <= min(top, (1 << 63) - 1)).distinct().orderBy("h").limit(most)
+    return found.agg(F.max("h")).first()[0] if n else None
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model | None:
     """A model from the texts of rows labelled good (positives) and of any rows (unlabelled), none of fold 0.
 
-    The class prior is estimated from these two kinds alone; bad labels are never used. Of either kind about `most` rows are used, by a hash of
-    doc_id, rows without one are in fold 0. Labels that are null, or of documents that aren't there, don't count; no good
+    The class prior is estimated from these two kinds alone; bad labels are never used. Of either kind the `most` rows of least hash
+    of doc_id and text are used, repeated rows once; rows without a doc_id are in fold 0. Labels that are null, or of documents that aren't there, don't count; no good
     label or no text: no model.
     """
     spark = docs.sparkSession
     ship(spark)
     good = labels.where("quality = 1").where(fold() != 0).select("doc_id").distinct()
-    n = good.count()
-    if not n:
-        return None
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).where(fold() != 0)
-
-    def taken(of: int, salt: str) -> F.Column:
-        return F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, most / max(of, 1))) + 1
-
-    p = d.where(taken(n, "p")).join(good.where(taken(n, "p")), "doc_id", "left_semi").select(F.lit(1).alias("kind"), "text")
-    u = d.where(taken(d.count(), "u")).select(F.lit(0).alias("kind"), "text")
+    d = d.select("doc_id", "text", *(F.xxhash64(F.lit(k), "doc_id", "text").alias(k) for k in "pu"))
+    least_p = _least(d.select("doc_id", F.col("p").alias("h")).join(good, "doc_id", "left_semi").select("h"), most)
+    least_u = _least(d.select(F.col("u").alias("h")), most)
+    if least_p is None or least_u is None:
+        return None
+    p = d.where(F.col("p") <= least_p).join(good, "doc_id", "left_semi").dropDuplicates(["p"]).select(F.lit(1).alias("kind"), "text")
+    u = d.where(F.col("u") <= least_u).dropDuplicates(["u"]).select(F.lit(0).alias("kind"), "text")
     rows = p.unionByName(u).mapInArrow(_feature_rows, "kind int, x array<float>").toArrow().combine_chunks()
     if not rows.num_rows:
         return None

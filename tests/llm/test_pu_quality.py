@@ -84,3 +84,18 @@ def test_ngrams():
     x = m.ngrams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
     assert not x[:2].any() and (x[2] > 0).sum() == 2 and (x[3] > 0).sum() == 3 and np.allclose((x[2:] ** 2).sum(axis=1), 1)
     assert ((x[2] > 0) & (x[3] > 0)).sum() >= 1
+
+
+@pytest.mark.parametrize("most", [100, 1000])
+def test_repeated_rows_keep_the_bound(spark, monkeypatch, most):
+    """20,000 rows of one good id, and few others."""
+    seen = {}
+    plain = m.fit
+    monkeypatch.setattr(m, "fit", lambda p, u, *a, **k: seen.update(p=len(p), u=len(u)) or plain(p, u, *a, **k))
+    hot = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    rng = np.random.default_rng(1)
+    rows = [(hot, "the river under stones walks on.", "en", "s", 1, *odd.EXTRA)] * 20_000 + [(hot, made(rng, False), "en", "s", 1, *odd.EXTRA) for _ in range(300)]
+    rows += [(1000 + i, made(rng, i % 2 == 0), "en", "s", 1, *odd.EXTRA) for i in range(1500)]
+    docs = spark.createDataFrame(rows, odd.SCHEMA).repartition(4)
+    m.learn(docs, spark.createDataFrame([(hot, 1, 0, "t")], LABELS), most)
+    assert seen["p"] == min(most, 301) and seen["u"] == min(most, 301 + sum(zlib.crc32(str(1000 + i).encode()) % 5 > 0 for i in range(1500)))
