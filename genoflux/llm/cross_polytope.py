@@ -6,7 +6,7 @@ to blocks of bounded size: a vector is sent once to each block that it has to do
 of each axis meet the queries that probe it by a matrix product, and the best of each query are kept.
 
 Members are hashed apart by length of vector and by norm, in powers of two, so that a few long ones don't push the others
-onto one axis. Classes too small to hash meet every query, and so does the whole table with queries that found too few.
+onto one axis. Queries that found too few meet the whole table.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from .bytekit import U64, mix
 from .cluster import materialise, parts, read, ship
 
 #: Tables, and the share of its signed axes that a query probes in each.
-TABLES, PROBED = 2, 0.375
+TABLES, PROBED = 2, 0.45
 #: Members of a block, and queries that meet them in one task.
 BLOCK, ASKED = 8192, 1 << 16
-#: Members up to which a norm class is searched exactly.
-SMALL = 4096
+#: Members up to which a norm class is searched exactly; 0: all are hashed.
+SMALL = 0
 
 
 def hadamard(a: np.ndarray) -> np.ndarray:

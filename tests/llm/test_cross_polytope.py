@@ -71,7 +71,9 @@ def test_recall_with_one_long_vector(spark, monkeypatch):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x[7] *= 10
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    assert recall(spark, rows, 10) == 1  # too few to hash
+    assert recall(spark, rows, 10) >= 0.9  # both classes are hashed
+    monkeypatch.setattr(m, "SMALL", 4096)
+    assert recall(spark, rows, 10) == 1  # all searched exactly
     monkeypatch.setattr(m, "SMALL", 100)  # the long one is searched exactly, the others by hash
     assert recall(spark, rows, 10) >= 0.9
 
@@ -111,3 +113,11 @@ def test_queries_with_few_candidates_see_all(spark, monkeypatch):
     for r in m.search(table(spark, rows), "vec_id % 5 = 0", 40, tables=1, probes=1).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
     assert {q: [v for _, v in sorted(g)] for q, g in got.items()} == {q: [j for _, j in w] for q, w in exact(rows, 40).items()}
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_recall_of_small_tables_through_the_tables(spark, n):
+    assert m.SMALL == 0
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, [(i, v.tolist()) for i, v in enumerate(x)], 20) >= 0.9
