@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from genoflux.shipping import ship
 
+from .components import components
+from .flow_kernel import solve_network
+
 #: Cost of no flow at all.
 NEVER = 999_999_999
 #: Capacity of the last segment, and how far beyond its start its slope is taken.
@@ -111,6 +114,37 @@ def node_arcs(spark, nodes: int) -> DataFrame:
     return spark.range(1, nodes + 1).select(v.alias("node"), F.explode(both).alias("x"), whole(0, "low"), whole(FREE_CAP, "cap"), whole(0, "cost")).select("node", "x.*", "low", "cap", "cost")
 
 
+#: In the ids of a network's arcs: images of an arc, numbers of its segments (from 1000 on those back), and where arcs of nodes begin.
+_SEGMENTS, _BACK, _NODES = 4096, 1000, 1 << 61
+
+
+def network_arcs(arcs: DataFrame, nodes: int, **costs) -> DataFrame:
+    """(net, arc_id, tail, head, low, cap, cost): the circulation whose cheapest flow tells the copies of arcs (arc_id, from, to, hits, len, lam) over
+    nodes 1..n: the segments of their convex costs (options as cost_segments has them) in both images, and the arcs of the nodes.
+
+    A column `net` of arcs, if there is one, tells networks apart (nodes: of the largest); loops are left to self_loops.
+    """
+    name = F.col("net") if "net" in arcs.columns else F.lit("")
+    d = arcs.where(F.col("from") != F.col("to")).withColumn("net", name.cast("string"))
+    seg = cost_segments(d.drop("net"), **costs).select("arc_id", "seq", "dir", "low", "cap", F.col("slope").alias("cost"))
+    images = doubled(d, nodes).join(d.select("arc_id", "net"), "arc_id")
+    j = seg.join(images, "arc_id")
+    back = F.col("dir") == "rev"
+    number = ((F.col("arc_id") * _SEGMENTS + F.col("seq")) * 2 + F.col("image") - 1).cast("bigint")
+    j = j.select("net", number.alias("arc_id"), F.when(back, F.col("head")).otherwise(F.col("tail")).alias("tail"), F.when(back, F.col("tail")).otherwise(F.col("head")).alias("head"), "low", "cap", "cost")
+    met = d.select("net", F.explode(F.array(F.abs("from"), F.abs("to"))).alias("node")).distinct()
+    own = node_arcs(arcs.sparkSession, nodes).join(met, "node")
+    side = F.when(F.col("tail") > 2 * nodes + 1, 0).otherwise(1)
+    return j.unionByName(own.select("net", (_NODES + F.col("node") * 2 + side).alias("arc_id"), "tail", "head", "low", "cap", "cost"))
+
+
+def solved_copies(solved: DataFrame) -> DataFrame:
+    """(arc_id, flow): copies of each arc in a solution of its network: half of what both images' segments carry, less what those back do."""
+    seq = F.expr(f"(arc_id div 2) % {_SEGMENTS}")
+    d = solved.where(F.col("arc_id") < _NODES).select(F.expr(f"arc_id div {2 * _SEGMENTS}").alias("arc_id"), F.when(seq >= _BACK, -1).otherwise(1).alias("sign"), "flow")
+    return net_flow(d)
+
+
 def attach_flow(arcs: DataFrame, solved: DataFrame) -> DataFrame:
     """arcs (i, from, fake, to, ...) of a graph with the flow of their first part in a solution (from, to, flow), whose signs tell how the arc
     leaves its node, and `ok`: whether the solution has the arc, and between the same nodes."""
@@ -228,11 +262,12 @@ def _push(n: int, to: list[int], cap: list[int], cost: list[int], out: list[list
                 excess[v] += amount
 
 
-def solve(arcs: DataFrame, supply: DataFrame | None = None) -> DataFrame:
-    """arcs (net, arc_id, tail, head, low, cap, cost) with flow and the prices of both ends; each net is one task.
+def solve(arcs: DataFrame, supply: DataFrame | None = None, at_once: int = 200_000) -> DataFrame:
+    """arcs (net, arc_id, tail, head, low, cap, cost) with flow and the prices of both ends.
 
-    supply: (net, node, excess); without it each net is a circulation. If arcs have flow, tail_price and head_price, from an earlier solution
-    with other costs, the solver starts from there.
+    supply: (net, node, excess); without it each net is a circulation. Nets of over `at_once` arcs are split into connected components first, so that
+    a task gets a net or a component; there chains become single arcs of summed convex cost, and the forks between them are solved. If
+    arcs have flow, tail_price and head_price, from an earlier solution with other costs, the solver starts from there.
     """
     again = "flow" in arcs.columns
     both = arcs.select("net", "arc_id", "tail", "head", "low", "cap", "cost", *(F.col(c).cast("bigint") if again else F.lit(0).cast("bigint").alias(c) for c in ("flow", "tail_price", "head_price")))
@@ -240,20 +275,31 @@ def solve(arcs: DataFrame, supply: DataFrame | None = None) -> DataFrame:
         none = [F.lit(0).cast("bigint").alias(c) for c in ("cap", "cost", "flow", "tail_price", "head_price")]
         cols = ["net", F.lit(-1).cast("bigint").alias("arc_id"), F.col("node").alias("tail"), F.lit(0).cast("bigint").alias("head"), F.col("excess").alias("low"), *none]
         both = both.unionByName(supply.select(*cols))
+    large = [r["net"] for r in arcs.groupBy("net").count().where(F.col("count") > at_once).select("net").collect()] if at_once else None  # as many as nets of that size
+    if large is None or large:
+        node = lambda c: F.xxhash64("net", c)
+        joined = arcs if large is None else arcs.where(F.col("net").isin(large))
+        found = components(joined.select(node("tail").alias("a"), node("head").alias("b")))
+        both = both.withColumn("_node", node("tail")).join(found.select(F.col("node").alias("_node"), "component"), "_node", "left").drop("_node")
+    else:
+        both = both.withColumn("component", F.lit(None).cast("bigint"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s = pdf[pdf["arc_id"] < 0]
-        a = pdf[pdf["arc_id"] >= 0].sort_values("arc_id", kind="stable")
+        a = pdf[pdf["arc_id"] >= 0].sort_values("arc_id", kind="stable").drop(columns="component")
         names = sorted({*a["tail"], *a["head"], *s["tail"]})
         index = {v: i for i, v in enumerate(names)}
-        rows = [(index[t], index[h], int(lo), int(c), int(w)) for t, h, lo, c, w in zip(a["tail"], a["head"], a["low"], a["cap"], a["cost"])]
-        old = {index[v]: int(x) for end in ("tail", "head") for v, x in zip(a[end], a[f"{end}_price"])}
-        start = ([int(f) for f in a["flow"]], old) if again else None
-        flows, price = min_cost_flow(len(names), rows, {index[v]: int(x) for v, x in zip(s["tail"], s["low"])}, start)
+        rows = [(index[t], index[h], lo, c, w) for t, h, lo, c, w in zip(*(a[x].tolist() for x in ("tail", "head", "low", "cap", "cost")))]
+        given = {index[v]: int(x) for v, x in zip(s["tail"], s["low"])}
+        if again:
+            old = {index[v]: int(x) for end in ("tail", "head") for v, x in zip(a[end], a[f"{end}_price"])}
+            flows, price = min_cost_flow(len(names), rows, given, ([int(f) for f in a["flow"]], old))
+        else:
+            flows, price = solve_network(len(names), rows, given, min_cost_flow)
         return a.assign(flow=flows, tail_price=[price[r[0]] for r in rows], head_price=[price[r[1]] for r in rows])
 
     ship(arcs.sparkSession)
-    return both.groupBy("net").applyInPandas(run, "net string, arc_id long, tail long, head long, low long, cap long, cost long, flow long, tail_price long, head_price long")
+    return both.groupBy("net", "component").applyInPandas(run, "net string, arc_id long, tail long, head long, low long, cap long, cost long, flow long, tail_price long, head_price long")
 
 
 def imbalance(flows: DataFrame) -> DataFrame:
