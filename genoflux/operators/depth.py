@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from genoflux.functions.sequence import pieces
 
-from .intervals import BIN, merge, overlap_join
+from .intervals import BIN, locate, merge, overlap_amount, overlap_join
 
 
 def spikes(cov: DataFrame, low: float, high: float, width: int = 1 << 20) -> DataFrame:
@@ -49,11 +49,13 @@ def letter_runs(seqs: DataFrame, letters: str = "nN") -> DataFrame:
 
     Runs are found in each piece and joined over the pieces' borders.
     """
-    cut = F.split("seq", f"(?<=[{letters}])(?=[^{letters}])|(?<=[^{letters}])(?=[{letters}])")
+    # each run with the letters before it; runs end where these end, summed up inside the piece
+    parts = F.regexp_extract_all("seq", F.lit(f"[^{letters}]*[{letters}]+"), 0)
+    ends = F.aggregate(parts, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
     d = sequence_pieces(seqs).where(F.col("seq").rlike(f"[{letters}]")).withColumn("last", F.col("start") + F.length("seq") - 1)
-    d = d.select("id", "start", "last", F.posexplode(cut).alias("k", "piece"))
-    before = F.coalesce(F.sum(F.length("piece")).over(W.partitionBy("id", "start").orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("at", F.col("start") + before).where(F.col("piece").rlike(f"^[{letters}]")).withColumn("end", F.col("at") + F.length("piece") - 1)
+    d = d.select("id", "start", "last", F.explode(F.arrays_zip(parts.alias("x"), F.slice(ends, 2, F.size(ends) - 1).alias("to"))).alias("r"))
+    n = F.length("r.x") - F.length(F.rtrim(F.col("r.x"), F.lit(letters)))
+    d = d.select("id", "start", "last", (F.col("start") + F.col("r.to") - n).alias("at"), (F.col("start") + F.col("r.to") - 1).alias("end"))
     # only runs at a border of their piece may go on beyond it: two at most for each
     border = (F.col("at") == F.col("start")) | (F.col("end") == F.col("last"))
     edge = merge(d.where(border).select(F.col("id").alias("chr"), F.col("at").alias("start"), "end"), 1).select(F.col("chr").alias("id"), "start", "end")
@@ -177,3 +179,41 @@ def edge_hits(parts: DataFrame, masks: DataFrame, cov: DataFrame, free_length: i
     )
     free = F.col("unmasked") <= free_length
     return d.withColumn("lam", F.round(F.when(free, 0.0).otherwise(F.try_divide("expected", "unmasked")), 6)).withColumn("called", F.expr("unmasked div paths"))
+
+
+def _known_depth(runs: DataFrame, cov: DataFrame) -> DataFrame:
+    """cov (chr, pos, cov) with lam, of the positions whose stretch (chr, start, end, lam) has an expected depth."""
+    seg = runs.select("chr", "start", F.struct("end", "lam").alias("id"))
+    d = locate(cov.select("chr", "pos", "cov"), seg)
+    return d.where("seg_id.lam is not null and pos <= seg_id.end").select("chr", "pos", "cov", F.col("seg_id.lam").alias("lam"))
+
+
+def _per_region(regions: DataFrame, runs: DataFrame, key: list[str], where: str) -> DataFrame:
+    """(key, x, n) of regions (chr, start, end, key): expected depth over their positions in stretches for which `where` holds, and how many these are."""
+    j = overlap_join(regions.select(*key, "chr", "start", "end"), runs.where(where).select("chr", "start", "end", "lam"))
+    n = overlap_amount(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
+    return j.groupBy(*key).agg(F.sum(F.col("r_lam").cast("decimal(18,6)") * n).cast("double").alias("x"), F.sum(n).alias("n"))
+
+
+def edge_sums(parts: DataFrame, runs: DataFrame, cov: DataFrame) -> DataFrame:
+    """(edge_id, hits, expected, unmasked, paths) of edges by their occurrences (edge_id, occ, chr, start, end), which don't overlap: depth, expected depth and
+    number of the positions that have one. runs: (chr, start, end, lam); cov: (chr, pos, cov) of positions with depth.
+
+    Positions without depth are only in the lengths of stretches, and those with depth find their occurrence by the last start before them, so that
+    no occurrence, however long, is taken apart for them.
+    """
+    seg = parts.select("chr", "start", F.struct("end", "edge_id").alias("id"))
+    at = locate(_known_depth(runs, cov).drop("lam"), seg).where("pos <= seg_id.end")
+    hits = at.groupBy(F.col("seg_id.edge_id").alias("edge_id")).agg(F.round(F.sum("cov"), 6).alias("hits"))
+    known = _per_region(parts, runs, ["edge_id", "occ"], "lam is not null").groupBy("edge_id").agg(F.sum("x").alias("expected"), F.sum("n").alias("unmasked"))
+    d = parts.groupBy("edge_id").agg(F.count(F.lit(1)).alias("paths")).join(known, "edge_id", "left").join(hits, "edge_id", "left")
+    return d.select("edge_id", F.coalesce("hits", F.lit(0.0)).alias("hits"), F.round(F.coalesce("expected", F.lit(0.0)), 6).alias("expected"), F.coalesce("unmasked", F.lit(0)).cast("bigint").alias("unmasked"), "paths")
+
+
+def run_ratio(regions: DataFrame, runs: DataFrame, cov: DataFrame, key: str = "id") -> DataFrame:
+    """(key, ratio): depth over expected depth of regions (chr, start, end, key), over all positions of which a depth above 0 is expected."""
+    good = _known_depth(runs, cov).where("lam > 0").select("chr", F.col("pos").alias("start"), F.col("pos").alias("end"), "cov")
+    c = overlap_join(regions.select(key, "chr", "start", "end"), good).groupBy(key).agg(F.sum("r_cov").alias("c"))
+    x = _per_region(regions, runs, [key], "lam > 0")
+    d = regions.select(key).join(x, key, "left").join(c, key, "left")
+    return d.select(key, F.round(F.try_divide(F.when(F.col("x").isNotNull(), F.coalesce("c", F.lit(0.0))), "x"), 6).alias("ratio"))

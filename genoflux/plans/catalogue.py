@@ -34,13 +34,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import files, models  # noqa: F401  add their own
+    from . import files, models, runs  # noqa: F401  add their own
 
     return _Q
 
 
 def oracle_sql() -> dict:
-    from . import files, models  # noqa: F401
+    from . import files, models, runs  # noqa: F401
 
     return _S
 
