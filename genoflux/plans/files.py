@@ -9,9 +9,10 @@ from genoflux.functions import alignment as al
 from genoflux.functions import sequence as sq
 from genoflux.operators import depth as de
 from genoflux.operators import graph as gr
+from genoflux.operators import reads as rd
 from genoflux.operators import similar as si
 from genoflux.scratch import new_path
-from genoflux.sources import bam, binary, text
+from genoflux.sources import bam, binary, store, text
 
 from . import views as v
 from .catalogue import query
@@ -71,7 +72,7 @@ _REC = """rec as (select l_orderkey, l_linenumber, 'r' || l_orderkey as name, l_
 def _bam_files(s, sf) -> str:
     folder = new_path(s, "bam")
     d = _records(s, sf).repartitionByRange("l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber")
-    binary.save_files(bam.bam_blocks(d, REFS), folder)
+    store.write_bodies(bam.bam_blocks(d, REFS), folder)
     return folder
 
 
@@ -306,31 +307,69 @@ def key_offsets(s, sf):
 def _array_file(s, sf, value: str = "cov") -> str:
     folder = new_path(s, "arrays")
     cov = v.coverage(s, sf).withColumn("lam", F.coalesce("lam", F.lit(-1.0)))
-    binary.save_files(binary.array_blocks(cov.where("chr = 'chr1'"), value, 4096, 0.0 if value == "cov" else -1.0), folder)
-    return f"{folder}/chr1"
+    binary.save_parts(binary.array_blocks(cov, value, 4096, 0.0 if value == "cov" else -1.0), folder)
+    return folder
+
+
+_CHRS = [f"chr{k}" for k in range(5)]
 
 
-@query(f"with {v.COVERAGE} select pos, cov as value from cov where chr = 'chr1' and cov <> 0")
+def _each(read):
+    """The rows of each chromosome's array."""
+    out = None
+    for c in _CHRS:
+        d = read(c).withColumn("chr", F.lit(c))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query(f"with {v.COVERAGE} select chr, pos, cov as value from cov where cov <> 0")
 def scan_depth_array(s, sf):
-    return binary.read_records(s, _array_file(s, sf), "double").where("value <> 0")
+    folder = _array_file(s, sf)
+    return _each(lambda c: binary.read_records(s, f"{folder}/{c}", "double").where("value <> 0"))
 
 
-@query(f"with {v.COVERAGE} select count(*) filter (where lam is not null) as known, round(sum(lam), 6) as total, (max(pos) - 1) // 4096 * 4096 + 4096 as length from cov where chr = 'chr1'")
+@query(f"with {v.COVERAGE} select chr, count(*) filter (where lam is not null) as known, round(sum(lam), 6) as total, (max(pos) - 1) // 4096 * 4096 + 4096 as length from cov group by chr")
 def scan_expected_array(s, sf):
-    d = binary.read_records(s, _array_file(s, sf, "lam"), "double", -1.0)
-    return d.agg(F.count("value").alias("known"), F.round(F.sum("value"), 6).alias("total"), F.max("pos").alias("length"))
+    folder = _array_file(s, sf, "lam")
+    d = _each(lambda c: binary.read_records(s, f"{folder}/{c}", "double", -1.0))
+    return d.groupBy("chr").agg(F.count("value").alias("known"), F.round(F.sum("value"), 6).alias("total"), F.max("pos").alias("length"))
 
 
-@query(f"""with {v.COVERAGE}, p as (select unnest(range(101, 4001)) as pos) select p.pos, coalesce(cov, 0)::double as value from p left join (select * from cov where chr = 'chr1') using (pos)""")
+@query(f"""with {v.COVERAGE}, n as (select chr, (max(pos) - 1) // 4096 * 4096 + 4096 as n from cov group by chr), p as (select chr, unnest(range(101, least(n, 9000) + 1)) as pos from n)
+select p.chr, p.pos, coalesce(cov, 0)::double as value from p left join cov using (chr, pos)""")
 def depth_array_range(s, sf):
-    """A stretch of an array, by a seek."""
-    return binary.read_range(s, _array_file(s, sf), "double", 101, 4000)
+    """A stretch of each array, by seeks; a filter on positions ends it."""
+    folder = _array_file(s, sf)
+    return _each(lambda c: binary.read_range(s, f"{folder}/{c}", "double", 101, None).where("pos <= 9000"))
 
 
-@query(f"""with {v.COVERAGE}, n as (select (max(pos) - 1) // 4096 * 4096 + 4096 as n from cov where chr = 'chr1'), p as (select unnest(range(n - 2999, n + 1)) as pos from n)
-select p.pos, coalesce(cov, 0)::double as value from p left join (select * from cov where chr = 'chr1') using (pos)""")
+@query(f"""with {v.COVERAGE}, n as (select chr, (max(pos) - 1) // 4096 * 4096 + 4096 as n from cov group by chr), p as (select chr, unnest(range(n - 2999, n + 1)) as pos from n)
+select p.chr, p.pos, coalesce(cov, 0)::double as value from p left join cov using (chr, pos)""")
 def depth_array_tail(s, sf):
-    return binary.records_from(s, _array_file(s, sf), "double", -3000)
+    folder = _array_file(s, sf)
+    return _each(lambda c: binary.records_from(s, f"{folder}/{c}", "double", -3000))
+
+
+_PACKED = """select read_id, orientation, ref_name, ref_pos, 1.0::double / count(*) over (partition by read_id) as normodds from mappings"""
+
+
+@query(f"with {v.MAPPINGS} {_PACKED}")
+def scan_mapping_records(s, sf):
+    """Weighted mappings as records of 40 bytes, written in parts by tasks and read back."""
+    folder = new_path(s, "rmap")
+    d = rd.block_weights(v.mappings(s, sf)).select("read_id", "orientation", "ref_name", "ref_pos", F.col("weight").alias("normodds"))
+    binary.save_parts(binary.record_bodies(d, "mapping", "all"), folder)
+    return binary.read_records(s, f"{folder}/all", "mapping").drop("pos")
+
+
+@query(f"""with {v.EDGES} select contig, pos as "start", pos + length - 1 as "end", case when edge_id % 2 = 0 then '+' else '-' end as strand, edge_id from edges""")
+def scan_graph_records(s, sf):
+    """Graph positions as records of 64 bytes, written in parts by tasks and read back."""
+    folder = new_path(s, "graph")
+    d = v.edges(s, sf).select("contig", F.col("pos").alias("start"), (F.col("pos") + F.col("length") - 1).alias("end"), F.when(F.col("edge_id") % 2 == 0, "+").otherwise("-").alias("strand"), "edge_id")
+    binary.save_parts(binary.record_bodies(d, "graph", "all"), folder)
+    return binary.read_records(s, f"{folder}/all", "graph").drop("pos")
 
 
 # ---- graph and flow files --------------------------------------------------------------------------------------------

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from genoflux.shipping import ship
 
+from . import store
+
 #: Fields of the records with their places, little-endian, and sizes of the records, with C padding on 64-bit machines.
 RECORDS = {
     "double": ([("value", "<f8", 0)], 8),
@@ -21,6 +25,8 @@ RECORDS = {
 }
 #: Records that a decoded row batch stands for.
 CHUNK = 8192
+#: Bytes of a file that one task reads.
+STRETCH = 64 << 20
 
 
 def layout(kind: str) -> np.dtype:
@@ -69,9 +75,12 @@ def _cleaned(d: DataFrame, missing: float | None) -> DataFrame:
 def read_records(spark: SparkSession, path: str, kind: str, missing: float | None = None) -> DataFrame:
     """(pos, ...) of every record of a file; pos counts from 1. A double equal to `missing` becomes null.
 
-    Files are split at whole records, so that one large array is many tasks; records are decoded by the thousand.
+    Files are split at whole records, so that one large array is many tasks; records are decoded by the thousand. The parts of a folder are one file.
     """
     ship(spark)
+    fs, p = _file(spark, path)
+    if "," not in path and not any(c in path for c in "*?[{") and fs.getFileStatus(p).isDirectory():
+        return read_range(spark, path, kind, 1, None, missing)
     conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(RECORDS[kind][1])}
     kinds = ("org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable")
     parts = spark.sparkContext.newAPIHadoopFile(path, *kinds, conf=conf).mapPartitions(_stretches)
@@ -91,31 +100,79 @@ def _file(spark: SparkSession, path: str):
 
 def count_records(spark: SparkSession, path: str, kind: str) -> int:
     fs, p = _file(spark, path)
-    return fs.getFileStatus(p).getLen() // RECORDS[kind][1]
-
-
-def read_range(spark: SparkSession, path: str, kind: str, start: int, end: int, missing: float | None = None) -> DataFrame:
-    """(pos, ...) of the records start..end (from 1, closed) of one file, by a seek: nothing else is read. For stretches that fit the driver."""
-    size, n = RECORDS[kind][1], count_records(spark, path, kind)
-    start, end = max(1, start), min(end, n)
-    rows: list = []
-    if start <= end:
-        fs, p = _file(spark, path)
-        f = fs.open(p)
-        try:
-            f.seek((start - 1) * size)
-            rows = decode(kind, start - 1, bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(f, (end - start + 1) * size))).to_pylist()
-        finally:
-            f.close()
-    return _cleaned(spark.createDataFrame([tuple(r.values()) for r in rows], schema(kind)), missing)
+    files = fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]
+    return sum(f.getLen() // RECORDS[kind][1] for f in files if f.isFile() and f.getPath().getName()[0] not in "._")
+
+
+@dataclass
+class _Piece(InputPartition):
+    path: str
+    offset: int  # of the first record, in the file
+    n: int
+    at: int  # number of that record, from 0
+
+
+class _RecordReader(DataSourceReader):
+    def __init__(self, path: str, kind: str, start: int, end: int | None):
+        self.path, self.kind, self.start, self.end = path, kind, start, end
+
+    def pushFilters(self, filters):
+        """Bounds of pos decide what is read; Spark looks at each row again."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("pos",) and isinstance(getattr(f, "value", None), int):
+                low = {EqualTo: f.value, GreaterThan: f.value + 1, GreaterThanOrEqual: f.value}.get(type(f))
+                high = {EqualTo: f.value, LessThan: f.value - 1, LessThanOrEqual: f.value}.get(type(f))
+                self.start = self.start if low is None else max(self.start, low)
+                self.end = self.end if high is None else min(high, self.end if self.end is not None else high)
+            yield f
+
+    def partitions(self) -> list[_Piece]:
+        size, at, out = RECORDS[self.kind][1], 0, []
+        for path, length in store.listed(self.path):
+            n = length // size
+            first, last = max(self.start - 1, at), min(at + n, at + n if self.end is None else self.end)
+            step = max(1, STRETCH // size)
+            out += [_Piece(path, (k - at) * size, min(step, last - k), k) for k in range(first, last, step)]
+            at += n
+        return out or [_Piece("", 0, 0, 0)]
+
+    def read(self, partition: _Piece) -> Iterator[pa.RecordBatch]:
+        size = RECORDS[self.kind][1]
+        if not partition.n:
+            return
+        with store.opened(partition.path) as f:
+            f.seek(partition.offset)
+            for k in range(0, partition.n, CHUNK):
+                body = f.read(min(CHUNK, partition.n - k) * size)
+                yield decode(self.kind, partition.at + k, body)
+
+
+class RecordSource(DataSource):
+    """Records of a file, or of a folder of its parts in order of their names; pos goes on from part to part."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "genoflux_records"
+
+    def schema(self) -> str:
+        return schema(self.options["kind"])
+
+    def reader(self, schema) -> _RecordReader:
+        end = self.options.get("end")
+        return _RecordReader(self.options["path"], self.options["kind"], int(self.options.get("start", "1")), None if end is None else int(end))
+
+
+def read_range(spark: SparkSession, path: str, kind: str, start: int, end: int | None, missing: float | None = None) -> DataFrame:
+    """(pos, ...) of the records start..end (from 1, closed; no end: all) of a file or folder of parts. Tasks get stretches of some
+    STRETCH bytes and seek them; nothing else is read. Filters on pos narrow the range before tasks are made."""
+    d = spark.read.format(store.registered(spark, RecordSource)).option("path", path).option("kind", kind).option("start", str(max(1, start)))
+    return _cleaned((d if end is None else d.option("end", str(end))).load(), missing)
 
 
 def records_from(spark: SparkSession, path: str, kind: str, offset: int, missing: float | None = None) -> DataFrame:
-    """Records of one file after the first `offset`; of a negative one, the last so many, by a seek."""
-    if offset >= 0:
-        return read_records(spark, path, kind, missing).where(F.col("pos") > offset)
+    """Records of a file or folder of parts after the first `offset`; of a negative one, the last so many."""
     n = count_records(spark, path, kind)
-    return read_range(spark, path, kind, n + offset + 1, n, missing)
+    return read_range(spark, path, kind, offset + 1 if offset >= 0 else n + offset + 1, n, missing)
 
 
 def pack_array(values: list[float | None], missing: float = -1.0) -> bytes:
@@ -148,25 +205,32 @@ def array_blocks(cov: DataFrame, value: str, block: int = 4096, empty: float = 0
 
 
 def save_files(bodies: DataFrame, folder: str) -> None:
-    """One file for each name of bodies (name, part, body), its parts in order. A file is one stream, so the driver writes it, a partition of
-    rows at a time; it works with any file system that Spark can write."""
-    spark = bodies.sparkSession
-    name, out, held = None, None, bytearray()
-
-    def flush(close: bool) -> None:
-        if held:
-            out.write(bytes(held))
-            held.clear()
-        if close and out is not None:
-            out.close()
-
-    for r in bodies.orderBy("name", "part").toLocalIterator():
-        if r["name"] != name:
-            flush(True)
-            name = r["name"]
-            fs, p = _file(spark, f"{folder}/{name}")
-            out = fs.create(p)
-        held += r["body"]
-        if len(held) >= 1 << 20:
-            flush(False)
-    flush(True)
+    """One file for each name of bodies (name, part, body), its parts in order, written by the task that gets the name; files go side by side."""
+    store.write_bodies(bodies.repartition("name").sortWithinPartitions("name", "part"), folder)
+
+
+def save_parts(bodies: DataFrame, folder: str) -> None:
+    """Each name of bodies (name, part, body) as a folder of parts that make up the file in order of their names: a file of any length is written by many tasks."""
+    d = bodies.repartitionByRange("name", "part").sortWithinPartitions("name", "part")
+    store.write_bodies(d, folder, True)
+
+
+def record_bodies(rows: DataFrame, kind: str, name: str) -> DataFrame:
+    """(name, part, body): rows as records of a kind, in the order of their tasks, for save_parts."""
+    fields = RECORDS[kind][0]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() << 32
+        for b in batches:
+            if not b.num_rows:
+                continue
+            r = np.zeros(b.num_rows, layout(kind))
+            for n, t, _ in fields:
+                r[n] = np.array([x.encode() for x in b.column(n).to_pylist()], t) if t[0] == "S" else b.column(n).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part]), pa.array([r.tobytes()], pa.binary())], ["name", "part", "body"])
+            part += 1
+
+    ship(rows.sparkSession)
+    return rows.select(*(f[0] for f in fields)).mapInArrow(run, "name string, part long, body binary")
