@@ -12,7 +12,7 @@ from genoflux.operators import graph as gr
 from genoflux.operators import reads as rd
 from genoflux.operators import similar as si
 from genoflux.scratch import new_path
-from genoflux.sources import bam, binary, store, text
+from genoflux.sources import bam, bam_index, binary, store, text
 
 from . import views as v
 from .catalogue import query
@@ -121,8 +121,31 @@ def alignment_index_jump(s, sf):
     return bam.jump(bam.merge_index(*half), 2, 50_000, 150_000).select("start", "stop")
 
 
+def _indexed(s, sf) -> str:
+    """Files sorted by coordinate, each with its index."""
+    folder = new_path(s, "indexed")
+    d = _records(s, sf).repartitionByRange("ref_id", "position", "l_orderkey").sortWithinPartitions("ref_id", "position", "l_orderkey", "l_linenumber")
+    store.write_bodies(bam.bam_blocks(d, REFS), folder)
+    bam_index.write_index(s, folder)
+    return folder
+
+
 @query(f"with {_REC} select name, position, last from recs where ref_id = 1 and last > 60000 and position < 170000")
 def alignment_region_by_index(s, sf):
+    """A region of indexed files, by seeks."""
+    d = bam_index.read_indexed(s, _indexed(s, sf), "chr1", 60_000, 170_000)
+    return d.select("name", "position", al.reference_end(F.col("position"), F.col("cigar")).alias("last"))
+
+
+@query(f"with {_REC} select ref_id, name, position, bases from recs where ref_id = 3 and position >= 100000 and position < 400000")
+def alignments_by_pushed_filters(s, sf):
+    """Records of indexed files by filters, which decide what is read."""
+    d = bam_index.read_indexed(s, _indexed(s, sf)).where("ref_name = 'chr3' and position >= 100000 and position < 400000")
+    return d.select(F.col("ref_id").cast("bigint").alias("ref_id"), "name", "position", "bases")
+
+
+@query(f"with {_REC} select name, position, last from recs where ref_id = 1 and last > 60000 and position < 170000")
+def alignment_region_by_ordinals(s, sf):
     d = _sorted(s, sf)
     return bam.read_region(d, bam.build_index(d), 1, 60_000, 170_000).select("name", "position", al.reference_end(F.col("position"), F.col("cigar")).alias("last"))
 
@@ -301,6 +324,14 @@ def key_offsets(s, sf):
     return text.key_index(_line_index(s, sf)).drop("path")
 
 
+@query("""with w as (select distinct 'k' || (s_suppkey * 2) as key from supplier), line as (select c_custkey as k, 'k' || (c_custkey // 7) as key, 'k' || (c_custkey // 7) || ' ' || c_name || ' é' as value from customer)
+select key, value from line join w using (key)""")
+def lines_by_key(s, sf):
+    """Lines of many keys of a file, by the offsets of its index: only these are read."""
+    keys = v.table(s, sf, "supplier").select(F.concat(F.lit("k"), F.col("s_suppkey") * 2).alias("key"))
+    return text.lines_at(text.key_index(_line_index(s, sf)), keys)
+
+
 # ---- arrays and records ----------------------------------------------------------------------------------------------
 
 

@@ -79,6 +79,53 @@ def key_index(index: DataFrame) -> DataFrame:
     return d.where("previous is null or previous <> _key").select("path", "key", "line", "offset")
 
 
+#: Bytes of a file whose lookups one read serves, if they lie so near to each other.
+NEAR = 1 << 16
+
+
+def lines_at(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, value): the lines of each of keys (key) in files with an index as key_index gives it.
+
+    Keys find the places of their lines in the index; these are sorted by file and offset and dealt out in ranges, and a task seeks its
+    places, those near each other in one read. Nothing else of the files is read. Keys that aren't there have no lines; a key given twice counts once.
+    """
+    from genoflux.shipping import ship
+
+    from . import store
+
+    ship(index.sparkSession)
+    stop = F.lead("offset").over(W.partitionBy("path", F.floor(F.col("offset") / (1 << 26))).orderBy("offset"))
+    first = index.groupBy("path", F.floor(F.col("offset") / (1 << 26)).alias("_slice")).agg(F.min("offset").alias("_first"))
+    after = first.select("path", "_slice", F.lead("_first").over(W.partitionBy("path").orderBy("_slice")).alias("_after"))
+    d = index.withColumn("stop", stop).withColumn("_slice", F.floor(F.col("offset") / (1 << 26))).join(after, ["path", "_slice"]).withColumn("stop", F.coalesce("stop", "_after"))
+    d = d.join(keys.select("key").distinct(), "key").select("path", "key", "offset", "stop").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+
+    def run(batches):
+        import pyarrow as pa
+
+        path, f, at, held = None, None, 0, b""
+        for b in batches:
+            found, names = [], []
+            for p, key, a, z in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if p != path:
+                    if f is not None:
+                        f.close()
+                    path, f, held = p, store.opened(p), b""
+                if z is None:
+                    z = f.size()
+                if not at <= a or z > at + len(held):
+                    f.seek(a)
+                    at, held = a, f.read(max(NEAR, z - a))
+                lines = held[a - at : z - at].decode().removesuffix("\n").split("\n")
+                found += lines
+                names += [key] * len(lines)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string())], ["key", "value"])
+        if f is not None:
+            f.close()
+
+    return d.mapInArrow(run, "key string, value string")
+
+
 def read_rows(spark: SparkSession, path: str, names: list[str], comment: str = "#", sep: str | None = None) -> DataFrame:
     """String columns from rows split at white space, or at `sep`; comment lines are left out."""
     d = spark.read.text(path).where(~F.col("value").startswith(comment))
