@@ -7,11 +7,22 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections import defaultdict
+from contextvars import ContextVar
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_made: list[tuple[SparkSession, str]] = []
+#: Tables by run, so that runs side by side in one driver leave each other's alone.
+_run: ContextVar[int] = ContextVar("run", default=0)
+_runs = count(1)
+_made: dict[int, list[tuple[SparkSession, str]]] = defaultdict(list)
+
+
+def begin_run() -> None:
+    """From here on tables belong to a run of their own, as far as this thread is concerned."""
+    _run.set(next(_runs))
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,7 +39,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that goes with the application, or with drop_since."""
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _made[_run.get()].append((spark, path))
     return path
 
 
@@ -56,20 +67,22 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def mark() -> int:
-    """How many tables there are, for drop_since."""
-    return len(_made)
+    """How many tables the run has, for drop_since."""
+    return len(_made[_run.get()])
 
 
 def drop_since(since: int, keep: int = 0) -> None:
-    """Delete the tables made since a mark, but for the last `keep`, once nothing is to be read from them again."""
-    gone = _made[since : len(_made) - keep]
+    """Delete the run's tables made since a mark, but for the last `keep`, once nothing is to be read from them again."""
+    own = _made[_run.get()]
+    gone = own[since : len(own) - keep]
+    del own[since : len(own) - keep]
     for spark, path in gone:
         _delete(spark, path)
-    del _made[since : len(_made) - keep]
 
 
 @atexit.register
 def _sweep() -> None:
     """Scratch tables go with the application; results that are still to be read must not lose them earlier."""
-    for spark, path in _made:
-        _delete(spark, path)
+    for own in _made.values():
+        for spark, path in own:
+            _delete(spark, path)
