@@ -61,6 +61,25 @@ def chromosome_of(path: Column) -> Column:
     return F.regexp_extract(path, r".*(chr[^.]*)\.", 1)
 
 
+def make_string(x: Column) -> Column:
+    """A value as text: broken numbers with six digits that count, truth values as 1 and 0, nulls as nothing; others as they are."""
+    kind = F.typeof(x)
+    broken = F.format_string("%.5e", x.cast("double"))
+    ten = F.regexp_extract(broken, "e(.*)$", 1).cast("int")
+    # a plain number up to six places before the point and four after it, else a power of ten; without zeros at the end
+    digits = F.regexp_replace(F.regexp_extract(broken, "^-?([0-9.]+)e", 1), r"[.]?0+$", "")
+    rounded = F.regexp_replace(F.regexp_replace(F.format_string("%.17f", broken.cast("double")), r"0+$", ""), r"[.]$", "")
+    sign = F.when(x.cast("double") < 0, "-").otherwise("")
+    far = F.concat(sign, digits, F.lit("e"), F.when(ten < 0, "-").otherwise("+"), F.when(F.abs(ten) < 10, "0").otherwise(""), F.abs(ten).cast("string"))
+    text = F.when((ten >= -4) & (ten < 6), rounded).otherwise(far)
+    return F.coalesce(F.when(kind.isin("float", "double"), text).when(kind == "boolean", x.cast("int").cast("string")).otherwise(x.cast("string")), F.lit(""))
+
+
+def make_int(s: Column) -> Column:
+    """The whole number that a text begins with after blanks, 0 if it begins with none."""
+    return F.coalesce(F.regexp_extract(s, r"^[\x20\x09-\x0D]*([+-]?[0-9]+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def flip(c: Column) -> Column:
     return ~c
 

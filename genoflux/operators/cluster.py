@@ -21,22 +21,26 @@ NO_LINK = 10_000_000
 def leaders(rows: list[tuple[int, int, int]], kind: int, reach: float, tolerance: float) -> list[int]:
     """Leader's index of each of rows (main, sec, dist), sorted: the first unclustered row within reach that it agrees with.
 
-    Types 0 and 1 agree in distance, 2 and 3 in how far both ends have moved.
+    Types 0 and 1 agree in distance, 2 and 3 in the sum of both ends. Leaders that are open at one time don't agree with each other, so that of
+    one step of values as wide as the tolerance there is one at most, and a row is compared with those of three steps only.
     """
-    lead = [-1] * len(rows)
+    lead = list(range(len(rows)))
+    if tolerance <= 0:
+        return lead
     open_: deque[int] = deque()
-    for i, (main, sec, dist) in enumerate(rows):
+    value = [d if kind in (0, 1) else m + s for m, s, d in rows]
+    steps: dict[int, list[int]] = {}
+    for i, (main, _, _) in enumerate(rows):
         while open_ and main - rows[open_[0]][0] > reach:
-            open_.popleft()
-        for j in open_:
-            m, s, d = rows[j]
-            apart = abs(dist - d) if kind in (0, 1) else abs((main - m) - (s - sec))
-            if apart < tolerance:
-                lead[i] = j
-                break
+            j = open_.popleft()
+            steps[int(value[j] // tolerance)].remove(j)
+        v, k = value[i], int(value[i] // tolerance)
+        near = [j for n in (k - 1, k, k + 1) for j in steps.get(n, ()) if abs(value[j] - v) < tolerance]
+        if near:
+            lead[i] = min(near)
         else:
-            lead[i] = i
             open_.append(i)
+            steps.setdefault(k, []).append(i)
     return lead
 
 

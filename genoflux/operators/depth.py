@@ -190,7 +190,7 @@ def _known_depth(runs: DataFrame, cov: DataFrame) -> DataFrame:
 
 def _per_region(regions: DataFrame, runs: DataFrame, key: list[str], where: str) -> DataFrame:
     """(key, x, n) of regions (chr, start, end, key): expected depth over their positions in stretches for which `where` holds, and how many these are."""
-    j = overlap_join(regions.select(*key, "chr", "start", "end"), runs.where(where).select("chr", "start", "end", "lam"))
+    j = overlap_join(regions.select(*key, "chr", "start", "end"), runs.where(where).select("chr", "start", "end", "lam"), long=True)
     n = overlap_amount(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
     return j.groupBy(*key).agg(F.sum(F.col("r_lam").cast("decimal(18,6)") * n).cast("double").alias("x"), F.sum(n).alias("n"))
 
@@ -213,7 +213,7 @@ def edge_sums(parts: DataFrame, runs: DataFrame, cov: DataFrame) -> DataFrame:
 def run_ratio(regions: DataFrame, runs: DataFrame, cov: DataFrame, key: str = "id") -> DataFrame:
     """(key, ratio): depth over expected depth of regions (chr, start, end, key), over all positions of which a depth above 0 is expected."""
     good = _known_depth(runs, cov).where("lam > 0").select("chr", F.col("pos").alias("start"), F.col("pos").alias("end"), "cov")
-    c = overlap_join(regions.select(key, "chr", "start", "end"), good).groupBy(key).agg(F.sum("r_cov").alias("c"))
+    c = overlap_join(regions.select(key, "chr", "start", "end"), good, long=True).groupBy(key).agg(F.sum("r_cov").alias("c"))
     x = _per_region(regions, runs, [key], "lam > 0")
     d = regions.select(key).join(x, key, "left").join(c, key, "left")
     return d.select(key, F.round(F.try_divide(F.when(F.col("x").isNotNull(), F.coalesce("c", F.lit(0.0))), "x"), 6).alias("ratio"))

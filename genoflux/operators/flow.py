@@ -105,13 +105,13 @@ def doubled(arcs: DataFrame, nodes: int) -> DataFrame:
     return arcs.select("arc_id", F.explode(images).alias("x")).select("arc_id", "x.*")
 
 
-def node_arcs(spark, nodes: int) -> DataFrame:
-    """(node, tail, head, low, cap, cost): the arcs of the nodes of the doubled network."""
+def node_arcs(of: DataFrame, nodes: int) -> DataFrame:
+    """(..., node, tail, head, low, cap, cost): the arcs of nodes (node, ...) in the doubled network over nodes 1..n."""
     off = 2 * nodes + 1
-    v = F.col("id")
+    v = F.col("node")
     both = F.array(F.struct((2 * v + off).alias("tail"), (2 * v - 1 + off).alias("head")), F.struct((-2 * v + off).alias("tail"), (-2 * v + 1 + off).alias("head")))
     whole = lambda x, n: F.lit(x).cast("bigint").alias(n)
-    return spark.range(1, nodes + 1).select(v.alias("node"), F.explode(both).alias("x"), whole(0, "low"), whole(FREE_CAP, "cap"), whole(0, "cost")).select("node", "x.*", "low", "cap", "cost")
+    return of.select("*", F.explode(both).alias("_x")).select(*of.columns, "_x.*", whole(0, "low"), whole(FREE_CAP, "cap"), whole(0, "cost"))
 
 
 #: In the ids of a network's arcs: images of an arc, numbers of its segments (from 1000 on those back), and where arcs of nodes begin.
@@ -133,7 +133,7 @@ def network_arcs(arcs: DataFrame, nodes: int, **costs) -> DataFrame:
     number = ((F.col("arc_id") * _SEGMENTS + F.col("seq")) * 2 + F.col("image") - 1).cast("bigint")
     j = j.select("net", number.alias("arc_id"), F.when(back, F.col("head")).otherwise(F.col("tail")).alias("tail"), F.when(back, F.col("tail")).otherwise(F.col("head")).alias("head"), "low", "cap", "cost")
     met = d.select("net", F.explode(F.array(F.abs("from"), F.abs("to"))).alias("node")).distinct()
-    own = node_arcs(arcs.sparkSession, nodes).join(met, "node")
+    own = node_arcs(met, nodes)
     side = F.when(F.col("tail") > 2 * nodes + 1, 0).otherwise(1)
     return j.unionByName(own.select("net", (_NODES + F.col("node") * 2 + side).alias("arc_id"), "tail", "head", "low", "cap", "cost"))
 

@@ -102,8 +102,43 @@ def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
-    """All columns of left, and of right with the prefix r_, for each pair of overlapping intervals."""
+#: How much wider bins of the next level are, and how many levels there are: an interval is put in bins of the first of which it takes that many at most.
+STEP, LEVELS = 64, 3
+
+
+def _level(start: Column, end: Column, width: int) -> Column:
+    out = F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        out = F.when(end - start + 1 <= width * STEP ** (k + 1), k).otherwise(out)
+    return out
+
+
+def _placed(df: DataFrame, start: str, end: str, width: int, prefix: str) -> DataFrame:
+    """A row for each bin of each level from an interval's own on, those above being one or two."""
+    own = _level(F.col(start), F.col(end), width)
+    none = F.array().cast("array<struct<level:int,bin:bigint>>")
+    each = F.lit(None)
+    for k in range(LEVELS):
+        w, level = width * STEP**k, F.lit(k).alias("level")
+        bins = F.transform(F.sequence(F.floor(F.col(start) / w), F.floor(F.col(end) / w)), lambda b: F.struct(level, b.alias("bin")))  # noqa: B023
+        here = F.when(own <= k, bins).otherwise(none)
+        each = here if k == 0 else F.concat(each, here)
+    return df.withColumn(f"{prefix}own", own).select("*", F.inline(each).alias(f"{prefix}level", f"{prefix}bin"))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN, long: bool = False) -> DataFrame:
+    """All columns of left, and of right with the prefix r_, for each pair of overlapping intervals.
+
+    long: for intervals of any length, as those of whole chromosomes. Bins then have levels, and two intervals meet at the level of the longer one, so that
+    none is repeated more than STEP times or so, where otherwise one is for each of its bins; short ones cost some LEVELS rows each.
+    """
+    if long:
+        a = _placed(left, "start", "end", width, "_")
+        b = _placed(right.select([F.col(c).alias(f"r_{c}") for c in right.columns]), "r_start", "r_end", width, "_r")
+        met = (a["chr"] == b["r_chr"]) & (a["_level"] == b["_rlevel"]) & (a["_bin"] == b["_rbin"]) & overlaps(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
+        first = F.floor(F.greatest("start", "r_start") / (width * F.pow(F.lit(float(STEP)), F.col("_level"))))
+        pair = a.join(b, met).where((F.col("_level") == F.greatest("_own", "_rown")) & (F.col("_bin") == first))
+        return pair.drop("_own", "_level", "_bin", "_rown", "_rlevel", "_rbin")
     a = left.withColumn("_bin", _bins(F.col("start"), F.col("end"), width))
     b = right.select([F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("_rbin", _bins(F.col("r_start"), F.col("r_end"), width))
     pair = a.join(b, (a["chr"] == b["r_chr"]) & (a["_bin"] == b["_rbin"]) & overlaps(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")))

@@ -535,17 +535,26 @@ def execution_log(s, sf):
     return s.read.text(path)
 
 
-@query("select count(*) as n, count(*) as inside, count(*) as flipped from lineitem")
+@query("""select l_linenumber as j, count(*) as n, count(*) as inside, count(*) filter (l_linenumber % 2 <> 0) as flipped, 7::bigint as different, true as even from lineitem group by l_linenumber""")
 def random_and_flip(s, sf):
-    """Random whole numbers stay in their bounds; a truth value turned over differs from itself."""
-    d = v.table(s, sf, "lineitem").select(sq.random_between(3, 9, 5).alias("r"), (F.col("l_linenumber") % 2 == 0).alias("b"))
-    inside = F.count(F.when(F.col("r").between(3, 9), 1)).alias("inside")
-    return d.agg(F.count(F.lit(1)).alias("n"), inside, F.count(F.when(sq.flip(F.col("b")) != F.col("b"), 1)).alias("flipped"))
+    """Random whole numbers from 3 to 9 of each line number: all lie there, each comes up, none much more often than others; truth values turned over."""
+    d = v.table(s, sf, "lineitem").select("l_linenumber", sq.random_between(3, 9, 5).alias("r"), sq.flip(F.col("l_linenumber") % 2 == 0).alias("odd"))
+    count = F.count(F.lit(1))
+    every = d.groupBy(F.col("l_linenumber").alias("j"), "r").agg(count.alias("k"), F.count(F.when(F.col("odd"), 1)).alias("odd"))
+    n = F.sum("k")
+    even = (F.max("k") < n / 7 + 6 * F.sqrt(n / 7)) & (F.min("k") > n / 7 - 6 * F.sqrt(n / 7))
+    return every.groupBy("j").agg(n.alias("n"), F.sum(F.when(F.col("r").between(3, 9), F.col("k"))).alias("inside"), F.sum("odd").alias("flipped"), count.alias("different"), even.alias("even"))
 
 
-@query("""select p_partkey as k, '>' || p_partkey || '<' as made, p_partkey::int as number from part""")
+@query("""select p_partkey as k, p_partkey::varchar as whole, format('{:g}', p_retailprice::double) as broken, case when p_size % 2 = 0 then '1' else '0' end as truth, coalesce(p_partkey, 0)::bigint as number, p_size::bigint as begun, 0::bigint as none from part""")
 def text_and_number(s, sf):
-    return v.table(s, sf, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit(">"), F.col("p_partkey").cast("string"), F.lit("<")).alias("made"), F.col("p_partkey").cast("string").cast("int").alias("number"))
+    """Values as text, and the numbers that texts begin with."""
+    d = v.table(s, sf, "part")
+    lead = F.concat(F.lit(" \t"), F.col("p_size").cast("string"), F.lit(" x9"))
+    return d.select(
+        F.col("p_partkey").alias("k"), sq.make_string(F.col("p_partkey")).alias("whole"), sq.make_string(F.col("p_retailprice").cast("double")).alias("broken"), sq.make_string(F.col("p_size") % 2 == 0).alias("truth"),
+        sq.make_int(sq.make_string(F.col("p_partkey"))).alias("number"), sq.make_int(lead).alias("begun"), sq.make_int(F.concat(F.lit("x"), "p_name")).alias("none"),
+    )
 
 
 @query("""select 'option sd is missing' as wrong union all select 'option least is not a number from 0' union all select 'mode both is none of all, stage1, stage2'

@@ -266,11 +266,12 @@ def self_loop_flow(s, sf):
     return fl.self_loops(v.arcs(s, sf), 25.0)
 
 
-@query("""with n as (select unnest(range(1, 41)) as node) select node, 2 * node + 81 as tail, 2 * node + 80 as head, 0::bigint as low, 99999::bigint as cap, 0::bigint as cost from n
-union all select node, -2 * node + 81, -2 * node + 82, 0, 99999, 0 from n""")
+@query(f"""with {v.ARCS}, n as (select abs("from") as node from arcs union select abs("to") from arcs) select node, 2 * node + 51 as tail, 2 * node + 50 as head, 0::bigint as low, 99999::bigint as cap, 0::bigint as cost from n
+union all select node, -2 * node + 51, -2 * node + 52, 0, 99999, 0 from n""")
 def node_arc_list(s, sf):
     """Arcs of the nodes of a doubled network, none of whose copies is free of a direction."""
-    return fl.node_arcs(s, 40)
+    nodes = v.arcs(s, sf).select(F.explode(F.array(F.abs("from"), F.abs("to"))).alias("node")).distinct()
+    return fl.node_arcs(nodes, 25)
 
 
 @query(f"""with {v.ARCS}, g as (select arc_id as i, abs("from") as "from", arc_id + 1000 as fake, abs("to") as "to" from arcs), f as (select abs("from") + (arc_id % 9 = 0)::int as f, arc_id + 1000 as fake, hits / 2.0::double as flow from arcs where arc_id % 10 <> 7)

@@ -309,6 +309,8 @@ def in_file_order(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def write_by_reference(df: DataFrame, path: str, refs: DataFrame | None = None, by: tuple[str, ...] = ("ref_name",)) -> None:
-    """Parquet, a folder for each reference (and type); rows on references outside refs (ref_name) are left out."""
+    """Parquet, a folder for each reference (and type); rows on references outside refs (ref_name) are left out. Tasks take ranges of the references and,
+    inside one, of its rows, so that a reference with most rows is many files."""
     d = df if refs is None else df.join(refs, "ref_name", "left_semi")
-    d.repartition(*by).sortWithinPartitions(*by).write.partitionBy(*by).parquet(path)
+    d = d.withColumn("_n", F.monotonically_increasing_id())
+    d.repartitionByRange(*by, "_n").sortWithinPartitions(*by).drop("_n").write.partitionBy(*by).parquet(path)

@@ -30,3 +30,12 @@ def test_kmers_and_mask(spark):
     assert sorted(r.kmer for r in sq.kmers(d, 3).collect()) == ["ACG", "CGT", "GTA"]
     m = spark.createDataFrame([("g", 1, "ABC"), ("g", 2, "ABD")], "g string, k int, s string")
     assert sorted(r.masked for r in sq.mask_same_columns(m, "g", "k", "s").collect()) == ["  C", "  D"]
+
+
+def test_make_string_and_int(spark):
+    values = [0.0, 1.0, -2.5, 123456.0, 1234567.0, 0.0001234567, 0.00001234, 1e20, -1e-7, 999999.5, 3.14159265, 1024.5, 1e-300]
+    d = spark.createDataFrame([(x,) for x in values], "x double").select("x", sq.make_string(F.col("x")).alias("t"))
+    assert all(r.t == "%g" % r.x for r in d.collect())
+    texts = {"12": 12, " \t-7x": -7, "+3.9": 3, "": 0, "x1": 0, "- 1": 0, None: 0, "99999999999999999999": 0}
+    d = spark.createDataFrame([(x,) for x in texts], "s string").select("s", sq.make_int(F.col("s")).alias("n"))
+    assert {r.s: r.n for r in d.collect()} == texts

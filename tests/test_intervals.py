@@ -116,3 +116,27 @@ def test_cut_and_donor_arcs(spark):
     assert rows(gr.donor_arcs(occ, links)) == [(0, 0, 3, 0)]
     assert rows(gr.signed_arcs(gr.donor_arcs(occ, links))) == [(1, -4)]
     assert gr.free_links(occ.select(F.col("chr").alias("contig"), F.col("start").alias("pos"), "edge_id")).count() == 1
+
+
+def test_overlaps_of_long_and_short_intervals(spark):
+    rng = random.Random(8)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            start = rng.randrange(3_000_000)
+            out.append((rng.choice("ab"), start, start + rng.choice([0, 5, 900, 70_000, 1_100_000, 2_000_000_000]), i))
+        return out
+
+    a, b = some(60), some(80)
+    fields = "chr string, start long, end long, id int"
+    left, right = spark.createDataFrame(a, fields), spark.createDataFrame(b, fields)
+    want = sorted((x[3], y[3]) for x in a for y in b if x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2])
+    for long in (False, True):
+        got = iv.overlap_join(left, right, 1 << 14 if long else 1 << 20, long)
+        assert sorted((r.id, r.r_id) for r in got.select("id", "r_id").collect()) == want
+        assert got.columns == ["chr", "start", "end", "id", "r_chr", "r_start", "r_end", "r_id"]
+    whole = spark.createDataFrame([("a", 1, 200_000_000, 0)], fields)
+    assert iv._placed(whole, "start", "end", 1 << 14, "_").count() < 70
+    short = spark.range(200_000).select(F.lit("a").alias("chr"), (F.col("id") * 900).alias("start"), (F.col("id") * 900 + 50).alias("end"), F.col("id"))
+    assert iv.overlap_join(short, whole, long=True).count() == 200_000

@@ -77,3 +77,30 @@ def test_dense_rank(spark):
     d = spark.createDataFrame([(x,) for x in (5, 5, 100, -3, 7, 10**9)], "k long")
     for slices in (1, 3, 10_000):
         assert {r.k: r.n for r in rd.dense_rank(d, "k", "n", slices).collect()} == {-3: 1, 5: 2, 7: 3, 100: 4, 10**9: 5}
+
+
+def test_leaders_of_a_deep_island():
+    import random
+    import time
+
+    from genoflux.operators.cluster import leaders
+
+    def plain(rows, kind, reach, tolerance):
+        lead, out = [], []
+        for i, (m, s, d) in enumerate(rows):
+            lead = [j for j in lead if m - rows[j][0] <= reach]
+            near = [j for j in lead if (abs(d - rows[j][2]) if kind in (0, 1) else abs((m - rows[j][0]) - (rows[j][1] - s))) < tolerance]
+            out.append(near[0] if near else i)
+            if not near:
+                lead.append(i)
+        return out
+
+    rng = random.Random(3)
+    for k in range(300):
+        rows = sorted((rng.randint(0, 200), rng.randint(0, 400), rng.randint(-30, 400)) for _ in range(rng.randint(0, 80)))
+        tolerance = rng.choice([0, 0.5, 1, 7, 30.5, 1000])
+        assert leaders(rows, k % 4, 60, tolerance) == plain(rows, k % 4, 60, tolerance)
+    rows = sorted((rng.randint(0, 100_000), rng.randint(0, 100_000), rng.randint(0, 10**7)) for _ in range(1_000_000))
+    began = time.time()
+    leaders(rows, 0, 200_000, 5)
+    assert time.time() - began < 20
