@@ -16,7 +16,7 @@ from .cluster import read, ship
 #: Segments of more characters have a heap of their own, shorter ones are merged side by side; characters of a text that are cut up at once.
 LONG, WINDOW = 128, 1 << 18
 #: Segments of at most LONG characters that a worker keeps with their ids; past that many all are forgotten. Plan only.
-KEPT = 1 << 19
+KEPT = 1 << 20
 SPACE = "▁"
 _NONE = 1 << 30
 
