@@ -10,7 +10,8 @@ occurrence of a block need not be that of the windows around it. Each window fin
 
 Rows of the first shuffle are not words but columns of hashes for a batch and bucket. A batch sends each hash once,
 so that a passage or a run that a third of all documents share costs each batch one entry; batches grow with the number
-of buckets, so that a row has some 64 entries whatever the size of the corpus.
+of buckets, so that a row has some 64 entries, up to about 1 TB of text. There MOST entries bound a batch, and with the number of buckets rows get shorter:
+some 7 entries at 10 TB and one at 100 TB, with as much more work for each entry.
 """
 
 from __future__ import annotations
