@@ -275,8 +275,9 @@ def _run(path: str, check: bool):
             text = [model.decode(x) for x in ids]
             if check:
                 for t, x, y in zip(texts, ids, text):
-                    want = model.library.encode(t)
-                    if want != x.tolist() or model.library.decode(want) != y:
+                    # where normalising changes blanks alone, the library gives the text back, U+2581 as blanks
+                    back = t.replace(SPACE, " ") if model.plain else model.library.decode(x.tolist())
+                    if y != back or model.library.encode(t) != x.tolist():
                         raise ValueError(f"the agenda and the library differ on a text that begins with {t[:80]!r}")
             off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
@@ -288,8 +289,8 @@ def _run(path: str, check: bool):
 def encode_documents(docs: DataFrame, model: str, check: bool = False) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of every row of docs; null and empty texts have no ids.
 
-    model: path of a merge-type sentencepiece model with byte pieces, on every machine. check: encode and decode each Arrow batch with the
-    library as well and fail on the first text on which they differ. Repeated rows are repeated; other columns are
+    model: path of a merge-type sentencepiece model with byte pieces, on every machine. check: encode each Arrow batch with the
+    library as well, and hold what is decoded against what it would decode; the first text on which they differ fails. Repeated rows are repeated; other columns are
     ignored. A task holds one batch of texts, and some 20 bytes for each character of the longest.
     """
     ship(docs.sparkSession)
