@@ -66,3 +66,13 @@ def test_check_fails_on_a_difference(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some text"])], ["doc_id", "text"])
     with pytest.raises(ValueError, match="differ"):
         list(m._run(PATH, True)([batch]))
+
+
+def test_segments_are_held_against_the_library():
+    p = m.PieceModel(PATH)
+    assert p.apart
+    p.check = True
+    texts = list(random_texts(1500, 11)) + ["a" * 3000, "\n\n x\n", "word " * 50]
+    assert [x.tolist() for x in p.encode(texts)] == [p.library.encode(t) for t in texts]
+    with pytest.raises(ValueError, match="differ"):
+        p.compare({"▁the": np.array([5], np.int32).tobytes()})
