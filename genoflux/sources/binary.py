@@ -180,25 +180,57 @@ def pack_array(values: list[float | None], missing: float = -1.0) -> bytes:
     return struct.pack(f"<{len(values)}d", *(missing if v is None else v for v in values))
 
 
+def _sparse(cov: DataFrame, value: str, block: int) -> DataFrame:
+    """(chr, block, m): places in the block, from 0, and values of the rows of each block that has some."""
+    at = ((F.col("pos") - 1) % block).cast("int")
+    return cov.groupBy("chr", F.floor((F.col("pos") - 1) / block).alias("block")).agg(F.collect_list(F.struct(at.alias("at"), F.col(value).cast("double").alias("v"))).alias("m"))
+
+
+def _dense(m: pa.ListArray, block: int, empty: float) -> np.ndarray:
+    """A row of `block` doubles for each list of (place, value); null lists and values are empty."""
+    n = m.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = m.flatten()
+    place = np.repeat(np.arange(len(m)) * block, n) + flat.field("at").to_numpy(zero_copy_only=False)
+    if len(np.unique(place)) != len(place):
+        raise ValueError("a position has two values")
+    out = np.full(len(m) * block, empty, "<f8")
+    out[place] = flat.field("v").fill_null(empty).to_numpy(zero_copy_only=False)
+    return out.reshape(len(m), block)
+
+
+#: Blocks that are made at once.
+AT_ONCE = 256
+
+
+def _each_dense(batches, block: int, empty: float):
+    for b in batches:
+        for i in range(0, b.num_rows, AT_ONCE):
+            part = b.slice(i, AT_ONCE)
+            yield part, _dense(part.column(2), block, empty)
+
+
 def dense_blocks(cov: DataFrame, value: str, block: int = 4096, empty: float = 0.0) -> DataFrame:
     """(chr, block, body): values by position (from 1) in blocks of doubles, positions without a row as `empty`."""
-    d = cov.groupBy("chr", F.floor((F.col("pos") - 1) / block).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(((F.col("pos") - 1) % block).cast("int"), F.col(value)))).alias("m"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(empty)))
-    return d.select("chr", "block", filled.alias("body"))
+    d = _sparse(cov, value, block)
+
+    def run(batches):
+        for b, rows in _each_dense(batches, block, empty):
+            body = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, block, dtype=np.int32)), pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), body], ["chr", "block", "body"])
+
+    ship(cov.sparkSession)
+    return d.mapInArrow(run, f"chr {d.schema['chr'].dataType.simpleString()}, block long, body array<double>")
 
 
 def array_blocks(cov: DataFrame, value: str, block: int = 4096, empty: float = 0.0) -> DataFrame:
     """(name, part, body binary): the whole array of each chr in order, blocks without a row included, for save_files."""
-    d = dense_blocks(cov, value, block, empty)
+    d = _sparse(cov, value, block)
     every = d.groupBy("chr").agg(F.max("block").alias("last")).select("chr", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("block"))
-    d = every.join(d, ["chr", "block"], "left").select("chr", "block", F.coalesce("body", F.array_repeat(F.lit(empty), block)).alias("body"))
+    d = every.join(d, ["chr", "block"], "left").select("chr", "block", "m")
 
     def run(batches):
-        for b in batches:
-            off = b.column(2).offsets.to_numpy()
-            flat = b.column(2).values.to_numpy(zero_copy_only=False).astype("<f8")
-            body = [flat[i:j].tobytes() for i, j in zip(off[:-1], off[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(body, pa.binary())], ["name", "part", "body"])
+        for b, rows in _each_dense(batches, block, empty):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], ["name", "part", "body"])
 
     ship(cov.sparkSession)
     return d.mapInArrow(run, "name string, part long, body binary")

@@ -2,6 +2,7 @@
 
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +157,20 @@ def test_runs_and_repeats_by_components(spark):
     want = [(c, *r) for c in ("c0", "c1") for r in gr.refine([x[1:] for x in places if x[0] == c])]
     for at_once in (10**6, 5):
         assert sorted(tuple(r) for r in gr.refine_repeats(p, at_once).collect()) == sorted(want)
+
+
+def test_full_blocks_of_arrays(spark):
+    d = spark.range(64 << 15).select(F.lit("c").alias("chr"), (F.col("id") + 1).alias("pos"), F.col("id").cast("double").alias("v"))
+    began = time.monotonic()
+    got = binary.array_blocks(d, "v", 1 << 15).select("part", F.length("body").alias("n")).collect()
+    assert sorted((r.part, r.n) for r in got) == [(k, 8 << 15) for k in range(64)] and time.monotonic() - began < 60
+    twice = spark.createDataFrame([("c", 1, 2.0), ("c", 1, 3.0)], "chr string, pos long, v double")
+    with pytest.raises(Exception, match="two values"):
+        binary.dense_blocks(twice, "v", 4).collect()
+
+
+def test_many_runs_in_a_piece(spark):
+    d = spark.createDataFrame([(1, 1, "na" * 200_000)], "id long, start long, seq string")
+    began = time.monotonic()
+    got = de.letter_runs(d).agg(F.count(F.lit(1)), F.max("end")).first()
+    assert tuple(got) == (200_000, 399_999) and time.monotonic() - began < 60
