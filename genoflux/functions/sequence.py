@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genoflux.shipping import ship
+
+#: Bytes of strings that a task looks at together.
+TOGETHER = 8 << 20
+
 
 def base_code(c: Column) -> Column:
     """A, C, G, T in either case: 0..3; others: null."""
@@ -95,6 +104,22 @@ def pieces(s: Column, size: int) -> Column:
     return F.filter(F.split(s, rf"(?s)(?<=\G.{{{size}}})"), lambda x: x != "")
 
 
+def letter_stretches(strings: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Consecutive strings, some TOGETHER bytes at once: (number of the first, their letters as code points, where each begins and the end of all)."""
+    a = strings.cast(pa.large_binary())
+    off = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
+    data = np.frombuffer(a.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + TOGETHER, "right")) - 1)
+        raw, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
+        if len(raw) and raw.max() > 127:
+            at = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][at]
+            raw = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4")
+        yield i, raw, at
+        i = j
+
+
 def kmers(seqs: DataFrame, k: int) -> DataFrame:
     """(id, start, kmer): every substring of length k of each sequence (id, seq), from 1."""
     size = max(256, k)
@@ -105,9 +130,77 @@ def kmers(seqs: DataFrame, k: int) -> DataFrame:
     return d.select("id", (F.col("n") * size + F.col("j")).alias("start"), F.substring("s", F.col("j"), F.lit(k)).alias("kmer"))
 
 
+def _windows(cp: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(string, start, which, names) of every substring of k letters of strings that begin at `at`: which of the different ones, names, it is."""
+    n = np.maximum(0, np.diff(at) - k + 1)
+    who = np.repeat(np.arange(len(n)), n)
+    start = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+    first = at[who] + start
+    alphabet, code = np.unique(cp, return_inverse=True)
+    if len(alphabet) ** k < 1 << 63:
+        key = np.zeros(len(first), np.int64)
+        for j in range(k):
+            key = key * len(alphabet) + code[first + j]
+        each, which = np.unique(key, return_inverse=True)
+        letters = np.stack([each // len(alphabet) ** (k - 1 - j) % len(alphabet) for j in range(k)], axis=1) if len(each) else np.zeros((0, k), np.int64)
+    else:
+        rows = np.ascontiguousarray(np.stack([code[first + j] for j in range(k)], axis=1).astype("<u4"))
+        each, which = np.unique(rows.view(np.dtype((np.void, 4 * k))).ravel(), return_inverse=True)
+        letters = each.view("<u4").reshape(-1, k)
+    text = alphabet[letters].astype("<u4").tobytes().decode("utf-32-le").encode()
+    size = np.r_[0, np.cumsum(np.array([len(chr(c).encode()) for c in alphabet.tolist()] or [0], np.int64)[letters].sum(axis=1))].astype(np.int32)
+    return who, start, which, pa.StringArray.from_buffers(len(each), pa.py_buffer(size.tobytes()), pa.py_buffer(text))
+
+
+def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
+    """(kmer, n): how often every substring of length k occurs in the sequences (id, seq); counted where the sequences lie, then summed."""
+
+    def run(batches):
+        for b in batches:
+            for _, cp, at in letter_stretches(b.column(0)):
+                _, _, which, names = _windows(cp, at, k)
+                if len(names):
+                    yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(which, minlength=len(names)))], ["kmer", "n"])
+
+    ship(seqs.sparkSession)
+    return seqs.where(F.length("seq") >= k).select("seq").mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
+def covered_by(seqs: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
+    """(id, start, end): stretches of each sequence (id, seq) that the substrings listed in kmers (kmer) cover, closed and from 1. Tasks read the list
+    from the shared folder, so that no substring is sent to it."""
+    from genoflux.scratch import new_path
+    from genoflux.sources import store
+
+    path = new_path(seqs.sparkSession, "kmers")
+    kmers.select("kmer").write.parquet(path)
+
+    def run(batches):
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        often = pa.concat_arrays([pa.array([], pa.string()), *(c for p, _ in store.listed(path, ".parquet") for c in pq.read_table(store.opened(p)).column("kmer").chunks)])
+        for b in batches:
+            for i, cp, at in letter_stretches(b.column(1)):
+                who, start, which, names = _windows(cp, at, k)
+                hit = np.flatnonzero(pc.is_in(names, value_set=often).to_numpy(zero_copy_only=False)[which])
+                if not len(hit):
+                    continue
+                who, start = who[hit], start[hit]
+                new = np.r_[True, (np.diff(who) != 0) | (np.diff(start) >= k)]
+                last = np.r_[np.flatnonzero(new)[1:] - 1, len(hit) - 1]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + who[new])), pa.array(start[new] + 1), pa.array(start[last] + k)], ["id", "start", "end"])
+
+    ship(seqs.sparkSession)
+    d = seqs.where(F.length("seq") >= k).select("id", "seq")
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, start long, end long")
+
+
 def mask_same_columns(strings: DataFrame, by: str, order: str, s: str) -> DataFrame:
     """Strings of each group with a blank where all of the group have the same letter; strings of a group have one length."""
-    letters = strings.select(by, order, F.posexplode(F.split(s, "")).alias("_k", "_c"))
+    letters = strings.select(by, F.posexplode(F.split(s, "")).alias("_k", "_c"))
     kinds = letters.groupBy(by, "_k").agg((F.min("_c") == F.max("_c")).alias("same"))
-    d = letters.join(kinds, [by, "_k"]).groupBy(by, order).agg(F.array_sort(F.collect_list(F.struct("_k", F.when(F.col("same"), " ").otherwise(F.col("_c")).alias("c")))).alias("x"))
-    return d.select(by, order, F.array_join(F.transform("x", lambda x: x["c"]), "").alias("masked"))
+    # a row for each group, so that strings aren't taken apart to be put together again
+    same = kinds.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "same"))), lambda x: x["same"]).alias("_same"))
+    shown = F.zip_with(F.split(s, ""), "_same", lambda c, x: F.when(x, " ").otherwise(c))
+    return strings.join(same, by).select(by, order, F.array_join(shown, "").alias("masked"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from genoflux.functions.sequence import pieces
+from genoflux.functions.sequence import letter_stretches, pieces
+from genoflux.scratch import materialise
+from genoflux.shipping import ship
 
 from .intervals import BIN, locate, merge, overlap_amount, overlap_join
 
@@ -49,17 +53,36 @@ def letter_runs(seqs: DataFrame, letters: str = "nN") -> DataFrame:
 
     Runs are found in each piece and joined over the pieces' borders.
     """
-    # each run with the letters before it; runs end where these end, summed up inside the piece
-    parts = F.regexp_extract_all("seq", F.lit(f"[^{letters}]*[{letters}]+"), 0)
-    ends = F.aggregate(parts, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    d = sequence_pieces(seqs).where(F.col("seq").rlike(f"[{letters}]")).withColumn("last", F.col("start") + F.length("seq") - 1)
-    d = d.select("id", "start", "last", F.explode(F.arrays_zip(parts.alias("x"), F.slice(ends, 2, F.size(ends) - 1).alias("to"))).alias("r"))
-    n = F.length("r.x") - F.length(F.rtrim(F.col("r.x"), F.lit(letters)))
-    d = d.select("id", "start", "last", (F.col("start") + F.col("r.to") - n).alias("at"), (F.col("start") + F.col("r.to") - 1).alias("end"))
+    d = sequence_pieces(seqs)
+
+    def run(batches):
+        for b in batches:
+            for i, raw, at in letter_stretches(b.column(2)):
+                piece, first, last = _runs_of(raw, at, letters)
+                size = np.diff(at)[piece]
+                start = b.column(1).to_numpy()[i + piece]
+                border = (first == 0) | (last == size - 1)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + piece)), pa.array(start + first), pa.array(start + last), pa.array(border)], ["id", "start", "end", "border"])
+
+    ship(seqs.sparkSession)
+    d = d.select("id", F.col("start").cast("bigint").alias("start"), "seq").where("length(seq) > 0")
+    d = materialise(d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, start long, end long, border boolean"), "letter-runs")
     # only runs at a border of their piece may go on beyond it: two at most for each
-    border = (F.col("at") == F.col("start")) | (F.col("end") == F.col("last"))
-    edge = merge(d.where(border).select(F.col("id").alias("chr"), F.col("at").alias("start"), "end"), 1).select(F.col("chr").alias("id"), "start", "end")
-    return d.where(~border).select("id", F.col("at").alias("start"), "end").unionByName(edge)
+    edge = merge(d.where("border").select(F.col("id").alias("chr"), "start", "end"), 1).select(F.col("chr").alias("id"), "start", "end")
+    return d.where("not border").select("id", "start", "end").unionByName(edge)
+
+
+def _runs_of(raw: np.ndarray, at: np.ndarray, letters: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first, last) of each run of letters, places from 0 in its piece; pieces begin at `at`, whose last is the end of all."""
+    hit = np.zeros(len(raw) + 1, bool)
+    for c in set(letters):
+        hit[:-1] |= raw == ord(c)
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[at] = True
+    first = np.flatnonzero(hit[:-1] & (cut[:-1] | ~np.r_[False, hit[:-2]])) if len(raw) else np.zeros(0, np.int64)
+    last = np.flatnonzero(hit[:-1] & (cut[1:] | ~hit[1:]))
+    piece = np.searchsorted(at, first, "right") - 1
+    return piece, first - at[piece], last - at[piece]
 
 
 def count_letters(s: Column, letters: str) -> Column:
