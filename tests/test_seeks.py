@@ -155,3 +155,16 @@ def test_lines_by_offsets(spark, tmp_path):
     got = sorted((r.key, r.value) for r in text.lines_at(index, keys).collect())
     want = sorted((x.split()[0], x) for x in lines if x.split()[0] in {"key0", "key5", "key17", "key998", "key999"})
     assert got == want
+
+
+def test_positions_beyond_the_bins(spark, tmp_path):
+    """Records at positions over 1 << 29, whose bins don't fit 16 bits."""
+    at = [5, (1 << 29) - 3, 1 << 29, 1_196_000_000, (1 << 31) - 100]
+    rows = [(f"r{i}", 0, p, 0, 60, bam.bin_of(p, p + 4), [("M", 4)], "ACGT", "IIII", -1, -1, 0, {}) for i, p in enumerate(at)]
+    d = spark.createDataFrame(rows, "name string, ref_id int, position long, flag int, mapq int, bin int, cigar array<struct<type string, length int>>, bases string, quals string, mate_ref_id int, mate_position long, insert_size long, tags map<string,string>").coalesce(1)
+    folder = str(tmp_path / "far")
+    store.write_bodies(bam.bam_blocks(d, [("c", 100)]), folder)
+    assert sorted((r.position, r.bin) for r in bam.read_records(spark, folder).collect()) == [(p, bam.bin_of(p, p + 4)) for p in at]
+    bam_index.write_index(spark, folder)
+    assert sorted(r.position for r in bam_index.read_indexed(spark, folder).collect()) == at
+    assert [r.position for r in bam_index.read_indexed(spark, folder, "c", 1_196_000_002, 1_196_000_009).collect()] == [1_196_000_000]
