@@ -26,12 +26,13 @@ def fill_gaps(edges: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Ids from 0 in the order of the columns: counts by first column, then numbers inside it."""
-    first, rest = order[0], order[1:]
-    sizes = df.groupBy(first).agg(F.count(F.lit(1)).alias("_n"))
-    start = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(W.orderBy(first).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    nth = F.row_number().over(W.partitionBy(first).orderBy(*rest)) - 1
-    return df.withColumn("_nth", nth).join(start, first).withColumn(out, F.col("_nth") + F.col("_start")).drop("_nth", "_start")
+    """Ids from 0 in the order of the columns: rows are dealt out by ranges of all of them, numbered in each range, and ranges counted."""
+    at = F.monotonically_increasing_id()  # number of the task above its rows' numbers
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at)
+    d = materialise(d.withColumn("_task", F.shiftright("_at", 33)), "dense-ids")
+    sizes = d.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
+    start = sizes.select("_task", F.coalesce(F.sum("_n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # a row a task
+    return d.join(F.broadcast(start), "_task").withColumn(out, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).select(*df.columns, out)
 
 
 def numbered_in(df: DataFrame, by: str, order: list[str], out: str) -> DataFrame:

@@ -140,3 +140,11 @@ def test_overlaps_of_long_and_short_intervals(spark):
     assert iv._placed(whole, "start", "end", 1 << 14, "_").count() < 70
     short = spark.range(200_000).select(F.lit("a").alias("chr"), (F.col("id") * 900).alias("start"), (F.col("id") * 900 + 50).alias("end"), F.col("id"))
     assert iv.overlap_join(short, whole, long=True).count() == 200_000
+
+
+def test_ids_of_one_large_first_value(spark):
+    """Numbers are made by ranges of the whole order: no task gets all rows of a first value."""
+    d = spark.range(20_000).select(F.lit("c").alias("chr"), (F.col("id") * 7919 % 20_000).alias("pos"))
+    got = gr.dense_ids(d.repartition(4), ["chr", "pos"], "id")
+    assert got.where("id <> pos").count() == 0 and got.count() == 20_000
+    assert "windowspecdefinition(chr" not in got._jdf.queryExecution().optimizedPlan().toString()
