@@ -130,40 +130,55 @@ def kmers(seqs: DataFrame, k: int) -> DataFrame:
     return d.select("id", (F.col("n") * size + F.col("j")).alias("start"), F.substring("s", F.col("j"), F.lit(k)).alias("kmer"))
 
 
-def _windows(cp: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(string, start, which, names) of every substring of k letters of strings that begin at `at`: which of the different ones, names, it is."""
+def _windows(cp: np.ndarray, at: np.ndarray, k: int):
+    """(string, start, key, spelt) of every substring of k letters of strings that begin at `at`: keys are equal if the substrings are, and spelt gives
+    the substrings of keys."""
     n = np.maximum(0, np.diff(at) - k + 1)
     who = np.repeat(np.arange(len(n)), n)
     start = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
     first = at[who] + start
-    alphabet, code = np.unique(cp, return_inverse=True)
-    if len(alphabet) ** k < 1 << 63:
+    alphabet = np.flatnonzero(np.bincount(cp)) if len(cp) else np.zeros(0, np.int64)
+    number = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.int64)
+    number[alphabet] = np.arange(len(alphabet))
+    code, base = number[cp], len(alphabet)
+    small = base**k < 1 << 63
+    if small:
         key = np.zeros(len(first), np.int64)
         for j in range(k):
-            key = key * len(alphabet) + code[first + j]
-        each, which = np.unique(key, return_inverse=True)
-        letters = np.stack([each // len(alphabet) ** (k - 1 - j) % len(alphabet) for j in range(k)], axis=1) if len(each) else np.zeros((0, k), np.int64)
+            key = key * base + code[first + j]
     else:
-        rows = np.ascontiguousarray(np.stack([code[first + j] for j in range(k)], axis=1).astype("<u4"))
-        each, which = np.unique(rows.view(np.dtype((np.void, 4 * k))).ravel(), return_inverse=True)
-        letters = each.view("<u4").reshape(-1, k)
-    text = alphabet[letters].astype("<u4").tobytes().decode("utf-32-le").encode()
-    size = np.r_[0, np.cumsum(np.array([len(chr(c).encode()) for c in alphabet.tolist()] or [0], np.int64)[letters].sum(axis=1))].astype(np.int32)
-    return who, start, which, pa.StringArray.from_buffers(len(each), pa.py_buffer(size.tobytes()), pa.py_buffer(text))
+        key = np.stack([code[first + j] for j in range(k)], axis=1).astype("<u4").view(np.dtype((np.void, 4 * k))).ravel()
+
+    def spelt(keys: np.ndarray) -> pa.Array:
+        if not len(keys):
+            return pa.array([], pa.string())
+        letters = np.stack([keys // base ** (k - 1 - j) % base for j in range(k)], axis=1) if small else keys.view("<u4").reshape(-1, k)
+        text = alphabet[letters].astype("<u4").tobytes().decode("utf-32-le").encode()
+        wide = np.array([len(chr(c).encode()) for c in alphabet.tolist()], np.int64)
+        size = np.r_[0, np.cumsum(wide[letters].sum(axis=1))].astype(np.int32)
+        return pa.StringArray.from_buffers(len(keys), pa.py_buffer(size.tobytes()), pa.py_buffer(text))
+
+    return who, start, key, spelt
+
+
+def _dealt(seqs: DataFrame, k: int) -> DataFrame:
+    """Sequences with substrings of length k; a few rows or files may hold them all, so that they are dealt out to the tasks."""
+    return seqs.where(F.length("seq") >= k).select("id", "seq").repartition("id")
 
 
 def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
-    """(kmer, n): how often every substring of length k occurs in the sequences (id, seq); counted where the sequences lie, then summed."""
+    """(kmer, n): how often every substring of length k occurs in the sequences (id, seq); counted in each task, then summed."""
 
     def run(batches):
         for b in batches:
             for _, cp, at in letter_stretches(b.column(0)):
-                _, _, which, names = _windows(cp, at, k)
-                if len(names):
-                    yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(which, minlength=len(names)))], ["kmer", "n"])
+                _, _, key, spelt = _windows(cp, at, k)
+                if len(key):
+                    each, n = np.unique(key, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([spelt(each), pa.array(n)], ["kmer", "n"])
 
     ship(seqs.sparkSession)
-    return seqs.where(F.length("seq") >= k).select("seq").mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+    return _dealt(seqs, k).select("seq").mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
 
 
 def covered_by(seqs: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
@@ -182,8 +197,9 @@ def covered_by(seqs: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
         often = pa.concat_arrays([pa.array([], pa.string()), *(c for p, _ in store.listed(path, ".parquet") for c in pq.read_table(store.opened(p)).column("kmer").chunks)])
         for b in batches:
             for i, cp, at in letter_stretches(b.column(1)):
-                who, start, which, names = _windows(cp, at, k)
-                hit = np.flatnonzero(pc.is_in(names, value_set=often).to_numpy(zero_copy_only=False)[which])
+                who, start, key, spelt = _windows(cp, at, k)
+                each, which = np.unique(key, return_inverse=True)
+                hit = np.flatnonzero(pc.is_in(spelt(each), value_set=often).to_numpy(zero_copy_only=False)[which])
                 if not len(hit):
                     continue
                 who, start = who[hit], start[hit]
@@ -192,7 +208,7 @@ def covered_by(seqs: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + who[new])), pa.array(start[new] + 1), pa.array(start[last] + k)], ["id", "start", "end"])
 
     ship(seqs.sparkSession)
-    d = seqs.where(F.length("seq") >= k).select("id", "seq")
+    d = _dealt(seqs, k)
     return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, start long, end long")
 
 

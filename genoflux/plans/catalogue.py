@@ -554,17 +554,15 @@ def base_codes_and_formats(s, sf):
 
 @query(f"""with {_SEQ}, x as (select substring(seq, i, 8) as kmer from seqs, unnest(range(1, length(seq) - 8 + 2)) as t(i) where length(seq) >= 8) select kmer, count(*) as n from x group by kmer having count(*) > 400""")
 def kmer_repeats(s, sf):
-    return sq.kmers(_seqs(s, sf), 8).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 400")
+    return sq.kmer_counts(_seqs(s, sf), 8).where("n > 400")
 
 
 @query(f"""with {_SEQ}, x as (select id, i, substring(seq, i, 8) as kmer from seqs, unnest(range(1, length(seq) - 8 + 2)) as t(i) where length(seq) >= 8),
   f as (select kmer from x group by kmer having count(*) > 400), u as (select id::varchar as chr, i as "start", i + 7 as "end" from x where kmer in (select kmer from f)), {_merged('u', 0)} select * from merged""")
 def high_copy_regions(s, sf):
     """Stretches of sequences covered by k-mers that occur very often."""
-    k = sq.kmers(_seqs(s, sf), 8)
-    often = k.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 400")
-    hit = k.join(often.select("kmer"), "kmer", "left_semi")
-    return iv.merge(hit.select(F.col("id").cast("string").alias("chr"), F.col("start").cast("bigint").alias("start"), (F.col("start") + 7).cast("bigint").alias("end")))
+    hit = sq.covered_by(_seqs(s, sf), sq.kmer_counts(_seqs(s, sf), 8).where("n > 400"), 8)
+    return iv.merge(hit.select(F.col("id").cast("string").alias("chr"), "start", "end"))
 
 
 @query("""with x as (select p_brand as g, p_partkey as k, substring(lpad(p_partkey::varchar, 8, '0'), 1, 8) as s from part), c as (select g, k, unnest(range(1, 9)) as i, unnest(string_split(s, '')) as c from x),

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from genoflux.functions import alignment as al
@@ -39,3 +42,27 @@ def test_make_string_and_int(spark):
     texts = {"12": 12, " \t-7x": -7, "+3.9": 3, "": 0, "x1": 0, "- 1": 0, None: 0, "99999999999999999999": 0}
     d = spark.createDataFrame([(x,) for x in texts], "s string").select("s", sq.make_int(F.col("s")).alias("n"))
     assert {r.s: r.n for r in d.collect()} == texts
+
+
+def test_counts_and_cover_of_kmers(spark):
+    rng = random.Random(5)
+    texts = ["", "abc", "aaaaaa"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for alphabet in ("ab", "abé", "a😀b") for _ in range(20)]
+    texts.append("".join(map(chr, range(200, 60_000, 7))).encode("utf-8", "ignore").decode())
+    for k in (3, 8):
+        d = spark.createDataFrame(list(enumerate(texts)), "id long, seq string")
+        want = Counter(t[i : i + k] for t in texts for i in range(len(t) - k + 1))
+        counts = sq.kmer_counts(d, k)
+        assert {r.kmer: r.n for r in counts.collect()} == want
+        cover = []
+        for n, t in enumerate(texts):
+            on = [any(want[t[j : j + k]] > 3 for j in range(max(0, i - k + 1), min(i, len(t) - k) + 1)) for i in range(len(t))]
+            starts = [j for j in range(len(t) - k + 1) if want[t[j : j + k]] > 3]
+            runs = []
+            for j in starts:
+                if runs and j < runs[-1][1]:
+                    runs[-1][1] = j + k
+                else:
+                    runs.append([j, j + k])
+            assert sum(on) == sum(z - a for a, z in runs)
+            cover += [(n, a + 1, z) for a, z in runs]
+        assert sorted(map(tuple, sq.covered_by(d, counts.where("n > 3"), k).collect())) == sorted(cover)
