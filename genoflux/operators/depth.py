@@ -95,20 +95,106 @@ def gc_bin(gc: Column, at: Column, bins: int = 50) -> Column:
     return F.when(gc + at > 0, F.least(F.floor(percent * bins / 100), F.lit(bins - 1))).cast("bigint")
 
 
+def _windows(pieces_: DataFrame, size: int, letters: str, bins: int) -> DataFrame:
+    """(id, win, len, gc, at, masked, bin) of windows of pieces (id, start, seq, m): letters are counted in each piece, and a window over several is put together.
+    masked: unknown letters, and positions in intervals of m (a list of s and e)."""
+    counted = ["len", "gc", "at", "masked"]
+
+    def run(batches):
+        for b in batches:
+            for i, raw, at in letter_stretches(b.column(2)):
+                start = b.column(1).to_numpy()[i : i + len(at) - 1]
+                who, win, begin = _window_parts(start, at, size)
+                hidden = _any_of(raw, letters) | _inside(b.column(3).slice(i, len(start)), start, at)
+                each = [np.add.reduceat(x, begin, dtype=np.int32) for x in (_any_of(raw, "gcGC"), _any_of(raw, "atAT"), hidden)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + who)), pa.array(win.astype(np.int32)), pa.array(np.diff(np.r_[begin, len(raw)]).astype(np.int32)), *map(pa.array, each)], ["id", "win", *counted])
+
+    ship(pieces_.sparkSession)
+    d = pieces_.where("length(seq) > 0").select("id", F.col("start").cast("bigint").alias("start"), "seq", "m")
+    d = d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, win int, len int, gc int, at int, masked int")
+    d = d.groupBy("id", "win").agg(*(F.sum(c).cast("int").alias(c) for c in counted))
+    return d.withColumn("bin", gc_bin(F.col("gc"), F.col("at"), bins))
+
+
+def _any_of(raw: np.ndarray, letters: str) -> np.ndarray:
+    hit = np.zeros(len(raw), bool)
+    for c in set(letters):
+        hit |= raw == ord(c)
+    return hit
+
+
+def _window_parts(start: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, window, begin) of the parts that windows cut pieces into, of which none is empty; a piece begins at position `start` of its sequence, and at `at`."""
+    first = (start - 1) // size
+    n = (start + np.diff(at) - 2) // size - first + 1
+    who = np.repeat(np.arange(len(start)), n)
+    win = first[who] + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+    return who, win, at[who] + np.maximum(win * size + 1 - start[who], 0)
+
+
+def _inside(lists: pa.Array, start: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which letters of pieces lie in the intervals of their lists; null: none."""
+    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    step = np.zeros(int(at[-1]) + 1, np.int32)
+    if n.sum():
+        s, e = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+        who = np.repeat(np.arange(len(start)), n)
+        s, e = np.maximum(s, start[who]), np.minimum(e, start[who] + np.diff(at)[who] - 1)
+        s, e, who = (x[s <= e] for x in (s, e, who))
+        np.add.at(step, at[who] + s - start[who], 1)
+        np.add.at(step, at[who] + e - start[who] + 1, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+_LIST = "array<struct<s:bigint,e:bigint>>"
+
+
 def gc_windows(seqs: DataFrame, size: int = 500, bins: int = 50) -> DataFrame:
     """(id, win, len, gc, at, bin) of consecutive windows of each sequence; the last may be shorter. seqs: (id, seq), or pieces (id, start, seq)."""
+    return _windows(sequence_pieces(seqs).withColumn("m", F.lit(None).cast(_LIST)), size, "", bins).drop("masked")
+
+
+def masked_windows(seqs: DataFrame, masks: DataFrame, size: int = 500, bins: int = 50, letters: str = "nN") -> DataFrame:
+    """gc_windows with masked: how many positions of a window are unknown letters or lie in masks (chr, start, end), which may overlap.
+
+    Masks go to the pieces of the sequences that they reach, so that runs of unknown letters, of which a sequence may have as many as it has other letters, are
+    never rows.
+    """
+    width = size * max(1, BIN // size)
+    p = sequence_pieces(seqs, width)
     if "start" in seqs.columns:
         end = F.col("start") + F.length("seq") - 1
-        d = seqs.withColumn("win", F.explode(F.sequence(F.floor((F.col("start") - 1) / size), F.floor((end - 1) / size))))
-        first = F.greatest(F.col("win") * size + 1, F.col("start"))
-        s = F.substring("seq", (first - F.col("start") + 1).cast("int"), (F.least((F.col("win") + 1) * size, end) - first + 1).cast("int"))
-        d = d.select("id", F.col("win").cast("int").alias("win"), s.alias("s"))
+        p = p.where("length(seq) > 0").withColumn("_bin", F.explode(F.sequence(F.floor((F.col("start") - 1) / width), F.floor((end - 1) / width))))
+        first = F.greatest(F.col("_bin") * width + 1, F.col("start"))
+        s = F.substring("seq", (first - F.col("start") + 1).cast("int"), (F.least((F.col("_bin") + 1) * width, end) - first + 1).cast("int"))
+        p = p.select("id", first.alias("start"), s.alias("seq"), "_bin")
     else:
-        d = seqs.select("id", F.posexplode(pieces(F.col("seq"), size)).alias("win", "s"))
-    d = d.select("id", "win", F.length("s").alias("len"), count_letters(F.col("s"), "gcGC").alias("gc"), count_letters(F.col("s"), "atAT").alias("at"))
-    if "start" in seqs.columns:
-        d = d.groupBy("id", "win").agg(*(F.sum(c).cast("int").alias(c) for c in ("len", "gc", "at")))
-    return d.withColumn("bin", gc_bin(F.col("gc"), F.col("at"), bins))
+        p = p.withColumn("_bin", F.floor((F.col("start") - 1) / width))
+    return _windows(p.join(_parts_of(masks, width, "_bin"), ["id", "_bin"], "left"), size, letters, bins)
+
+
+def _parts_of(masks: DataFrame, width: int, name: str) -> DataFrame:
+    """(id, bin, m): the parts of masks (chr, start, end) in each bin of `width` positions that they reach, from the first on; a column `name` has the bin."""
+    bin_ = F.col(name)
+    d = masks.where("start <= end and end >= 1").select("chr", "start", "end", F.explode(F.sequence(F.floor((F.greatest("start", F.lit(1)) - 1) / width), F.floor((F.col("end") - 1) / width))).alias(name))
+    part = F.struct(F.greatest("start", bin_ * width + 1).cast("bigint").alias("s"), F.least("end", (bin_ + 1) * width).cast("bigint").alias("e"))
+    return d.groupBy(F.col("chr").alias("id"), name).agg(F.array_sort(F.collect_set(part)).alias("m"))
+
+
+def unmasked(windows: DataFrame, masks: DataFrame, size: int = 500) -> DataFrame:
+    """The windows (id, win, len, ...) that no mask (chr, start, end) touches; masks are put in windows, the last of which may end before a mask begins."""
+    win = F.explode(F.sequence(F.floor((F.greatest("start", F.lit(1)) - 1) / size), F.floor((F.col("end") - 1) / size)))
+    m = masks.where("start <= end and end >= 1").select(F.col("chr").alias("_chr"), "start", win.alias("_win"))
+    m = m.groupBy("_chr", "_win").agg(F.min("start").alias("_first"))
+    return windows.join(m, (windows["id"] == m["_chr"]) & (windows["win"] == m["_win"]) & (F.col("_first") <= F.col("win").cast("bigint") * size + F.col("len")), "left_anti")
+
+
+def expected_in_windows(windows: DataFrame, lam: DataFrame) -> DataFrame:
+    """(id, positions, known, expected) of sequences by their windows (id, win, len, bin, masked): positions, those with an expected depth, and the sum of it. lam:
+    (bin, lam) of every bin. Masked positions, and those of windows without a known letter, have none."""
+    open_ = F.col("len") - F.col("masked")
+    d = windows.join(F.broadcast(lam), "bin", "left").groupBy("id")
+    return d.agg(F.sum("len").alias("positions"), F.sum(F.when(F.col("lam").isNotNull(), open_).otherwise(0)).alias("known"), F.sum(F.when(open_ > 0, F.col("lam").cast("decimal(18,6)") * open_)).cast("double").alias("expected"))
 
 
 def window_intervals(windows: DataFrame, size: int = 500) -> DataFrame:
@@ -123,10 +209,11 @@ def position_lambda(windows: DataFrame, masks: DataFrame, lam: DataFrame, size:
     windows: (id, win, len, bin); masks: (chr, start, end), unknown letters included; lam: (bin, lam) of every bin, a row for each. Masked positions,
     and those of windows without a known letter, have no expected depth.
     """
-    w = window_intervals(windows, size).select("chr", "start", "end", "bin").join(F.broadcast(lam), "bin", "left").select("chr", "start", "end", "lam")
-    hit = overlap_join(w.select("chr", "start", "end"), merge(masks, 1))
-    hit = hit.groupBy("chr", "start", "end").agg(F.array_sort(F.collect_list(F.struct(F.greatest("start", "r_start").alias("s"), F.least("end", "r_end").alias("e")))).alias("m"))
-    d = w.join(hit, ["chr", "start", "end"], "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<s:bigint,e:bigint>>")))
+    w = window_intervals(windows, size).select("chr", "win", "start", "end", "bin").join(F.broadcast(lam), "bin", "left")
+    hit = _parts_of(merge(masks, 1), size, "win").select(F.col("id").alias("chr"), F.col("win").cast("int").alias("win"), "m")
+    # a mask may reach beyond the end of the last window
+    m = F.filter(F.transform("m", lambda x: F.struct(x["s"].alias("s"), F.least(x["e"], "end").alias("e"))), lambda x: x["s"] <= x["e"])
+    d = w.join(hit, ["chr", "win"], "left").withColumn("m", F.coalesce(m, F.array().cast(_LIST)))
     open_ = F.arrays_zip(F.concat(F.array("start"), F.transform("m", lambda x: x["e"] + 1)).alias("s"), F.concat(F.transform("m", lambda x: x["s"] - 1), F.array("end")).alias("e"))
     own = F.transform(F.filter(open_, lambda x: x["s"] <= x["e"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.col("lam").alias("lam")))
     none = F.transform("m", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(None).cast("double").alias("lam")))

@@ -174,3 +174,44 @@ def test_many_runs_in_a_piece(spark):
     began = time.monotonic()
     got = de.letter_runs(d).agg(F.count(F.lit(1)), F.max("end")).first()
     assert tuple(got) == (200_000, 399_999) and time.monotonic() - began < 60
+
+
+def _brute_windows(seqs, masks, size):
+    out = []
+    for k, s in seqs.items():
+        hidden = {p for c, a, z in masks if c == k for p in range(a, z + 1)}
+        for w in range(-(-len(s) // size)):
+            part = [(p, s[p - 1]) for p in range(w * size + 1, min(len(s), (w + 1) * size) + 1)]
+            out.append((k, w, len(part), sum(c in "gcGC" for _, c in part), sum(c in "atAT" for _, c in part), sum(c in "nN" or p in hidden for p, c in part)))
+    return sorted(out)
+
+
+def test_masked_windows(spark):
+    """Windows over whole sequences and pieces of any length, with letters of several bytes, and masks that overlap, reach over windows and beyond both ends."""
+    rng = random.Random(8)
+    seqs = {k: "".join(rng.choice("acgtnNGé ") for _ in range(rng.choice([1, 4, 5, 6, 700, 40_000]))) for k in range(12)} | {12: "", 13: "n" * 11}
+    masks = [(rng.randrange(16), a := rng.randint(-20, 900), a + rng.choice([-1, 0, 3, 30, 50_000])) for _ in range(40)]
+    whole = spark.createDataFrame(list(seqs.items()), "id long, seq string")
+    cut = spark.createDataFrame([(k, a + 1, s[a : a + 7001]) for k, s in seqs.items() for a in range(0, len(s), 7001)], "id long, start long, seq string")
+    m = spark.createDataFrame(masks, "chr long, start long, end long")
+    for size in (5, 500):
+        want = _brute_windows(seqs, masks, size)
+        for d in (whole, cut):
+            got = de.masked_windows(d, m, size)
+            assert sorted((r.id, r.win, r.len, r.gc, r.at, r.masked) for r in got.collect()) == want
+        assert sorted((r.id, r.win, r.len, r.gc, r["at"]) for r in de.gc_windows(cut, size).collect()) == [r[:5] for r in want]
+        known = {k: s.replace("n", "a").replace("N", "a") for k, s in seqs.items()}
+        assert sorted((r.id, r.win) for r in de.unmasked(de.gc_windows(whole, size), m, size).collect()) == [r[:2] for r in _brute_windows(known, masks, size) if not r[5]]
+    # the stretches of position_lambda say the same as the windows' sums
+    lam = spark.createDataFrame([(b, 0.25 + b) for b in range(50)], "bin long, lam double")
+    runs = de.position_lambda(de.gc_windows(whole), m.where("start <= end").unionByName(de.letter_runs(whole).withColumnRenamed("id", "chr")), lam).withColumn("n", F.col("end") - F.col("start") + 1)
+    by = runs.groupBy(F.col("chr").alias("id")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("lam").isNotNull(), F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("lam").cast("decimal(18,6)") * F.col("n")).cast("double").alias("x"))
+    assert sorted(map(tuple, by.collect())) == sorted(map(tuple, de.expected_in_windows(de.masked_windows(whole, m), lam).collect()))
+
+
+def test_masked_windows_make_no_rows_of_runs(spark, monkeypatch):
+    from genoflux.plans import catalogue
+
+    monkeypatch.setattr(de, "letter_runs", None)
+    for name in ("gc_bin_lambda_of_clean_windows", "expected_depth"):
+        assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count()
