@@ -14,7 +14,10 @@ from pyspark.sql.window import Window as W
 from genoflux.scratch import materialise
 from genoflux.shipping import ship
 
-from .components import in_blocks
+from .components import SHARES, in_blocks
+
+#: Calls that SHARES calls of the smoothing function get together.
+AT_ONCE = 200_000
 
 
 def clamp(x: Column) -> Column:
@@ -220,22 +223,20 @@ def smooth_calls(calls: DataFrame, forgiveness: float = 5.0, least: int = 1000,
     counted in slices of a chromosome first; calls of no sign stay as they are.
     """
     d = calls.select("chr", "start", "end", F.col("call").cast("double").alias("call"))
-    d = sign_islands(d, "chr", "start", ("start", "end", "call"), "call", width)
+    d = materialise(sign_islands(d, "chr", "start", ("start", "end", "call"), "call", width), "islands")
+    cols = ["chr", "start", "end", "call"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["island", "start", "end", "call"], kind="stable")
+        p = pdf.sort_values(["chr", "island", "start", "end", "call"], kind="stable")
         out = []
-        for _, rows in groupby(zip(p["island"], p["start"], p["end"], p["call"]), key=lambda r: r[0]):
-            out += smooth_island([r[1:] for r in rows], forgiveness)
-        out = pd.DataFrame(out, columns=["start", "end", "call"])
-        out.insert(0, "chr", pdf["chr"].iloc[0])
-        return out
+        for (c, _), rows in groupby(zip(p["chr"], p["island"], p["start"], p["end"], p["call"]), key=lambda r: r[:2]):
+            out += [(c, *x) for x in smooth_island([r[2:] for r in rows], forgiveness)]
+        return pd.DataFrame(out, columns=cols)
 
     ship(calls.sparkSession)
-    cols = ["chr", "start", "end", "call"]
-    # islands are small and many: a call of the function takes some thousand of them
-    block = F.floor(F.col("island") / 4096).alias("block")
-    done = d.where("_way <> 0").select(*cols, "island", block).groupBy("chr", "block").applyInPandas(run, "chr string, start long, end long, call double")
+    # islands are small and many, and so may be chromosomes: a call of the function takes some thousand calls, of whatever islands
+    block = F.pmod(F.xxhash64("chr", "island"), F.lit(max(1, d.count() // AT_ONCE) * SHARES)).alias("block")
+    done = d.where("_way <> 0").select(*cols, "island", block).groupBy("block").applyInPandas(run, "chr string, start long, end long, call double")
     return done.unionByName(d.where("_way = 0").select(*cols)).where(F.col("end") - F.col("start") >= least)
 
 

@@ -6,13 +6,14 @@ import heapq
 import math
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genoflux.shipping import ship
 
-from .components import components
+from .components import SHARES, components
 from .flow_kernel import solve_network
 
 #: Cost of no flow at all.
@@ -114,6 +115,8 @@ def node_arcs(of: DataFrame, nodes: int) -> DataFrame:
     return of.select("*", F.explode(both).alias("_x")).select(*of.columns, "_x.*", whole(0, "low"), whole(FREE_CAP, "cap"), whole(0, "cost"))
 
 
+#: Arcs that SHARES calls of the solver get together.
+BLOCK = 200_000
 #: In the ids of a network's arcs: images of an arc, numbers of its segments (from 1000 on those back), and where arcs of nodes begin.
 _SEGMENTS, _BACK, _NODES = 4096, 1000, 1 << 61
 
@@ -275,31 +278,45 @@ def solve(arcs: DataFrame, supply: DataFrame | None = None, at_once: int = 200_0
         none = [F.lit(0).cast("bigint").alias(c) for c in ("cap", "cost", "flow", "tail_price", "head_price")]
         cols = ["net", F.lit(-1).cast("bigint").alias("arc_id"), F.col("node").alias("tail"), F.lit(0).cast("bigint").alias("head"), F.col("excess").alias("low"), *none]
         both = both.unionByName(supply.select(*cols))
-    large = [r["net"] for r in arcs.groupBy("net").count().where(F.col("count") > at_once).select("net").collect()] if at_once else None  # as many as nets of that size
-    if large is None or large:
+    sizes = arcs.groupBy("net").count()
+    n, most = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    large = [r["net"] for r in sizes.where(F.col("count") > at_once).select("net").collect()] if at_once and most > at_once else []  # as many as nets of that size
+    if large or not at_once:
         node = lambda c: F.xxhash64("net", c)
-        joined = arcs if large is None else arcs.where(F.col("net").isin(large))
+        joined = arcs.where(F.col("net").isin(large)) if at_once else arcs
         found = components(joined.select(node("tail").alias("a"), node("head").alias("b")))
         both = both.withColumn("_node", node("tail")).join(found.select(F.col("node").alias("_node"), "component"), "_node", "left").drop("_node")
+        both = both.withColumn("component", F.coalesce("component", F.lit(0).cast("bigint")))
     else:
-        both = both.withColumn("component", F.lit(None).cast("bigint"))
+        both = both.withColumn("component", F.lit(0).cast("bigint"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf[pdf["arc_id"] < 0]
-        a = pdf[pdf["arc_id"] >= 0].sort_values("arc_id", kind="stable").drop(columns="component")
-        names = sorted({*a["tail"], *a["head"], *s["tail"]})
-        index = {v: i for i, v in enumerate(names)}
-        rows = [(index[t], index[h], lo, c, w) for t, h, lo, c, w in zip(*(a[x].tolist() for x in ("tail", "head", "low", "cap", "cost")))]
-        given = {index[v]: int(x) for v, x in zip(s["tail"], s["low"])}
-        if again:
-            old = {index[v]: int(x) for end in ("tail", "head") for v, x in zip(a[end], a[f"{end}_price"])}
-            flows, price = min_cost_flow(len(names), rows, given, ([int(f) for f in a["flow"]], old))
-        else:
-            flows, price = solve_network(len(names), rows, given, min_cost_flow)
-        return a.assign(flow=flows, tail_price=[price[r[0]] for r in rows], head_price=[price[r[1]] for r in rows])
+        # many small nets come in one call: a call for each costs more than to solve it
+        d = pdf.sort_values(["net", "component", "arc_id"], kind="stable")
+        net, component = d["net"].to_numpy(), d["component"].to_numpy()
+        first = np.flatnonzero(np.r_[True, (net[1:] != net[:-1]) | (component[1:] != component[:-1])])
+        columns = [d[c].tolist() for c in ("arc_id", "tail", "head", "low", "cap", "cost", "flow", "tail_price", "head_price")]
+        flows, tails, heads = [], [], []
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(d)]):
+            ids, tail, head, low, cap, cost, old, p, q = (c[i:j] for c in columns)
+            k = sum(x < 0 for x in ids)  # supplies come first
+            names = sorted({*tail, *head[k:]})
+            index = {v: i for i, v in enumerate(names)}
+            rows = [(index[t], index[h], lo, c, w) for t, h, lo, c, w in zip(tail[k:], head[k:], low[k:], cap[k:], cost[k:])]
+            given = {index[v]: x for v, x in zip(tail[:k], low[:k])}
+            if again:
+                prices = {index[v]: x for ends, at in ((tail, p), (head, q)) for v, x in zip(ends[k:], at[k:])}
+                flow, price = min_cost_flow(len(names), rows, given, (old[k:], prices))
+            else:
+                flow, price = solve_network(len(names), rows, given, min_cost_flow)
+            flows += flow
+            tails += [price[r[0]] for r in rows]
+            heads += [price[r[1]] for r in rows]
+        return d[d["arc_id"] >= 0].drop(columns=["component", "block"]).assign(flow=flows, tail_price=tails, head_price=heads)
 
     ship(arcs.sparkSession)
-    return both.groupBy("net", "component").applyInPandas(run, "net string, arc_id long, tail long, head long, low long, cap long, cost long, flow long, tail_price long, head_price long")
+    both = both.withColumn("block", F.pmod(F.xxhash64("net", "component"), F.lit(max(1, n // BLOCK) * SHARES)))
+    return both.groupBy("block").applyInPandas(run, "net string, arc_id long, tail long, head long, low long, cap long, cost long, flow long, tail_price long, head_price long")
 
 
 def imbalance(flows: DataFrame) -> DataFrame:

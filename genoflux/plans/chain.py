@@ -68,7 +68,7 @@ def expected_runs(stages: Stages, cov: DataFrame, masks: DataFrame, seqs: DataFr
     windows = stages.table("windows", lambda: de.gc_windows(seqs, o.window, o.bins))
 
     def bins() -> DataFrame:
-        clean = iv.overlap_anti(de.window_intervals(windows, o.window).select("id", "win", "chr", "start", "end", "len", "bin"), masks)
+        clean = de.unmasked(windows, masks, o.window)
         own = cov.withColumn("win", F.floor((F.col("pos") - 1) / o.window).cast("int")).groupBy(F.col("chr").alias("id"), "win").agg(F.sum("cov").alias("hits"))
         return de.bin_lambda(clean.join(own, ["id", "win"], "left").withColumn("hits", F.coalesce("hits", F.lit(0.0))))
 
@@ -161,7 +161,8 @@ def run_chain(
     """
     o = options or Options()
     s = Stages(spark, folder)
-    seqs = de.sequence_pieces(seqs)
+    pieces = de.sequence_pieces(seqs)
+    seqs = s.table("sequences", lambda: pieces)  # read four times, where making the letters may cost more than to read them
     lengths = s.table("lengths", lambda: seqs.groupBy(F.col("id").alias("chr")).agg(F.max(F.col("start") + F.length("seq") - 1).cast("bigint").alias("length")))
     cov = s.table("coverage", lambda: rd.coverage(maps.join(lengths.select(F.col("chr").alias("ref_name")), "ref_name", "left_semi")).select(F.col("ref_name").alias("chr"), F.col("ref_pos").alias("pos"), "cov"))
 

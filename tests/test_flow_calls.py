@@ -95,3 +95,18 @@ def test_self_loops(spark):
     a = spark.createDataFrame([(1, 5, 5, 30, 100), (2, 5, 6, 30, 100), (3, 6, 6, 0, 100), (4, -7, -7, 9, 0), (5, 8, 8, 25, 100)], "arc_id long, from long, to long, hits long, len long")
     assert sorted(tuple(r) for r in fl.self_loops(a, 10.0).collect()) == [(1, 6), (3, 2), (4, 2), (5, 6)]
     assert {r.flow for r in fl.self_loops(a, 0.0).collect()} == {2}
+
+
+def test_many_nets_in_few_calls(spark):
+    """A call for each of many small nets costs more than to solve them; nets and supplies of a call stay apart."""
+    rows = [(f"n{k}", a, *x) for k in range(300) for a, x in enumerate([(1, 2, 0, 5, k % 3), (1, 2, 0, 5, 1), (2, 1, 0, 9, 0)])]
+    arcs = spark.createDataFrame(rows, "net string, arc_id long, tail long, head long, low long, cap long, cost long")
+    supply = spark.createDataFrame([(f"n{k}", v, x) for k in range(0, 300, 2) for v, x in ((1, k % 7), (2, -(k % 7)))], "net string, node long, excess long")
+    solved = fl.solve(arcs, supply)
+    assert "block" in solved._jdf.queryExecution().analyzed().toString()
+    got = {(r.net, r.arc_id): r.flow for r in solved.collect()}
+    for k in range(300):
+        x = k % 7 if k % 2 == 0 else 0
+        least = min(k % 3 * y + (x - y) for y in range(max(0, x - 5), min(5, x) + 1))
+        assert sum(got[f"n{k}", a] * c for a, c in ((0, k % 3), (1, 1))) == least and got[f"n{k}", 0] + got[f"n{k}", 1] - got[f"n{k}", 2] == x
+    assert len(got) == 900 and fl.violations(solved).count() == 0
