@@ -188,10 +188,11 @@ def signed_arcs(arcs: DataFrame) -> DataFrame:
 
 
 class _Signed:
-    """Union-find with a sign on every link."""
+    """Union-find with a sign on every link. Members of a root in `both` are tied to it by either sign."""
 
     def __init__(self):
         self.up: dict = {}
+        self.both: set = set()
 
     def find(self, x):
         path, sign = [], 1
@@ -207,6 +208,8 @@ class _Signed:
         (ra, sa), (rb, sb) = self.find(a), self.find(b)
         if ra != rb:
             self.up[max(ra, rb)] = (min(ra, rb), sa * sb * sign)
+        if (ra == rb and sa * sb * sign < 0) or ra in self.both or rb in self.both:
+            self.both.add(min(ra, rb))
 
 
 def classes(rows: list[tuple[int, int, int, str]]) -> list[tuple[tuple[int, int], int, int, str]]:
@@ -214,7 +217,8 @@ def classes(rows: list[tuple[int, int, int, str]]) -> list[tuple[tuple[int, int]
 
     First all cuts: an end of one position inside another is a cut of that one, which its edge hands on to the
     edge's other positions, mirrored on the other strand, until nothing new comes; each cut is looked at once. Then pieces of one place, or at one place of an edge,
-    are one class by signed union. Works as a closure of cuts and so needs no order of splitting.
+    are one class by signed union; a class
+    that is tied to itself turned round is on the + strand as a whole. Works as a closure of cuts and so needs no order of splitting.
     """
     edges = defaultdict(list)
     for e, s, t, strand in rows:
@@ -254,7 +258,7 @@ def classes(rows: list[tuple[int, int, int, str]]) -> list[tuple[tuple[int, int]
     out = []
     for piece in sorted(same.up):
         root, sign = same.find(piece)
-        out.append((root, *piece, "+" if sign > 0 else "-"))
+        out.append((root, *piece, "+" if sign > 0 or root in same.both else "-"))
     return out
 
 

@@ -110,3 +110,15 @@ def test_many_nets_in_few_calls(spark):
         least = min(k % 3 * y + (x - y) for y in range(max(0, x - 5), min(5, x) + 1))
         assert sum(got[f"n{k}", a] * c for a, c in ((0, k % 3), (1, 1))) == least and got[f"n{k}", 0] + got[f"n{k}", 1] - got[f"n{k}", 2] == x
     assert len(got) == 900 and fl.violations(solved).count() == 0
+
+
+def test_class_tied_to_itself_turned_round():
+    from genoflux.operators import graph as gr
+
+    turned = [(2, 10, 29, "+"), (2, 50, 69, "-")]
+    assert gr.refine(turned) == [(0, 10, 29, "+"), (0, 50, 69, "-")]
+    either = [(0, 10, 29, "+"), (0, 50, 69, "+")]
+    assert gr.refine([*turned, (3, 10, 29, "+"), (3, 50, 69, "+")]) == either
+    # found in one of two classes before they are joined
+    more = [(5, 110, 129, "+"), (5, 150, 169, "-"), (6, 110, 129, "+"), (6, 150, 169, "+"), (7, 10, 29, "+"), (7, 110, 129, "-")]
+    assert gr.refine([*turned, *more]) == [*either, (0, 110, 129, "+"), (0, 150, 169, "+")]
