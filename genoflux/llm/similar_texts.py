@@ -7,6 +7,9 @@ with 95 % chance. In each table all values within half the radius of a fingerpri
 tried with their neighbours and with the first two. Of the pairs that agree in 64 other bits a bucket passes on the nearest of each text and a
 spanning forest, nearest first, so that a large group of near copies makes some four links for each member. These are
 compared by their whole signatures, and those that stay by the shingles themselves.
+
+Where a bucket has passed on less than all pairs its members are marked, and marked texts that links of such pairs tie together but that are
+not in one group are compared in full, by their shingles, block by block.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from genoflux.operators.components import components
 
@@ -31,6 +35,8 @@ MISSED, ERRORS = 0.05, 2.5
 FEW, TURNS, NEXT, NEAREST = 16, 4, 4, 3
 #: Overlap of texts that agree so well in 64 bits that they are hardly less alike.
 CLEAR = 0.95
+#: Shingles of a block of texts that are compared with one another, and with those of another block, in one task.
+GRAMS = 1 << 19
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -94,12 +100,13 @@ def _signed(words: int, longs: int, keep: list[str]):
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, keep: list[str]):
     def run(batches):
         import xxhash
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(_texts(b, lambda t: shingles(t, words, xxhash.xxh64_intdigest)))], ["node", "grams"])
+            grams = _texts(b, lambda t: shingles(t, words, xxhash.xxh64_intdigest))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in keep), _lists(grams)], [*keep, "grams"])
         release()
 
     return run
@@ -208,8 +215,45 @@ def _tried(found: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return np.stack([code // max(1, n), code % max(1, n)], axis=1)
 
 
+def _crowded(v: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Links (first * n + second) from the first maker of a value that has many to each of them: not all pairs of these are tried."""
+    at = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    size = np.diff(np.r_[at, len(v)])
+    many = size > FEW
+    lead, m = np.repeat(w[at[many]], size[many]), w[np.repeat(many, size)]
+    return np.unique(np.minimum(lead, m) * n + np.maximum(lead, m))
+
+
+def _tied(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of 0..n-1 the least that each reaches over links a, b."""
+    label = np.arange(n)
+    while True:
+        least, new = np.minimum(label[a], label[b]), label.copy()
+        for side in (a, b):
+            np.minimum.at(new, label[side], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _marked(found: np.ndarray, kept: np.ndarray, crowd: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs that go on (kept, two columns) tie members of which some pair doesn't, and links that tie together what else has met at crowded
+    values: any pair that doesn't go on has its texts tied by marked pairs and these links. found, crowd: first * n + second."""
+    label = _tied(kept[:, 0], kept[:, 1], n)
+    x, y = crowd // max(1, n), crowd % max(1, n)
+    gone = np.setdiff1d(found, kept[:, 0] * n + kept[:, 1])
+    less = np.zeros(n, bool)
+    less[label[np.concatenate([x, y, gone // max(1, n)])]] = True
+    _, one = np.unique(np.minimum(label[x], label[y]) * n + np.maximum(label[x], label[y]), return_index=True)
+    one = one[label[x[one]] != label[y[one]]]
+    return less[label[kept[:, 0]]], np.stack([x[one], y[one]], axis=1)
+
+
 def _pairs(bits: int, half: int, key_bits: int, similarity: float):
-    """Pairs of a bucket that go on: of those tried at its values, the nearest of each fingerprint and a forest."""
+    """Pairs of a bucket that go on: of those tried at its values, the nearest of each fingerprint and a forest; with links (not tried) of texts that have met, and
+    marks (less) as `_marked` gives them."""
 
     def run(key, table):
         columns = [[], [], []]
@@ -221,12 +265,18 @@ def _pairs(bits: int, half: int, key_bits: int, similarity: float):
         nodes = nodes.view(np.int64)
         order = np.argsort(nodes)
         nodes, f, rest = nodes[order], f[order], rest[order]
-        found = [np.zeros(0, np.int64)]
+        found, crowd = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for v, w, _ in (_colliding(*x) for x in _values(f, key_bits, int(key[0].as_py()) & ((1 << key_bits) - 1), half, bits)):
             if len(v):
                 found.append(_near(*_neighbours(v, w, rest), rest, similarity))
-        kept = _tried(np.unique(np.concatenate(found)), rest)
-        return pa.table({"a": pa.array(nodes[kept[:, 0]], pa.int64()), "b": pa.array(nodes[kept[:, 1]], pa.int64())})
+                crowd.append(_crowded(v, w, len(rest)))
+        found, crowd = (np.unique(np.concatenate(x)) for x in (found, crowd))
+        kept = _tried(found, rest)
+        less, links = _marked(found, kept, crowd, len(rest))
+        both = np.concatenate([kept, links])
+        tried = np.arange(len(both)) < len(kept)
+        less = np.concatenate([less, np.ones(len(links), bool)])
+        return pa.table({"a": pa.array(nodes[both[:, 0]], pa.int64()), "b": pa.array(nodes[both[:, 1]], pa.int64()), "tried": pa.array(tried), "less": pa.array(less)})
 
     return run
 
@@ -251,28 +301,113 @@ def _row(name: str) -> list[Column]:
     return [F.col(f"{name}.{c}").alias(k) for c, k in zip(("none", "id", "_h1", "_h2"), _KEYS)]
 
 
-def similar_links(texts: DataFrame, nodes: DataFrame, words: int, similarity: float, bits: int, half: int, tables: int) -> DataFrame:
-    """Links (a, b) between nodes (node, row, sig) whose texts overlap by `similarity` at least; texts has those rows."""
+def _gram_sets(texts: DataFrame, nodes: DataFrame, met: DataFrame, words: int, tag: str) -> DataFrame:
+    """Rows of met (node, further numbers) with the shingles of their texts."""
+    keep = met.columns
+    met = materialise(met.join(nodes.select("node", *_row("row")), "node"), f"{tag}-met")
+    # each text comes from one row, so that copies don't meet here
+    whole = _keyed(texts.select("doc_id", "text")).select(*_KEYS, F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(met, _KEYS).dropDuplicates(_KEYS)
+    return materialise(whole.select(*keep, "text").mapInArrow(_sets(words, keep), f"{', '.join(f'{k} long' for k in keep)}, grams array<long>"), f"{tag}-grams")
+
+
+def similar_links(texts: DataFrame, nodes: DataFrame, words: int, similarity: float, bits: int, half: int, tables: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between nodes (node, row, sig) whose texts overlap by `similarity` at least, and links of nodes that met and of which not all
+    pairs were compared, for `rest_links`; texts has those rows."""
     n, key_bits = nodes.count(), 4
     while key_bits < bits - 2 and n * sum(comb(key_bits, k) for k in range(half + 1)) > PER_BUCKET << key_bits:
         key_bits += 1
     longs = -(-bits * tables // 64)
     sent = nodes.select("node", "sig").mapInArrow(_sent(bits, half, tables, key_bits, longs), _CELLS)
-    pairs = sent.groupBy("cell").applyInArrow(_pairs(bits, half, key_bits, similarity), "a long, b long").distinct()
+    met = sent.groupBy("cell").applyInArrow(_pairs(bits, half, key_bits, similarity), "a long, b long, tried boolean, less boolean")
+    met = materialise(met.groupBy("a", "b").agg(F.max("tried").alias("tried"), F.max("less").alias("less")), "similar-tried")
+    pairs = met.where("tried").select("a", "b")
     p = apart(similarity)
     most = int(64 * longs * (p + ERRORS * sqrt(p * (1 - p) / (64 * longs))))
     sig = nodes.select("node", "sig")
     pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
     off = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     pairs = materialise(pairs.where(off <= most).select("a", "b"), "similar-pairs")
-    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    met = materialise(met.join(nodes.select("node", *_row("row")), "node"), "similar-met")
-    # each text comes from one row, so that copies don't meet here
-    whole = _keyed(texts.select("doc_id", "text")).select(*_KEYS, F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(met, _KEYS).dropDuplicates(_KEYS)
-    grams = materialise(whole.select("node", "text").mapInArrow(_sets(words), "node long, grams array<long>"), "similar-grams")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    grams = _gram_sets(texts, nodes, ends, words, "similar")
     both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
-    return both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
+    return both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared)).select("a", "b"), met.where("less").select("a", "b")
+
+
+def _all_pairs(similarity: float):
+    """Links of groups, as few as join them, of a pair of blocks: each text of the one against those of the other of its cluster, or of its own block."""
+
+    def run(key, table):
+        i, j = (k.as_py() for k in key)
+        table = table.sort_by([("cluster", "ascending"), ("block", "ascending"), ("component", "ascending")])
+        cluster, block, group = (table.column(c).to_numpy() for c in ("cluster", "block", "component"))
+        grams = table.column("grams").combine_chunks()
+        size = grams.value_lengths().to_numpy()
+        _, g, held = np.unique(grams.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        twice = held[g] > 1  # what one text has is shared by no pair
+        at = np.r_[0, np.cumsum(twice)][np.r_[0, np.cumsum(size, dtype=np.int64)]]
+        g = g[twice]
+        mark = np.zeros(len(held), np.uint8)
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        links = []
+        edges = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1], True])
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            second = lo + int(np.searchsorted(block[lo:hi], j)) if i != j else lo
+            for x in range(lo, second if i != j else hi):
+                y = second if i != j else x + 1
+                if not (group[y:hi] != group[x]).any():
+                    continue
+                own = g[at[x] : at[x + 1]]
+                mark[own] = 1
+                shared = np.r_[0, np.cumsum(mark[g[at[y] : at[hi]]], dtype=np.int64)]
+                mark[own] = 0
+                shared = shared[at[y + 1 : hi + 1] - at[y]] - shared[at[y:hi] - at[y]]
+                for c in np.unique(group[y:hi][shared >= similarity * (size[x] + size[y:hi] - shared)]).tolist():
+                    a, b = find(int(group[x])), find(c)
+                    if a != b:
+                        up[max(a, b)] = min(a, b)
+                        links.append((int(group[x]), c))
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def rest_links(texts: DataFrame, nodes: DataFrame, met: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame | None:
+    """Links (a, b) between groups (node, component; a node without a row there is its own) that join all those with similar texts among the nodes that
+    links of met (a, b) tie together; None if met ties no groups.
+
+    Nodes lie in the order of clusters (groups tied together) and groups, cut into blocks of GRAMS shingles. Each pair of blocks that a cluster reaches is
+    one call, but for blocks inside one group. That is all pairs across the groups of a cluster: its square in time, two blocks in memory.
+    """
+    of = lambda d, n, c: d.join(groups.select(F.col("node").alias(n), F.col("component").alias(c)), n, "left").withColumn(c, F.coalesce(c, n))
+    met = of(of(met, "a", "ca"), "b", "cb")
+    tied = materialise(met.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "similar-open")
+    if tied.isEmpty():
+        return None
+    clusters = components(tied).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    ends = met.select(F.col("a").alias("node"), F.col("ca").alias("component")).unionByName(met.select(F.col("b").alias("node"), F.col("cb").alias("component"))).distinct()
+    grams = _gram_sets(texts, nodes, ends.join(clusters, "component").select("node", "component", "cluster"), words, "similar-rest")
+    order = ["cluster", "component", "node"]
+    d = grams.select(*order, F.size("grams").cast("long").alias("n")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    d = materialise(d.withColumn("task", F.shiftright("at", 33)), "similar-rest-order")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = d.groupBy("task").agg(F.sum("n").alias("n")).select("task", before(W.orderBy("task")).alias("start"))  # a row a task
+    d = d.withColumn("inside", before(W.partitionBy("task").orderBy("at"))).join(F.broadcast(start), "task")
+    d = d.select(*order, F.floor((F.col("start") + F.col("inside")) / GRAMS).alias("block"))
+    span = lambda by: d.groupBy(by).agg(F.min("block").alias(f"{by}_first"), F.max("block").alias(f"{by}_last"))
+    d = d.join(span("component"), "component").join(span("cluster"), "cluster")
+    others = F.filter(F.sequence("cluster_first", "cluster_last"), lambda k: (k <= F.col("component_first")) | (k >= F.col("component_last")))
+    d = d.select("node", "block", F.explode(others).alias("other")).join(grams, "node")
+    d = d.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cluster", "component", "grams")
+    return d.groupBy("i", "j").applyInArrow(_all_pairs(similarity), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -281,8 +416,8 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     Two texts are linked if the sets of their shingles of `words` words (A-Z in lower case; a shorter text is one shingle) overlap by
     `similarity` at least (shared over all), and a group is what links reach. Equal texts, and texts without words (null, empty, blank), are
     one group each. Rows that share a doc_id, or have none, are told apart by their texts; columns are passed on. A pair of just that similarity
-    meets in some table with 95 % chance, nearer ones more surely. It may still be missed where very many other texts are almost as near to both as they to
-    each other (texts of one template): a text's pairs compete for its few nearest in 64 bits of each table. Copies of a text make no pairs.
+    meets in some table with 95 % chance, nearer ones more surely. Where very many other texts are almost as near to both as they to each other (texts of
+    one template) a bucket doesn't pass on all pairs; such texts are compared all with all afterwards, but for those already in one group. Copies of a text make no pairs.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -292,8 +427,13 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     rows = materialise(rows.mapInArrow(_signed(words, longs, ["row"]), f"{_ROW}, sig array<long>"), "similar-rows")
     each = rows.groupBy("row._h1", "row._h2").agg(F.min("row").alias("row"), F.first("sig").alias("sig"))
     nodes = materialise(each.select("row", "sig", F.monotonically_increasing_id().alias("node")), "similar-nodes")
-    links = materialise(similar_links(docs, nodes, words, similarity, bits, half, tables), "similar-links")
-    groups = components(links)
-    kept = nodes.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("row").alias("row")).select(*_row("row"))
+    links, met = similar_links(docs, nodes, words, similarity, bits, half, tables)
+    groups = components(materialise(links, "similar-links"))
+    named = nodes.join(groups, "node", "left").select("row", F.coalesce("component", "node").alias("c"))
+    rest = rest_links(docs, nodes, met, groups, words, similarity)
+    if rest is not None:
+        more = components(materialise(rest, "similar-rest-links"))
+        named = named.join(more, named["c"] == more["node"], "left").select("row", F.coalesce("component", "c").alias("c"))
+    kept = named.groupBy("c").agg(F.min("row").alias("row")).select(*_row("row"))
     # the join and the choice of one row share their partitioning, so that texts are dealt out once
     return _keyed(docs).join(kept, _KEYS, "left_semi").dropDuplicates(_KEYS).select(*docs.columns)

@@ -112,3 +112,48 @@ def test_pairs_within_families_of_one_template(spark, family):
     pairs = sum(not ({i, i + 1} <= got) for i in range(0, len(rows), 2))
     print(family, pairs / (len(rows) // 2))
     assert pairs >= 0.95 * (len(rows) // 2)
+
+
+@pytest.mark.parametrize("grams", [m.GRAMS, 20_000])
+def test_crowded_family_as_by_brute_force(spark, monkeypatch, grams):
+    """Pairs that overlap by some 0.81 among 300 texts of one template that overlap by some 0.77, beside a large group of near copies of it: one block of texts, and many."""
+    monkeypatch.setattr(m, "GRAMS", grams)
+    rng = random.Random(7)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for p in rng.sample(range(0, 395, 5), 6):
+            w[p] = f"own{i}x{p}"
+        rows.append((len(rows), " ".join(w), "en", "s", 1))
+        for p in rng.sample(range(2, 395, 5), 8):
+            w[p] = f"twin{i}x{p}"
+        rows.append((len(rows), " ".join(w), "en", "s", 1))
+    for i in range(100):
+        w = base[:200] + [f"other{k}" for k in range(200)]
+        w[rng.randrange(400)] = f"copy{i}"
+        rows.append((len(rows), " ".join(w), "en", "s", 1))
+    want = [r[0] for r in one_of_each(rows)]
+    assert sorted(r.doc_id for r in m.one_of_each(odd.docs(spark, rows)).select("doc_id").collect()) == want and 50 < len(want) < 300
+
+
+def test_pairs_that_do_not_go_on_stay_tied():
+    """Whatever pairs a bucket leaves out, their texts are tied by what it marks."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n = int(rng.integers(2, 60))
+        rest = rng.integers(0, 2**63, n).astype(np.uint64)
+        found = np.unique([x * n + y for x, y in np.sort(rng.integers(0, n, (int(rng.integers(0, 90)), 2)), axis=1).tolist() if x < y]).astype(np.int64)
+        v = np.sort(rng.integers(0, 1 + n // 10, 2 * n).astype(np.uint64))
+        w = np.concatenate([np.sort(rng.integers(0, n, int((v == x).sum()))) for x in np.unique(v)])
+        kept = m._tried(found, rest)
+        less, links = m._marked(found, kept, m._crowded(v, w, n), n)
+        tied = np.concatenate([kept[less], links])
+        label = m._tied(tied[:, 0], tied[:, 1], n)
+        gone = np.setdiff1d(found, kept[:, 0] * n + kept[:, 1])
+        assert (label[gone // n] == label[gone % n]).all()
+        for x in np.unique(v):
+            makers = w[v == x]
+            assert len(makers) <= m.FEW or len(np.unique(label[makers])) == 1
