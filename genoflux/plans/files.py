@@ -182,17 +182,30 @@ def _letters(s, sf) -> DataFrame:
 _LETTERS = """ntseq as (select 'chr' || doc_id as name, translate(regexp_replace(lower(text), '[^a-z]', 'N', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTnN') as seq from documents where length(text) > 0)"""
 
 
+def _fasta_bodies(s, sf) -> DataFrame:
+    """Of each source a header and the letters of its documents in lines one after the other."""
+    d = v.table(s, sf, "documents").select(F.concat(F.lit("chr"), "doc_id").alias("name"), "doc_id", F.concat("source", F.lit(".fa")).alias("file"))
+    # a row for each document, not for each line
+    body = text.fasta_bodies(_letters(s, sf).join(d, "name")).select(F.col("file").alias("name"), (F.col("doc_id") * (1 << 20) + 1).alias("part"), "body")
+    head = d.select("file").distinct()
+    head = head.select(F.col("file").alias("name"), F.lit(0).cast("bigint").alias("part"), F.concat(F.lit(">"), F.regexp_replace("file", "[.]fa", " a note"), F.lit("\n")).cast("binary").alias("body"))
+    return head.unionByName(body)
+
+
 def _fasta(s, sf) -> str:
-    """A file for each source, with the letters of its documents in lines one after the other."""
+    """A file for each source."""
     folder = new_path(s, "fasta")
-    d = v.table(s, sf, "documents").select(F.concat(F.lit("chr"), "doc_id").alias("name"), "doc_id", F.concat("source", F.lit(".fa")).alias("file"))
-    lines = text.fasta_lines(_letters(s, sf)).where("part >= 0").join(d, "name")
-    body = lines.select(F.col("file").alias("name"), (F.col("doc_id") * (1 << 20) + F.col("part") + 1).alias("part"), "value")
-    head = d.select("file").distinct().select(F.col("file").alias("name"), F.lit(0).cast("bigint").alias("part"), F.concat(F.lit(">"), F.regexp_replace("file", "[.]fa", " a note")).alias("value"))
-    binary.save_files(head.unionByName(body).select("name", "part", F.concat("value", F.lit("\n")).cast("binary").alias("body")), folder)
+    binary.save_files(_fasta_bodies(s, sf), folder)
     return folder
 
 
+def _fasta_parts(s, sf) -> str:
+    """A folder of parts for each source, so that many tasks write its file."""
+    folder = new_path(s, "fasta")
+    binary.save_parts(_fasta_bodies(s, sf), folder)
+    return f"{folder}/*"
+
+
 _CONTIGS = f"""{_LETTERS}, ctg as (select source as name, string_agg(seq, '' order by doc_id) as seq from ntseq join (select 'chr' || doc_id as name, doc_id, source from documents) using (name) group by source)"""
 
 
@@ -204,7 +217,7 @@ def scan_sequences(s, sf):
 
 @query(f"with {_CONTIGS} select sum(length(seq))::bigint as length from ctg")
 def sequence_length(s, sf):
-    return text.fasta_length(s, _fasta(s, sf))
+    return text.fasta_length(s, _fasta_parts(s, sf))
 
 
 @query(f"""with {_CONTIGS}, c as (select name as id, unnest(range(1, length(seq) + 1)) as pos, unnest(string_split(seq, '')) as c from ctg),
@@ -212,7 +225,7 @@ def sequence_length(s, sf):
 select id, min(pos) as "start", max(pos) as "end" from g group by id, k""")
 def unknown_runs_of_files(s, sf):
     """Runs of N in sequences that are read by lines."""
-    p = text.read_fasta_pieces(s, _fasta(s, sf))
+    p = text.read_fasta_pieces(s, _fasta_parts(s, sf))
     return de.letter_runs(p.select(F.col("name").alias("id"), "start", "seq"))
 
 
@@ -224,7 +237,7 @@ _FWIN = f"""{_CONTIGS}, w0 as (select name as id, seq, unnest(range(0, cast(ceil
 
 @query(f'with {_FWIN} select id, win, len, gc, at_ as "at", bin from fwin')
 def gc_windows_of_files(s, sf):
-    p = text.read_fasta_pieces(s, _fasta(s, sf))
+    p = text.read_fasta_pieces(s, _fasta_parts(s, sf))
     return de.gc_windows(p.select(F.col("name").alias("id"), "start", "seq"))
 
 

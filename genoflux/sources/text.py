@@ -143,29 +143,55 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return whole.select("path", F.regexp_extract("value", r"^>?\s*(\S*)", 1).alias("name"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"[\r\n]", "").alias("seq"))
 
 
+def _begun(batches):
+    """Lines (path, split, seq) with the letters before each in its split, as a task reads them: split by split, in order."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    now, n = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        path, split, seq = b.columns
+        size = pc.utf8_length(seq).to_numpy(zero_copy_only=False).astype(np.int64)
+        code, at = pc.dictionary_encode(path).indices.to_numpy(), split.to_numpy()
+        first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (at[1:] != at[:-1])])
+        before = np.cumsum(size) - size
+        inside = before - np.repeat(before[first], np.diff(np.r_[first, len(size)]))
+        if (path[0].as_py(), at[0]) == now:
+            inside[: first[1] if len(first) > 1 else None] += n
+        now, n = (path[-1].as_py(), at[-1]), int(inside[-1] + size[-1])
+        yield pa.RecordBatch.from_arrays([path, split, pa.array(inside), seq], ["path", "split", "inside", "seq"])
+
+
 def read_fasta_pieces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, name, start, seq): the lines of each file's sequence with where they begin in it, from 1; the first line is the header.
+    """(path, name, start, seq): the lines of each file's sequence with where they begin in it, from 1; the first line is the header. A folder of parts as
+    save_parts writes them (`path/part-<number>`) is one file, `path`.
 
-    A file is read in splits: lines are counted inside their split, and splits inside their file, so that no task sees a chromosome.
+    A file is read in splits: letters are counted inside their split as its lines are read, and splits inside their file, so that no task sees a
+    chromosome, and no line is sorted. What is broadcast has a row for each split.
     """
-    lines = spark.read.text(paths).select(
-        F.input_file_name().alias("path"), F.input_file_block_start().alias("split"), F.monotonically_increasing_id().alias("at"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("seq")
-    )
+    from genoflux.shipping import ship
+
+    ship(spark)
+    lines = spark.read.text(paths).select(F.input_file_name().alias("path"), F.input_file_block_start().alias("split"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("seq"))
     head = F.col("seq").startswith(">")
-    names = lines.where(head).groupBy("path").agg(F.min_by("seq", F.struct("split", "at")).alias("seq")).select("path", F.regexp_extract("seq", r"^>\s*(\S*)", 1).alias("name"))
+    part = r"/part-(\d+)$"
+    file, nth = F.regexp_replace("path", part, "").alias("file"), F.regexp_extract("path", part, 1).try_cast("decimal(38,0)").alias("nth")
+    names = lines.where(head).withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("seq", F.struct("split", "at")).alias("seq"))
+    names = names.select(file, nth, "seq").groupBy("file").agg(F.min_by("seq", F.struct("nth")).alias("seq")).select("file", F.regexp_extract("seq", r"^>\s*(\S*)", 1).alias("name"))
     d = lines.where(~head & (F.col("seq") != ""))
-    sizes = d.groupBy("path", "split").agg(F.sum(F.length("seq")).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inside = F.coalesce(F.sum(F.length("seq")).over(W.partitionBy("path", "split").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("inside", inside).join(sizes.select("path", "split", before.alias("before")), ["path", "split"])
-    return d.join(names, "path", "left").select("path", F.coalesce("name", F.lit("")).alias("name"), (F.col("before") + F.col("inside") + 1).alias("start"), "seq")
-
-
-def fasta_lines(seqs: DataFrame, width: int = 60) -> DataFrame:
-    """(name, part, value): the lines of a FASTA file of each sequence (name, seq), in the order of part."""
-    d = seqs.select("name", F.posexplode(pieces(F.col("seq"), width)).alias("part", "value"))
-    head = seqs.select("name", F.lit(-1).alias("part"), F.concat(F.lit(">"), "name").alias("value"))
-    return head.unionByName(d)
+    sizes = d.groupBy("path", "split").agg(F.sum(F.length("seq")).alias("n")).select("path", "split", "n", file, nth)
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("nth", "split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = sizes.select("path", "split", "file", before.alias("before")).join(names, "file", "left")
+    d = d.mapInArrow(_begun, "path string, split long, inside long, seq string").join(F.broadcast(places), ["path", "split"])
+    return d.select(F.col("file").alias("path"), F.coalesce("name", F.lit("")).alias("name"), (F.col("before") + F.col("inside") + 1).alias("start"), "seq")
+
+
+def fasta_bodies(seqs: DataFrame, width: int = 60) -> DataFrame:
+    """seqs (seq, further columns) with body in place of seq: the lines of a FASTA file of the sequence, without its header."""
+    return seqs.withColumn("body", F.concat(F.array_join(pieces(F.col("seq"), width), "\n"), F.lit("\n")).cast("binary")).drop("seq")
 
 
 def fasta_length(spark: SparkSession, path: str) -> DataFrame:

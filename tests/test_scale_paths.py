@@ -215,3 +215,24 @@ def test_masked_windows_make_no_rows_of_runs(spark, monkeypatch):
     monkeypatch.setattr(de, "letter_runs", None)
     for name in ("gc_bin_lambda_of_clean_windows", "expected_depth"):
         assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_fasta_files_of_many_tasks(spark, tmp_path):
+    """A file that several tasks write as parts is read as one, in the order of its lines, which are joined without a sort."""
+    want, rows = {}, []
+    for name in ("one", "two"):
+        seq = "".join("ACGTn"[(k * k + len(name) * k) % 5] for k in range(3217))
+        want[name] = seq
+        rows += [(f"{name}.fa", 0, f">{name} a note\n".encode())] + [(f"{name}.fa", k + 1, (seq[i : i + 60] + "\n").encode()) for k, i in enumerate(range(0, len(seq), 60))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        binary.save_parts(spark.createDataFrame(rows, "name string, part long, body binary"), str(tmp_path / "x"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "x").glob("*/part-*"))) > 2
+    p = text.read_fasta_pieces(spark, str(tmp_path / "x" / "*"))
+    got = sorted((r.name, r.start, r.seq) for r in p.collect())
+    assert {n: "".join(q for m, _, q in got if m == n) for n in want} == want
+    assert all(want[n][at - 1 : at - 1 + len(q)] == q for n, at, q in got) and len({r.path for r in p.collect()}) == 2
+    assert text.fasta_length(spark, str(tmp_path / "x" / "*")).first()[0] == 2 * 3217
+    assert "SortMergeJoin" not in p._jdf.queryExecution().executedPlan().toString()
