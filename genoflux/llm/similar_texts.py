@@ -8,8 +8,8 @@ tried with their neighbours and with the first two. Of the pairs that agree in 6
 spanning forest, nearest first, so that a large group of near copies makes some four links for each member. These are
 compared by their whole signatures, and those that stay by the shingles themselves.
 
-Where a bucket has passed on less than all pairs its members are marked, and marked texts that links of such pairs tie together but that are
-not in one group are compared in full, by their shingles, block by block.
+Once these links have made groups, the buckets are gone through again, with the group of each text. Where a bucket has passed on less than all pairs it ties the groups
+of its members together, by a row for each group at most and none inside a group; texts of groups tied together are compared in full, by their shingles, block by block.
 """
 
 from __future__ import annotations
@@ -123,11 +123,11 @@ _CELLS = "cell long, n int, body binary"
 
 
 def _sent(bits: int, half: int, tables: int, key_bits: int, longs: int):
-    """Each fingerprint, with 64 other bits of its signature, once for each bucket of its table that some of its values fall in, as columns of
-    a batch and bucket."""
+    """Each fingerprint, with 64 other bits of its signature and the numbers (node and others) beside it, once for each bucket of its table that some of its
+    values fall in, as columns of a batch and bucket."""
     masks = np.concatenate(_flips(key_bits, half)).astype(np.int64)
 
-    def send(nodes, sig):
+    def send(sig, *numbers):
         fp = _cut(sig, bits, tables)
         rows = [[], [], []]
         for t in range(tables):
@@ -138,7 +138,8 @@ def _sent(bits: int, half: int, tables: int, key_bits: int, longs: int):
             rest = sig[:, (t * bits // 64 + 2) % longs]
             for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(cell[order])) + 1):
                 k = who[part]
-                for r, x in zip(rows, (t << key_bits | int(cell[order[part[0]]]), len(k), planes(fp[k, t].astype("<u8")) + planes(nodes[k].astype("<i8")) + planes(rest[k].astype("<u8")))):
+                body = [planes(x[k].astype("<u8")) for x in (fp[:, t], rest)] + [planes(x[k].astype("<i8")) for x in numbers]
+                for r, x in zip(rows, (t << key_bits | int(cell[order[part[0]]]), len(k), b"".join(body))):
                     r.append(x)
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], ["cell", "n", "body"])
 
@@ -146,7 +147,7 @@ def _sent(bits: int, half: int, tables: int, key_bits: int, longs: int):
         held, n = [], 0
         for b in batches:
             if b.num_rows:
-                held.append((b.column(0).to_numpy(), b.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, longs)))
+                held.append((b.column(0).flatten().to_numpy().view(np.uint64).reshape(-1, longs), *(c.to_numpy() for c in b.columns[1:])))
                 n += b.num_rows
             if n >= 1 << 15:
                 yield send(*(np.concatenate(x) for x in zip(*held)))
@@ -251,32 +252,57 @@ def _marked(found: np.ndarray, kept: np.ndarray, crowd: np.ndarray, n: int) -> t
     return less[label[kept[:, 0]]], np.stack([x[one], y[one]], axis=1)
 
 
-def _pairs(bits: int, half: int, key_bits: int, similarity: float):
-    """Pairs of a bucket that go on: of those tried at its values, the nearest of each fingerprint and a forest; with links (not tried) of texts that have met, and
-    marks (less) as `_marked` gives them."""
+def _bucket(key, table, numbers: int, bits: int, half: int, key_bits: int, similarity: float) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket the numbers of its fingerprints, in the order of the first (node), their other bits, in which leading bits they are off the bucket's, the near ones
+    of the pairs tried at its values, and links as `_crowded` has them (both first * n + second)."""
+    columns = [[] for _ in range(2 + numbers)]
+    for n, cell in zip(table.column("n").to_pylist(), table.column("body")):
+        raw = cell.as_buffer()
+        for k, c in enumerate(columns):
+            c.append(from_planes(raw[8 * n * k : 8 * n * (k + 1)], n, "<u8"))
+    columns = [np.concatenate(c).astype(np.uint64) for c in columns]
+    order = np.argsort(columns[2].view(np.int64))
+    f, rest, *given = (c[order] for c in columns)
+    own = int(key[0].as_py()) & ((1 << key_bits) - 1)
+    found, crowd = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for v, w, _ in (_colliding(*x) for x in _values(f, key_bits, own, half, bits)):
+        if len(v):
+            found.append(_near(*_neighbours(v, w, rest), rest, similarity))
+            crowd.append(_crowded(v, w, len(rest)))
+    return [x.view(np.int64) for x in given], rest, (f >> U64(bits - key_bits)) ^ U64(own), np.unique(np.concatenate(found)), np.unique(np.concatenate(crowd))
+
+
+def _pairs(*how):
+    """Pairs of a bucket that go on. Two fingerprints with the same leading bits, but not those of the bucket, meet in the bucket of their own as well, so that their pair
+    goes on from there, or is marked there."""
 
     def run(key, table):
-        columns = [[], [], []]
-        for n, cell in zip(table.column("n").to_pylist(), table.column("body")):
-            raw = cell.as_buffer()
-            for k, c in enumerate(columns):
-                c.append(from_planes(raw[8 * n * k : 8 * n * (k + 1)], n, "<u8"))
-        f, nodes, rest = (np.concatenate(c).astype(np.uint64) for c in columns)
-        nodes = nodes.view(np.int64)
-        order = np.argsort(nodes)
-        nodes, f, rest = nodes[order], f[order], rest[order]
-        found, crowd = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for v, w, _ in (_colliding(*x) for x in _values(f, key_bits, int(key[0].as_py()) & ((1 << key_bits) - 1), half, bits)):
-            if len(v):
-                found.append(_near(*_neighbours(v, w, rest), rest, similarity))
-                crowd.append(_crowded(v, w, len(rest)))
-        found, crowd = (np.unique(np.concatenate(x)) for x in (found, crowd))
+        (nodes,), rest, off, found, _ = _bucket(key, table, 1, *how)
+        kept = _tried(found, rest)
+        kept = kept[(off[kept[:, 0]] != off[kept[:, 1]]) | (off[kept[:, 0]] == 0)]
+        return pa.table({"a": pa.array(nodes[kept[:, 0]], pa.int64()), "b": pa.array(nodes[kept[:, 1]], pa.int64())})
+
+    return run
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links a, b between numbers as few as tie the same together, each to the least that it reaches: what several buckets say of a number then often agrees."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = _tied(at[: len(a)], at[len(a) :], len(names))
+    other = label != np.arange(len(names))
+    return names[label[other]], names[other]
+
+
+def _ties(*how):
+    """Links between groups of which a bucket has members that meet and has not passed on all pairs, as few as tie these groups together."""
+
+    def run(key, table):
+        (_, group), rest, _, found, crowd = _bucket(key, table, 2, *how)
         kept = _tried(found, rest)
         less, links = _marked(found, kept, crowd, len(rest))
-        both = np.concatenate([kept, links])
-        tried = np.arange(len(both)) < len(kept)
-        less = np.concatenate([less, np.ones(len(links), bool)])
-        return pa.table({"a": pa.array(nodes[both[:, 0]], pa.int64()), "b": pa.array(nodes[both[:, 1]], pa.int64()), "tried": pa.array(tried), "less": pa.array(less)})
+        a, b = group[np.concatenate([kept[less], links])].T
+        a, b = _stars(a[a != b], b[a != b])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -310,17 +336,19 @@ def _gram_sets(texts: DataFrame, nodes: DataFrame, met: DataFrame, words: int, t
     return materialise(whole.select(*keep, "text").mapInArrow(_sets(words, keep), f"{', '.join(f'{k} long' for k in keep)}, grams array<long>"), f"{tag}-grams")
 
 
-def similar_links(texts: DataFrame, nodes: DataFrame, words: int, similarity: float, bits: int, half: int, tables: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between nodes (node, row, sig) whose texts overlap by `similarity` at least, and links of nodes that met and of which not all
-    pairs were compared, for `rest_links`; texts has those rows."""
+def _met(nodes: DataFrame, by, similarity: float, bits: int, half: int, tables: int) -> DataFrame:
+    """Distinct links (a, b) that `by` (_pairs, _ties) finds in the buckets of nodes (sig, node and other numbers)."""
     n, key_bits = nodes.count(), 4
     while key_bits < bits - 2 and n * sum(comb(key_bits, k) for k in range(half + 1)) > PER_BUCKET << key_bits:
         key_bits += 1
+    sent = nodes.mapInArrow(_sent(bits, half, tables, key_bits, -(-bits * tables // 64)), _CELLS)
+    return sent.groupBy("cell").applyInArrow(by(bits, half, key_bits, similarity), "a long, b long").distinct()
+
+
+def similar_links(texts: DataFrame, nodes: DataFrame, words: int, similarity: float, bits: int, half: int, tables: int) -> DataFrame:
+    """Links (a, b) between nodes (node, row, sig) whose texts overlap by `similarity` at least; texts has those rows."""
     longs = -(-bits * tables // 64)
-    sent = nodes.select("node", "sig").mapInArrow(_sent(bits, half, tables, key_bits, longs), _CELLS)
-    met = sent.groupBy("cell").applyInArrow(_pairs(bits, half, key_bits, similarity), "a long, b long, tried boolean, less boolean")
-    met = materialise(met.groupBy("a", "b").agg(F.max("tried").alias("tried"), F.max("less").alias("less")), "similar-tried")
-    pairs = met.where("tried").select("a", "b")
+    pairs = materialise(_met(nodes.select("sig", "node"), _pairs, similarity, bits, half, tables), "similar-tried")
     p = apart(similarity)
     most = int(64 * longs * (p + ERRORS * sqrt(p * (1 - p) / (64 * longs))))
     sig = nodes.select("node", "sig")
@@ -331,7 +359,7 @@ def similar_links(texts: DataFrame, nodes: DataFrame, words: int, similarity: fl
     grams = _gram_sets(texts, nodes, ends, words, "similar")
     both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
-    return both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared)).select("a", "b"), met.where("less").select("a", "b")
+    return both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
 
 
 def _all_pairs(similarity: float):
@@ -380,21 +408,18 @@ def _all_pairs(similarity: float):
     return run
 
 
-def rest_links(texts: DataFrame, nodes: DataFrame, met: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame | None:
-    """Links (a, b) between groups (node, component; a node without a row there is its own) that join all those with similar texts among the nodes that
-    links of met (a, b) tie together; None if met ties no groups.
+def rest_links(texts: DataFrame, nodes: DataFrame, words: int, similarity: float, bits: int, half: int, tables: int) -> DataFrame | None:
+    """Links (a, b) between groups that join all those with similar texts among the groups of nodes (node, row, sig, component) that buckets tie together, as they have
+    not passed on all pairs of them; None if no groups are tied.
 
     Nodes lie in the order of clusters (groups tied together) and groups, cut into blocks of GRAMS shingles. Each pair of blocks that a cluster reaches is
     one call, but for blocks inside one group. That is all pairs across the groups of a cluster: its square in time, two blocks in memory.
     """
-    of = lambda d, n, c: d.join(groups.select(F.col("node").alias(n), F.col("component").alias(c)), n, "left").withColumn(c, F.coalesce(c, n))
-    met = of(of(met, "a", "ca"), "b", "cb")
-    tied = materialise(met.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "similar-open")
+    tied = materialise(_met(nodes.select("sig", "node", "component"), _ties, similarity, bits, half, tables), "similar-open")
     if tied.isEmpty():
         return None
     clusters = components(tied).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    ends = met.select(F.col("a").alias("node"), F.col("ca").alias("component")).unionByName(met.select(F.col("b").alias("node"), F.col("cb").alias("component"))).distinct()
-    grams = _gram_sets(texts, nodes, ends.join(clusters, "component").select("node", "component", "cluster"), words, "similar-rest")
+    grams = _gram_sets(texts, nodes, nodes.join(clusters, "component").select("node", "component", "cluster"), words, "similar-rest")
     order = ["cluster", "component", "node"]
     d = grams.select(*order, F.size("grams").cast("long").alias("n")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     d = materialise(d.withColumn("task", F.shiftright("at", 33)), "similar-rest-order")
@@ -427,10 +452,10 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     rows = materialise(rows.mapInArrow(_signed(words, longs, ["row"]), f"{_ROW}, sig array<long>"), "similar-rows")
     each = rows.groupBy("row._h1", "row._h2").agg(F.min("row").alias("row"), F.first("sig").alias("sig"))
     nodes = materialise(each.select("row", "sig", F.monotonically_increasing_id().alias("node")), "similar-nodes")
-    links, met = similar_links(docs, nodes, words, similarity, bits, half, tables)
-    groups = components(materialise(links, "similar-links"))
-    named = nodes.join(groups, "node", "left").select("row", F.coalesce("component", "node").alias("c"))
-    rest = rest_links(docs, nodes, met, groups, words, similarity)
+    groups = components(materialise(similar_links(docs, nodes, words, similarity, bits, half, tables), "similar-links"))
+    known = materialise(nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "similar-groups")
+    named = known.select("row", F.col("component").alias("c"))
+    rest = rest_links(docs, known, words, similarity, bits, half, tables)
     if rest is not None:
         more = components(materialise(rest, "similar-rest-links"))
         named = named.join(more, named["c"] == more["node"], "left").select("row", F.coalesce("component", "c").alias("c"))

@@ -157,3 +157,50 @@ def test_pairs_that_do_not_go_on_stay_tied():
         for x in np.unique(v):
             makers = w[v == x]
             assert len(makers) <= m.FEW or len(np.unique(label[makers])) == 1
+
+
+def rows_of_joins(spark, since: int, kind: str) -> tuple[int, int]:
+    """(rows that joins of this kind made in the executions from a number on, number of executions so far)."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for k in range(runs.size()):
+        run = runs.apply(k).executionId()
+        if run < since:
+            continue
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for i in range(nodes.size()):
+            node = nodes.apply(i)
+            if "Join" not in node.name() or kind not in node.desc():
+                continue
+            for j in range(node.metrics().size()):
+                metric = node.metrics().apply(j)
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    made += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return made, max([since, *(runs.apply(k).executionId() + 1 for k in range(runs.size()))])
+
+
+def test_ties_of_groups_do_not_grow_with_their_members(spark):
+    """A large group of near copies meets in many buckets of each table: its texts are named by their groups once, not once for each pair of a bucket."""
+    rng = random.Random(11)
+    base, rows = [f"w{rng.randint(0, 10**6)}" for _ in range(150)], []
+    for i in range(700):
+        w = list(base)
+        for _ in range(rng.randint(1, 3) if i < 600 else rng.randint(4, 8)):
+            w[rng.randrange(150)] = f"x{i}y{rng.randint(0, 9)}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    _, since = rows_of_joins(spark, 0, "LeftOuter")
+    got = sorted(r.doc_id for r in m.one_of_each(odd.docs(spark, rows)).collect())
+    made, _ = rows_of_joins(spark, since, "LeftOuter")
+    assert got == [r[0] for r in one_of_each(rows)] and 0 < made <= 3 * len(rows)
+
+
+def test_ties_of_a_bucket_are_those_of_its_marks():
+    """As few links of groups as tie what the marked pairs and links of a bucket tie, each to the least group."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        a, b = rng.integers(0, 40, (2, int(rng.integers(0, 60))))
+        least, other = m._stars(a, b)
+        full, few = m._tied(a, b, 40), m._tied(least, other, 40)
+        assert (full == few).all() and len(other) == len(set(other.tolist())) == int((full != np.arange(40)).sum()) and (full[other] == least).all()
