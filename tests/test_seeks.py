@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 
+from genoflux.functions import alignment as al
 from genoflux.sources import bam, bam_index, binary, store, text
 
 REFS = [("chr1", 3_000_000), ("chr2", 500_000), ("none", 100)]
@@ -168,3 +169,24 @@ def test_positions_beyond_the_bins(spark, tmp_path):
     bam_index.write_index(spark, folder)
     assert sorted(r.position for r in bam_index.read_indexed(spark, folder).collect()) == at
     assert [r.position for r in bam_index.read_indexed(spark, folder, "c", 1_196_000_002, 1_196_000_009).collect()] == [1_196_000_000]
+
+
+def test_positions_beyond_a_record_s_fields(spark, tmp_path):
+    """Positions, mates' positions and insert sizes of more than 32 bits, as 360 copies of a table have them."""
+    at = [5, (1 << 31) - 1, 1 << 31, 7_178_400_000, (1 << 33) + 3]
+    mate = [-1, 1 << 33, -1, 7, (1 << 31) - 1]
+    size = [0, -(1 << 35), 4, -9, 1 << 31]
+    tags = [{}, {"ZP": "a"}, {"NM": "1"}, {}, {"RG": "g", "NM": "2"}]
+    rows = [(f"r{i}", 0, p, 0, 60, 0, [("M", 4)], "ACGT", "IIII", 0, m, z, t) for i, (p, m, z, t) in enumerate(zip(at, mate, size, tags))]
+    d = spark.createDataFrame(rows, "name string, ref_id int, position long, flag int, mapq int, bin int, cigar array<struct<type string, length int>>, bases string, quals string, mate_ref_id int, mate_position long, insert_size long, tags map<string,string>").coalesce(1)
+    d = d.withColumn("bin", al.region_bin(F.col("position"), F.col("position") + 4).cast("int"))
+    folder = str(tmp_path / "far")
+    store.write_bodies(bam.bam_blocks(d, [("c", 100)]), folder)
+    want = list(zip(at, mate, size, tags, [bam.bin_of(p, p + 4) for p in at]))
+    shown = lambda d: sorted(((r.position, r.mate_position, r.insert_size, r.tags, r.bin) for r in d.collect()), key=lambda r: r[0])
+    assert shown(bam.read_records(spark, folder)) == want
+    bam_index.write_index(spark, folder)
+    whole = bam_index.read_indexed(spark, folder)
+    assert shown(whole) == want
+    assert [r.position for r in bam_index.read_indexed(spark, folder, "c", (1 << 31) + 3, 7_178_400_001).collect()] == [1 << 31, 7_178_400_000]
+    assert [r.position for r in whole.where("ref_name = 'c' and position >= 3000000000 and position < 8000000000").collect()] == [7_178_400_000]
