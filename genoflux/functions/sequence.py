@@ -13,6 +13,8 @@ from genoflux.shipping import ship
 
 #: Bytes of strings that a task looks at together.
 TOGETHER = 8 << 20
+#: Substrings that a task looks at together, different ones that it counts before it passes them on, rows of a batch of them, and substrings of a list that it holds.
+AT_ONCE, COUNTED, PASSED, LISTED = 1 << 18, 1 << 20, 1 << 16, 1 << 23
 
 
 def base_code(c: Column) -> Column:
@@ -114,7 +116,7 @@ def letter_stretches(strings: pa.Array) -> Iterator[tuple[int, np.ndarray, np.nd
         j = max(i + 1, int(np.searchsorted(off, off[i] + TOGETHER, "right")) - 1)
         raw, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
         if len(raw) and raw.max() > 127:
-            at = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][at]
+            at = at - np.searchsorted(np.flatnonzero((raw & 0xC0) == 0x80), at)  # without the further bytes of letters
             raw = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4")
         yield i, raw, at
         i = j
@@ -130,35 +132,141 @@ def kmers(seqs: DataFrame, k: int) -> DataFrame:
     return d.select("id", (F.col("n") * size + F.col("j")).alias("start"), F.substring("s", F.col("j"), F.lit(k)).alias("kmer"))
 
 
-def _windows(cp: np.ndarray, at: np.ndarray, k: int):
-    """(string, start, key, spelt) of every substring of k letters of strings that begin at `at`: keys are equal if the substrings are, and spelt gives
-    the substrings of keys."""
-    n = np.maximum(0, np.diff(at) - k + 1)
-    who = np.repeat(np.arange(len(n)), n)
-    start = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-    first = at[who] + start
-    alphabet = np.flatnonzero(np.bincount(cp)) if len(cp) else np.zeros(0, np.int64)
-    number = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.int64)
-    number[alphabet] = np.arange(len(alphabet))
-    code, base = number[cp], len(alphabet)
-    small = base**k < 1 << 63
-    if small:
-        key = np.zeros(len(first), np.int64)
-        for j in range(k):
-            key = key * base + code[first + j]
-    else:
-        key = np.stack([code[first + j] for j in range(k)], axis=1).astype("<u4").view(np.dtype((np.void, 4 * k))).ravel()
-
-    def spelt(keys: np.ndarray) -> pa.Array:
+class _Letters:
+    """Numbers of letters, and keys of substrings of k letters that are equal if the substrings are: whole numbers of 63 // k bits a letter as long as the
+    letters' numbers fit these, else the letters side by side."""
+
+    def __init__(self, k: int):
+        self.k, self.bits = k, 63 // k
+        self.known = np.zeros(0, np.int64)  # letters by number
+        self.number = np.full(256, -1, np.int64)
+
+    def learn(self, cp: np.ndarray) -> None:
+        """Give letters that are new a number."""
+        if len(cp) and cp.max() >= len(self.number):
+            self.number = np.r_[self.number, np.full(int(cp.max()) + 1 - len(self.number), -1, np.int64)]
+        there = np.zeros(len(self.number), bool)
+        there[cp] = True
+        new = np.flatnonzero(there & (self.number < 0))
+        self.number[new] = len(self.known) + np.arange(len(new))
+        self.known = np.r_[self.known, new]
+
+    @property
+    def small(self) -> bool:
+        return len(self.known) <= 1 << self.bits
+
+    def keys(self, cp: np.ndarray, at: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, key) of the substrings that begin at lo to hi - 1 in strings which begin at `at`, and have no letter without a number."""
+        k, n = self.k, hi - lo
+        part = cp[lo : hi + k - 1]
+        ok = np.ones(n, bool)
+        ends = at[np.searchsorted(at, lo, "right") : np.searchsorted(at, hi + k - 1, "right")] - lo
+        for j in range(1, k):
+            x = ends - j
+            ok[x[(x >= 0) & (x < n)]] = False
+        code = np.zeros(n + k - 1, np.int64)
+        code[: len(part)] = part
+        far = code >= len(self.number)  # letters beyond the last number have none either
+        code[: len(part)] = self.number[np.where(far, 0, code)[: len(part)]]
+        code[far] = -1
+        if code.min(initial=0) < 0:
+            for j in range(k):
+                ok &= code[j : j + n] >= 0
+            code = np.maximum(code, 0)
+        start = np.flatnonzero(ok)
+        if self.small:
+            key = np.zeros(n, np.int64)
+            for j in range(k):
+                key = key << self.bits | code[j : j + n]
+            return lo + start, key[ok]
+        letters = np.zeros(n + k - 1, "<u4")
+        letters[: len(part)] = part
+        return lo + start, self._void(np.lib.stride_tricks.sliding_window_view(letters, k)[start])
+
+    def _void(self, letters: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(letters).view(np.dtype((np.void, 4 * self.k))).ravel()
+
+    def _letters(self, keys: np.ndarray) -> np.ndarray:
+        if keys.dtype != np.int64:
+            return keys.view("<u4").reshape(-1, self.k)
+        mask = (1 << self.bits) - 1
+        return np.stack([self.known[keys >> self.bits * (self.k - 1 - j) & mask] for j in range(self.k)], axis=1).astype("<u4")
+
+    def side(self, keys: np.ndarray) -> np.ndarray:
+        """Whole numbers as keys of the other kind."""
+        return self._void(self._letters(keys))
+
+    def spelt(self, keys: np.ndarray) -> pa.Array:
+        """The substrings of keys."""
         if not len(keys):
             return pa.array([], pa.string())
-        letters = np.stack([keys // base ** (k - 1 - j) % base for j in range(k)], axis=1) if small else keys.view("<u4").reshape(-1, k)
-        text = alphabet[letters].astype("<u4").tobytes().decode("utf-32-le").encode()
-        wide = np.array([len(chr(c).encode()) for c in alphabet.tolist()], np.int64)
-        size = np.r_[0, np.cumsum(wide[letters].sum(axis=1))].astype(np.int32)
-        return pa.StringArray.from_buffers(len(keys), pa.py_buffer(size.tobytes()), pa.py_buffer(text))
+        letters = self._letters(keys)
+        wide = 1 + (letters > 0x7F).astype(np.int32) + (letters > 0x7FF) + (letters > 0xFFFF)
+        size = np.r_[0, np.cumsum(wide.sum(axis=1))].astype(np.int32)
+        return pa.StringArray.from_buffers(len(keys), pa.py_buffer(size.tobytes()), pa.py_buffer(letters.tobytes().decode("utf-32-le").encode()))
+
+
+class _Tally:
+    """How often substrings of k letters occur, in sorted tables that are put together when they hold COUNTED rows, and passed on when that leaves over half as many."""
+
+    def __init__(self, k: int):
+        self.letters, self.tables, self.rows = _Letters(k), [], 0
+
+    def add(self, cp: np.ndarray, at: np.ndarray, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        was = self.letters.small
+        self.letters.learn(cp[lo : hi + self.letters.k - 1])
+        if was and not self.letters.small:
+            yield from self.rest()  # keys of the other kind
+        _, key = self.letters.keys(cp, at, lo, hi)
+        if not len(key):
+            return
+        self.tables.append(np.unique(key, return_counts=True))
+        self.rows += len(self.tables[-1][0])
+        if self.rows > COUNTED:
+            self._join()
+            if self.rows > COUNTED // 2:
+                yield from self.rest()
+
+    def _join(self) -> None:
+        if len(self.tables) > 1:
+            key, n = (np.concatenate(x) for x in zip(*self.tables))
+            self.tables = []
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            self.tables, self.rows = [(key[first], np.add.reduceat(n, first))], len(first)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """All that is held, in batches."""
+        self._join()
+        for key, n in self.tables:
+            for i in range(0, len(key), PASSED):
+                yield pa.RecordBatch.from_arrays([self.letters.spelt(key[i : i + PASSED]), pa.array(n[i : i + PASSED])], ["kmer", "n"])
+        self.tables, self.rows = [], 0
+
+
+def _listed(path: str, k: int) -> Iterator[tuple[_Letters, np.ndarray]]:
+    """The substrings of k letters that a table of kmer has, as sorted keys with their letters, some LISTED rows at once."""
+    import pyarrow.parquet as pq
 
-    return who, start, key, spelt
+    from genoflux.sources import store
+
+    letters, held, rows = _Letters(k), [], 0
+    for p, _ in store.listed(path, ".parquet"):
+        with store.opened(p) as f:
+            for b in pq.ParquetFile(f).iter_batches(PASSED, columns=["kmer"]):
+                for _, cp, at in letter_stretches(b.column(0)):
+                    was = letters.small
+                    letters.learn(cp)
+                    if was and not letters.small:
+                        held = [letters.side(x) for x in held]
+                    held.append(letters.keys(cp, at, 0, len(cp))[1])
+                    rows += len(held[-1])
+                if rows >= LISTED:
+                    yield letters, np.sort(np.concatenate(held))
+                    letters, held, rows = _Letters(k), [], 0
+    if rows:
+        yield letters, np.sort(np.concatenate(held))
 
 
 def _dealt(seqs: DataFrame, k: int) -> DataFrame:
@@ -167,15 +275,15 @@ def _dealt(seqs: DataFrame, k: int) -> DataFrame:
 
 
 def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
-    """(kmer, n): how often every substring of length k occurs in the sequences (id, seq); counted in each task, then summed."""
+    """(kmer, n): how often every substring of length k occurs in the sequences (id, seq); counted in each task, in bounded memory, then summed."""
 
     def run(batches):
+        tally = _Tally(k)
         for b in batches:
             for _, cp, at in letter_stretches(b.column(0)):
-                _, _, key, spelt = _windows(cp, at, k)
-                if len(key):
-                    each, n = np.unique(key, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([spelt(each), pa.array(n)], ["kmer", "n"])
+                for lo in range(0, len(cp), AT_ONCE):
+                    yield from tally.add(cp, at, lo, min(lo + AT_ONCE, len(cp)))
+        yield from tally.rest()
 
     ship(seqs.sparkSession)
     return _dealt(seqs, k).select("seq").mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
@@ -183,35 +291,58 @@ def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
 
 def covered_by(seqs: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
     """(id, start, end): stretches of each sequence (id, seq) that the substrings listed in kmers (kmer) cover, closed and from 1. Tasks read the list
-    from the shared folder, so that no substring is sent to it."""
+    from the shared folder, so that no substring is sent to it; a long list is gone through in parts for each stretch of letters."""
     from genoflux.scratch import new_path
-    from genoflux.sources import store
 
     path = new_path(seqs.sparkSession, "kmers")
     kmers.select("kmer").write.parquet(path)
 
     def run(batches):
-        import pyarrow.compute as pc
-        import pyarrow.parquet as pq
-
-        often = pa.concat_arrays([pa.array([], pa.string()), *(c for p, _ in store.listed(path, ".parquet") for c in pq.read_table(store.opened(p)).column("kmer").chunks)])
+        parts = _listed(path, k)
+        held = [x for x in (next(parts, None),) if x is not None]
+        if more := next(parts, None) is not None:
+            held = []
+        parts.close()
         for b in batches:
             for i, cp, at in letter_stretches(b.column(1)):
-                who, start, key, spelt = _windows(cp, at, k)
-                each, which = np.unique(key, return_inverse=True)
-                hit = np.flatnonzero(pc.is_in(spelt(each), value_set=often).to_numpy(zero_copy_only=False)[which])
-                if not len(hit):
-                    continue
-                who, start = who[hit], start[hit]
-                new = np.r_[True, (np.diff(who) != 0) | (np.diff(start) >= k)]
-                last = np.r_[np.flatnonzero(new)[1:] - 1, len(hit) - 1]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + who[new])), pa.array(start[new] + 1), pa.array(start[last] + k)], ["id", "start", "end"])
+                hit = np.zeros(len(cp), bool)
+                for letters, often in _listed(path, k) if more else held:
+                    for lo in range(0, len(cp), AT_ONCE):
+                        start, key = letters.keys(cp, at, lo, min(lo + AT_ONCE, len(cp)))
+                        each, which = np.unique(key, return_inverse=True)
+                        place = np.minimum(np.searchsorted(often, each), len(often) - 1)
+                        hit[start[(often[place] == each)[which]]] = True
+                for start, end in _stretches(hit, k):
+                    who = np.searchsorted(at, start, "right") - 1
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + who)), pa.array(start - at[who] + 1), pa.array(end - at[who])], ["id", "start", "end"])
 
     ship(seqs.sparkSession)
     d = _dealt(seqs, k)
     return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, start long, end long")
 
 
+def _stretches(hit: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(start, end), the end not included, of what is covered by the k places from each hit on, some at once. Strings' last k - 1 places are no hits, so
+    that none goes on into the next."""
+    begun = last = None
+    for lo in range(0, len(hit), AT_ONCE):
+        x = lo + np.flatnonzero(hit[lo : lo + AT_ONCE])
+        if not len(x):
+            continue
+        cut = np.flatnonzero(np.diff(x) >= k)
+        start, end = np.r_[x[0], x[cut + 1]], np.r_[x[cut], x[-1]] + k
+        if begun is not None:
+            if x[0] - last < k:
+                start[0] = begun
+            else:
+                start, end = np.r_[begun, start], np.r_[last + k, end]
+        begun, last = int(start[-1]), int(x[-1])
+        if len(start) > 1:
+            yield start[:-1], end[:-1]
+    if begun is not None:
+        yield np.array([begun]), np.array([last + k])
+
+
 def mask_same_columns(strings: DataFrame, by: str, order: str, s: str) -> DataFrame:
     """Strings of each group with a blank where all of the group have the same letter; strings of a group have one length."""
     letters = strings.select(by, F.posexplode(F.split(s, "")).alias("_k", "_c"))

@@ -1,6 +1,10 @@
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from genoflux.functions import alignment as al
@@ -66,3 +70,61 @@ def test_counts_and_cover_of_kmers(spark):
             assert sum(on) == sum(z - a for a, z in runs)
             cover += [(n, a + 1, z) for a, z in runs]
         assert sorted(map(tuple, sq.covered_by(d, counts.where("n > 3"), k).collect())) == sorted(cover)
+
+
+class _Task:
+    """Stands for a table: keeps the function that tasks would run."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        self.run = run
+        return self
+
+    groupBy = agg = select  # noqa: N815
+
+
+def test_memory_of_counting_kmers(spark, monkeypatch):
+    """Eight million letters are counted in far less memory than numbers of eight bytes for each, several times over, would take."""
+    task = _Task()
+    task.sparkSession = None
+    monkeypatch.setattr(sq, "_dealt", lambda *_: task)
+    monkeypatch.setattr(sq, "ship", lambda _: None)
+    sq.kmer_counts(task, 8)
+    text = np.random.default_rng(1).choice(np.frombuffer(b"abcdefgh \n", np.uint8), 8 << 20).tobytes().decode()
+    rows = pa.RecordBatch.from_arrays([pa.array([text[:5_000_000], text[5_000_000:]])], ["seq"])
+    tracemalloc.start()
+    n = sum(sum(b.column(1).to_pylist()) for b in task.run([rows]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(text) - 14 and peak < 200 << 20
+
+
+def test_kmers_in_many_parts(spark, monkeypatch, tmp_path):
+    """Places, counts and lists in parts of a few each, as long texts and lists have them, with letters that turn up late."""
+    for name, value in {"AT_ONCE": 7, "COUNTED": 20, "PASSED": 3, "LISTED": 5, "TOGETHER": 60}.items():
+        monkeypatch.setattr(sq, name, value)
+    monkeypatch.setattr(sq, "ship", lambda _: None)
+    rng = random.Random(6)
+    for alphabet in ("ab", "abcé", "ab😀" + "".join(map(chr, range(300, 500)))):
+        texts = ["".join(rng.choice(alphabet[:2]) for _ in range(rng.randint(0, 90))) for _ in range(9)] + ["".join(rng.choice(alphabet) for _ in range(200))]
+        rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "seq"])
+        for k in (1, 3, 8):
+            task = _Task()
+            task.sparkSession = None
+            monkeypatch.setattr(sq, "_dealt", lambda *_: task)  # noqa: B023
+            sq.kmer_counts(task, k)
+            got = Counter()
+            for b in task.run([rows.select(["seq"])]):
+                got.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+            want = Counter(t[i : i + k] for t in texts for i in range(len(t) - k + 1))
+            assert got == want
+            for least in (0, 2, 10**6):
+                often = {x for x, n in want.items() if n > least}
+                task.schema = {"id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "long"))}
+                with monkeypatch.context() as m:
+                    m.setattr("genoflux.scratch.new_path", lambda *_: str(tmp_path / f"{len(alphabet)}-{k}-{least}"))  # noqa: B023
+                    sq.covered_by(SimpleNamespace(sparkSession=spark), spark.createDataFrame([(x,) for x in sorted(often)], "kmer string"), k)
+                places = sorted((i, p) for b in task.run([rows]) for i, a, z in zip(*(c.to_pylist() for c in b.columns)) for p in range(a, z + 1))
+                assert places == sorted({(n, i + j + 1) for n, t in enumerate(texts) for i in range(len(t) - k + 1) if t[i : i + k] in often for j in range(k)})
