@@ -560,9 +560,11 @@ def kmer_repeats(s, sf):
 @query(f"""with {_SEQ}, x as (select id, i, substring(seq, i, 8) as kmer from seqs, unnest(range(1, length(seq) - 8 + 2)) as t(i) where length(seq) >= 8),
   f as (select kmer from x group by kmer having count(*) > 400), u as (select id::varchar as chr, i as "start", i + 7 as "end" from x where kmer in (select kmer from f)), {_merged('u', 0)} select * from merged""")
 def high_copy_regions(s, sf):
-    """Stretches of sequences covered by k-mers that occur very often."""
-    hit = sq.covered_by(_seqs(s, sf), sq.kmer_counts(_seqs(s, sf), 8).where("n > 400"), 8)
-    return iv.merge(hit.select(F.col("id").cast("string").alias("chr"), "start", "end"))
+    """Stretches of sequences covered by k-mers that occur very often; those of one sequence don't overlap, so that only texts that share an id are merged."""
+    d = _seqs(s, sf)
+    hit = materialise(sq.covered_by(d, sq.kmer_counts(d, 8).where("n > 400"), 8).select(F.col("id").cast("string").alias("chr"), "start", "end"), "covered")
+    shared = materialise(d.groupBy(F.col("id").cast("string").alias("chr")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chr"), "shared-ids")
+    return hit.join(shared, "chr", "left_anti").unionByName(iv.merge(hit.join(shared, "chr", "left_semi")))
 
 
 @query("""with x as (select p_brand as g, p_partkey as k, substring(lpad(p_partkey::varchar, 8, '0'), 1, 8) as s from part), c as (select g, k, unnest(range(1, 9)) as i, unnest(string_split(s, '')) as c from x),
