@@ -7,14 +7,14 @@ import math
 from collections import deque
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genoflux.shipping import ship
 
 from .components import SHARES, components
-from .flow_kernel import solve_network
+from .flow_kernel import solve_networks
 
 #: Cost of no flow at all.
 NEVER = 999_999_999
@@ -265,6 +265,19 @@ def _push(n: int, to: list[int], cap: list[int], cost: list[int], out: list[list
                 excess[v] += amount
 
 
+def _numbered(net: np.ndarray, tail: np.ndarray, head: np.ndarray, is_arc: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """Numbers from 0 in each net of the nodes in tail, and in head of arcs; how many each net has; and where its nodes begin among all, with the end of all."""
+    at, node = np.r_[net, net[is_arc]], np.r_[tail, head[is_arc]]
+    order = np.lexsort((node, at))
+    a, v = at[order], node[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (v[1:] != v[:-1])
+    first = np.searchsorted(a[new], np.arange(int(net[-1]) + 2 if len(net) else 1))
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1 - first[a]
+    return number[: len(tail)], number[len(tail) :], np.diff(first).tolist(), first
+
+
 def solve(arcs: DataFrame, supply: DataFrame | None = None, at_once: int = 200_000) -> DataFrame:
     """arcs (net, arc_id, tail, head, low, cap, cost) with flow and the prices of both ends.
 
@@ -273,9 +286,10 @@ def solve(arcs: DataFrame, supply: DataFrame | None = None, at_once: int = 200_0
     arcs have flow, tail_price and head_price, from an earlier solution with other costs, the solver starts from there.
     """
     again = "flow" in arcs.columns
-    both = arcs.select("net", "arc_id", "tail", "head", "low", "cap", "cost", *(F.col(c).cast("bigint") if again else F.lit(0).cast("bigint").alias(c) for c in ("flow", "tail_price", "head_price")))
+    known = ["flow", "tail_price", "head_price"] if again else []
+    both = arcs.select(F.col("net").cast("string").alias("net"), *(F.col(c).cast("bigint").alias(c) for c in ("arc_id", "tail", "head", "low", "cap", "cost", *known)))
     if supply is not None:
-        none = [F.lit(0).cast("bigint").alias(c) for c in ("cap", "cost", "flow", "tail_price", "head_price")]
+        none = [F.lit(0).cast("bigint").alias(c) for c in ("cap", "cost", *known)]
         cols = ["net", F.lit(-1).cast("bigint").alias("arc_id"), F.col("node").alias("tail"), F.lit(0).cast("bigint").alias("head"), F.col("excess").alias("low"), *none]
         both = both.unionByName(supply.select(*cols))
     sizes = arcs.groupBy("net").count()
@@ -290,33 +304,42 @@ def solve(arcs: DataFrame, supply: DataFrame | None = None, at_once: int = 200_0
     else:
         both = both.withColumn("component", F.lit(0).cast("bigint"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         # many small nets come in one call: a call for each costs more than to solve it
-        d = pdf.sort_values(["net", "component", "arc_id"], kind="stable")
-        net, component = d["net"].to_numpy(), d["component"].to_numpy()
-        first = np.flatnonzero(np.r_[True, (net[1:] != net[:-1]) | (component[1:] != component[:-1])])
-        columns = [d[c].tolist() for c in ("arc_id", "tail", "head", "low", "cap", "cost", "flow", "tail_price", "head_price")]
-        flows, tails, heads = [], [], []
-        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(d)]):
-            ids, tail, head, low, cap, cost, old, p, q = (c[i:j] for c in columns)
-            k = sum(x < 0 for x in ids)  # supplies come first
-            names = sorted({*tail, *head[k:]})
-            index = {v: i for i, v in enumerate(names)}
-            rows = [(index[t], index[h], lo, c, w) for t, h, lo, c, w in zip(tail[k:], head[k:], low[k:], cap[k:], cost[k:])]
-            given = {index[v]: x for v, x in zip(tail[:k], low[:k])}
-            if again:
-                prices = {index[v]: x for ends, at in ((tail, p), (head, q)) for v, x in zip(ends[k:], at[k:])}
-                flow, price = min_cost_flow(len(names), rows, given, (old[k:], prices))
-            else:
-                flow, price = solve_network(len(names), rows, given, min_cost_flow)
-            flows += flow
-            tails += [price[r[0]] for r in rows]
-            heads += [price[r[1]] for r in rows]
-        return d[d["arc_id"] >= 0].drop(columns=["component", "block"]).assign(flow=flows, tail_price=tails, head_price=heads)
+        name = table.column("net").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        columns = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("net", "block")}
+        order = np.lexsort((columns["arc_id"], columns["component"], name))
+        name, columns = name[order], {c: x[order] for c, x in columns.items()}
+        new = np.ones(len(order), bool)
+        new[1:] = (name[1:] != name[:-1]) | (columns["component"][1:] != columns["component"][:-1])
+        net = np.cumsum(new) - 1
+        is_arc = columns["arc_id"] >= 0  # supplies come first
+        tails, heads, number, first = _numbered(net, columns["tail"], columns["head"], is_arc)
+        own = net[is_arc]
+        tail, head, low, cap, cost = tails[is_arc], heads, *(columns[c][is_arc] for c in ("low", "cap", "cost"))
+        begin = np.searchsorted(own, np.arange(len(first)))
+        given: list[dict[int, int]] = [{} for _ in first[1:]]
+        for n, v, x in zip(net[~is_arc].tolist(), tails[~is_arc].tolist(), columns["low"][~is_arc].tolist()):
+            given[n][v] = x
+        if again:
+            flows, prices = [], []
+            old, p, q = (columns[c][is_arc].tolist() for c in known)
+            rows = list(zip(*(c.tolist() for c in (tail, head, low, cap, cost))))
+            for n, (i, j) in enumerate(zip(begin, begin[1:])):
+                start = {v: x for v, x in [*zip(tail[i:j].tolist(), p[i:j]), *zip(head[i:j].tolist(), q[i:j])]}
+                flow, price = min_cost_flow(number[n], rows[i:j], given[n], (old[i:j], start))
+                flows += flow
+                prices.append([price[v] for v in range(number[n])])
+        else:
+            flows, prices = solve_networks(number, begin, (tail, head, low, cap, cost), given, min_cost_flow)
+        price = np.array([x for each in prices for x in each], np.int64)
+        out = {c: columns[c][is_arc] for c in ("arc_id", "tail", "head", "low", "cap", "cost")}
+        out |= {"flow": np.array(flows, np.int64), "tail_price": price[first[own] + tail], "head_price": price[first[own] + head]}
+        return pa.table({"net": table.column("net").take(pa.array(order[is_arc])), **{c: pa.array(x) for c, x in out.items()}})
 
     ship(arcs.sparkSession)
     both = both.withColumn("block", F.pmod(F.xxhash64("net", "component"), F.lit(max(1, n // BLOCK) * SHARES)))
-    return both.groupBy("block").applyInPandas(run, "net string, arc_id long, tail long, head long, low long, cap long, cost long, flow long, tail_price long, head_price long")
+    return both.groupBy("block").applyInArrow(run, "net string, arc_id long, tail long, head long, low long, cap long, cost long, flow long, tail_price long, head_price long")
 
 
 def imbalance(flows: DataFrame) -> DataFrame:

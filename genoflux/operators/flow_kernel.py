@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
+
 #: (tail, head, low, cap, cost)
 Arc = tuple[int, int, int, int, int]
 _OPEN = 1 << 60
@@ -89,20 +91,67 @@ def spread(total: int, bounds: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+class Bundles:
+    """Arcs of many networks, bundled by the two nodes that they join; a bundle runs from its smaller node. `first`: where the bundles of each network begin, and the end of all."""
+
+    def __init__(self, arcs_first: np.ndarray, tail: np.ndarray, head: np.ndarray, low: np.ndarray, cap: np.ndarray, cost: np.ndarray):
+        if (low > cap).any():
+            raise ValueError("an arc's lower bound exceeds its capacity")
+        net = np.repeat(np.arange(len(arcs_first) - 1), np.diff(arcs_first))
+        u, v = np.minimum(tail, head), np.maximum(tail, head)
+        slope = np.where(tail == u, cost, -cost)
+        self.loops = tail == head
+        self.loop_flow = np.where(cost < 0, cap, low)
+        arcs = np.flatnonzero(~self.loops)
+        same = np.lexsort((v[arcs], u[arcs], net[arcs]))
+        a = arcs[same]
+        new = np.ones(len(a), bool)
+        new[1:] = (net[a][1:] != net[a][:-1]) | (u[a][1:] != u[a][:-1]) | (v[a][1:] != v[a][:-1])
+        # bundles in the order of their first arcs, as what is chosen of several cheapest flows goes by it; in each the cheaper arcs first
+        lead = np.empty(len(a), np.int64)
+        lead[same] = a[np.flatnonzero(new)][np.cumsum(new) - 1]
+        inner = np.lexsort(((cap - low)[arcs], slope[arcs], lead))
+        self.order, lead = arcs[inner], lead[inner]
+        arcs = self.order
+        net, u, v, slope, self.forth = net[arcs], u[arcs], v[arcs], slope[arcs], (tail == u)[arcs]
+        self.low, self.cap = low[arcs], cap[arcs]
+        self.width = self.cap - self.low
+        new[1:] = lead[1:] != lead[:-1]
+        begin = np.flatnonzero(new)
+        self.bundle = np.cumsum(new) - 1
+        self.first = np.searchsorted(net[begin], np.arange(len(arcs_first))).tolist()
+        self.ends = list(zip(u[begin].tolist(), v[begin].tolist()))
+        some = len(arcs) > 0
+        self.lo = np.add.reduceat(np.where(self.forth, self.low, -self.cap), begin) if some else np.zeros(0, np.int64)
+        total = np.add.reduceat(self.width, begin) if some else np.zeros(0, np.int64)
+        sums = np.cumsum(self.width) - self.width
+        self.before = sums - sums[begin][self.bundle]  # room of the cheaper arcs of a bundle
+        wide = np.flatnonzero(self.width)
+        own, s = self.bundle[wide], slope[wide]
+        lead = np.r_[True, own[1:] != own[:-1]][: len(own)]
+        least = np.zeros(len(begin), np.int64)
+        least[own[lead]] = s[lead]
+        grow = np.r_[0, np.diff(s)][: len(s)]
+        change = np.flatnonzero(~lead & (grow != 0))
+        x = (self.lo[own] + self.before[wide])[change].tolist()
+        cut = np.searchsorted(own[change], np.arange(len(begin) + 1)).tolist()
+        grows = grow[change].tolist()
+        self.cost = [Convex(lo, hi, slope, dict(zip(x[i:j], grows[i:j]))) for lo, hi, slope, i, j in zip(self.lo.tolist(), (self.lo + total).tolist(), least.tolist(), cut, cut[1:])]
+
+    def flows(self, sent: list[int]) -> list[int]:
+        """Flows of the arcs that send so much through each bundle from its first node at least cost."""
+        part = np.clip(np.array(sent, np.int64)[self.bundle] - self.lo[self.bundle] - self.before, 0, self.width)
+        flow = self.loop_flow.copy()
+        flow[self.order] = np.where(self.forth, self.low + part, self.cap - part)
+        return flow.tolist()
+
+
 class Network:
-    """Arcs bundled by the two nodes that they join; a bundle runs from its smaller node. Nodes that nothing branches off at (two
-    neighbours and no supply) are passed through, dead ends carry nothing; `chains` are what joins the others."""
-
-    def __init__(self, nodes: int, arcs: list[Arc], supply: dict[int, int]):
-        self.nodes, self.arcs = nodes, arcs
-        self.bundles: dict[tuple[int, int], list[int]] = defaultdict(list)
-        self.loops = []
-        for i, (t, h, low, cap, _) in enumerate(arcs):
-            if low > cap:
-                raise ValueError("an arc's lower bound exceeds its capacity")
-            (self.loops if t == h else self.bundles[min(t, h), max(t, h)]).append(i)
-        self.ends = list(self.bundles)
-        self.cost = [self._cost(*e) for e in self.ends]
+    """Bundles (nodes and costs) of a network. Nodes that nothing branches off at (two neighbours and no supply) are passed through, dead ends
+    carry nothing; `chains` are what joins the others."""
+
+    def __init__(self, nodes: int, ends: list[tuple[int, int]], cost: list[Convex], supply: dict[int, int]):
+        self.nodes, self.ends, self.cost = nodes, ends, cost
         at: list[list[int]] = [[] for _ in range(nodes)]
         for k, (u, v) in enumerate(self.ends):
             at[u].append(k)
@@ -144,14 +193,6 @@ class Network:
         a, b = self.ends[k]
         return b if v == a else a
 
-    def _cost(self, u: int, v: int) -> Convex:
-        rooms, lo = [], 0
-        for i in self.bundles[u, v]:
-            t, _, low, cap, cost = self.arcs[i]
-            lo += low if t == u else -cap
-            rooms.append((cost if t == u else -cost, cap - low))
-        return Convex.of(rooms, lo)
-
     def along(self, start: int, chain: list[int]) -> list[Convex]:
         out = []
         for k in chain:
@@ -159,36 +200,40 @@ class Network:
             start = self.other(k, start)
         return out
 
-    def split(self, k: int, x: int, flow: list[int]) -> None:
-        """Flows of a bundle's arcs that send x from its first node at least cost."""
-        u, _ = self.ends[k]
-        rooms = []
-        for i in self.bundles[self.ends[k]]:
-            t, _, low, cap, cost = self.arcs[i]
-            flow[i] = low if t == u else cap
-            x -= low if t == u else -cap
-            rooms.append((cost if t == u else -cost, cap - low, i, 1 if t == u else -1))
-        for _, width, i, way in sorted(rooms):
-            step = min(width, x)
-            flow[i] += way * step
-            x -= step
+
+def solve_networks(nodes: list[int], arcs_first: np.ndarray, arcs: tuple[np.ndarray, ...], supply: list[dict[int, int]], solver) -> tuple[list[int], list[list[int]]]:
+    """Flows of the arcs (tail, head, low, cap, cost: columns) of many networks at least cost, and the prices of the nodes of each that prove it, as solver(nodes, arcs, supply) would
+    give them for one network. arcs_first: where the arcs of each network begin, and the end of all; nodes: how many each has, numbered from 0 in each."""
+    b = Bundles(np.asarray(arcs_first), *arcs)
+    sent: list[int] = []
+    prices = []
+    for n, i, j, s in zip(nodes, b.first, b.first[1:], supply):
+        x, price = _solve(Network(n, b.ends[i:j], b.cost[i:j], s), s, solver)
+        sent += x
+        prices.append(price)
+    return b.flows(sent), prices
 
 
 def solve_network(nodes: int, arcs: list[Arc], supply: dict[int, int] | None, solver) -> tuple[list[int], dict[int, int]]:
-    """Flows of arcs at least cost and node prices that prove it, as solver(nodes, arcs, supply) would give them: it gets the forks only.
+    """solve_networks for one network."""
+    columns = tuple(np.array(c, np.int64) for c in (zip(*arcs) if arcs else [()] * 5))
+    flow, prices = solve_networks([nodes], np.array([0, len(arcs)]), columns, [supply or {}], solver)
+    return flow, dict(enumerate(prices[0]))
+
+
+def _solve(n: Network, supply: dict[int, int], solver) -> tuple[list[int], list[int]]:
+    """What goes through each bundle from its first node, and node prices: the solver gets the forks only.
 
     Along a chain the prices' whole difference is shared out so that every arc's part lies between its slopes at the flow.
     """
-    supply = {v: s for v, s in (supply or {}).items() if s}
-    n = Network(nodes, arcs, supply)
-    flow, price, known = [0] * len(arcs), [0] * nodes, [False] * nodes
-    for i in n.loops:
-        flow[i] = arcs[i][3] if arcs[i][4] < 0 else arcs[i][2]
-    number = {v: i for i, v in enumerate(v for v in range(nodes) if n.fork[v])}
+    supply = {v: s for v, s in supply.items() if s}
+    through, price, known = [0] * len(n.ends), [0] * n.nodes, [False] * n.nodes
+    number = {v: i for i, v in enumerate(v for v in range(n.nodes) if n.fork[v])}
     inner: list[Arc] = []
     sent: list[list[int] | int] = []
-    for u, v, chain in n.chains:
-        f = in_series(n.along(u, chain))
+    along = [n.along(u, chain) for u, _, chain in n.chains]
+    for (u, v, _), each in zip(n.chains, along):
+        f = in_series(each)
         if u == v:  # a ring that nothing enters or leaves
             sent.append(f.least())
             continue
@@ -199,12 +244,12 @@ def solve_network(nodes: int, arcs: list[Arc], supply: dict[int, int] | None, so
         got, prices = solver(len(number), inner, {number[v]: s for v, s in supply.items()})
         for v, i in number.items():
             price[v], known[v] = prices[i], True
-    for (u, v, chain), s in zip(n.chains, sent):
+    for (u, v, chain), each, s in zip(n.chains, along, sent):
         x = s if isinstance(s, int) else sum(got[i] for i in s)
-        steps = spread(price[v] - price[u], [f.slopes(x) for f in n.along(u, chain)])
+        steps = spread(price[v] - price[u], [f.slopes(x) for f in each])
         at = u
         for k, step in zip(chain, steps):
-            n.split(k, x if n.ends[k][0] == at else -x, flow)
+            through[k] = x if n.ends[k][0] == at else -x
             to = n.other(k, at)
             if not known[to]:
                 price[to], known[to] = price[at] + step, True
@@ -214,7 +259,6 @@ def solve_network(nodes: int, arcs: list[Arc], supply: dict[int, int] | None, so
         f = n.cost[k] if n.ends[k][0] == u else n.cost[k].flipped()
         if not f.lo <= 0 <= f.hi:
             raise ValueError("no flow meets the supplies")
-        n.split(k, 0, flow)
         low, high = f.slopes(0)
         price[v] = price[u] + min(max(0, low), high)
-    return flow, dict(enumerate(price))
+    return through, price

@@ -1,11 +1,12 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from genoflux.operators import flow as fl
-from genoflux.operators.flow_kernel import Convex, in_series, solve_network, spread
+from genoflux.operators.flow_kernel import Convex, in_series, solve_network, solve_networks, spread
 
 #: A published small problem: 6 nodes, supply of 10 at node 1, demand at node 6; its least cost is 70.
 SAMPLE = [(1, 2, 0, 4, 1), (1, 3, 0, 8, 5), (2, 3, 0, 5, 0), (3, 5, 0, 10, 1), (5, 4, 0, 8, 0), (5, 6, 0, 8, 9), (4, 2, 0, 8, 1), (4, 6, 0, 8, 1)]
@@ -97,3 +98,19 @@ def test_long_chain_with_links(spark):
     assert s.count() == arcs.count() and fl.violations(s).count() == 0 and fl.imbalance(s).where("net <> 0").count() == 0
     got = {r.arc_id: r.flow for r in fl.solved_copies(s).collect()}
     assert got[2 * n] == 2 and all(got[n + i] > 0 for i in range(n // 500) if i % 9 == 4) and time.time() - began < 300
+
+
+def test_many_networks_at_once():
+    """Networks that are bundled together have the flows and prices that each has by itself, whatever stands beside it."""
+    rng, each = random.Random(2), []
+    while len(each) < 300:
+        nodes, arcs, supply = random_network(rng)
+        try:
+            each.append((nodes, arcs, supply, *solve_network(nodes, arcs, supply, fl.min_cost_flow)))
+        except ValueError:
+            continue
+    first = np.cumsum([0, *(len(x[1]) for x in each)])
+    columns = tuple(np.array([a[c] for x in each for a in x[1]], np.int64) for c in range(5))
+    flows, prices = solve_networks([x[0] for x in each], first, columns, [x[2] for x in each], fl.min_cost_flow)
+    assert flows == [f for x in each for f in x[3]] and [dict(enumerate(p)) for p in prices] == [x[4] for x in each]
+    assert any(not x[1] for x in each) and all(proof(n, a, s, flows[i:j], dict(enumerate(p))) is not None for (n, a, s, *_), i, j, p in zip(each, first, first[1:], prices))
